@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from glosswork.llm.ann import op6_nearest_neighbours
+from glosswork.llm.chat import op10_chat_formatting
+from glosswork.llm.fingerprint import op4_document_fingerprints
+from glosswork.llm.langid import op3_language_id
+from glosswork.llm.ngram_join import op2_ngram_jaccard_join
+from glosswork.llm.packing import op5_best_fit_packing
+from glosswork.llm.secrets import op7_secret_scans
+from glosswork.llm.sentencepiece_tok import op8_sentencepiece
 from glosswork.llm.substring_dedup import op9_substring_dedup
 from glosswork.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
+    "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
+    "op7_secret_scans": op7_secret_scans,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE_SQL: dict[str, str] = {}
