@@ -3,10 +3,10 @@
 From a bounded sample of different vectors a nearest-neighbour graph is made and cut into balanced parts, so that neighbours mostly share
 one. A small classifier (one hidden layer) learns the parts from the vectors. Every row goes to its most probable part, a query to its
 several most probable parts, and all rows there are reranked by the true inner product. How many parts a query tries is measured on the
-sample: enough for a recall of `aim` there.
+sample: enough for a recall of `aim` there. Small parts share a task, which sends on only the best of all of them.
 
 Equal vectors are one entry with its `k + 1` smallest ids, which are all that can be among a query's k nearest, so a vector that a third of
-all rows hold is neither sent nor searched more than once. A part with many entries is dealt out as blocks of `BLOCK`.
+all rows hold is neither sent nor searched more than once. A part with more than `BLOCK` entries is dealt out to several tasks.
 
 Only the fitting is bounded by a sample (`SAMPLE` vectors); all rows are indexed and all queries searched. Defined cases: vectors
 that are null, zero, of another length than most, or hold a null or non-finite component take no part; ties go to the smaller vec_id;
@@ -22,6 +22,7 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +35,9 @@ SAMPLE = 6000
 PART, LEAST_PARTS, MOST_PARTS = 2000, 8, 256
 NEIGHBOURS = 10
 #: Recall on the sample that sets how many parts a query tries.
-AIM = 0.96
-#: Entries of a part that one task holds.
-BLOCK = 20_000
+AIM = 0.95
+#: Entries that one task holds.
+BLOCK = 10_000
 
 
 def graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -156,6 +157,21 @@ def fit(x: np.ndarray, rows: int, k: int = K, aim: float = AIM) -> Router:
     return router
 
 
+def blocks_of(sizes: dict[int, int]) -> tuple[list[int], list[int]]:
+    """First block and number of blocks of each part: small neighbouring parts share one, a large part has several."""
+    first, many, block, room = [], [], -1, 0
+    for part in range(max(sizes) + 1):
+        n = sizes.get(part, 0)
+        if n > room:
+            block += 1
+            room = BLOCK
+        first.append(max(block, 0))
+        many.append(max(1, ceil(n / BLOCK)))
+        block += many[-1] - 1
+        room = 0 if many[-1] > 1 else room - n
+    return first, many
+
+
 def _matrix(column) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)[column.offsets[0].as_py() : column.offsets[-1].as_py()].reshape(len(column), -1)
 
@@ -202,34 +218,40 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
 
     index = cut(rows.select("vec_id", "embedding").mapInArrow(route(1, ["vec_id", "embedding"], []), "vec_id long, embedding array<double>, part int"))
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row a part: MOST_PARTS at most
-    blocks = F.get(F.array(*(F.lit(ceil(sizes.get(i, 0) / BLOCK)) for i in range(max(sizes) + 1))), F.col("part"))
-    index = index.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
+    first, many = blocks_of(sizes)
+
+    def of(values: list[int]):
+        return F.get(F.array(*map(F.lit, values)), F.col("part"))
+
+    index = index.withColumn("block", (of(first) + F.pmod(F.xxhash64("vec_id"), of(many))).cast("int"))
 
     asked = cut(valid(queries).select("vec_id", "h1", "h2", "embedding"))
     different = asked.groupBy("h1", "h2").agg(F.min_by("embedding", "vec_id").alias("embedding"))
     routed = different.mapInArrow(route(router.tries, ["h1", "h2", "embedding"], []), "h1 long, h2 long, embedding array<double>, part int")
-    routed = routed.where(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    routed = routed.withColumn("block", F.explode(F.sequence(of(first), of(first) + of(many) - 1)))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, c = (_matrix(t.column("embedding").combine_chunks()) if t.num_rows else np.zeros((0, 1)) for t in (left, right))
-        ids = right.column("vec_id").to_numpy()
-        h1, h2 = left.column("h1").to_numpy(), left.column("h2").to_numpy()
-        out = []
-        for i in range(0, len(q) if len(c) else 0, 512):
-            near = q[i : i + 512] @ c.T
-            most = min(k + 1, len(c))
-            edge = -np.partition(-near, most - 1, axis=1)[:, most - 1 : most]
-            a, b = np.nonzero(near >= edge - 1e-9 * np.maximum(1, np.abs(edge)))
-            score = (q[i + a] * c[b]).sum(1)  # the same for equal vectors, wherever they stand
-            order = np.lexsort((ids[b], -score, a))
-            a, b, score = a[order], b[order], score[order]
-            first = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            keep = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < k + 1
-            out.append((h1[i + a[keep]], h2[i + a[keep]], ids[b[keep]], score[keep]))
-        cols = [np.concatenate(y) for y in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
-        return pa.table([pa.array(y) for y in cols], names=["h1", "h2", "vec_id", "score"])
-
-    found = routed.groupBy("part", "block").cogroup(index.groupBy("part", "block")).applyInArrow(search, "h1 long, h2 long, vec_id long, score double")
+        out: list[tuple[np.ndarray, ...]] = []
+        for part in np.unique(right.column("part").to_numpy()).tolist():
+            l, r = (t.filter(pa.compute.equal(t.column("part"), part)).combine_chunks() for t in (left, right))
+            if not l.num_rows or not r.num_rows:
+                continue
+            q, c = (_matrix(t.column("embedding").combine_chunks()) for t in (l, r))
+            ids, h1, h2 = r.column("vec_id").to_numpy(), l.column("h1").to_numpy(), l.column("h2").to_numpy()
+            for i in range(0, len(q), 512):
+                near = q[i : i + 512] @ c.T
+                edge = -np.partition(-near, min(k + 1, len(c)) - 1, axis=1)[:, min(k + 1, len(c)) - 1, None]
+                a, b = np.nonzero(near >= edge - 1e-9 * np.maximum(1, np.abs(edge)))
+                # such sums are the same for equal vectors, wherever they stand
+                out.append((h1[i + a], h2[i + a], ids[b], (q[i + a] * c[b]).sum(1)))
+        x = [np.concatenate(y) for y in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        order = np.lexsort((x[2], -x[3], x[1], x[0]))
+        x = [y[order] for y in x]
+        first = np.flatnonzero(np.append(True, (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1]))) if len(order) else np.zeros(0, np.int64)
+        keep = np.arange(len(order)) - np.repeat(first, np.diff(np.append(first, len(order)))) < k + 1
+        return pa.table([pa.array(y[keep]) for y in x], names=["h1", "h2", "vec_id", "score"])
+
+    found = routed.groupBy("block").cogroup(index.groupBy("block")).applyInArrow(search, "h1 long, h2 long, vec_id long, score double")
     best = Window.partitionBy("h1", "h2").orderBy(F.desc("score"), "vec_id")
     found = found.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= k + 1).drop("_n")
     lists = found.groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))).alias("found"))
