@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glosswork.llm._base import cut, parts
+
 K = 128
 WORDS = 5
 #: Ids that one task orders; documents of a range of so many ids are dealt out together.
@@ -95,11 +97,11 @@ def with_next(docs: DataFrame, extra: dict[str, Column]) -> DataFrame:
     ordered = Window.orderBy("_range")
     after = least.select("_range", F.coalesce(F.lead("_range").over(ordered), F.first("_range").over(ordered)).alias("_after"))
     heads = least.select(F.col("_range").alias("_after"), F.col("_least"))
-    after = after.join(heads, "_after").select("_range", F.col("_least").alias("_head"))
+    after = cut(after.join(heads, "_after").select("_range", F.col("_least").alias("_head")))  # so that its size is known, and texts stay where they are if it is small
     head = base.select(F.col("doc_id").alias("_head"), "text").join(after, "_head").groupBy("_range").agg(F.min("text").alias("text"))
     head = head.select("_range", F.col("text").alias("_head_text"), *(c.alias(f"_head_{n}") for n, c in extra.items()))
     within = Window.partitionBy("_range").orderBy("doc_id", "text")
-    rows = base.select("*", *(c.alias(n) for n, c in extra.items())).select("*", *(F.lead(n).over(within).alias(f"next_{n}") for n in names), F.lead(F.lit(True)).over(within).alias("_has"))
+    rows = base.repartition(parts(docs.sparkSession), "_range").select("*", *(c.alias(n) for n, c in extra.items())).select("*", *(F.lead(n).over(within).alias(f"next_{n}") for n in names), F.lead(F.lit(True)).over(within).alias("_has"))
     rows = rows.join(head, "_range", "left")
     return rows.select("doc_id", *names, *(F.when(F.col("_has"), F.col(f"next_{n}")).otherwise(F.coalesce(F.col(f"_head_{n}"), F.col(n))).alias(f"next_{n}") for n in names))
 
