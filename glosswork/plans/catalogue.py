@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.extract import index
 from glosswork.operators import diff, lines, notes, reattach, registry, state, terms, verify, work
 from glosswork.plans import fixtures as X
 from glosswork.sources.tables import settled
@@ -412,6 +413,42 @@ def props_json(spark, sf):
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+# --- symbols of source files, by table functions ---
+
+
+def _sources(spark: SparkSession, sf: str, suffix: str, code: str) -> DataFrame:
+    """A file for each document: code with a function for each of its lines."""
+    ls = T.lines(F.coalesce("text", F.lit("")))
+    body = F.array_join(F.transform(ls, lambda l, i: F.replace(F.replace(F.lit(code), F.lit("@N"), i.cast("string")), F.lit("@L"), F.length(l).cast("string"))), "\n")
+    return X.read(spark, sf, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(suffix)).alias("path"), body.alias("text"))
+
+
+_FOUND = ("path", "kind", "qualname", "start", "item_row", "end", "body_lines")
+_ROW_SQL = """WITH l AS (SELECT source||'/'||doc_id||'{suffix}' AS path, unnest(generate_series(0, len(string_split(coalesce(text,''), chr(10))) - 1)) AS i, len(string_split(coalesce(text,''), chr(10))) AS n FROM documents),
+m AS (SELECT path, 'module' AS kind, '<module>' AS qualname, 0 AS start, 0 AS item_row, max(n) * {rows} - 1 AS "end", 0 AS body_lines FROM l GROUP BY path)
+SELECT path, kind, qualname, start::INTEGER AS start, item_row::INTEGER AS item_row, "end"::INTEGER AS "end", body_lines::INTEGER AS body_lines FROM (SELECT * FROM m UNION ALL SELECT path, '{kind}', '{name}'||i, i * {rows}, i * {rows} + {item}, i * {rows} + {end}, {body} FROM l{more})"""
+
+
+@query(_ROW_SQL.format(suffix=".py", rows=5, kind="fn", name="f", item=1, end=3, body=1, more=""), fixtures=False)
+def python_symbols(spark, sf):
+    return index.symbols(_sources(spark, sf, ".py", '# note @N\ndef f@N(x):\n    """Doc @L."""\n    return x\n')).select(*_FOUND)
+
+
+@query(_ROW_SQL.format(suffix=".pyx", rows=4, kind="class", name="C", item=0, end=2, body=2, more=" UNION ALL SELECT path, 'method', 'C'||i||'.go', i * 4 + 1, i * 4 + 1, i * 4 + 2, 1 FROM l"), fixtures=False)
+def cython_symbols(spark, sf):
+    return index.symbols(_sources(spark, sf, ".pyx", "cdef class C@N:\n    cpdef int go(self, int a):\n        return @L\n")).select(*_FOUND)
+
+
+@query(_ROW_SQL.format(suffix=".rs", rows=5, kind="fn", name="f", item=1, end=3, body=3, more=""), fixtures=False)
+def brace_symbols(spark, sf):
+    return index.symbols(_sources(spark, sf, ".rs", '/// Note {@N.\npub fn f@N(x: i32) -> i32 {\n    let s = "}"; x + @L\n}\n')).select(*_FOUND)
+
+
+@query("""SELECT source||'/'||doc_id||'.py' AS path, i * 3 + 1 AS "row", 'zh-in-string' AS code FROM (SELECT source, doc_id, unnest(generate_series(0, len(string_split(coalesce(text,''), chr(10))) - 1)) AS i FROM documents)""", fixtures=False)
+def placement_lint(spark, sf):
+    return _long(index.misplaced(_sources(spark, sf, ".py", f's@N = """\n# {T.MARKER} @L\n"""')), "row")
+
+
 # --- the same shapes under load ---
 
 
