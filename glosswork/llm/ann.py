@@ -182,21 +182,25 @@ def entries(vectors: DataFrame, k: int) -> DataFrame:
     return vectors.withColumn("_n", F.row_number().over(one)).where(F.col("_n") <= k + 1).drop("_n")
 
 
-def valid(vectors: DataFrame) -> DataFrame:
+def valid(vectors: DataFrame, size: int | None = None) -> tuple[DataFrame, int]:
+    """The rows that take part, with h1 and h2, and the length of their vectors: that of most if not given."""
     e = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull())
     whole = ~F.exists(e, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     rows = rows.where(whole & F.exists(e, lambda v: v != 0))
-    usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    rows = rows.where(F.size("embedding") == (usual[0]["n"] if usual else 0))
-    return rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("again"), F.reverse("embedding")).alias("h2"))
+    if size is None:
+        usual = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
+        size = usual[0]["n"] if usual else 0
+    rows = rows.where(F.size("embedding") == size)
+    return rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("again"), F.reverse("embedding")).alias("h2")), size
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SAMPLE, aim: float = AIM) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of vectors (vec_id, embedding) to each row of queries (vec_id, embedding)."""
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
-    rows = cut(entries(valid(vectors), k))
+    rows, size = valid(vectors)
+    rows = cut(entries(rows, k))
     n = rows.count()
     if not n:
         return spark.createDataFrame([], schema)
@@ -225,7 +229,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
 
     index = index.withColumn("block", (of(first) + F.pmod(F.xxhash64("vec_id"), of(many))).cast("int"))
 
-    asked = cut(valid(queries).select("vec_id", "h1", "h2", "embedding"))
+    asked = cut(valid(queries, size)[0].select("vec_id", "h1", "h2", "embedding"))
     different = asked.groupBy("h1", "h2").agg(F.min_by("embedding", "vec_id").alias("embedding"))
     routed = different.mapInArrow(route(router.tries, ["h1", "h2", "embedding"], []), "h1 long, h2 long, embedding array<double>, part int")
     routed = routed.withColumn("block", F.explode(F.sequence(of(first), of(first) + of(many) - 1)))

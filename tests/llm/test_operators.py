@@ -1,0 +1,344 @@
+"""Every operator against a brute-force version on small texts: nulls, empty and very long texts, ties, repeated rows, clashing columns, empty tables."""
+
+import hashlib
+import json
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from glosswork.llm import ann, chat, fingerprint, langid, ngram_join, packing, secrets, sentencepiece_tok, substring_dedup, suffix_dedup
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, spans string, start int, component string"
+
+
+def sha(x):
+    return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def corpus(seed=3, n=60):
+    """Random texts with copies, near copies, shared passages, junk; columns that clash with the operators' own."""
+    r = random.Random(seed)
+    vocabulary = ["".join(r.choice("abcdeé") for _ in range(r.randint(1, 7))) for _ in range(400)]
+    passage = " ".join(r.choices(vocabulary, k=70))
+    texts = [None, "", " ", "\n\t", "one", "one", "Two words", "a b c d", "aé" * 150, "x" * 1000, "日本語" * 90, "𝒳 y " * 60, "!!! 12 ...", " lead  and  odd \r\n\n spaces ", "<|endoftext|> </s>[INST] <|turn|> <\\|end|>"]
+    for _ in range(n):
+        w = r.choices(vocabulary, k=r.choice([3, 12, 40, 120, 300]))
+        kind = r.random()
+        if kind < 0.3:
+            at = r.randint(0, len(w))
+            w[at:at] = passage.split(" ")[r.randint(0, 10) : r.randint(40, 70)]
+        elif kind < 0.6 and len(texts) > 20:
+            w = (r.choice(texts[15:]) or "").split(" ")
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = r.choice(vocabulary)
+        texts.append(r.choice([" ", " ", "\n"]).join(w))
+    texts.append(" ".join(r.choices(vocabulary, k=6000)) + " " + passage)  # very long
+    ids = r.sample(range(1, 1000), len(texts))
+    return sorted(zip(ids, texts))
+
+
+def frame(spark, docs):
+    return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), 7, "x", 1, "c") for i, t in docs], SCHEMA).repartition(3)
+
+
+def test_suffix_dedup(spark):
+    docs = corpus()
+    docs.append(docs[30])  # a repeated row
+    rows = suffix_dedup.remove_repeats(frame(spark, docs)).collect()
+    assert len(rows) == len(docs)
+    texts = [(i, (t or "").encode()) for i, t in docs]
+    count = Counter(b[p : p + 200] for _, b in texts for p in range(len(b) - 199))
+    found = defaultdict(list)
+    for i, b in texts:
+        mask = bytearray(len(b))
+        for p in range(len(b) - 199):
+            if count[b[p : p + 200]] > 1:
+                mask[p : p + 200] = b"\1" * 200
+        kept = bytes(x for x, m in zip(b, mask) if not m)
+        found[i].append((len(b), sum(mask), len(re.findall(b"\1+", bytes(mask))), sha(kept)))
+    assert sum(x[1] for v in found.values() for x in v)
+    for r in rows:
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in found[r.doc_id]
+
+
+def test_suffix_sort_survives_collisions(monkeypatch):
+    data = np.frombuffer(b"abcabdabcabe" * 3, np.uint8)
+    begin, end = np.arange(0, 30, 3), np.full(10, len(data))
+    plain = suffix_dedup.Suffixes(data, begin, end, np.zeros(10))
+    monkeypatch.setattr(suffix_dedup, "span_hash", lambda p, a, b: np.zeros(len(a), np.uint64))  # all hashes equal
+    worst = suffix_dedup.Suffixes(data, begin, end, np.zeros(10))
+    text = [data[b:].tobytes() for b in begin]
+    for s in (plain, worst):
+        assert [text[i] for i in s.order] == sorted(text)
+        for j in range(1, 10):
+            a, b = text[s.order[j - 1]], text[s.order[j]]
+            assert s.common[j] == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+
+
+def test_without_repeats_keeps_columns_and_whole_characters(spark):
+    docs = [(1, "ab" + "é" * 150), (2, "xé" + "é" * 149 + "z"), (3, "short"), (4, None)]
+    rows = {r.doc_id: r for r in suffix_dedup.without_repeats(frame(spark, docs)).collect()}
+    assert frame(spark, docs).columns == suffix_dedup.without_repeats(frame(spark, docs)).columns
+    assert rows[1].text == "ab" and rows[1].n_chars == 2 and rows[2].text == "xz" and rows[3].text == "short" and rows[4].text is None
+
+
+def test_substring_dedup(spark):
+    docs = corpus(5)
+    rows = {r.doc_id: r for r in substring_dedup.remove_later(frame(spark, docs)).collect()}
+    first, removed = {}, 0
+    for i, t in docs:
+        w = WORDS.findall(t or "")
+        mask = [0] * len(w)
+        for p in range(len(w) - 19):
+            if first.setdefault(tuple(w[p : p + 20]), (i, p)) != (i, p):
+                mask[p : p + 20] = [1] * 20
+        removed += sum(mask)
+        kept = " ".join(x for x, m in zip(w, mask) if not m)
+        assert (rows[i].n_words, rows[i].n_removed, rows[i].kept_sha256) == (len(w), sum(mask), sha(kept)), i
+    assert removed
+
+
+def sets(text):
+    w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def test_ngram_join(spark):
+    docs = corpus(11, 90)
+    own = {i: sets(t) for i, t in docs}
+    up = {i: i for i in own}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in own:
+        for j in own:
+            if i < j and own[i] and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    rows = ngram_join.classes(frame(spark, docs)).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(i, len(s), top(i)) for i, s in own.items()}
+    assert len({top(i) for i in own}) < len(own) - 5
+    kept = ngram_join.keep_one(frame(spark, docs))
+    assert kept.columns == frame(spark, docs).columns
+    assert {r.doc_id for r in kept.collect()} == {i for i in own if top(i) == i}
+
+
+def test_bits_never_bound_too_low():
+    r = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (np.unique(r.integers(0, 300, r.integers(1, 200)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
+        x, y = (np.frombuffer(ngram_join.bits(s), np.uint8) for s in (a, b))
+        assert ngram_join.most(x, len(a), y) >= len(np.intersect1d(a, b)) == ngram_join.overlap(a, b)
+
+
+def test_language_id(spark):
+    r = random.Random(2)
+    alphabets = {"aa": "abcde", "bb": "fghij", "cc": "éèüöß"}
+    docs = [(i, " ".join("".join(r.choices(a, k=r.randint(2, 8))) for _ in range(r.randint(1, 80))), lang) for i, (lang, a) in enumerate(list(alphabets.items()) * 60)]
+    docs += [(500, None, "aa"), (501, "12 !!", "bb"), (502, "", None), (503, "abc", None)]
+    rows = spark.createDataFrame([(*d, 1.5) for d in docs], "doc_id long, text string, lang string, score double")
+    model = langid.fit(rows.where(~langid.held_out()).select("text", "lang"), sample=20)
+    found = {x.doc_id: x for x in langid.predict(rows, model).collect()}
+    told = [found[i].lang_pred == lang for i, t, lang in docs[:180] if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert len(told) > 20 and np.mean(told) > 0.95
+    assert [found[i].lang_pred for i in (500, 501, 502)] == ["und"] * 3 and found[500].rejected and found[503].lang_pred == "aa"
+    assert all(0 <= x.score <= 1 for x in found.values())
+    kept = langid.keep_known(rows, model)
+    assert kept.columns == rows.columns and not {500, 501, 502} & {x.doc_id for x in kept.collect()}
+    assert langid.fit(rows.where("lang = 'zz'")) is None and {x.lang_pred for x in langid.predict(rows, None).collect()} == {"und"}
+
+
+def test_fingerprints(spark):
+    docs = corpus(8)
+    rows = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, docs), k=64).collect()}
+
+    def shingles(t):
+        w = WORDS.findall(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    def likeness(a, b):
+        a, b = shingles(a), shingles(b)
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    for n, (i, t) in enumerate(docs):
+        t, after = t or "", docs[(n + 1) % len(docs)][1] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = rows[i]
+        assert (r.n_chars, r.edited_sha256) == (len(t), sha(edited))
+        assert abs(r.near_edited - likeness(t, edited)) < 0.25 and abs(r.near_next - likeness(t, after)) < 0.25
+        if len(shingles(t)) < 64:
+            assert r.n_distinct == len(shingles(t))
+            if len(shingles(edited)) < 64:
+                assert r.near_edited == pytest.approx(likeness(t, edited))
+    plan = fingerprint.fingerprints(frame(spark, docs))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sketches_merge(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    words = [str(r.random()) for _ in range(900)]
+    a, b = " ".join(words[:600]), " ".join(words[300:])
+    row = spark.createDataFrame([(a, b, " ".join(words))], "a string, b string, c string").select(*(fingerprint.sketch(F.col(c), 128).alias(c) for c in "abc"))
+    got = row.select(fingerprint.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprint.containment(F.col("a"), F.col("b")).alias("c"), fingerprint.distinct_shingles(F.col("a")).alias("n"), (F.size(F.array_intersect(fingerprint.merge(F.col("a"), F.col("b")), F.col("c")))).alias("m")).first()
+    assert abs(got.r - 296 / 896) < 0.15 and abs(got.c - 296 / 596) < 0.2 and abs(got.n - 596) < 180 and got.m >= 126
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    slow = Tokenizer.from_file(path)
+    slow.encode_special_tokens = True
+    docs = corpus(9)
+    docs += [docs[20], (2000, "word " * 5000)]
+    rows = packing.pack(frame(spark, docs)).collect()
+    by, bins, total, want = defaultdict(list), defaultdict(list), 0, Counter()
+    for i, t in docs:
+        ids = np.array([*slow.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        cut = len(ids) - (math.ceil(len(ids) / 2048) - 1) * 2048
+        edges = [0, *range(cut, len(ids) + 1, 2048)]
+        want.update((i, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(edges, edges[1:])))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for b in bins.values():
+        at = 0
+        for offset, length in sorted(b):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert len(bins) <= math.ceil(total / 2048) * 1.1 + 1
+
+
+def test_encoder_equals_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(packing.tokenizer_path())
+    slow.encode_special_tokens = True
+    texts = [t or "" for _, t in corpus(10)] + ["\n\n x", "x \n y", "a\n\nb\n", "don't we'll 12 34\tx", " \n\nw", " a b ", "a\x01b c", "　x y z", "..\n..", "\n"]
+    ids, at, _ = packing.encoder(packing.tokenizer_path()).encode(texts)
+    for k, t in enumerate(texts):
+        assert ids[at[k] : at[k + 1]].tolist() == slow.encode(t, add_special_tokens=False).ids, t
+
+
+def test_best_fit():
+    assert sorted(map(len, packing.best_fit(np.array([6, 5, 4, 3, 2]), 10))) == [2, 3]
+    assert packing.best_fit(np.array([], np.int64), 10) == []
+
+
+def test_nearest(spark):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(400, 8)).astype(np.float32)
+    x[100:220] = x[100]  # one vector in many rows
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(900, None, "x"), (901, [0.0] * 8, "x"), (902, [float("nan")] + [1.0] * 7, "x"), (903, [None] + [1.0] * 7, "x"), (904, [float("inf")] * 8, "x"), (905, [1.0], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    got = defaultdict(list)
+    for a in ann.nearest(df, df.where("vec_id % 20 = 0"), k=5).collect():
+        got[a.query_id].append((a["rank"], a.vec_id, a.score))
+    d, hit = x.astype(float), 0
+    assert set(got) == set(range(0, 400, 20))
+    for q, found in got.items():
+        s = (d * d[q]).sum(1)
+        best = [j for j in np.lexsort((np.arange(400), -s)) if j != q][:5]
+        hit += len(set(best) & {v for _, v, _ in found})
+        assert [n for n, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
+        assert all(abs(c - s[v]) < 1e-12 for _, v, c in found) and [(-c, v) for _, v, c in sorted(found)] == sorted((-c, v) for _, v, c in found)
+    assert hit / (5 * len(got)) >= 0.9
+    assert ann.nearest(df.where("vec_id > 899"), df, k=5).count() == 0
+    few = df.where("vec_id < 3")
+    assert ann.nearest(few, few, k=5).count() == 6
+
+
+def test_secrets(spark):
+    live = "ghp_" + "a1B2" * 9
+    texts = ["password=abcdefgh12 x", "PassWord : 'short'", "token=secret:abcdefghij", "AKIA" + "Q" * 12 + " AKIAQ", "0" * 31 + " " + "f" * 40, None, "", "é𝒳 api_key=abcdefgh AKIA" + "Z" * 20 + "a" * 33, f"k {live}", "xoxb-" + "1" * 12, "xoxb-" + "1" * 12, "secret=" + "a" * 40, "passwd==x_api-key"]
+    docs = list(enumerate(texts)) + [(0, texts[0])]
+    df = spark.createDataFrame([(i, t, f"s{i % 5}", 3, "y") for i, t in docs], "doc_id long, text string, source string, n_live int, same string")
+    rows = secrets.scan(df)
+    got = {r.doc_id: r for r in rows.collect()}
+    assert rows.count() == len(docs)
+    patterns = [(re.compile(r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 8), (re.compile("AKIA[A-Z0-9]+"), 0, 16), (re.compile("[0-9a-f]+"), 0, 32)]
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), k, m.end()) for k, (p, g, least) in enumerate(patterns) for m in p.finditer(t or "") if len(m[g]) >= least)
+        told = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{z}" for a, k, z in spans)
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3)), t
+        assert r.base_sha256 == sha(told) and set(told.split(",")) - {""} <= set(r.spans.split(","))
+    assert got[8].spans == f"known:2:{2 + len(live)}" and got[9].spans == ""  # the other is in the hands of two owners
+    assert got[9].n_copied == 1 and got[8].n_live == 1
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert clean[0] == "[SECRET] x" and clean[8] == "k [SECRET]" and clean[5] is None and clean[7] == "é𝒳 [SECRET] [SECRET]" + "[SECRET]"
+    plan = rows._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_sentencepiece(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_tok.model_path())
+    docs = corpus(12) + [(3000, "a▁b  c"), (3001, "\x01 x")]
+    rows = {r.doc_id: r for r in sentencepiece_tok.digests(sentencepiece_tok.encode(frame(spark, docs))).collect()}
+    for i, t in docs:
+        ids = np.array(sp.encode(t or ""), "<u4")
+        assert (rows[i].n_ids, rows[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
+        assert rows[i].decoded_sha256 == sha(sp.decode(ids.tolist())), t
+
+
+def test_chat(spark):
+    r = random.Random(6)
+    said = ["</s>[INST] ok [/INST]", "<|turn|>", "<\\|end|>\n", "", None, "a\nb", "<", "|end|>", "𝒳"]
+    turns = [(c, t, r.choice(["user", "assistant", "system\nx", "a\\n"]), r.choice(said)) for c in range(20) for t in range(r.choice([1, 2, 40]))]
+    turns += [(None, 0, "assistant", "x"), (3, 0, None, "tie")]
+    df = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn int, role string, text string, formatted string")
+    formatted = chat.format_chats(df)
+    rows = {x.conv_id: x for x in chat.read_back(formatted).collect()}
+    by = defaultdict(list)
+    for c, t, role, text in turns:
+        by[c].append((t, role is not None, role or "", text is not None, text or ""))
+    for c, ts in by.items():
+        ts = [(role, text) for _, _, role, _, text in sorted(ts)]
+        loss = "".join(t for role, t in ts if role == "assistant")
+        x = rows[c]
+        assert (x.n_turns, x.turns_sha256) == (len(ts), sha("".join(f"{a}\n{b}\n" for a, b in ts)))
+        assert (x.loss_chars, x.loss_sha256) == (len(loss), sha(loss))
+        whole = "".join(f.formatted for f in sorted(formatted.where(f"conv_id <=> {c if c is not None else 'NULL'}").collect(), key=lambda f: f.segment))
+        assert whole == chat.marked_turns(ts) and x.formatted_chars == len(whole)
+
+
+def test_templates_that_rewrite_history_are_found():
+    def counting(turns):
+        return f"[{len(turns)}]" + "".join(f"<{r}>{t}" for r, t in turns)
+
+    _, found, rewritten = chat.spans([("user", "a"), ("assistant", "b")], counting)
+    assert rewritten == [0, 1] and found[1][2] >= 0
+    _, found, rewritten = chat.spans([("user", "a"), ("assistant", "b")], lambda ts: "".join(f"{r}:{t};" for r, t in ts))
+    assert rewritten == [] and found == [(0, 7, 5, 6), (7, 19, 17, 18)]
+
+
+def test_empty_tables(spark):
+    none = frame(spark, []).limit(0)
+    for result in (suffix_dedup.remove_repeats(none), substring_dedup.remove_later(none), ngram_join.classes(none), fingerprint.fingerprints(none), packing.pack(none), secrets.scan(none), sentencepiece_tok.encode(none), langid.predict(none, langid.fit(none))):
+        assert result.count() == 0
+    chats = spark.createDataFrame([], "conv_id long, turn int, role string, text string")
+    assert chat.read_back(chat.format_chats(chats)).count() == 0
+    vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.nearest(vectors, vectors).count() == 0
+
+
+def test_null_ids(spark):
+    docs = frame(spark, [(None, "one two three four five six"), (None, None), (1, "one two three four five six")])
+    for result in (suffix_dedup.remove_repeats(docs), substring_dedup.remove_later(docs), ngram_join.classes(docs), fingerprint.fingerprints(docs), packing.pack(docs), secrets.scan(docs), sentencepiece_tok.encode(docs)):
+        assert Counter(r.doc_id for r in result.collect()) == {None: 2, 1: 1}
