@@ -11,9 +11,9 @@ REMEMBERED = 1_000_000
 
 
 class Units:
-    def __init__(self, split: Callable[[str], list[str]], learn: Callable[[list[str]], tuple[list[list[int]], list[int]]]):
+    def __init__(self, split: Callable[[str], list[str]], learn: Callable[[list[str]], tuple[list[list[int]], list[int]]], remembered: int = REMEMBERED):
         """split: a text's units, whose ids one after another are the text's; learn: the ids of units, and a flag for each."""
-        self.split, self.learn = split, learn
+        self.split, self.learn, self.remembered = split, learn, remembered
         self._forget()
 
     def _forget(self) -> None:
@@ -37,7 +37,7 @@ class Units:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after another, each text's offset among them, and the sum of its units' flags."""
-        if len(self._number) > REMEMBERED:
+        if len(self._number) > self.remembered:
             self._forget()
         flat: list[str] = []
         ends = [0]

@@ -26,6 +26,8 @@ from glosswork.llm._base import NULL_ID, chunks, key_of, text_buffer
 from glosswork.llm._units import Units
 
 MARK = chr(0x2581)
+#: Different units whose ids a worker remembers.
+REMEMBERED = 500_000
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -73,7 +75,7 @@ class Backend:
         self.units.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.whole = Tokenizer(self.model)
         self.whole.normalizer = self.normalizer
-        self.remembered = Units(self.split, self.learn)
+        self.remembered = Units(self.split, self.learn, REMEMBERED)
 
     @staticmethod
     def _merges(proto, vocab: dict[str, int]) -> list[tuple[str, str]]:
@@ -124,34 +126,45 @@ def backend(path: str) -> Backend:
     return _backends[path]
 
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (array<int>), decoded (string), n_differ of docs (doc_id, text)."""
-    path = path or model_path()
+ENCODED = "doc_id long, ids array<int>, decoded string, n_differ long"
+DIGESTS = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, n_differ long"
+
+
+def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    b = backend(path)
+    for batch in batches:
+        column, numbers = batch.column("text"), batch.column("doc").to_numpy()
+        _, offsets = text_buffer(column)
+        for i, j in chunks(offsets):
+            texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+            ids, at, flags = b.remembered.encode(texts)
+            decoded = [t.replace(MARK, " ") if b.simple and f < 1 << 20 else b.decode(ids[a:z].tolist()) for t, f, a, z in zip(texts, flags.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[i:j], mask=numbers[i:j] == NULL_ID), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string()), pa.array(flags & ((1 << 20) - 1))], names=["doc_id", "ids", "decoded", "n_differ"])
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = backend(path)
-        for batch in batches:
-            column, numbers = batch.column("text"), batch.column("doc").to_numpy()
-            _, offsets = text_buffer(column)
-            for i, j in chunks(offsets):
-                texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
-                ids, at, flags = b.remembered.encode(texts)
-                decoded = [t.replace(MARK, " ") if b.simple and f < 1 << 20 else b.decode(ids[a:z].tolist()) for t, f, a, z in zip(texts, flags.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[i:j], mask=numbers[i:j] == NULL_ID), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string()), pa.array(flags & ((1 << 20) - 1))], names=["doc_id", "ids", "decoded", "n_differ"])
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column("ids")
+        ids, at = column.values.to_numpy().astype("<u4"), column.offsets.to_numpy()
+        texts = batch.column("decoded").to_pylist()
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array([zlib.crc32(ids[a:z].tobytes()) for a, z in zip(at[:-1], at[1:], strict=True)], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in texts], pa.string()), batch.column("n_differ")], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "n_differ"])
 
-    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string, n_differ long")
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text"))
 
-def digests(encoded: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("ids")
-            ids, at = column.values.to_numpy().astype("<u4"), column.offsets.to_numpy()
-            texts = batch.column("decoded").to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at).astype(np.int64)), pa.array([zlib.crc32(ids[a:z].tobytes()) for a, z in zip(at[:-1], at[1:], strict=True)], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in texts]), batch.column("n_differ")], names=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "n_differ"])
 
-    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, n_differ long")
+def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, ids (array<int>), decoded (string), n_differ of docs (doc_id, text)."""
+    path = path or model_path()
+    return _texts(docs).mapInArrow(lambda batches: _encoded(path, batches), ENCODED)
+
+
+def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_ids, ids_crc32, decoded_sha256, n_differ: of what encode() gives, in the same workers, so that ids don't go through the JVM."""
+    path = path or model_path()
+    return _texts(docs).mapInArrow(lambda batches: _digested(_encoded(path, batches)), DIGESTS)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
