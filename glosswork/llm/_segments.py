@@ -9,6 +9,8 @@ the bucket of their anchor:
 2. `settle` meets the rows of an anchor. All but one row of an equal segment need no more. Where an anchor has several different
    segments, one of each is asked for.
 3. `fetch` joins the asked segments with their texts and packs them as strings; the operator's own bucket step compares these.
+   An anchor with more than `hot` different segments is no bucket for one task: its windows travel alone, each to the bucket of its
+   own 128-bit digest, and equal ones of one task as one row.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 from glosswork.llm._base import U, chunks, cut, key_of, mix, parts, prefix_hashes, span_hash, text_buffer, word_spans
 
 ROWS = "key long, digest long, doc long, start int, n int, anchor_at int, copies int"
+FETCHED = "key long, more long, doc long, start int, anchor_at int, packed binary, copies int"
+#: In copies: a segment of a hot anchor. In anchor_at: a window by itself, and a settled span of `copies` units.
+HOT, WINDOW, SETTLED = -2, -1, -2
 #: Segments a task gathers before it settles equal ones among them and sends the rest.
 BLOCK = 1 << 20
 
@@ -36,6 +41,10 @@ class Plan:
     words: bool
     #: The first of equal windows stays (by document, then place); else all of them are marked.
     keep_first: bool
+    #: Different segments of one anchor that one task compares.
+    hot: int = 4096
+    #: Segments of whole anchors that are compared at a time.
+    batch: int = 20_000
 
 
 def cut_windows(units: np.ndarray, rel: np.ndarray, window: int, gram: int):
@@ -100,6 +109,12 @@ def _groups(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray
     return x, equal, key
 
 
+def _later(x: dict[str, np.ndarray], equal: np.ndarray) -> np.ndarray:
+    """Which rows of _groups come after an equal one; the same place of a repeated row doesn't."""
+    head = np.maximum.accumulate(np.where(equal, np.arange(len(equal)), 0))
+    return ~equal & ((x["doc"] != x["doc"][head]) | (x["start"] != x["start"][head]))
+
+
 def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The union of intervals of each document."""
     if not len(doc):
@@ -134,7 +149,7 @@ def segments(docs: DataFrame, plan: Plan) -> DataFrame:
         x, equal, _ = _groups(x)
         at = np.flatnonzero(equal)
         copies = np.diff(np.concatenate([at, [len(equal)]])).astype(np.int32)
-        settled = ~equal if plan.keep_first else np.repeat(copies > 1, copies)
+        settled = _later(x, equal) if plan.keep_first else np.repeat(copies > 1, copies)
         if settled.any():
             yield _table(_marks(x["doc"][settled], x["start"][settled], (x["start"] + x["n"])[settled]))
         yield _table({k: v[at] for k, v in x.items()} | {"copies": copies})
@@ -170,46 +185,79 @@ def settle(rows: DataFrame, plan: Plan) -> DataFrame:
             at = np.flatnonzero(equal)
             seen = np.add.reduceat(x["copies"], at)
             rows_of = np.diff(np.concatenate([at, [len(equal)]]))
-            full = ~equal if plan.keep_first else np.repeat(seen > 1, rows_of)
+            full = _later(x, equal) if plan.keep_first else np.repeat(seen > 1, rows_of)
             doc, start, end = (np.concatenate(y) for y in ((doc, x["doc"][full]), (start, x["start"][full]), (end, (x["start"] + x["n"])[full])))
             group = np.cumsum(key) - 1
-            several = np.bincount(group, weights=equal)[group] > 1
-            ask = equal & several
+            several = np.bincount(group, weights=equal)[group]
+            ask = equal & (several > 1)
             if ask.any():
-                yield _table({k: v[ask] for k, v in x.items()})
+                yield _table({k: v[ask] for k, v in x.items()} | {"copies": np.where(several[ask] > plan.hot, HOT, 1).astype(np.int32)})
         if len(doc):
             yield _table(_marks(doc, start, end))
 
     return rows.repartition(parts(rows.sparkSession), "key").mapInArrow(run, ROWS)
 
 
+def _pack(texts: list[bytes]) -> pa.Array:
+    return pa.array(texts, pa.binary())
+
+
 def fetch(docs: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
-    """The asked segments as (key, doc, start, anchor_at, packed): bytes of the text, or its words with one space between."""
-    lists = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "anchor_at", "key")).alias("asked")).hint("shuffle_hash")
+    """The asked segments as FETCHED rows, packed: bytes of the text, or its words with one space between; those of hot anchors window by window."""
+    lists = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "anchor_at", "key", "copies")).alias("asked")).hint("shuffle_hash")
+    between = b" " if plan.words else b""
+
+    def rows(**x) -> pa.RecordBatch:
+        n = len(x["doc"])
+        fill = {"more": np.zeros(n, np.int64), "packed": pa.nulls(n, pa.binary()), "copies": np.ones(n, np.int32)}
+        x = fill | x
+        return pa.RecordBatch.from_pydict({k: x[k] if isinstance(x[k], pa.Array) else pa.array(x[k]) for k in ("key", "more", "doc", "start", "anchor_at", "packed", "copies")})
+
+    def windows(hot: list[tuple[int, int, list[bytes] | bytes]]) -> Iterator[pa.RecordBatch]:
+        """A row for each different window of hot segments (doc, start, units), and spans for what that settles."""
+        digests, doc, start = [], [], []
+        for d, s, units in hot:
+            count = len(units) - plan.window + 1
+            digests += [blake2b(between.join(units[k : k + plan.window]) if plan.words else units[k : k + plan.window], digest_size=16).digest() for k in range(count)]
+            doc += [d] * count
+            start += range(s, s + count)
+        h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+        x, equal, _ = _groups({"key": h[:, 0], "digest": h[:, 1], "doc": np.array(doc, np.int64), "start": np.array(start, np.int32)})
+        at = np.flatnonzero(equal)
+        copies = np.diff(np.concatenate([at, [len(equal)]])).astype(np.int32)
+        settled = _later(x, equal) if plan.keep_first else np.repeat(copies > 1, copies)
+        if settled.any():
+            d, s, e = merged(x["doc"][settled], x["start"][settled], x["start"][settled] + plan.window)
+            yield rows(key=d, doc=d, start=s.astype(np.int32), anchor_at=np.full(len(d), SETTLED, np.int32), copies=(e - s).astype(np.int32))
+        yield rows(key=x["key"][at], more=x["digest"][at], doc=x["doc"][at], start=x["start"][at], anchor_at=np.full(len(at), WINDOW, np.int32), copies=copies)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column("asked")
             data, offsets = text_buffer(batch.column("text"))
-            docs_ = batch.column("doc").to_numpy()
+            numbers = batch.column("doc").to_numpy()
             counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             flat = column.flatten()
-            start, n, anchor, key = (flat.field(k).to_numpy() for k in range(4))
-            packed, at = [], 0
+            start, n, anchor, key, copies = (flat.field(k).to_numpy() for k in range(5))
+            doc, packed, hot, at = np.repeat(numbers, counts), [], [], 0
             for i in np.flatnonzero(counts).tolist():
-                own = data[offsets[i] : offsets[i + 1]]
-                view = own.tobytes()
-                if plan.words:
-                    s, e, _ = word_spans(own, np.array([0, len(own)]))
-                    all_words = [view[p:q] for p, q in zip(s.tolist(), e.tolist(), strict=True)]
-                    packed += [b" ".join(all_words[p : p + k]) for p, k in zip(start[at : at + counts[i]].tolist(), n[at : at + counts[i]].tolist(), strict=True)]
-                else:
-                    packed += [view[p : p + k] for p, k in zip(start[at : at + counts[i]].tolist(), n[at : at + counts[i]].tolist(), strict=True)]
-                at += counts[i]
-            if at:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key[:at]), "doc": pa.array(np.repeat(docs_, counts)), "start": pa.array(start[:at]), "anchor_at": pa.array(anchor[:at]), "packed": pa.array(packed, pa.binary())})
-
-    return joined(docs, lists).mapInArrow(run, "key long, doc long, start int, anchor_at int, packed binary")
+                text = data[offsets[i] : offsets[i + 1]].tobytes()
+                units = text.split() if plan.words else text  # bytes split at 0x20 and 0x09-0x0D
+                for k in range(at, at + int(counts[i])):
+                    own = units[start[k] : start[k] + n[k]]
+                    if copies[k] == HOT:
+                        hot.append((int(numbers[i]), int(start[k]), own))
+                        packed.append(None)
+                    else:
+                        packed.append(between.join(own) if plan.words else own)
+                at += int(counts[i])
+            keep = copies != HOT
+            if keep.any():
+                yield rows(key=key[keep], doc=doc[keep], start=start[keep], anchor_at=anchor[keep], packed=_pack([p for p in packed if p is not None]))
+            if hot:
+                yield from windows(hot)
+
+    return joined(docs, lists).mapInArrow(run, FETCHED)
 
 
 def joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -217,22 +265,47 @@ def joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
     return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).join(lists, "doc", "left")
 
 
-def marked(docs: DataFrame, plan: Plan, bucket: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+def marked(docs: DataFrame, plan: Plan, bucket: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
     """All texts with their spans to remove: doc, text, spans array<struct<start, n>> in units; null where there are none.
 
-    bucket gets the fetched segments of whole anchors and yields spans (doc, start, n).
+    bucket gets the fetched segments of whole anchors and tells the windows (documents, starts) to mark.
     """
     spark = docs.sparkSession
+
+    def spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+        doc, start, end = merged(doc, start, end)
+        return pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(end - start, pa.int32())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, single = [], []
+        for b in batches:
+            at = b.column("anchor_at").to_numpy()
+            if (done := at == SETTLED).any():
+                x = {k: b.column(k).to_numpy()[done] for k in ("doc", "start", "copies")}
+                yield spans(x["doc"], x["start"], x["start"] + x["copies"])
+            if (alone := at == WINDOW).any():
+                single.append({k: b.column(c).to_numpy()[alone] for k, c in (("key", "key"), ("digest", "more"), ("doc", "doc"), ("start", "start"), ("copies", "copies"))})
+            held.append(b.filter(pa.array(at >= 0)))
+        if single:
+            x, equal, _ = _groups({k: np.concatenate([s[k] for s in single]) for k in single[0]})
+            at = np.flatnonzero(equal)
+            seen = np.repeat(np.add.reduceat(x["copies"], at), np.diff(np.concatenate([at, [len(equal)]])))
+            mark = _later(x, equal) if plan.keep_first else seen > 1
+            yield spans(x["doc"][mark], x["start"][mark], x["start"][mark] + plan.window)
+        for table in by_key(held, plan.batch):
+            doc, start = bucket(table)
+            yield spans(doc, start, start + plan.window)
+
     settled = cut(settle(segments(docs, plan), plan))
     fetched = fetch(docs, settled.where("anchor_at >= 0"), plan)
-    more = fetched.repartition(parts(spark), "key").mapInArrow(bucket, "doc long, start int, n int")
-    spans = settled.where("anchor_at < 0").select("doc", "start", "n").unionByName(more)
-    return joined(docs, spans.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash"))
+    more = fetched.repartition(parts(spark), "key").mapInArrow(run, "doc long, start int, n int")
+    every = settled.where("anchor_at < 0").select("doc", "start", "n").unionByName(more)
+    return joined(docs, every.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash"))
 
 
-def by_key(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+def by_key(batches: list[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
     """The rows of a task in tables of whole keys, of about `most` rows each."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    table = pa.Table.from_batches(batches) if batches else None
     if table is None or not table.num_rows:
         return
     table = table.combine_chunks()

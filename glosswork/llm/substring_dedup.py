@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from glosswork.llm._base import NULL_ID, text_buffer, word_spans
-from glosswork.llm._segments import Plan, by_key, marked, merged
+from glosswork.llm._segments import Plan, marked
 from glosswork.llm.suffix_dedup import spans_of
 
 WINDOW = 20
 GRAM = 6
-BATCH = 20_000
 
 
 def later_windows(packed: pa.Array, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -51,16 +50,13 @@ def later_windows(packed: pa.Array, doc: np.ndarray, start: np.ndarray, window:
 
 
 def _bucket(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, BATCH):
-            doc, start = later_windows(table.column("packed").combine_chunks(), table.column("doc").to_numpy(), table.column("start").to_numpy().astype(np.int64), window)
-            doc, start, end = merged(doc, start, start + window)
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(end - start, pa.int32())})
+    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return later_windows(table.column("packed").combine_chunks(), table.column("doc").to_numpy(), table.column("start").to_numpy().astype(np.int64), window)
 
     return run
 
 
-def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 4096) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space) of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +77,7 @@ def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
             doc = batch.column("doc").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NULL_ID), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
-    spans = marked(docs, Plan(window, gram, words=True, keep_first=True), _bucket(window))
+    spans = marked(docs, Plan(window, gram, words=True, keep_first=True, hot=hot), _bucket(window))
     return spans.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary").withColumn("kept", _utf8("kept"))
 
 

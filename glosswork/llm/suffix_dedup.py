@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.llm._base import NULL_ID, U, prefix_hashes, span_hash, text_buffer
-from glosswork.llm._segments import Plan, by_key, marked, merged
+from glosswork.llm._segments import Plan, marked
 
 WINDOW = 200
 GRAM = 40
-#: Suffixes of whole anchors sorted together.
-BATCH = 20_000
 
 
 class Suffixes:
@@ -149,12 +147,9 @@ def repeated_windows(packed: pa.Array, anchor_at: np.ndarray, key: np.ndarray, w
 
 
 def _bucket(window: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_key(batches, BATCH):
-            item, at = repeated_windows(table.column("packed").combine_chunks(), table.column("anchor_at").to_numpy().astype(np.int64), table.column("key").to_numpy(), window)
-            start = table.column("start").to_numpy()[item] + at
-            doc, start, end = merged(table.column("doc").to_numpy()[item], start, start + window)
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(end - start, pa.int32())})
+    def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        item, at = repeated_windows(table.column("packed").combine_chunks(), table.column("anchor_at").to_numpy().astype(np.int64), table.column("key").to_numpy(), window)
+        return table.column("doc").to_numpy()[item], table.column("start").to_numpy()[item] + at
 
     return run
 
@@ -175,12 +170,12 @@ def spans_of(column: pa.Array, i: int, size: int) -> list[tuple[int, int]]:
     return found
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 4096) -> DataFrame:
     """doc, text, spans: byte ranges of each text that repeated strings cover; spans may touch or overlap."""
-    return marked(docs, Plan(window, gram, words=False, keep_first=False), _bucket(window))
+    return marked(docs, Plan(window, gram, words=False, keep_first=False, hot=hot), _bucket(window))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +195,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
             doc = batch.column("doc").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NULL_ID), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return repeated_spans(docs, window, gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return repeated_spans(docs, window, gram, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
