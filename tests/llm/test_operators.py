@@ -9,9 +9,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from glosswork.llm import ann, chat, fingerprint, langid, ngram_join, packing, secrets, sentencepiece_tok, substring_dedup, suffix_dedup
+from glosswork.llm._base import text_buffer
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, spans string, start int, component string"
@@ -47,10 +49,11 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), 7, "x", 1, "c") for i, t in docs], SCHEMA).repartition(3)
 
 
-def test_suffix_dedup(spark):
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_suffix_dedup(spark, hot):
     docs = corpus()
     docs.append(docs[30])  # a repeated row
-    rows = suffix_dedup.remove_repeats(frame(spark, docs)).collect()
+    rows = suffix_dedup.remove_repeats(frame(spark, docs), hot=hot).collect()
     assert len(rows) == len(docs)
     texts = [(i, (t or "").encode()) for i, t in docs]
     count = Counter(b[p : p + 200] for _, b in texts for p in range(len(b) - 199))
@@ -88,9 +91,11 @@ def test_without_repeats_keeps_columns_and_whole_characters(spark):
     assert rows[1].text == "ab" and rows[1].n_chars == 2 and rows[2].text == "xz" and rows[3].text == "short" and rows[4].text is None
 
 
-def test_substring_dedup(spark):
+@pytest.mark.parametrize("hot", [4096, 0])
+def test_substring_dedup(spark, hot):
     docs = corpus(5)
-    rows = {r.doc_id: r for r in substring_dedup.remove_later(frame(spark, docs)).collect()}
+    docs.append(docs[30])  # a repeated row, no earlier than itself
+    rows = {r.doc_id: r for r in substring_dedup.remove_later(frame(spark, docs), hot=hot).collect()}
     first, removed = {}, 0
     for i, t in docs:
         w = WORDS.findall(t or "")
@@ -109,7 +114,10 @@ def sets(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def test_ngram_join(spark):
+@pytest.mark.parametrize(("big", "chunk"), [(64, 256), (1, 3)])
+def test_ngram_join(spark, monkeypatch, big, chunk):
+    monkeypatch.setattr(ngram_join, "BIG", big)
+    monkeypatch.setattr(ngram_join, "CHUNK", chunk)
     docs = corpus(11, 90)
     own = {i: sets(t) for i, t in docs}
     up = {i: i for i in own}
@@ -132,6 +140,18 @@ def test_ngram_join(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i in own if top(i) == i}
 
 
+def test_chunks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK", 7)
+    docs = [(i, t) for i, t in corpus(13, 80) if t]
+    every = dict(zip([i for i, _ in docs], (s for _, s in ngram_join.shingle_sets(*text_buffer(pa.array([t for _, t in docs])), 5))))
+    every = {i: s for i, s in every.items() if len(s)}
+    matrix = spark.createDataFrame([(i, len(s), ngram_join.bits(s)) for i, s in every.items()], "cid long, n long, bits binary")
+    placed = spark.createDataFrame([(1, i, len(s), i) for i, s in every.items()], "token long, cid long, n long, component long")
+    got = {tuple(sorted(r)) for r in ngram_join._compare_chunks(placed, matrix, 80).collect()}
+    want = {(i, j) for i in every for j in every if i < j and ngram_join.alike(every[i], every[j], 80)}
+    assert want and want <= got and len(got) < len(every) ** 2 / 8
+
+
 def test_bits_never_bound_too_low():
     r = np.random.default_rng(1)
     for _ in range(200):
