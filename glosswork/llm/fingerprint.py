@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from glosswork.llm._base import cut, parts
 
-K = 128
+K = 256
 WORDS = 5
 #: Ids that one task orders; documents of a range of so many ids are dealt out together.
 RANGE = 1024
