@@ -39,3 +39,13 @@ def diff_stats(diff: DataFrame, renames: DataFrame) -> DataFrame:
     n = renames.agg(F.count("*").alias("renamed"))
     c = diff.agg(*(F.count_if(F.col("change_type") == t).alias(t) for t in ("added", "removed", "modified")))
     return c.crossJoin(F.broadcast(n)).select((F.col("added") - F.col("renamed")).alias("added"), (F.col("removed") - F.col("renamed")).alias("removed"), "modified", "renamed")
+
+
+def numstat(old: DataFrame, new: DataFrame) -> DataFrame:
+    """path, added, deleted: lines that a file (path, text) has more or fewer of; moved lines count as neither. Files that don't differ are left out before any line is looked at."""
+    from glosswork.operators.lines import explode_lines
+
+    changed = snapshot_diff(old, new).select("path")
+    sides = [explode_lines(x.select("path", "text").join(changed, "path", "left_semi")).select("path", "line", F.lit(n).alias("d")) for x, n in ((old, -1), (new, 1))]
+    each = sides[0].unionByName(sides[1]).groupBy("path", "line").agg(F.sum("d").alias("d"))
+    return each.groupBy("path").agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("deleted"))

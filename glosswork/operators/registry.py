@@ -45,6 +45,14 @@ def ancestors(parents: DataFrame, of: DataFrame, most: int = 64) -> DataFrame:
     return known
 
 
+def commit_range(parents: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """sha of the commits that new (sha) has and old (sha) hasn't, merges left out."""
+    step = parents.select("sha", "parent").distinct()
+    merges = step.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select("sha")
+    mine, theirs = (ancestors(step, x).select(F.col("ancestor").alias("sha")).distinct() for x in (new, old))
+    return mine.join(theirs, "sha", "left_anti").join(merges, "sha", "left_anti")
+
+
 def status_rows(projects: DataFrame, status: DataFrame) -> DataFrame:
     """Registry rows in order: priority (99 if none), then project; coverage as a percentage, a dash where there is none."""
     percent = F.when(F.col("coverage").isNull(), "—").otherwise(F.format_string("%.1f%%", F.col("coverage") * 100))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
@@ -10,6 +10,11 @@ from glosswork.operators.lines import first_divergence
 
 # Folders and files of the overlay, and what only the study may add.
 OVERLAY = r"^(?:\.study/|study/|\.github/workflows/study[^/]*$)"
+DEPENDENCY = r"(?:^|/)(?:Cargo\.toml|Cargo\.lock|pyproject\.toml|package\.json|go\.mod|requirements[^/]*\.txt)$"
+
+
+def path_class(path: Column, overlay: str = OVERLAY, generated: str = r"(?!)", dependency: str = DEPENDENCY) -> Column:
+    return F.when(path.rlike(overlay), "overlay").when(path.rlike(generated), "generated").when(path.rlike(dependency), "dependency").otherwise("code")
 
 
 def issues(study: DataFrame, upstream: DataFrame, changed: DataFrame | None = None, overlay: str = OVERLAY, generated: str | None = None, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
@@ -42,8 +47,6 @@ def issues(study: DataFrame, upstream: DataFrame, changed: DataFrame | None = No
 
 def placement_lint(lines: DataFrame, open_string: Column, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
     """path, row, code of annotations inside a string that `open_string` says is open at a line, or inside a code fence of the comment lines above."""
-    from pyspark.sql import Window
-
     zh = T.is_annotation(F.col("line"), tokens)
     own = Window.partitionBy("path").orderBy("row")
     fence = F.sum(F.col("line").rlike(r"^[ \t]*(?:///|//!|#)[ \t]*```").cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1))

@@ -11,6 +11,7 @@ from glosswork.functions import text as T
 from glosswork.extract import index
 from glosswork.operators import diff, lines, notes, reattach, registry, state, terms, verify, work
 from glosswork.plans import fixtures as X
+from glosswork.sources import tables
 from glosswork.sources.tables import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -247,6 +248,41 @@ def apply_patch(spark, sf):
     return work.apply_patch(files.select("path", "text"), edits).select("path", "outcome", F.sha2("text", 256).alias("sha"))
 
 
+@query(", c AS (SELECT coalesce(a.path, b.path) AS path, a.text AS x, b.text AS y FROM upstream a FULL JOIN later b ON a.path = b.path WHERE a.text IS DISTINCT FROM b.text), l AS (SELECT path, unnest(string_split(x, chr(10))) AS line, -1 AS d FROM c WHERE x IS NOT NULL UNION ALL SELECT path, unnest(string_split(y, chr(10))), 1 FROM c WHERE y IS NOT NULL), e AS (SELECT path, line, sum(d) AS d FROM l GROUP BY ALL) SELECT path, sum(greatest(d, 0))::BIGINT AS added, sum(greatest(-d, 0))::BIGINT AS deleted FROM e GROUP BY path")
+def numstat(spark, sf):
+    return diff.numstat(X.upstream(spark, sf), X.later(spark, sf))
+
+
+@query("SELECT path, CASE WHEN new THEN 'A' ELSE change END AS change FROM (SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'A' WHEN b.path IS NULL THEN 'D' WHEN a.text <> b.text THEN 'M' END AS change, coalesce(b.doc_id % 14 = 0, false) AS new FROM upstream a FULL JOIN later b ON a.path = b.path) WHERE change IS NOT NULL OR new")
+def untracked_override(spark, sf):
+    later = X.later(spark, sf)
+    return tables.overridden(diff.snapshot_diff(X.upstream(spark, sf), later), later.where("doc_id % 14 = 0"))
+
+
+@query("SELECT path FROM upstream WHERE regexp_matches(path, '^src1[^/]*/') AND NOT regexp_matches(path, '7\\.py$') AND NOT regexp_matches(path, '^src1[12]/')")
+def scope_filter(spark, sf):
+    return X.upstream(spark, sf).where(T.in_scope(F.col("path"), ["/src1*/**"], ["*7.py"], ["src11/", "src12/"])).select("path")
+
+
+@query("SELECT path, CASE WHEN path LIKE 'moved/%' THEN 'overlay' WHEN regexp_matches(path, '3\\.py$') THEN 'generated' WHEN doc_id % 5 = 0 THEN 'dependency' ELSE 'code' END AS class FROM (SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN replace(path, '.py', '/Cargo.toml') ELSE path END AS path) FROM later)")
+def path_classes(spark, sf):
+    path = F.when(F.col("doc_id") % 5 == 0, F.replace("path", F.lit(".py"), F.lit("/Cargo.toml"))).otherwise(F.col("path"))
+    return X.later(spark, sf).select(path.alias("path")).select("path", verify.path_class(F.col("path"), "^moved/", r"3\.py$").alias("class"))
+
+
+@query("SELECT path, a.text AS base, b.text AS ours, a.text||'!' AS theirs FROM upstream a LEFT JOIN later b USING (path)")
+def merge_stages(spark, sf):
+    up, later = X.upstream(spark, sf), X.later(spark, sf)
+    rows = up.select("path", F.lit(1).alias("stage"), "text").unionByName(later.join(up.select("path"), "path", "left_semi").select("path", F.lit(2).alias("stage"), "text")).unionByName(up.select("path", F.lit(3).alias("stage"), F.concat("text", F.lit("!")).alias("text")))
+    return tables.merge_stages(rows)
+
+
+@query("SELECT path, sha1(text) AS sha FROM later WHERE sha1(text) NOT IN (SELECT sha1(text) FROM upstream)")
+def cache_misses(spark, sf):
+    files = X.later(spark, sf).select("path", F.sha1("text").alias("sha"))
+    return tables.misses(files, X.upstream(spark, sf).select(F.sha1("text").alias("sha")))
+
+
 # --- numbering, versions, registry ---
 
 
@@ -300,6 +336,13 @@ def ancestry(spark, sf):
     return registry.ancestors(parents, n)
 
 
+@query("WITH RECURSIVE e AS (SELECT n_nationkey::BIGINT AS sha, p::BIGINT AS parent FROM (SELECT n_nationkey, unnest([n_nationkey // 2, n_nationkey - 3]) AS p FROM nation WHERE n_nationkey > 2)), a(sha) AS (SELECT 24::BIGINT UNION SELECT e.parent FROM a JOIN e USING (sha)), b(sha) AS (SELECT 12::BIGINT UNION SELECT e.parent FROM b JOIN e USING (sha)) SELECT sha FROM a WHERE sha NOT IN (SELECT sha FROM b) AND sha NOT IN (SELECT sha FROM (SELECT DISTINCT * FROM e) GROUP BY sha HAVING count(*) > 1)", fixtures=False)
+def commit_range(spark, sf):
+    n = X.read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("sha"))
+    parents = n.where("sha > 2").select("sha", F.explode(F.array(F.floor(F.col("sha") / 2), F.col("sha") - 3)).alias("parent"))
+    return registry.commit_range(parents, n.where("sha = 12"), n.where("sha = 24"))
+
+
 # --- documents about code ---
 
 

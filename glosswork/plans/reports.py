@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
 from glosswork.operators import notes, state
+from glosswork.operators.verify import DEPENDENCY
 
 
 def status_report(rows: DataFrame, docs: DataFrame | None = None, project: str = "") -> DataFrame:
@@ -22,7 +23,7 @@ def status_report(rows: DataFrame, docs: DataFrame | None = None, project: str =
     return out.select(F.to_json(F.struct(F.lit(project).alias("project"), *fields)).alias("report"))
 
 
-def sync_report(diff: DataFrame, renames: DataFrame, rows: DataFrame, docs: DataFrame, commits: DataFrame, most_commits: int = 500, dependency: str = r"(?:^|/)(?:Cargo\.toml|Cargo\.lock|pyproject\.toml|package\.json|go\.mod|requirements[^/]*\.txt)$") -> DataFrame:
+def sync_report(diff: DataFrame, renames: DataFrame, rows: DataFrame, docs: DataFrame, commits: DataFrame, most_commits: int = 500, dependency: str = DEPENDENCY) -> DataFrame:
     """section, key, text of a sync report, in order: symbols changed, renamed, stale; documents affected; dependency files; the first commits.
 
     commits: pos, sha, title, path.
