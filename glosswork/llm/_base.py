@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,28 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on with what its largest task took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and trim() after it."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def key_of(column: str) -> Column:
     """An integer id as a long; null becomes NULL_ID."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
@@ -74,7 +99,7 @@ def text_buffer(array) -> tuple[np.ndarray, np.ndarray]:
     return buffer, offsets
 
 
-def chunks(offsets: np.ndarray, most: int = 1 << 20):
+def chunks(offsets: np.ndarray, most: int = 1 << 19):
     """Runs (i, j) of rows with about `most` bytes at least one row each, so that work arrays stay small."""
     i, n = 0, len(offsets) - 1
     while i < n:

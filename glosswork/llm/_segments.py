@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import U, chunks, cut, key_of, mix, parts, prefix_hashes, span_hash, text_buffer, word_spans
+from glosswork.llm._base import U, chunks, cut, key_of, mix, parts, prefix_hashes, span_hash, text_buffer, trimmed, word_spans
 
 ROWS = "key long, digest long, doc long, start int, n int, anchor_at int, copies int"
 FETCHED = "key long, more long, doc long, start int, anchor_at int, packed binary, copies int"
 #: In copies: a segment of a hot anchor. In anchor_at: a window by itself, and a settled span of `copies` units.
 HOT, WINDOW, SETTLED = -2, -1, -2
 #: Segments a task gathers before it settles equal ones among them and sends the rest.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -166,7 +166,7 @@ def segments(docs: DataFrame, plan: Plan) -> DataFrame:
         if held:
             yield from send(held)
 
-    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, ROWS)
+    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), ROWS)
 
 
 def settle(rows: DataFrame, plan: Plan) -> DataFrame:
@@ -195,7 +195,7 @@ def settle(rows: DataFrame, plan: Plan) -> DataFrame:
         if len(doc):
             yield _table(_marks(doc, start, end))
 
-    return rows.repartition(parts(rows.sparkSession), "key").mapInArrow(run, ROWS)
+    return rows.repartition(parts(rows.sparkSession), "key").mapInArrow(trimmed(run), ROWS)
 
 
 def _pack(texts: list[bytes]) -> pa.Array:
@@ -257,7 +257,7 @@ def fetch(docs: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
             if hot:
                 yield from windows(hot)
 
-    return joined(docs, lists).mapInArrow(run, FETCHED)
+    return joined(docs, lists).mapInArrow(trimmed(run), FETCHED)
 
 
 def joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
@@ -298,7 +298,7 @@ def marked(docs: DataFrame, plan: Plan, bucket: Callable[[pa.Table], tuple[np.nd
 
     settled = cut(settle(segments(docs, plan), plan))
     fetched = fetch(docs, settled.where("anchor_at >= 0"), plan)
-    more = fetched.repartition(parts(spark), "key").mapInArrow(run, "doc long, start int, n int")
+    more = fetched.repartition(parts(spark), "key").mapInArrow(trimmed(run), "doc long, start int, n int")
     every = settled.where("anchor_at < 0").select("doc", "start", "n").unionByName(more)
     return joined(docs, every.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash"))
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from glosswork.llm._base import NULL_ID, chunks, key_of, text_buffer
+from glosswork.llm._base import NULL_ID, chunks, key_of, text_buffer, trimmed
 
 #: Features that grams are hashed to.
 FEATURES = 1 << 13
@@ -195,7 +195,7 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

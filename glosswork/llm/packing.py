@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import NULL_ID, chunks, cut, key_of, text_buffer
+from glosswork.llm._base import NULL_ID, chunks, cut, key_of, text_buffer, trimmed
 from glosswork.llm._units import Units
 
 CAPACITY = 2048
@@ -30,6 +30,8 @@ CAPACITY = 2048
 SLACK = 4
 #: Tasks whose bins meet in one task of the next round.
 FAN_IN = 16
+#: Different units whose ids a worker remembers.
+REMEMBERED = 300_000
 #: Bins that one task takes at most on average.
 TASK_BINS = 200_000
 
@@ -86,7 +88,7 @@ def encoder(path: str) -> Units:
             slow = Tokenizer.from_file(path)
             slow.encode_special_tokens = True
             learn = lambda units: ([e.ids for e in slow.encode_batch(units, add_special_tokens=False)], [0] * len(units))
-        _encoders[path] = Units(_units if plain else lambda text: [text], learn)
+        _encoders[path] = Units(_units if plain else lambda text: [text], learn, REMEMBERED)
     return _encoders[path]
 
 
@@ -171,7 +173,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sla
             table = pa.Table.from_batches(held)
             yield _packed(table.column("fill").to_numpy(), table.column("members").to_pylist(), capacity)
 
-    packed = cut(docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(local, BINS))
+    packed = cut(docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(local), BINS))
     final = [packed.where(F.col("fill") >= capacity - slack)]
     tasks, left = len(packed.inputFiles()), packed.where(F.col("fill") < capacity - slack)
     while True:
