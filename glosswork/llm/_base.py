@@ -84,6 +84,11 @@ def key_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A 64-bit key of a row's id and text: repeated rows share it, other rows of a null or shared id don't."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+
 def text_buffer(array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; nulls count as empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -261,8 +261,9 @@ def fetch(docs: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
 
 
 def joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """Texts with a list a document; the texts' exchange is the same for each such join, so Spark deals them out once."""
-    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).join(lists, "doc", "left")
+    """Texts with a list a document; the texts' exchange is the same for each such join, so Spark deals them out once. A column _id stays."""
+    own = [c for c in docs.columns if c == "_id"]
+    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text"), *own).join(lists, "doc", "left")
 
 
 def marked(docs: DataFrame, plan: Plan, bucket: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:

@@ -79,7 +79,7 @@ def shown(spans: Column) -> Column:
 def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = OWNERS) -> DataFrame:
     """One row for each of docs (doc_id, text and the owner's and repository's columns).
 
-    doc_id, n_assign, n_access, n_hex, base_sha256, spans (string), all (array of SPAN), n_live and n_copied: of its spans, those whose value
+    doc_id, same (a hash of the text), n_assign, n_access, n_hex, base_sha256, spans (string), all (array of SPAN), n_live and n_copied: of its spans, those whose value
     looks live and those that are copied examples.
     """
     found = cut(candidates(docs, owner, repository))
@@ -97,13 +97,14 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", own
     )
     none = F.array().cast(f"array<{SPAN}>")
     rows = found.join(judged, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("same") == F.col("_same")), "left")
-    rows = rows.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("all"), "n_live", "n_copied")
+    rows = rows.select("doc_id", "same", "base", F.sort_array(F.concat("base", F.coalesce("added", none))).alias("all"), "n_live", "n_copied")
 
     def count(rank: int) -> Column:
         return F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
 
     return rows.select(
         "doc_id",
+        "same",
         *(count(i).alias(f"n_{KINDS[i][0]}") for i in range(3)),
         F.sha2(shown(F.col("base")), 256).alias("base_sha256"),
         shown(F.col("all")).alias("spans"),
@@ -115,8 +116,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", own
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", with_: str = "[SECRET]") -> DataFrame:
     """docs with all found spans replaced in text; n_chars, if there, set anew."""
-    found = scan(docs, owner, repository).where(F.size("all") > 0).select(F.col("doc_id").alias("_doc"), F.col("all").alias("_all")).dropDuplicates(["_doc"])
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    found = scan(docs, owner, repository).where(F.size("all") > 0).select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), F.col("all").alias("_all")).dropDuplicates(["_doc", "_same"])
+    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_same")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -132,4 +133,4 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", w
 
 
 def op7_secret_scans(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("all")
+    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("same", "all")

@@ -9,7 +9,7 @@ equal if both their sides are in one class.
 
 Defined cases: null text counts as empty; a document shorter than the window keeps everything; identical rows are copies of each
 other, even with the same doc_id; matches never cross documents; other columns are ignored; an empty table gives an empty result.
-Rows that share a doc_id but differ in text get each other's spans, cut to their length.
+Rows are told apart by a 64-bit hash of doc_id and text, so rows that share a doc_id, or have none, each get their own spans.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import NULL_ID, U, prefix_hashes, span_hash, text_buffer
+from glosswork.llm._base import U, prefix_hashes, row_key, span_hash, text_buffer
 from glosswork.llm._segments import Plan, marked
 
 WINDOW = 200
@@ -171,12 +171,13 @@ def spans_of(column: pa.Array, i: int, size: int) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 4096) -> DataFrame:
-    """doc, text, spans: byte ranges of each text that repeated strings cover; spans may touch or overlap."""
-    return marked(docs, Plan(window, gram, words=False, keep_first=False, hot=hot), _bucket(window))
+    """doc (row_key), text, _id (doc_id), spans: byte ranges of each text that repeated strings cover; spans may touch or overlap."""
+    rows = docs.select(row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_id"))
+    return marked(rows, Plan(window, gram, words=False, keep_first=False, hot=hot), _bucket(window))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 4096) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of each row of docs (doc_id, text)."""
+    """row (row_key), doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,27 +193,26 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot:
                 left = b"".join([*kept, own[at:]])
                 rows.append((len(own), len(own) - len(left), len(spans), sha256(left).hexdigest(), left))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            doc = batch.column("doc").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NULL_ID), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return repeated_spans(docs, window, gram, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return repeated_spans(docs, window, gram, hot).mapInArrow(run, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with repeated spans cut from text, and n_chars set anew. A character of which a span covers a part goes whole."""
-    kept = remove_repeats(docs.select("doc_id", "text"), window, gram).where("n_removed > 0").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("_doc"), F.col("kept").alias("_kept"))
+    kept = remove_repeats(docs.select("doc_id", "text"), window, gram).where("n_removed > 0").select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [k.decode("utf-8", "ignore") for k in batch.column("_kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_doc"), pa.array(texts, pa.string())], names=["_doc", "_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "_text"])
 
-    texts = kept.mapInArrow(whole, "_doc long, _text string").dropDuplicates(["_doc"])
-    out = docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(texts, "_doc", "left")
+    texts = kept.mapInArrow(whole, "_row long, _text string").dropDuplicates(["_row"])
+    out = docs.withColumn("_row", row_key()).join(texts, "_row", "left")
     text = F.coalesce(F.col("_text"), F.col("text"))
     changed = {"text": text} | ({"n_chars": F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text"))} if "n_chars" in docs.columns else {})
     return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "kept")

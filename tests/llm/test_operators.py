@@ -377,3 +377,32 @@ def test_null_ids(spark):
     docs = frame(spark, [(None, "one two three four five six"), (None, None), (1, "one two three four five six")])
     for result in (suffix_dedup.remove_repeats(docs), substring_dedup.remove_later(docs), ngram_join.classes(docs), fingerprint.fingerprints(docs), packing.pack(docs), secrets.scan(docs), sentencepiece_tok.encode(docs)):
         assert Counter(r.doc_id for r in result.collect()) == {None: 2, 1: 1}
+
+
+def test_stages_tell_rows_of_one_id_apart(spark):
+    """Null, shared and repeated ids through all stages: no row gets the text of another, and a repeated row loses none."""
+    r = random.Random(8)
+
+    def prose(n=120):
+        return " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+    passage, live = prose(60), "ghp_" + "a1B2" * 9
+    twice, alone = prose(), prose()
+    null = [f"{prose(40)} {passage}", prose(), f"token=abcdefgh12 {prose()}", f"k {live} {prose()}"]
+    shared = [f"{prose(40)} {passage}", prose(), f"{prose(3)} password=abcdefgh13 {prose()}"]
+    docs = [(1, twice), (1, twice), (2, alone), *((None, t) for t in null), *((3, t) for t in shared), (None, null[1]), (None, alone), (4, twice)]
+    near = ngram_join.keep_one(frame(spark, docs))
+    assert near.columns == frame(spark, docs).columns
+    kept = [(1, twice), (2, alone), *((None, t) for t in null), *((3, t) for t in shared)]
+    assert Counter((x.doc_id, x.text) for x in near.collect()) == Counter(kept)
+    cut = suffix_dedup.without_repeats(frame(spark, kept))
+    bare = [(i, t.replace(passage, "")) for i, t in kept]
+    got = sorted(((x.doc_id or 0, x.text, x.n_chars) for x in cut.collect()), key=str)
+    for (i, t, n), (j, b) in zip(got, sorted(((i or 0, b) for i, b in bare), key=str), strict=True):
+        assert i == j and n == len(t) and b.startswith(t) and len(b) - len(t) <= 4 * b.endswith(" "), (t, b)  # what stands before the passage may be alike too
+    secret = re.compile("token=abcdefgh12|password=abcdefgh13|" + live)
+    clean = secrets.redact(frame(spark, bare))
+    assert Counter((x.doc_id, x.text) for x in clean.collect()) == Counter((i, secret.sub("[SECRET]", b)) for i, b in bare)
+    every = secrets.redact(suffix_dedup.without_repeats(near))
+    pieces = packing.pack(every)
+    assert Counter(x.doc_id for x in every.collect()) == Counter(i for i, _ in kept) and {x.doc_id for x in pieces.collect()} == {i for i, _ in kept}
