@@ -5,9 +5,10 @@ begins with the one before it, what is new is the turn's span. Rendering the sam
 shows where in that span the text stands, which gives the loss mask. A template that changes what it wrote for earlier turns is
 found by the comparison and reported for that turn.
 
-Rendering all prefixes of a conversation of n turns costs n**2, so a long one goes in segments of `SEGMENT` turns, each rendered after
-`CONTEXT` turns of the segment before. Turns stream through a task in order; it holds one segment at a time, however long a
-conversation is.
+Rendering all prefixes of a conversation of n turns costs n**2. Only a template that is declared stateless, which writes every turn by
+itself, goes in segments of `SEGMENT` turns, each rendered alone: its turns stream through a task in order, which holds one segment at a
+time, however long a conversation is. Any other template renders whole prefixes; its task holds one conversation, and the result is
+one segment, the output for all turns.
 
 Defined cases: null text and null role count as empty; turns with the same number go in order of role, then text; a null conv_id is
 a conversation of its own; other columns are ignored; an empty table gives an empty result.
@@ -26,7 +27,6 @@ from pyspark.sql import functions as F
 from glosswork.llm._base import parts
 
 SEGMENT = 16
-CONTEXT = 1
 PROBE = "\x1aprobe\x1a"
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
@@ -56,6 +56,10 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{_role(role)}\n{escape(text)}{CLOSE}" for role, text in turns)
 
 
+#: It writes every turn by itself, so a conversation may be rendered in segments.
+marked_turns.stateless = True
+
+
 def read_turns(formatted: str) -> Iterator[Turn]:
     """The turns in an output of marked_turns."""
     for turn in formatted.split(OPEN)[1:]:
@@ -63,26 +67,36 @@ def read_turns(formatted: str) -> Iterator[Turn]:
         yield _unrole(role), unescape(text)
 
 
-def spans(turns: list[Turn], render: Callable[[list[Turn]], str], context: int = 0) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
-    """The output for turns after the first `context` ones; for each its span and its text's span, (-1, -1) where that can't be told; the turns at which earlier output was rewritten."""
-    before = render(turns[:context])
-    base = len(before)
+def spans(turns: list[Turn], render: Callable[[list[Turn]], str]) -> tuple[str, list[tuple[int, int, int, int]], list[int]]:
+    """The output for turns; for each its span and its text's span, (-1, -1) where that can't be told; the turns at which earlier output was rewritten.
+
+    All count in the output for all turns: after a rewriting, the texts before it are looked for once more, what is left of them.
+    """
+    before, probe = render([]), PROBE
+    while any(probe in text for _, text in turns):
+        probe += PROBE[-1]
     found, rewritten = [], []
-    for i in range(context, len(turns)):
+
+    def inner(i: int, end: int, out: str) -> tuple[int, int]:
+        """Where the text of turn i stands in out, the output for turns[:end]."""
+        probed = render([*turns[:i], (turns[i][0], probe), *turns[i + 1 : end]])
+        at = probed.rfind(probe)
+        tail = len(probed) - at - len(probe)
+        sure = at >= 0 and out[:at] == probed[:at] and len(out) - tail >= at and out[len(out) - tail :] == probed[len(probed) - tail :]
+        return (at, len(out) - tail) if sure else (-1, -1)
+
+    for i in range(len(turns)):
         out = render(turns[: i + 1])
         start = len(before)
         if not out.startswith(before):
-            rewritten.append(i - context)
+            rewritten.append(i)
             start = next((k for k, (a, b) in enumerate(zip(before, out, strict=False)) if a != b), min(len(before), len(out)))
-        role, text = turns[i]
-        probed = render([*turns[:i], (role, PROBE)])
-        at = probed.rfind(PROBE)
-        tail = len(probed) - at - len(PROBE)
-        sure = at >= start and out[:at] == probed[:at] and len(out) - tail >= at and out[len(out) - tail :] == probed[len(probed) - tail :]
-        inner = (at - base, len(out) - tail - base) if sure else (-1, -1)
-        found.append((max(start - base, 0), len(out) - base, *inner))
+        span = inner(i, i + 1, out)
+        found.append((start, len(out), *(span if span[0] >= start else (-1, -1))))
         before = out
-    return before[base:], found, rewritten
+    for i in range(max(rewritten, default=0)):  # what came before the last rewriting may stand elsewhere now, or be gone
+        found[i] = (-1, -1, *inner(i, len(turns), before))
+    return before, found, rewritten
 
 
 FORMATTED = "conv_id long, segment int, n_turns int, formatted string, loss array<struct<start: int, stop: int>>, rewritten array<int>"
@@ -91,28 +105,33 @@ FORMATTED = "conv_id long, segment int, n_turns int, formatted string, loss arra
 def format_chats(chats: DataFrame, render: Callable[[list[Turn]], str] = marked_turns, learn: str = "assistant", segment: int = SEGMENT) -> DataFrame:
     """Segments of the formatted conversations of chats (conv_id, turn, role, text), those of one in order within one partition.
 
+    A render without a true attribute `stateless` gets whole conversations, each one segment; one that has it wrongly is an error where segments show it.
     loss: spans of the texts of role `learn`, in code points of `formatted`; rewritten: turns at which the template changed what it had written before.
     """
 
+    stateless = getattr(render, "stateless", False)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, context, turns, number, any_ = None, [], [], 0, False
+        conv, last, turns, number, any_ = None, [], [], 0, False
         rows: list[tuple] = []
 
         def flush() -> None:
-            nonlocal context, turns, number
+            nonlocal last, turns, number
             if turns:
-                text, found, rewritten = spans([*context, *turns], render, len(context))
+                text, found, rewritten = spans(turns, render)
+                if stateless and (rewritten or render([]) or (last and render([*last, *turns]) != render(last) + text)):
+                    raise ValueError("the template is declared stateless, but what it writes for a turn depends on others")
                 loss = [{"start": a, "stop": b} for (role, _), (_, _, a, b) in zip(turns, found, strict=True) if role == learn and a >= 0]
                 rows.append((conv, number, len(turns), text, loss, rewritten))
-                context, turns, number = turns[-CONTEXT:], [], number + 1
+                last, turns, number = turns[-1:], [], number + 1
 
         for batch in batches:
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
                 if not any_ or c != conv:
                     flush()
-                    conv, context, turns, number, any_ = c, [], [], 0, True
+                    conv, last, turns, number, any_ = c, [], [], 0, True
                 turns.append((role or "", text or ""))
-                if len(turns) == segment:
+                if stateless and len(turns) == segment:
                     flush()
             yield _batch(rows)
             rows.clear()

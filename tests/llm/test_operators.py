@@ -363,6 +363,26 @@ def test_templates_that_rewrite_history_are_found():
     assert rewritten == [] and found == [(0, 7, 5, 6), (7, 19, 17, 18)]
 
 
+def test_long_conversations_equal_the_whole_rendering(spark):
+    def rewriting(turns):  # counts turns, and drops what was thought before the last turn
+        last = len(turns) - 1
+        return f"<s>[{len(turns)}]" + "".join(f"<{r}>{t if i == last else t.split('THINK')[0]}" for i, (r, t) in enumerate(turns))
+
+    turns = [(1, i, ("user", "assistant")[i % 2], f"said {i}" + "THINK so" * (i % 3 == 1)) for i in range(40)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    (row,) = chat.format_chats(df, rewriting).collect()
+    assert row.formatted == rewriting([t[2:] for t in turns]) and row.n_turns == 40 and row.rewritten == list(range(40))
+    learnt = [t[3] if t[1] == 39 else t[3].split("THINK")[0] for t in turns if t[2] == "assistant"]
+    assert [row.formatted[x.start : x.stop] for x in row.loss] == learnt
+
+    def declared(turns):
+        return rewriting(turns)
+
+    declared.stateless = True
+    with pytest.raises(Exception, match="declared stateless"):
+        chat.format_chats(df, declared).collect()
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     for result in (suffix_dedup.remove_repeats(none), substring_dedup.remove_later(none), ngram_join.classes(none), fingerprint.fingerprints(none), packing.pack(none), secrets.scan(none), sentencepiece_tok.encode(none), langid.predict(none, langid.fit(none))):
