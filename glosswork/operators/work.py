@@ -49,19 +49,31 @@ def collect_responses(responses: DataFrame, sent: DataFrame, current: DataFrame)
     return rows.select("path", outcome.alias("outcome"))
 
 
-def apply_patch(files: DataFrame, edits: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
+def apply_patch(files: DataFrame, edits: DataFrame, tokens: tuple[str, ...] = T.HASH, symbols: DataFrame | None = None) -> DataFrame:
     """path, outcome (applied, rejected), text: files (path, text) with the lines of edits (path, row, seq, line) inserted before rows.
 
     All or nothing for a file: an edit at a blank line, an annotation or no line at all rejects it, and so does a result that isn't the old text after stripping.
+    With symbols (path, id, start, end, zh_rows), edits have a column symbol and a bad edit, also one outside its symbol, rejects that symbol only;
+    the old annotations of accepted symbols, their zh_rows, go, and a column rejected lists the other symbols. A file none of whose symbols is accepted is rejected.
     """
     lines = files.select("path", F.posexplode(T.lines(F.col("text"))).alias("row", "there"))
-    aimed = edits.join(lines, ["path", "row"], "left")
+    aimed = (edits if symbols is not None else edits.withColumn("symbol", F.lit(""))).join(lines, ["path", "row"], "left")
     bad = F.col("there").isNull() | (T.strip(F.col("there")) == "") | T.is_annotation(F.col("there"), tokens) | ~T.is_annotation(F.col("line"), tokens)
-    judged = aimed.groupBy("path").agg(F.bool_or(bad).alias("bad"))
-    good = aimed.join(judged.where("NOT bad").select("path"), "path", "left_semi").select("path", F.struct(F.col("row").cast("long").alias("a"), F.col("seq").cast("long").alias("b")).alias("k"), F.concat(T.indent(F.col("there")), "line").alias("line"))
-    touched = judged.where("NOT bad").select("path")
-    rows = lines.join(touched, "path", "left_semi").select("path", F.struct(F.col("row").cast("long").alias("a"), F.lit((1 << 62)).alias("b")).alias("k"), F.col("there").alias("line")).unionByName(good)
+    if symbols is not None:
+        own = symbols.select("path", F.col("id").alias("symbol"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+        aimed = aimed.join(own, ["path", "symbol"], "left")
+        bad = F.coalesce(bad | ~F.col("row").between(F.col("_start"), F.col("_end")), F.lit(True))
+    judged = aimed.groupBy("path", "symbol").agg(F.bool_or(bad).alias("bad"))
+    accepted = judged.where("NOT bad").select("path", "symbol")
+    good = aimed.join(accepted, ["path", "symbol"], "left_semi").select("path", F.struct(F.col("row").cast("long").alias("a"), F.col("seq").cast("long").alias("b")).alias("k"), F.concat(T.indent(F.col("there")), "line").alias("line"))
+    rows = lines.join(accepted.select("path"), "path", "left_semi")
+    if symbols is not None:
+        old = symbols.withColumnRenamed("id", "symbol").join(accepted, ["path", "symbol"], "left_semi").select("path", F.explode("zh_rows").alias("row"))
+        rows = rows.join(old, ["path", "row"], "left_anti")
+    rows = rows.select("path", F.struct(F.col("row").cast("long").alias("a"), F.lit((1 << 62)).alias("b")).alias("k"), F.col("there").alias("line")).unionByName(good)
     made = rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("made"))
-    out = files.join(judged, "path").join(made, "path", "left")
+    told = judged.groupBy("path").agg(F.bool_and("bad").alias("bad"), F.sort_array(F.collect_set("symbol")).alias("every"), F.sort_array(F.collect_set(F.when(F.col("bad"), F.col("symbol")))).alias("lost"))
+    out = files.join(told, "path").join(made, "path", "left")
     ok = ~F.col("bad") & (T.strip_annotations(F.col("made"), tokens) == T.strip_annotations(F.col("text"), tokens))
-    return out.select("path", F.when(ok, "applied").otherwise("rejected").alias("outcome"), F.when(ok, F.col("made")).otherwise(F.col("text")).alias("text"))
+    more = [F.when(ok, F.col("lost")).otherwise(F.col("every")).alias("rejected")] if symbols is not None else []
+    return out.select("path", F.when(ok, "applied").otherwise("rejected").alias("outcome"), F.when(ok, F.col("made")).otherwise(F.col("text")).alias("text"), *more)

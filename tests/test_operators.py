@@ -249,6 +249,16 @@ def test_patch(spark):
     assert got == {"a.py": ("applied", f"x\n  # {M} p\n  # {M} q\n  y\n"), "b.py": ("rejected", "x\n\n")}
 
 
+def test_patch_by_symbol(spark):
+    text = f"# {M} old\nf\n  # {M} older\n  y\ng\n# {M} stays\nh\n"
+    files = spark.createDataFrame([("a.py", text), ("b.py", "x\n")], "path string, text string")
+    symbols = spark.createDataFrame([("a.py", "f", 1, 3, [0, 2]), ("a.py", "g", 4, 4, []), ("a.py", "h", 6, 6, [5]), ("b.py", "x", 0, 0, None)], "path string, id string, start int, end int, zh_rows array<int>")
+    new = f"# {M} new"
+    edits = [("a.py", "f", 3, 0, new), ("a.py", "g", 4, 0, new), ("a.py", "h", 6, 0, new), ("a.py", "h", 1, 1, new), ("a.py", "gone", 4, 2, new), ("b.py", "x", 1, 0, new)]
+    got = {r.path: (r.outcome, r.text, r.rejected) for r in work.apply_patch(files, spark.createDataFrame(edits, "path string, symbol string, row int, seq int, line string"), symbols=symbols).collect()}
+    assert got == {"a.py": ("applied", f"f\n  {new}\n  y\n{new}\ng\n# {M} stays\nh\n", ["gone", "h"]), "b.py": ("rejected", "x\n", ["x"])}
+
+
 def test_reports_and_files(spark, tmp_path):
     rows = tables.settled(state.derive(symbols(spark, CODE), flat(spark, [])))
     told = json.loads(reports.status_report(rows, project="p").first().report)
