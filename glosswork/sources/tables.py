@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ RECORDS = "id string, at struct<sig: string, doc: string, body: string>, zh stri
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of this machine's only where the session names none, as in tests."""
+    """The folder all executors share; one of this machine's only where the session names none and all runs on this machine, as in tests."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         told = getattr(shared_dir, "own", None)
         if not told:
             told = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="glosswork-")
