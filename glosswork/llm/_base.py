@@ -1,60 +1,41 @@
-"""What the operators of this package share: lineage cuts, Arrow text buffers and 64-bit hashing in numpy."""
+"""What the operators of this package share: lineage cuts, Arrow text buffers and hashing in numpy."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosswork.sources.tables import settled as cut
+from glosswork.sources.tables import shared_dir
+
+__all__ = ["cut", "shared_dir"]
+
 U = np.uint64
 #: Odd multiplier of the polynomial hashes (mod 2**64) and its inverse.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
 #: Stands for a null document id inside an operator.
 NULL_ID = -(1 << 63)
+#: Bytes that one task of a shuffle gets, about.
+TASK_BYTES = 64 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of this machine's only where the session names none, as in tests."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not told:
-        told = getattr(shared_dir, "own", None)
-        if not told:
-            told = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="glosswork-")
-    return told.rstrip("/")
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session may be gone when Python ends
-        pass
+def parts(spark: SparkSession, size: int = 0) -> int:
+    """Partitions for `size` bytes: the session's number, or more where that would give a task too much."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(size / TASK_BYTES))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation.
-
-    The table goes when the Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glosswork/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of all texts: a scan of one column that sends one number."""
+    return docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
 
 
 def trim() -> None:
@@ -166,3 +147,27 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts = np.flatnonzero(word & ~inner[:n])
     ends = np.flatnonzero(word & ~inner[1:]) + 1
     return starts, ends, np.searchsorted(starts, rel)
+
+
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and first words as word_spans() gives them, and the 128-bit BLAKE2 digest of each word as a row of two.
+
+    Each different word is digested once.
+    """
+    starts, ends, first = word_spans(data, offsets)
+    if not len(starts):
+        return starts, ends, first, np.zeros((0, 2), U)
+    at = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(ends - starts, out=at[1:])
+    letters = np.ascontiguousarray(data[~SPACE[data]])  # the words, one after another
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+    table = np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()]), U).reshape(-1, 2)
+    return starts, ends, first, table[words.indices.to_numpy()]
+
+
+def folded_hash(units: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the `size` units from each place: each is mixed into that of those before, so that order counts and no sums cancel."""
+    out = np.full(len(at), U(size))
+    for k in range(size):
+        out = mix(out * U(BASE) + units[at + k])
+    return out

@@ -140,31 +140,82 @@ def test_ngram_join(spark, monkeypatch, big, chunk):
     assert {r.doc_id for r in kept.collect()} == {i for i in own if top(i) == i}
 
 
-def test_crowded_shingles_lose_no_component(spark, monkeypatch):
+def test_groups_lose_no_component(spark, monkeypatch):
+    """All texts as one neighbourhood, in small groups, so that pairs of groups and several rounds are needed."""
+    monkeypatch.setattr(ngram_join, "BIG", 5)
     monkeypatch.setattr(ngram_join, "CHUNK", 7)
-    docs = [(i, t) for i, t in corpus(13, 80) if t]
-    every = dict(zip([i for i, _ in docs], (s for _, s in ngram_join.shingle_sets(*text_buffer(pa.array([t for _, t in docs])), 5))))
-    every = {i: s for i, s in every.items() if len(s)}
-    matrix = spark.createDataFrame([(i, len(s), ngram_join.bits(s)) for i, s in every.items()], "cid long, n long, bits binary")
-    placed = spark.createDataFrame([(1, i, len(s), i) for i, s in every.items()], "token long, cid long, n long, component long")
+    docs = [(i, t) for i, t in corpus(13, 80) if t and sets(t)]
+    hashed = dict(zip([i for i, _ in docs], (s for _, s in ngram_join.shingle_sets(*text_buffer(pa.array([t for _, t in docs])), 5))))
+    matrix = spark.createDataFrame([(i, ngram_join.bits(s)) for i, s in hashed.items()], "cid long, bits binary")
+    near = spark.createDataFrame([(1, i, len(s)) for i, s in hashed.items()], "g long, cid long, n long")
     texts = spark.createDataFrame(docs, "doc long, text string")
-    got = {tuple(sorted(r)) for r in ngram_join._link_crowded(texts, placed, matrix, 5, 80).collect()}
-    want = {(i, j) for i in every for j in every if i < j and ngram_join.alike(every[i], every[j], 80)}
+    own = {i: sets(t) for i, t in docs}
+    up = {i: i for i in own}
 
-    def parts(links):
-        up = {i: i for i in every}
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
 
-        def top(i):
-            while up[i] != i:
-                i = up[i]
-            return i
+    for i in own:
+        for j in own:
+            if i < j and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    got = {r.node: r.component for r in ngram_join._links(texts, near, matrix, 5, 80, 1, 2).collect()}
+    assert len(got) > 5 and {i: got.get(i, i) for i in own} == {i: top(i) for i in own}
+
+
+def test_ngram_join_at_its_default_sizes(spark):
+    """More documents with one passage than BIG, in more groups than one, of which a few are alike."""
+    r = random.Random(21)
+    passage = " ".join(r.choices("abcdefgh", k=60))
+    docs = []
+    for i in range(600):
+        own = passage.split(" ")
+        if i % 50:
+            own[r.randrange(60)] = f"w{i}"
+        docs.append((i, " ".join([*own, *(f"x{i}y{k}" for k in range(i % 40))])))
+    own = {i: sets(t) for i, t in docs}
+    up = {i: i for i in own}
 
-        for a, b in links:
-            x, y = sorted((top(a), top(b)))
-            up[y] = x
-        return {i: top(i) for i in every}
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
 
-    assert want and got <= want and parts(got) == parts(want)
+    for i in own:
+        for j in own:
+            if i < j and 100 * len(own[i] & own[j]) >= 80 * len(own[i] | own[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    rows = ngram_join.classes(frame(spark, docs)).collect()
+    assert {(x.doc_id, x.component_id) for x in rows} == {(i, top(i)) for i in own}
+
+
+def test_structured_texts_are_told_apart(spark):
+    """Words and texts whose polynomial hashes agree whatever the base: a Thue-Morse string and its complement."""
+    bit = [bin(k).count("1") % 2 for k in range(2048)]
+    word, other = "".join("ab"[b] for b in bit), "".join("ba"[b] for b in bit)
+    r = random.Random(3)
+    around = [f"w{r.random()}" for _ in range(30)]
+    docs = [(1, " ".join([*around[:10], word, *around[10:]])), (2, " ".join([*around[:10], other, *around[10:]]))]
+    docs += [(3, " ".join([word] * 9)), (4, " ".join([other] * 9))]
+    docs += [(5, " ".join(("yes", "no")[b] for b in bit)), (6, " ".join(("no", "yes")[b] for b in bit))]
+    rows = {x.doc_id: x for x in ngram_join.classes(frame(spark, docs)).collect()}
+    assert {i: x.component_id for i, x in rows.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5} if sets(docs[4][1]) == sets(docs[5][1]) else True
+    assert all(rows[i].n_shingles == len(sets(t)) for i, t in docs)
+    for x in substring_dedup.remove_later(frame(spark, docs[:4])).collect():
+        assert x.n_removed == 0
+    cut = {x.doc_id: x for x in suffix_dedup.remove_repeats(frame(spark, [(1, "x" + word[:300] + "y"), (2, "z" + other[:300] + "w")])).collect()}
+    whole = [b"x" + word[:300].encode() + b"y", b"z" + other[:300].encode() + b"w"]
+    count = Counter(t[p : p + 200] for t in whole for p in range(len(t) - 199))
+    for i, t in enumerate(whole, 1):
+        mask = bytearray(len(t))
+        for p in range(len(t) - 199):
+            if count[t[p : p + 200]] > 1:
+                mask[p : p + 200] = b"\1" * 200
+        assert cut[i].n_removed == sum(mask)
 
 
 def test_bits_never_bound_too_low():
@@ -172,7 +223,9 @@ def test_bits_never_bound_too_low():
     for _ in range(200):
         a, b = (np.unique(r.integers(0, 300, r.integers(1, 200)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(2))
         x, y = (np.frombuffer(ngram_join.bits(s), np.uint8) for s in (a, b))
-        assert ngram_join.most(x, len(a), y) >= len(np.intersect1d(a, b)) == ngram_join.overlap(a, b)
+        size = min(len(x), len(y))
+        lacks = int(np.bitwise_count(ngram_join.folded(x, size) & ~ngram_join.folded(y, size)).sum())
+        assert len(a) - lacks >= len(np.intersect1d(a, b))
 
 
 def test_language_id(spark):
