@@ -8,9 +8,13 @@ the bucket of their anchor:
    so that a frequent passage sends one row a task.
 2. `settle` meets the rows of an anchor. All but one row of an equal segment need no more. Where an anchor has several different
    segments, one of each is asked for.
-3. `fetch` joins the asked segments with their texts and packs them as strings; the operator's own bucket step compares these.
-   An anchor with more than `hot` different segments is no bucket for one task: its windows travel alone, each to the bucket of its
-   own 128-bit digest, and equal ones of one task as one row.
+3. Where an anchor has more than `hot` different segments, more of what is around it decides the bucket: the windows that begin up to half as far
+   before the anchor as any can are parted from the others, and either half goes by the units that all its windows have in common, cut to what
+   they cover. This goes on while a bucket is hot; in the end its windows have all units in common.
+4. `fetch` joins the asked segments with their texts and packs them as strings; the operator's own bucket step sorts and compares these.
+
+Equal segments are told by 128-bit BLAKE2 digests of their bytes, or of their words' digests. Anchors' hashes only deal out; two anchors
+of one hash share a bucket, where their strings differ.
 """
 
 from __future__ import annotations
@@ -24,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import U, chunks, cut, key_of, mix, parts, prefix_hashes, span_hash, text_buffer, trimmed, word_spans
+from glosswork.llm._base import U, chunks, cut, key_of, mix, parts, prefix_hashes, span_hash, text_buffer, text_bytes, trimmed, word_digests
 
-ROWS = "key long, digest long, doc long, start int, n int, anchor_at int, copies int"
-FETCHED = "key long, more long, doc long, start int, anchor_at int, packed binary, copies int"
-#: In copies: a segment of a hot anchor. In anchor_at: a window by itself, and a settled span of `copies` units.
-HOT, WINDOW, SETTLED = -2, -1, -2
+ROWS = "key long, digest long, more long, doc long, start int, n int, anchor_at int, copies int, low int, high int"
+FETCHED = "key long, doc long, start int, anchor_at int, packed binary"
+#: In copies: a segment of a hot anchor.
+HOT = -2
 #: Segments a task gathers before it settles equal ones among them and sends the rest.
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -42,7 +46,7 @@ class Plan:
     #: The first of equal windows stays (by document, then place); else all of them are marked.
     keep_first: bool
     #: Different segments of one anchor that one task compares.
-    hot: int = 4096
+    hot: int = 1000
     #: Segments of whole anchors that are compared at a time.
     batch: int = 20_000
 
@@ -71,12 +75,12 @@ def cut_windows(units: np.ndarray, rel: np.ndarray, window: int, gram: int):
     change[1:count] = (place[1:] != place[:-1]) | (row[1:] != row[:-1]) | (valid[1:] != valid[:-1])
     first = np.flatnonzero(valid & change[:-1])
     end = np.flatnonzero(valid & change[1:]) + window
-    return row[first], first, end, place[first], grams[place[first]], prefix
+    return row[first], first, end, place[first], grams[place[first]]
 
 
-def word_units(data: np.ndarray, offsets: np.ndarray):
-    starts, ends, first = word_spans(data, offsets)
-    return mix(span_hash(prefix_hashes(data.astype(U) + U(1)), starts, ends)), first, starts, ends
+def _digests(view: memoryview, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of spans of bytes, as rows of two."""
+    return np.frombuffer(b"".join([blake2b(view[s:e], digest_size=16).digest() for s, e in zip(begin.tolist(), end.tolist(), strict=True)]), np.int64).reshape(-1, 2)
 
 
 def batch_segments(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, plan: Plan) -> Iterator[dict[str, np.ndarray]]:
@@ -84,28 +88,25 @@ def batch_segments(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, plan
         a, z = offsets[i], offsets[j]
         own, rel = data[a:z], offsets[i : j + 1] - a
         if plan.words:
-            units, rel, _, _ = word_units(own, rel)
+            _, _, rel, words = word_digests(own, rel)
+            units, view, size = np.ascontiguousarray(words[:, 0]), memoryview(words.tobytes()), 16
         else:
-            units = own.astype(U) + U(1)
+            units, view, size = own.astype(U) + U(1), memoryview(np.ascontiguousarray(own)), 1
         if (cutted := cut_windows(units, rel, plan.window, plan.gram)) is None or not len(cutted[0]):
             continue
-        row, first, end, place, key, prefix = cutted
-        if plan.words:
-            digest = mix(span_hash(prefix, first, end) + U(7)).view(np.int64)
-        else:
-            view = memoryview(np.ascontiguousarray(own))
-            digest = np.frombuffer(b"".join([blake2b(view[s:e], digest_size=8).digest() for s, e in zip(first.tolist(), end.tolist(), strict=True)]), np.int64)
-        yield {"key": key.view(np.int64), "digest": digest, "doc": docs[i:j][row], "start": (first - rel[row]).astype(np.int32), "n": (end - first).astype(np.int32), "anchor_at": (place - first).astype(np.int32)}
+        row, first, end, place, key = cutted
+        digest, n = _digests(view, first * size, end * size), len(row)
+        yield {"key": key.view(np.int64), "digest": digest[:, 0], "more": digest[:, 1], "doc": docs[i:j][row], "start": (first - rel[row]).astype(np.int32), "n": (end - first).astype(np.int32), "anchor_at": (place - first).astype(np.int32), "low": np.zeros(n, np.int32), "high": np.full(n, plan.window - plan.gram, np.int32)}
 
 
 def _groups(x: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """x by key, digest, doc, start; which rows begin an equal segment, and which begin a key."""
-    order = np.lexsort((x["start"], x["doc"], x["digest"], x["key"]))
+    order = np.lexsort((x["start"], x["doc"], x["more"], x["digest"], x["key"]))
     x = {k: v[order] for k, v in x.items()}
     key = np.ones(len(order), bool)
     key[1:] = x["key"][1:] != x["key"][:-1]
     equal = key.copy()
-    equal[1:] |= x["digest"][1:] != x["digest"][:-1]
+    equal[1:] |= (x["digest"][1:] != x["digest"][:-1]) | (x["more"][1:] != x["more"][:-1])
     return x, equal, key
 
 
@@ -132,17 +133,17 @@ def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 
 
 def _table(x: dict[str, np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in x.items()})
+    return pa.RecordBatch.from_pydict({c: pa.array(x[c]) for c in (f.split(" ")[0] for f in ROWS.split(", "))})
 
 
 def _marks(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> dict[str, np.ndarray]:
     doc, start, end = merged(doc, start, end)
-    n = len(doc)
-    return {"key": doc, "digest": np.zeros(n, np.int64), "doc": doc, "start": start.astype(np.int32), "n": (end - start).astype(np.int32), "anchor_at": np.full(n, -1, np.int32), "copies": np.full(n, -1, np.int32)}
+    wide, narrow = np.zeros(len(doc), np.int64), np.full(len(doc), -1, np.int32)
+    return {"key": doc, "digest": wide, "more": wide, "doc": doc, "start": start.astype(np.int32), "n": (end - start).astype(np.int32), "anchor_at": narrow, "copies": narrow, "low": narrow, "high": narrow}
 
 
-def segments(docs: DataFrame, plan: Plan) -> DataFrame:
-    """Rows for an anchor's bucket; rows with copies = -1 are already settled spans."""
+def _sent(each: Iterator[dict[str, np.ndarray]], plan: Plan) -> Iterator[pa.RecordBatch]:
+    """ROWS for the buckets: of equal segments among `BLOCK` one, and spans that this settles."""
 
     def send(gathered: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         x = {k: np.concatenate([g[k] for g in gathered]) for k in gathered[0]}
@@ -154,22 +155,57 @@ def segments(docs: DataFrame, plan: Plan) -> DataFrame:
             yield _table(_marks(x["doc"][settled], x["start"][settled], (x["start"] + x["n"])[settled]))
         yield _table({k: v[at] for k, v in x.items()} | {"copies": copies})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict[str, np.ndarray]] = []
-        for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            for x in batch_segments(data, offsets, batch.column("doc").to_numpy(), plan):
-                held.append(x)
-                if sum(len(h["key"]) for h in held) >= BLOCK:
-                    yield from send(held)
-                    held = []
-        if held:
+    held: list[dict[str, np.ndarray]] = []
+    for x in each:
+        held.append(x)
+        if sum(len(h["key"]) for h in held) >= BLOCK:
             yield from send(held)
+            held = []
+    if held:
+        yield from send(held)
+
+
+def segments(docs: DataFrame, plan: Plan) -> DataFrame:
+    """Rows for an anchor's bucket; rows with copies = -1 are already settled spans."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sent((x for batch in batches for x in batch_segments(*text_buffer(batch.column("text")), batch.column("doc").to_numpy(), plan)), plan)
 
     return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), ROWS)
 
 
-def settle(rows: DataFrame, plan: Plan) -> DataFrame:
+def narrower(docs: DataFrame, hot: DataFrame, plan: Plan) -> DataFrame:
+    """Segments of hot anchors as two: the windows with at most half as many units before the anchor, and those with more, by what they have in common."""
+
+    def halves(own: bytes | list[bytes], key: int, anchor: int, low: int, high: int) -> Iterator[tuple]:
+        half = (low + high) // 2
+        for lo, hi in ((low, half), (half + 1, high)):
+            begin, end = max(0, anchor - hi), min(len(own), anchor + plan.window - lo)
+            if lo > hi or end - begin < plan.window or anchor < lo:
+                continue
+            common, all_ = own[anchor - lo : anchor + plan.window - hi], own[begin:end]
+            if plan.words:
+                common, all_ = b" ".join(common), b" ".join(all_)
+            place = blake2b(common, digest_size=8, key=b"%d %d %d" % (key, lo, hi)).digest()
+            yield place + blake2b(all_, digest_size=16).digest(), begin, end - begin, anchor - begin, lo, hi
+
+    def parted(batch: pa.RecordBatch) -> Iterator[dict[str, np.ndarray]]:
+        hashes, rest = [], []
+        for doc, own, s in _asked(batch, plan):
+            for h, *x in halves(own, s["key"], s["anchor_at"], s["low"], s["high"]):
+                hashes.append(h)
+                rest.append((doc, s["start"] + x[0], *x[1:]))
+        if rest:
+            h, x = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 3), np.array(rest, np.int64)
+            yield {"key": h[:, 0], "digest": h[:, 1], "more": h[:, 2], "doc": x[:, 0]} | {c: x[:, k].astype(np.int32) for k, c in enumerate(("start", "n", "anchor_at", "low", "high"), 1)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _sent((x for batch in batches for x in parted(batch)), plan)
+
+    return joined(docs.drop("_row"), _lists(hot), "inner").mapInArrow(trimmed(run), ROWS)
+
+
+def settle(rows: DataFrame, plan: Plan, n_parts: int) -> DataFrame:
     """Spans that are settled (anchor_at = -1) and segments to fetch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,83 +227,50 @@ def settle(rows: DataFrame, plan: Plan) -> DataFrame:
             several = np.bincount(group, weights=equal)[group]
             ask = equal & (several > 1)
             if ask.any():
-                yield _table({k: v[ask] for k, v in x.items()} | {"copies": np.where(several[ask] > plan.hot, HOT, 1).astype(np.int32)})
+                yield _table({k: v[ask] for k, v in x.items()} | {"copies": np.where((several > plan.hot) & (x["low"] < x["high"]), HOT, 1)[ask].astype(np.int32)})
         if len(doc):
             yield _table(_marks(doc, start, end))
 
-    return rows.repartition(parts(rows.sparkSession), "key").mapInArrow(trimmed(run), ROWS)
+    return rows.repartition(n_parts, "key").mapInArrow(trimmed(run), ROWS)
 
 
-def _pack(texts: list[bytes]) -> pa.Array:
-    return pa.array(texts, pa.binary())
+def _lists(asked: DataFrame) -> DataFrame:
+    return asked.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "anchor_at", "key", "low", "high")).alias("asked")).hint("shuffle_hash")
+
+
+def _asked(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[int, bytes | list[bytes], dict[str, int]]]:
+    """Document, units and row of each asked segment of texts with their lists."""
+    data, offsets = text_buffer(batch.column("text"))
+    numbers, column = batch.column("doc").to_pylist(), batch.column("asked")
+    for i in range(batch.num_rows):
+        if column[i].is_valid:
+            text = data[offsets[i] : offsets[i + 1]].tobytes()
+            units = text.split() if plan.words else text  # bytes split at 0x20 and 0x09-0x0D
+            for s in column[i].as_py():
+                yield numbers[i], units[s["start"] : s["start"] + s["n"]], s
 
 
 def fetch(docs: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
-    """The asked segments as FETCHED rows, packed: bytes of the text, or its words with one space between; those of hot anchors window by window."""
-    lists = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "anchor_at", "key", "copies")).alias("asked")).hint("shuffle_hash")
-    between = b" " if plan.words else b""
-
-    def rows(**x) -> pa.RecordBatch:
-        n = len(x["doc"])
-        fill = {"more": np.zeros(n, np.int64), "packed": pa.nulls(n, pa.binary()), "copies": np.ones(n, np.int32)}
-        x = fill | x
-        return pa.RecordBatch.from_pydict({k: x[k] if isinstance(x[k], pa.Array) else pa.array(x[k]) for k in ("key", "more", "doc", "start", "anchor_at", "packed", "copies")})
-
-    def windows(hot: list[tuple[int, int, list[bytes] | bytes]]) -> Iterator[pa.RecordBatch]:
-        """A row for each different window of hot segments (doc, start, units), and spans for what that settles."""
-        digests, doc, start = [], [], []
-        for d, s, units in hot:
-            count = len(units) - plan.window + 1
-            digests += [blake2b(between.join(units[k : k + plan.window]) if plan.words else units[k : k + plan.window], digest_size=16).digest() for k in range(count)]
-            doc += [d] * count
-            start += range(s, s + count)
-        h = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-        x, equal, _ = _groups({"key": h[:, 0], "digest": h[:, 1], "doc": np.array(doc, np.int64), "start": np.array(start, np.int32)})
-        at = np.flatnonzero(equal)
-        copies = np.diff(np.concatenate([at, [len(equal)]])).astype(np.int32)
-        settled = _later(x, equal) if plan.keep_first else np.repeat(copies > 1, copies)
-        if settled.any():
-            d, s, e = merged(x["doc"][settled], x["start"][settled], x["start"][settled] + plan.window)
-            yield rows(key=d, doc=d, start=s.astype(np.int32), anchor_at=np.full(len(d), SETTLED, np.int32), copies=(e - s).astype(np.int32))
-        yield rows(key=x["key"][at], more=x["digest"][at], doc=x["doc"][at], start=x["start"][at], anchor_at=np.full(len(at), WINDOW, np.int32), copies=copies)
+    """The asked segments as FETCHED rows, packed: bytes of the text, or its words with one space between."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("asked")
-            data, offsets = text_buffer(batch.column("text"))
-            numbers = batch.column("doc").to_numpy()
-            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = column.flatten()
-            start, n, anchor, key, copies = (flat.field(k).to_numpy() for k in range(5))
-            doc, packed, hot, at = np.repeat(numbers, counts), [], [], 0
-            for i in np.flatnonzero(counts).tolist():
-                text = data[offsets[i] : offsets[i + 1]].tobytes()
-                units = text.split() if plan.words else text  # bytes split at 0x20 and 0x09-0x0D
-                for k in range(at, at + int(counts[i])):
-                    own = units[start[k] : start[k] + n[k]]
-                    if copies[k] == HOT:
-                        hot.append((int(numbers[i]), int(start[k]), own))
-                        packed.append(None)
-                    else:
-                        packed.append(between.join(own) if plan.words else own)
-                at += int(counts[i])
-            keep = copies != HOT
-            if keep.any():
-                yield rows(key=key[keep], doc=doc[keep], start=start[keep], anchor_at=anchor[keep], packed=_pack([p for p in packed if p is not None]))
-            if hot:
-                yield from windows(hot)
-
-    return joined(docs, lists).mapInArrow(trimmed(run), FETCHED)
-
-
-def joined(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """Texts with a list a document; the texts' exchange is the same for each such join, so Spark deals them out once. A column _id stays."""
-    own = [c for c in docs.columns if c == "_id"]
-    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text"), *own).join(lists, "doc", "left")
+            rows = [(s["key"], doc, s["start"], s["anchor_at"], b" ".join(own) if plan.words else own) for doc, own, s in _asked(batch, plan)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "doc", "start", "anchor_at", "packed"])
+
+    return joined(docs.drop("_row"), _lists(asked)).mapInArrow(trimmed(run), FETCHED)
+
+
+def joined(docs: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
+    """Texts with a list a document; the texts' exchange is the same for each such join, so Spark deals them out once. A column _row stays."""
+    own = [c for c in docs.columns if c == "_row"]
+    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text"), *own).join(lists, "doc", how)
 
 
 def marked(docs: DataFrame, plan: Plan, bucket: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """All texts with their spans to remove: doc, text, spans array<struct<start, n>> in units; null where there are none.
+    """All texts with their spans to remove: doc, text, _row (if there), spans array<struct<start, n>> in units; null where there are none.
 
     bucket gets the fetched segments of whole anchors and tells the windows (documents, starts) to mark.
     """
@@ -278,30 +281,23 @@ def marked(docs: DataFrame, plan: Plan, bucket: Callable[[pa.Table], tuple[np.nd
         return pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "start": pa.array(start, pa.int32()), "n": pa.array(end - start, pa.int32())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, single = [], []
-        for b in batches:
-            at = b.column("anchor_at").to_numpy()
-            if (done := at == SETTLED).any():
-                x = {k: b.column(k).to_numpy()[done] for k in ("doc", "start", "copies")}
-                yield spans(x["doc"], x["start"], x["start"] + x["copies"])
-            if (alone := at == WINDOW).any():
-                single.append({k: b.column(c).to_numpy()[alone] for k, c in (("key", "key"), ("digest", "more"), ("doc", "doc"), ("start", "start"), ("copies", "copies"))})
-            held.append(b.filter(pa.array(at >= 0)))
-        if single:
-            x, equal, _ = _groups({k: np.concatenate([s[k] for s in single]) for k in single[0]})
-            at = np.flatnonzero(equal)
-            seen = np.repeat(np.add.reduceat(x["copies"], at), np.diff(np.concatenate([at, [len(equal)]])))
-            mark = _later(x, equal) if plan.keep_first else seen > 1
-            yield spans(x["doc"][mark], x["start"][mark], x["start"][mark] + plan.window)
-        for table in by_key(held, plan.batch):
+        for table in by_key(list(batches), plan.batch):
             doc, start = bucket(table)
             yield spans(doc, start, start + plan.window)
 
-    settled = cut(settle(segments(docs, plan), plan))
-    fetched = fetch(docs, settled.where("anchor_at >= 0"), plan)
-    more = fetched.repartition(parts(spark), "key").mapInArrow(trimmed(run), "doc long, start int, n int")
-    every = settled.where("anchor_at < 0").select("doc", "start", "n").unionByName(more)
-    return joined(docs, every.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash"))
+    level = cut(settle(segments(docs, plan), plan, parts(spark, text_bytes(docs))))
+    levels = [level]
+    while (hot := level.where(F.col("copies") == HOT)).limit(1).count():
+        level = cut(settle(narrower(docs, hot, plan), plan, parts(spark)))
+        levels.append(level)
+    every = levels[0]
+    for more in levels[1:]:
+        every = every.unionByName(more)
+    asked = every.where(f"anchor_at >= 0 AND copies != {HOT}")
+    size = (asked.agg(F.sum("n")).first()[0] or 0) * (8 if plan.words else 1)
+    more = fetch(docs, asked, plan).repartition(parts(spark, size), "key").mapInArrow(trimmed(run), "doc long, start int, n int")
+    found = every.where("anchor_at < 0").select("doc", "start", "n").unionByName(more)
+    return joined(docs, found.groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans")).hint("shuffle_hash"))
 
 
 def by_key(batches: list[pa.RecordBatch], most: int) -> Iterator[pa.Table]:

@@ -1,7 +1,7 @@
 """Substring dedup over windows of `window` words: words go if a window over them also starts earlier.
 
 Consecutive windows with one minimiser travel as one packed string to the bucket of that minimiser, where sorting the windows, as rows
-of word numbers, counts them exactly (`_segments` does the cutting; equal packed strings are settled by their digest before they
+of word numbers, counts them exactly (`_segments` does the cutting; equal packed strings are settled by 128-bit digests before they
 travel, so a passage in a million documents sends one string).
 
 Defined cases: null text has no words; fewer words than a window: all stay; "earlier" is a smaller doc_id, or in the same document
@@ -17,10 +17,11 @@ from hashlib import sha256
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from glosswork.llm._base import NULL_ID, text_buffer, word_spans
+from glosswork.llm._base import NULL_ID, text_buffer, trimmed, word_spans
 from glosswork.llm._segments import Plan, marked
-from glosswork.llm.suffix_dedup import spans_of
+from glosswork.llm.suffix_dedup import HOT, spans_of
 
 WINDOW = 20
 GRAM = 6
@@ -56,7 +57,7 @@ def _bucket(window: int):
     return run
 
 
-def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 4096) -> DataFrame:
+def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words that stay, joined by one space) of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,15 +79,7 @@ def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: i
             yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == NULL_ID), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
 
     spans = marked(docs, Plan(window, gram, words=True, keep_first=True, hot=hot), _bucket(window))
-    return spans.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary").withColumn("kept", _utf8("kept"))
-
-
-
-
-def _utf8(column: str):
-    from pyspark.sql import functions as F
-
-    return F.col(column).cast("string")
+    return spans.mapInArrow(trimmed(run), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept binary").withColumn("kept", F.col("kept").cast("string"))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -22,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import U, prefix_hashes, row_key, span_hash, text_buffer
+from glosswork.llm._base import U, prefix_hashes, row_key, span_hash, text_buffer, trimmed
 from glosswork.llm._segments import Plan, marked
 
 WINDOW = 200
 GRAM = 40
+#: Different strings of one anchor beyond which more of what is around it decides the bucket.
+HOT = 1000
 
 
 class Suffixes:
@@ -170,49 +172,57 @@ def spans_of(column: pa.Array, i: int, size: int) -> list[tuple[int, int]]:
     return found
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 4096) -> DataFrame:
-    """doc (row_key), text, _id (doc_id), spans: byte ranges of each text that repeated strings cover; spans may touch or overlap."""
-    rows = docs.select(row_key().alias("doc_id"), "text", F.col("doc_id").cast("long").alias("_id"))
-    return marked(rows, Plan(window, gram, words=False, keep_first=False, hot=hot), _bucket(window))
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """text, _row (a struct of all other columns), spans: byte ranges of each text that repeated strings cover; spans may touch or overlap."""
+    others = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
+    rows = docs.select(row_key().alias("doc_id"), "text", others.alias("_row"))
+    return marked(rows, Plan(window, gram, words=False, keep_first=False, hot=hot), _bucket(window)).select("text", "_row", "spans")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = 4096) -> DataFrame:
-    """row (row_key), doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of each row of docs (doc_id, text)."""
+def _kept(batch: pa.RecordBatch) -> Iterator[tuple[bytes, bytes, int]]:
+    """The bytes of each text, what is left of them, and the number of spans that went."""
+    data, offsets = text_buffer(batch.column("text"))
+    column = batch.column("spans")
+    for i in range(batch.num_rows):
+        own = data[offsets[i] : offsets[i + 1]].tobytes()
+        spans = spans_of(column, i, len(own))
+        kept, at = [], 0
+        for s, e in spans:
+            kept.append(own[at:s])
+            at = e
+        yield own, b"".join([*kept, own[at:]]), len(spans)
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (binary) of each row of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_buffer(batch.column("text"))
-            column, rows = batch.column("spans"), []
-            for i in range(batch.num_rows):
-                own = data[offsets[i] : offsets[i + 1]].tobytes()
-                spans = spans_of(column, i, len(own))
-                kept, at = [], 0
-                for s, e in spans:
-                    kept.append(own[at:s])
-                    at = e
-                left = b"".join([*kept, own[at:]])
-                rows.append((len(own), len(own) - len(left), len(spans), sha256(left).hexdigest(), left))
+            rows = [(len(own), len(own) - len(left), n, sha256(left).hexdigest(), left) for own, left, n in _kept(batch)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["row", "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return repeated_spans(docs, window, gram, hot).mapInArrow(run, "row long, doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    found = repeated_spans(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, gram, hot)
+    return found.select(F.col("_row.doc_id").alias("doc_id"), "text", "spans").mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs with repeated spans cut from text, and n_chars set anew. A character of which a span covers a part goes whole."""
-    kept = remove_repeats(docs.select("doc_id", "text"), window, gram).where("n_removed > 0").select(F.col("row").alias("_row"), F.col("kept").alias("_kept"))
+    """docs with repeated spans cut from text, and n_chars set anew. A character of which a span covers a part goes whole. Each row keeps its own columns."""
+    found = repeated_spans(docs, window, gram)
+    schema = f"_row {found.schema['_row'].dataType.simpleString()}, text string, changed boolean"
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [k.decode("utf-8", "ignore") for k in batch.column("_kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string())], names=["_row", "_text"])
+            valid, texts, changed = batch.column("text").is_valid().to_pylist(), [], []
+            for there, (own, left, n) in zip(valid, _kept(batch), strict=True):
+                texts.append((own if not n else left).decode("utf-8", "ignore") if there else None)
+                changed.append(n > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=["_row", "text", "changed"])
 
-    texts = kept.mapInArrow(whole, "_row long, _text string").dropDuplicates(["_row"])
-    out = docs.withColumn("_row", row_key()).join(texts, "_row", "left")
-    text = F.coalesce(F.col("_text"), F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_text").isNull(), F.col("n_chars")).otherwise(F.length("_text"))} if "n_chars" in docs.columns else {})
-    return out.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    out = found.mapInArrow(trimmed(run), schema)
+    own = {"text": F.col("text")} | ({"n_chars": F.when(F.col("changed"), F.length("text")).otherwise(F.col("_row.n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.select(*(own.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("row", "kept")
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
