@@ -2,12 +2,14 @@
 
 A text's vector counts the hashed 3-byte grams of its lower-cased UTF-8, with all ASCII but letters read as one space; counts go in as
 square roots, times the inverse document frequency over all training documents, scaled to length 1. For each language spherical
-k-means finds `clusters` centroids in a sample of at most `sample` different texts, chosen by the texts' hashes. A text gets the
+k-means finds `clusters` centroids in the `sample` different texts of the smallest hashes, or all if there are fewer. A text gets the
 language of the centroid with the greatest cosine, which is the score.
 
 Rejection is by distance: rejected is true where the cosine is below the language's floor for texts of that many grams, or where there
 is no letter. The floor falls with the number of grams, as short clean texts are far from any centroid.
 
+Texts are worked on `ROWS` at a time, so a vector of all features for each takes little memory however short they are.
+
 Defined cases: a null text or one without letters is `und` with score 0 and rejected; training rows with a null lang are left out; without
 any training row every text is `und`; repeated rows each get a result; a null doc_id is not held out; other columns are ignored.
 """
@@ -29,6 +31,8 @@ from glosswork.llm._base import NULL_ID, chunks, key_of, text_buffer, trimmed
 #: Features that grams are hashed to.
 FEATURES = 1 << 13
 CLUSTERS = 4
+#: Texts, and bytes of texts, whose vectors a worker holds.
+ROWS, BYTES = 256, 1 << 18
 #: Texts of one language, and of all, that centroids are clustered from.
 SAMPLE, SAMPLE_ALL = 400, 4000
 #: Share of the cosine to be expected for so many grams that a text needs.
@@ -54,6 +58,13 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.bincount((row * FEATURES + feature)[keep], minlength=rows * FEATURES).reshape(rows, FEATURES).astype(np.float32)
 
 
+def few(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs (i, j) of at most ROWS rows and about BYTES bytes."""
+    for i, j in chunks(offsets, BYTES):
+        for k in range(i, j, ROWS):
+            yield k, min(k + ROWS, j)
+
+
 def vectors(count: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.sqrt(count) * idf
     size = np.sqrt((x * x).sum(1, keepdims=True))
@@ -104,19 +115,20 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def _counted(rows: DataFrame, more: list[str]) -> DataFrame:
-    """The gram counts of each text as float32 bytes, with the columns in more."""
+def _counted(rows: DataFrame) -> DataFrame:
+    """lang, at, n of each text (lang, text): the features it has, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = pc.utf8_lower(batch.column("text"))
-            data, offsets = text_buffer(column)
-            for i, j in chunks(offsets, 1 << 18):
+            data, offsets = text_buffer(pc.utf8_lower(batch.column("text")))
+            for i, j in few(offsets):
                 x = counts(data, offsets[i : j + 1])
-                yield pa.RecordBatch.from_arrays([*(batch.column(m).slice(i, j - i) for m in more), pa.array([r.tobytes() for r in x], pa.binary())], names=[*more, "counts"])
+                row, at = np.nonzero(x)
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(row, minlength=j - i))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32))) for v in (at, x[row, at])]
+                yield pa.RecordBatch.from_arrays([batch.column("lang").slice(i, j - i), *lists], names=["lang", "at", "n"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in more)
-    return rows.select("text", *more).mapInArrow(run, f"{schema}, counts binary")
+    return rows.select("lang", "text").mapInArrow(trimmed(run), "lang string, at array<int>, n array<int>")
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Model | None:
@@ -127,33 +139,33 @@ def fit(docs: DataFrame, sample: int = SAMPLE, clusters: int = CLUSTERS) -> Mode
         total, n = np.zeros(FEATURES, np.int64), 0
         for batch in batches:
             data, offsets = text_buffer(pc.utf8_lower(batch.column("text")))
-            for i, j in chunks(offsets, 1 << 18):
+            for i, j in few(offsets):
                 total += (counts(data, offsets[i : j + 1]) > 0).sum(0)
                 n += j - i
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"feature": pa.array(np.append(at, -1).astype(np.int32)), "n": pa.array(np.append(total[at], n))})
 
     df = np.zeros(FEATURES + 1)
-    for r in known.select("text").mapInArrow(frequency, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in known.select("text").mapInArrow(trimmed(frequency), "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         df[r["feature"]] = r["n"]
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # a row a language
     if not sizes:
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(0.1)
     each = max(1, min(sample, SAMPLE_ALL // len(sizes)))
-    # by the texts' hashes: about three times as many as needed, then exactly the first
-    share = F.create_map(*(F.lit(v) for k, n in sizes.items() for v in (k, 3.0 * each / n)))
-    place = F.xxhash64("text")
-    near = known.where((place.bitwiseAND(F.lit((1 << 53) - 1)) / float(1 << 53)) < share[F.col("lang")])
-    first = near.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy(place, "text"))).where(F.col("_n") <= each)
-    rows = _counted(first, ["lang"]).collect()
+    # the texts of the smallest hashes, copies left out; every task keeps only so many of a language
+    hashed = known.select("lang", F.xxhash64("text").alias("_h")).distinct()
+    first = hashed.withColumn("_n", F.row_number().over(Window.partitionBy("lang").orderBy("_h"))).where(F.col("_n") <= each).select("lang", "_h")
+    texts = known.withColumn("_h", F.xxhash64("text")).join(F.broadcast(first), ["lang", "_h"], "left_semi").groupBy("lang", "_h").agg(F.min("text").alias("text"))
+    rows = _counted(texts).orderBy("lang").collect()
     languages = sorted(sizes)
     centroids, of, half, long = [], [], np.full(len(languages), 150.0), np.full(len(languages), 0.5)
     for i, lang in enumerate(languages):
-        own = [np.frombuffer(r["counts"], np.float32) for r in rows if r["lang"] == lang]
-        if not own:
-            continue
-        count = np.unique(np.stack(own), axis=0)
+        own = [r for r in rows if r["lang"] == lang]
+        count = np.zeros((len(own), FEATURES), np.float32)
+        for k, r in enumerate(own):
+            count[k, r["at"]] = r["n"]
+        count = np.unique(count, axis=0)
         c = kmeans(vectors(count, idf), clusters)
         centroids.append(c)
         of += [i] * len(c)
@@ -171,7 +183,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             column, doc = batch.column("text"), batch.column("doc").to_numpy()
             data, offsets = text_buffer(pc.utf8_lower(column))
             lower = batch.column("text")
-            for i, j in chunks(offsets, 1 << 18):
+            for i, j in few(offsets):
                 lettered = np.array([has_letter(t) for t in lower.slice(i, j - i).to_pylist()], bool)
                 if model is None:
                     lang, score, rejected = np.zeros(j - i, int), np.zeros(j - i), np.ones(j - i, bool)
@@ -179,7 +191,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     lang, score, rejected = model.predict(counts(data, offsets[i : j + 1]))
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i:j], mask=doc[i:j] == NULL_ID), pa.array(np.where(lettered, names[lang], "und"), pa.string()), pa.array(np.where(lettered, score, 0.0)), pa.array(rejected | ~lettered)], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -189,7 +201,7 @@ def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             keep = []
             data, offsets = text_buffer(pc.utf8_lower(batch.column("text")))
-            for i, j in chunks(offsets, 1 << 18):
+            for i, j in few(offsets):
                 lettered = np.array([has_letter(t) for t in batch.column("text").slice(i, j - i).to_pylist()], bool)
                 keep.append(lettered & ~model.predict(counts(data, offsets[i : j + 1]))[2] if model else lettered & False)
             if keep:
