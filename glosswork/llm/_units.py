@@ -11,18 +11,21 @@ REMEMBERED = 1_000_000
 
 
 class Units:
-    def __init__(self, split: Callable[[str], list[str]], learn: Callable[[list[str]], tuple[list[list[int]], list[int]]], remembered: int = REMEMBERED):
-        """split: a text's units, whose ids one after another are the text's; learn: the ids of units, and a flag for each."""
-        self.split, self.learn, self.remembered = split, learn, remembered
+    def __init__(self, split: Callable[[str], list[str]], learn: Callable[[list[str]], tuple[list[list[int]], list[int]]], remembered: int = REMEMBERED, decode: Callable[[list[list[int]]], list[str]] | None = None):
+        """split: a text's units, whose ids one after another are the text's; learn: the ids of units, and a flag for each; decode: the text of each of many lists of ids."""
+        self.split, self.learn, self.remembered, self.decode = split, learn, remembered, decode
         self._forget()
 
     def _forget(self) -> None:
         self._number: dict[str, int] = {}
+        self._text: list[str] = []
         self._ids, self._used = np.zeros(1 << 20, np.uint32), 0
         self._begin, self._size, self._flag = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _add(self, units: list[str]) -> None:
         new, flags = self.learn(units)
+        if self.decode:
+            self._text += self.decode(new)
         size = np.fromiter(map(len, new), np.int64, len(new))
         total = int(size.sum())
         while self._used + total > len(self._ids):
@@ -35,8 +38,8 @@ class Units:
         first = len(self._number)
         self._number.update(zip(units, range(first, first + len(units)), strict=True))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All ids one after another, each text's offset among them, and the sum of its units' flags."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """All ids one after another, each text's offset among them, the sum of its units' flags, and what its ids decode to."""
         if len(self._number) > self.remembered:
             self._forget()
         flat: list[str] = []
@@ -54,4 +57,5 @@ class Units:
         before = np.concatenate([[0], np.cumsum(size)])
         ids = self._ids[np.repeat(self._begin[n] - before[:-1], size) + np.arange(before[-1])]
         flags = np.concatenate([[0], np.cumsum(self._flag[n])])
-        return ids, before[ends_], flags[ends_[1:]] - flags[ends_[:-1]]
+        back = ["".join([self._text[k] for k in numbers[a:z]]) for a, z in zip(ends[:-1], ends[1:], strict=True)] if self.decode else []
+        return ids, before[ends_], flags[ends_[1:]] - flags[ends_[:-1]], back

@@ -2,8 +2,9 @@
 
 The model's protobuf is parsed, and its normaliser, white space marks, pieces with their scores and byte fallback are rebuilt as a
 tokenizers model: unigram from the scores themselves, BPE from the merges that the scores order. Batches of units, between which no piece
-can stand, are encoded by the library's threads, and a worker remembers their ids. Every unit is also encoded by SentencePiece
-itself; where the two differ its ids are used, and the document counts the unit in n_differ. So parity is verified over all text.
+can stand, are encoded by the library's threads, and a worker remembers their ids and what the library decodes these to. Ids and texts
+are the library's. SentencePiece itself only verifies parity: of every unit, or of whole texts where the model's normaliser isn't
+simple; a document counts in n_differ what the two encode differently.
 
 Defined cases: null text counts as empty and has no ids; repeated rows each get a result; a null doc_id stays null; other columns are
 ignored; an empty table gives an empty result.
@@ -22,12 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, normalizers
 
-from glosswork.llm._base import NULL_ID, chunks, key_of, text_buffer
+from glosswork.llm._base import NULL_ID, chunks, key_of, text_buffer, trimmed
 from glosswork.llm._units import Units
 
 MARK = chr(0x2581)
 #: Different units whose ids a worker remembers.
 REMEMBERED = 500_000
+#: No character of any text.
+NEVER = chr(0x10FFFF)
+_BYTE = re.compile("(?<=<)(?=0x[0-9A-F]{2}>)")
 _RUNS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -47,10 +51,15 @@ class Backend:
         with open(path, "rb") as file:
             proto.ParseFromString(file.read())
         self.pieces = [p.piece for p in proto.pieces]
+        #: Where to cut text that reads like the name of a byte's piece, which would be taken for it.
+        self.parted: re.Pattern[str] | None = None
         norm, trainer = proto.normalizer_spec, proto.trainer_spec
         unk, fallback = trainer.unk_id, trainer.byte_fallback
         if trainer.model_type == trainer.UNIGRAM:
-            self.model = models.Unigram([(p.piece, p.score) for p in proto.pieces], unk, fallback)
+            # control and unknown pieces never stand for text, so they get names that no text has
+            self.model = models.Unigram([(p.piece if p.type in (p.NORMAL, p.USER_DEFINED, p.BYTE) else NEVER + p.piece, p.score) for p in proto.pieces], unk, fallback)
+            normal = [p.piece for p in proto.pieces if p.type in (p.NORMAL, p.USER_DEFINED)]
+            self.parted = _BYTE if not any("<0" in p for p in normal) else None
         elif trainer.model_type == trainer.BPE:
             vocab = {p: i for i, p in enumerate(self.pieces)}
             self.model = models.BPE(vocab, self._merges(proto, vocab), unk_token=self.pieces[unk], fuse_unk=True, byte_fallback=fallback)
@@ -75,7 +84,7 @@ class Backend:
         self.units.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.whole = Tokenizer(self.model)
         self.whole.normalizer = self.normalizer
-        self.remembered = Units(self.split, self.learn, REMEMBERED)
+        self.remembered = Units(self.split, self.learn, REMEMBERED, self.units.decode_batch)
 
     @staticmethod
     def _merges(proto, vocab: dict[str, int]) -> list[tuple[str, str]]:
@@ -88,27 +97,37 @@ class Backend:
         return [x[2:] for x in found]
 
     def split(self, text: str) -> list[str]:
+        units = self._units(text)
+        return [v for u in units for v in self.parted.split(u)] if self.parted and "<0x" in text else units
+
+    def _units(self, text: str) -> list[str]:
         if self.simple and MARK not in text and "\x01" not in text and "  " not in text and text[0] != " ":
             return f"{MARK}{text.replace(' ', chr(1) + MARK)}".split("\x01") if self.cut else [MARK + text.replace(" ", MARK)]
         normal = self.normalizer.normalize_str(text)
         return _RUNS.findall(normal) if self.cut else [normal]
 
     def learn(self, units: list[str]) -> tuple[list[list[int]], list[int]]:
-        """Ids of normalised units; flags: 1 where the libraries differ, 1 << 20 more where decoding doesn't give the unit back."""
+        """Ids of normalised units; flags: 1 where SentencePiece has others."""
         found = [e.ids for e in self.units.encode_batch(units, add_special_tokens=False)]
+        if not self.simple:
+            return found, [0] * len(units)
+        told = self.own.encode([u[1:].replace(MARK, " ") for u in units], num_threads=1)
+        # a mark alone, or what begins without one, can't be asked for
+        return found, [int(a != b and u != MARK and u.startswith(MARK)) for a, b, u in zip(found, told, units, strict=True)]
+
+    def differ(self, texts: list[str], ids: np.ndarray, at: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        """n_differ of texts with these ids, from their units' flags, or from the texts where units can't tell."""
         if self.simple:
-            told = self.own.encode([u[1:].replace(MARK, " ") for u in units], num_threads=1)
-            told = [t if u != MARK else f for t, u, f in zip(told, units, found, strict=True)]  # a mark alone can't be asked for: no text has no ids
-        else:
-            told = found
-        back = self.units.decode_batch(told)
-        flags = [(a != b) + ((d != u.replace(MARK, " ")) << 20) for a, b, d, u in zip(found, told, back, units, strict=True)]
-        return told, flags
+            return flags
+        return np.array([int(told != ids[a:z].tolist()) for told, a, z in zip(self.own.encode(texts, num_threads=1), at[:-1], at[1:], strict=True)], np.int64)
 
-    def decode(self, ids: list[int]) -> str:
-        text = self.units.decode(ids)
+    def unmarked(self, text: str) -> str:
+        """What decoding gives, without the space that the prefix makes."""
         return text[1:] if self.prefix and text.startswith(" ") else text
 
+    def decode(self, ids: list[int]) -> str:
+        return self.unmarked(self.units.decode(ids))
+
 
 def re_(pattern: str):
     from tokenizers import Regex
@@ -137,9 +156,9 @@ def _encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         _, offsets = text_buffer(column)
         for i, j in chunks(offsets):
             texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
-            ids, at, flags = b.remembered.encode(texts)
-            decoded = [t.replace(MARK, " ") if b.simple and f < 1 << 20 else b.decode(ids[a:z].tolist()) for t, f, a, z in zip(texts, flags.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[i:j], mask=numbers[i:j] == NULL_ID), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array(decoded, pa.string()), pa.array(flags & ((1 << 20) - 1))], names=["doc_id", "ids", "decoded", "n_differ"])
+            ids, at, flags, back = b.remembered.encode(texts)
+            differ = b.differ(texts, ids, at, flags)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[i:j], mask=numbers[i:j] == NULL_ID), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))), pa.array([b.unmarked(t) for t in back], pa.string()), pa.array(differ)], names=["doc_id", "ids", "decoded", "n_differ"])
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,13 +176,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>), decoded (string), n_differ of docs (doc_id, text)."""
     path = path or model_path()
-    return _texts(docs).mapInArrow(lambda batches: _encoded(path, batches), ENCODED)
+    return _texts(docs).mapInArrow(trimmed(lambda batches: _encoded(path, batches)), ENCODED)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, n_differ: of what encode() gives, in the same workers, so that ids don't go through the JVM."""
     path = path or model_path()
-    return _texts(docs).mapInArrow(lambda batches: _digested(_encoded(path, batches)), DIGESTS)
+    return _texts(docs).mapInArrow(trimmed(lambda batches: _digested(_encoded(path, batches))), DIGESTS)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
