@@ -37,12 +37,9 @@ TASK_BINS = 200_000
 
 PIECE = np.dtype([("doc", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("crc", "<u4")])
 
-# Fixed value: the pre-tokeniser pattern of byte-level BPE vocabularies of this kind.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-
-#: Texts that can't be cut at single spaces and line feeds without changing their tokens.
+#: Texts that can't be cut at single spaces and line feeds without changing their tokens: other white space, runs of it, and special tokens.
 _BLANK = "".join(map(chr, (0x01, 0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-_ODD = re.compile(f"[{re.escape(_BLANK)}]|[ \\n][ \\n]")
+_ODD = f"[{re.escape(_BLANK)}]|[ \\n][ \\n]"
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -51,51 +48,34 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _byte_characters() -> dict[str, int]:
-    """The printable character that stands for each byte in a byte-level vocabulary: itself, or the next free one from 256."""
-    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 _encoders: dict[str, Units] = {}
 
 
 def encoder(path: str) -> Units:
-    """Ids by a byte-level BPE vocabulary file of the tokenizers library; special tokens' strings are ordinary text. One a worker process.
+    """Ids by the tokenizers library, add_special_tokens=False; one a worker process.
 
-    A text is cut before single spaces and around line feeds, where no token can cross. New units go through tiktoken, built from
-    the file's own vocabulary, if its ids are in merge order (the results are then the same and several times faster), else through
-    the tokenizers library.
+    If the file's pre-tokeniser allows it, a text is cut before single spaces and around line feeds, where no token can cross, and a worker
+    remembers the ids of these units. Texts with other white space or the strings of special tokens are units as they are.
     """
     if path not in _encoders:
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
-        vocab, merges = told["model"]["vocab"], told["model"]["merges"]
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in merges]
-        special = {t["content"] for t in told["added_tokens"]}
-        ranks = {k: v for k, v in vocab.items() if k not in special}
         plain = not told.get("normalizer") and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        if plain and len(ranks) == 256 + len(merges) and all(ranks.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs)):
-            import tiktoken
+        odd = re.compile("|".join([_ODD, *(re.escape(t["content"]) for t in told["added_tokens"])]))
+        library = Tokenizer.from_file(path)
 
-            of = _byte_characters()
-            one = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(of[c] for c in k): v for k, v in ranks.items()}, special_tokens={}).encode_ordinary
-            learn = lambda units: ([one(u) for u in units], [0] * len(units))
-        else:
-            from tokenizers import Tokenizer
-
-            slow = Tokenizer.from_file(path)
-            slow.encode_special_tokens = True
-            learn = lambda units: ([e.ids for e in slow.encode_batch(units, add_special_tokens=False)], [0] * len(units))
-        _encoders[path] = Units(_units if plain else lambda text: [text], learn, REMEMBERED)
-    return _encoders[path]
+        def split(text: str) -> list[str]:
+            if not plain or odd.search(text):
+                return [text]
+            return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
+        def learn(units: list[str]) -> tuple[list[list[int]], list[int]]:
+            return [e.ids for e in library.encode_batch_fast(units, add_special_tokens=False)], [0] * len(units)
 
-def _units(text: str) -> list[str]:
-    if _ODD.search(text):
-        return [text]
-    return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
+        _encoders[path] = Units(split, learn, REMEMBERED)
+    return _encoders[path]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -154,7 +134,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sla
             column, numbers = batch.column("text"), batch.column("doc").to_numpy()
             _, offsets = text_buffer(column)
             for i, j in chunks(offsets):
-                ids, at, _ = encode(column.slice(i, j - i).to_pylist())
+                ids, at, *_ = encode(column.slice(i, j - i).to_pylist())
                 held.append(pieces_of(numbers[i:j], ids, at, capacity))
                 if sum(map(len, held)) > TASK_BINS:
                     yield bins(held)
