@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership frequency, in DataFrame functions only.
 
 Spans of three base kinds are found in every text. The hashes of all candidates' values are then aggregated over the whole corpus by
-distinct repositories and owners: a value of several owners is a widely copied example, a value of one owner looks live. Strings in
-well-known credential formats, of kind `known`, are added to the spans where the corpus shows them to be live-looking.
+distinct repositories and owners: a value of several owners, or in more than `REPOSITORIES` repositories of one, is a widely copied
+example; a value of one owner in few repositories looks live. Strings in well-known credential formats, of kind `known`, are added to
+the spans where the corpus shows them to be live-looking.
 
 Positions are code points, ends exclusive. They come from splitting a text at the matches and adding up lengths, so Java's engine
 walks a text once to see whether there is a match at all, and again only in texts that have one.
@@ -25,8 +26,8 @@ KINDS = (
     ("hex", r"[0-9a-f]{32,}", 0, 32),
     ("known", r"gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{35}|[sr]k_live_[A-Za-z0-9]{24,}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 16),
 )
-#: A value of more owners than this is a copied example.
-OWNERS = 1
+#: A value of more owners than this, or in more repositories, is a copied example.
+OWNERS, REPOSITORIES = 1, 16
 
 SPAN = "struct<start: int, rank: int, stop: int, value: bigint>"
 
@@ -76,7 +77,7 @@ def shown(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["rank"]), s["start"], s["stop"])), ",")
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = OWNERS, repositories: int = REPOSITORIES) -> DataFrame:
     """One row for each of docs (doc_id, text and the owner's and repository's columns).
 
     doc_id, same (a hash of the text), n_assign, n_access, n_hex, base_sha256, spans (string), all (array of SPAN), n_live and n_copied: of its spans, those whose value
@@ -85,14 +86,15 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", own
     found = cut(candidates(docs, owner, repository))
     shared = ownership(found)
     marks = found.select("doc_id", "same", F.explode(F.concat("base", "known")).alias("s")).distinct()
+    live = (F.col("n_owners") <= owners) & (F.col("n_repositories") <= repositories)
     judged = (
         marks.withColumn("value", F.col("s.value"))
         .join(shared, "value")
         .groupBy(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"))
         .agg(
-            F.count_if(F.col("n_owners") <= owners).alias("n_live"),
-            F.count_if(F.col("n_owners") > owners).alias("n_copied"),
-            F.collect_set(F.when((F.col("s.rank") == 3) & (F.col("n_owners") <= owners), F.col("s"))).alias("added"),
+            F.count_if(live).alias("n_live"),
+            F.count_if(~live).alias("n_copied"),
+            F.collect_set(F.when((F.col("s.rank") == 3) & live, F.col("s"))).alias("added"),
         )
     )
     none = F.array().cast(f"array<{SPAN}>")
