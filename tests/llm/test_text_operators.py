@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from glosswork.llm import ann, chat, fingerprint, langid, ngram_join, packing, secrets, sentencepiece_tok, substring_dedup, suffix_dedup
+from glosswork.llm import _segments, ann, chat, fingerprint, langid, ngram_join, packing, secrets, sentencepiece_tok, substring_dedup, suffix_dedup
 from glosswork.llm._base import text_buffer
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -49,7 +49,7 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), 7, "x", 1, "c") for i, t in docs], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("hot", [4096, 0])
+@pytest.mark.parametrize("hot", [1000, 2, 0])
 def test_suffix_dedup(spark, hot):
     docs = corpus()
     docs.append(docs[30])  # a repeated row
@@ -70,6 +70,39 @@ def test_suffix_dedup(spark, hot):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) in found[r.doc_id]
 
 
+@pytest.mark.parametrize("words", [False, True])
+def test_dedup_survives_equal_anchors(monkeypatch, spark, words):
+    """All polynomial hashes equal, in workers too: one anchor for all texts."""
+
+    class Zero:
+        def __call__(self, prefix, a, b):
+            return np.zeros(len(a), np.uint64)
+
+    monkeypatch.setattr(_segments, "span_hash", Zero())
+    docs = [(i, (t or "").encode()) for i, t in corpus(4, 25)[:30]]
+    plan = _segments.Plan(20, 6, True, True) if words else _segments.Plan(200, 40, False, False)
+    bucket = (substring_dedup if words else suffix_dedup)._bucket(plan.window)
+    texts = pa.array([t for _, t in docs], pa.binary())
+    asked, marks = defaultdict(list), []
+    for x in _segments.batch_segments(*text_buffer(texts), np.array([i for i, _ in docs]), plan):
+        assert len(set(x["key"].tolist())) == 1
+        for doc, start, n, anchor in zip(*(x[c].tolist() for c in ("doc", "start", "n", "anchor_at"))):
+            asked[0].append((doc, start, n, anchor))
+    own = {i: t.split() if words else t for i, t in docs}
+    rows = asked[0]
+    table = pa.table({"key": pa.array([0] * len(rows)), "doc": pa.array([r[0] for r in rows]), "start": pa.array([r[1] for r in rows], pa.int32()), "anchor_at": pa.array([r[3] for r in rows], pa.int32()), "packed": pa.array([b" ".join(own[d][s : s + n]) if words else own[d][s : s + n] for d, s, n, _ in rows], pa.binary())})
+    found = set(zip(*(x.tolist() for x in bucket(table))))
+    windows = [(d, p, tuple(u[p : p + plan.window])) for d, u in own.items() for p in range(len(u) - plan.window + 1)]
+    n, first = Counter(w for _, _, w in windows), {}
+    for d, p, w in windows:
+        if words:
+            if first.setdefault(w, (d, p)) != (d, p):
+                marks.append((d, p))
+        elif n[w] > 1:
+            marks.append((d, p))
+    assert found == set(marks) and marks
+
+
 def test_suffix_sort_survives_collisions(monkeypatch):
     data = np.frombuffer(b"abcabdabcabe" * 3, np.uint8)
     begin, end = np.arange(0, 30, 3), np.full(10, len(data))
@@ -91,7 +124,7 @@ def test_without_repeats_keeps_columns_and_whole_characters(spark):
     assert rows[1].text == "ab" and rows[1].n_chars == 2 and rows[2].text == "xz" and rows[3].text == "short" and rows[4].text is None
 
 
-@pytest.mark.parametrize("hot", [4096, 0])
+@pytest.mark.parametrize("hot", [1000, 2, 0])
 def test_substring_dedup(spark, hot):
     docs = corpus(5)
     docs.append(docs[30])  # a repeated row, no earlier than itself
@@ -198,12 +231,12 @@ def test_structured_texts_are_told_apart(spark):
     bit = [bin(k).count("1") % 2 for k in range(2048)]
     word, other = "".join("ab"[b] for b in bit), "".join("ba"[b] for b in bit)
     r = random.Random(3)
-    around = [f"w{r.random()}" for _ in range(30)]
+    around = [f"w{r.random()}" for _ in range(25)]
     docs = [(1, " ".join([*around[:10], word, *around[10:]])), (2, " ".join([*around[:10], other, *around[10:]]))]
     docs += [(3, " ".join([word] * 9)), (4, " ".join([other] * 9))]
     docs += [(5, " ".join(("yes", "no")[b] for b in bit)), (6, " ".join(("no", "yes")[b] for b in bit))]
     rows = {x.doc_id: x for x in ngram_join.classes(frame(spark, docs)).collect()}
-    assert {i: x.component_id for i, x in rows.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5} if sets(docs[4][1]) == sets(docs[5][1]) else True
+    assert {i: x.component_id for i, x in rows.items()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5 if sets(docs[4][1]) == sets(docs[5][1]) else 6}
     assert all(rows[i].n_shingles == len(sets(t)) for i, t in docs)
     for x in substring_dedup.remove_later(frame(spark, docs[:4])).collect():
         assert x.n_removed == 0
@@ -245,6 +278,72 @@ def test_language_id(spark):
     assert langid.fit(rows.where("lang = 'zz'")) is None and {x.lang_pred for x in langid.predict(rows, None).collect()} == {"und"}
 
 
+def test_language_id_vectors_and_centroids(spark):
+    """Vectors, centroids, scores and rejections against plain versions over dictionaries."""
+    r = random.Random(9)
+    docs = [(i, " ".join("".join(r.choices("abcdé" if i % 2 else "fghiö", k=r.randint(2, 6))) for _ in range(r.randint(5, 60))).replace("a", "A"), "ab"[i % 2]) for i in range(60)]
+    docs += [(100, "x" * 5000 + " abc", "a"), (101, "zz 99 qq", None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(rows.select("text", "lang"), sample=15, clusters=3)
+
+    def grams(text):
+        b = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in text.lower().encode())
+        return Counter(((int.from_bytes(b[i : i + 3], "big") * 0x9E3779B1) & 0xFFFFFFFF) >> 19 for i in range(len(b) - 2) if b[i : i + 3] != b"   ")
+
+    known = [t for _, t, l in docs if l]
+    df = Counter(f for t in known for f in grams(t))
+    idf = {f: math.log((1 + len(known)) / (1 + df[f])) + 0.1 for f in range(langid.FEATURES)}
+
+    def vector(text):
+        v = {f: math.sqrt(n) * idf[f] for f, n in grams(text).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {f: x / size for f, x in v.items()}
+
+    def dot(v, c):
+        return sum(x * c[f] for f, x in v.items())
+
+    assert all(abs(float(model.idf[f]) - idf[f]) < 1e-4 for f in range(langid.FEATURES))
+    sample = {lang: sorted({t for _, t, l in docs if l == lang}, key=lambda t: hashes[t])[:15] for lang in "ab"} if (hashes := {x.text: x.h for x in rows.selectExpr("text", "xxhash64(text) AS h").collect()}) else {}
+    for k, lang in enumerate(model.languages):
+        own = [c for c, o in zip(model.centroids, model.of) if o == k]
+        assert len(own) == 3
+        members = defaultdict(list)
+        for t in sample[lang]:
+            v = vector(t)
+            members[max(range(3), key=lambda j: dot(v, own[j]))].append(v)
+        for j, vs in members.items():  # each is the scaled mean of its members
+            mean = np.zeros(langid.FEATURES)
+            for v in vs:
+                for f, x in v.items():
+                    mean[f] += x
+            assert np.allclose(mean / np.linalg.norm(mean), own[j], atol=1e-3)
+    for x in langid.predict(rows, model).collect():
+        t = next(t for i, t, _ in docs if i == x.doc_id)
+        near = [dot(vector(t), c) for c in model.centroids]
+        best = max(range(len(near)), key=lambda j: near[j])
+        lang, n = model.of[best], sum(grams(t).values())
+        assert x.lang_pred == model.languages[lang] and abs(x.score - near[best]) < 1e-4
+        floor = langid.FLOOR * model.long[lang] * math.sqrt(n / (n + model.half[lang]))
+        assert abs(near[best] - floor) < 1e-4 or x.rejected == (near[best] < floor)
+
+
+def test_language_id_keeps_languages_of_many_copies(spark):
+    same = [(i, "the same words in every row", "en") for i in range(3000)]
+    model = langid.fit(spark.createDataFrame(same, "doc_id long, text string, lang string"))
+    assert model.languages == ["en"] and len(model.centroids) == 1
+    r = random.Random(1)
+    more = [(5000 + i, " ".join("".join(r.choices("vwxyz", k=4)) for _ in range(20)), "xx") for i in range(50)]
+    rows = spark.createDataFrame([*same, *more, *((9000 + i, None if i % 2 else "", "yy") for i in range(30)), (9999, "!" * 9, "zz")], "doc_id long, text string, lang string")
+    model = langid.fit(rows.select("text", "lang"))
+    found = Counter((x.doc_id < 5000, x.lang_pred) for x in langid.predict(rows, model).where("doc_id < 9000").collect())
+    assert found == {(True, "en"): 3000, (False, "xx"): 50}
+
+
+def test_short_texts_take_little_memory():
+    offsets = np.arange(10_001) * 3
+    assert max(j - i for i, j in langid.few(offsets)) == langid.ROWS and sum(j - i for i, j in langid.few(offsets)) == 10_000
+
+
 def test_fingerprints(spark):
     docs = corpus(8)
     rows = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, docs), k=64).collect()}
@@ -278,17 +377,38 @@ def test_sketches_merge(spark):
     r = random.Random(4)
     words = [str(r.random()) for _ in range(900)]
     a, b = " ".join(words[:600]), " ".join(words[300:])
-    row = spark.createDataFrame([(a, b, " ".join(words))], "a string, b string, c string").select(*(fingerprint.sketch(F.col(c), 128).alias(c) for c in "abc"))
-    got = row.select(fingerprint.resemblance(F.col("a"), F.col("b")).alias("r"), fingerprint.containment(F.col("a"), F.col("b")).alias("c"), fingerprint.distinct_shingles(F.col("a")).alias("n"), (F.size(F.array_intersect(fingerprint.merge(F.col("a"), F.col("b")), F.col("c")))).alias("m")).first()
+    rows = spark.createDataFrame([(a, b, " ".join(words))], "a string, b string, c string").select(*(fingerprint.sketch(F.col(c), 128).alias(c) for c in "abc"), fingerprint.sketch(F.col("b"), 64).alias("d"))
+    a, b, c, d = (F.col(k) for k in "abcd")
+    got = rows.select(fingerprint.resemblance(a, b).alias("r"), fingerprint.containment(a, b).alias("c"), fingerprint.distinct_shingles(a).alias("n"), F.size(F.array_intersect(fingerprint.merge(a, b)["hashes"], c["hashes"])).alias("m"), fingerprint.merge(a, d).alias("few"), fingerprint.resemblance(a, d).alias("q")).first()
     assert abs(got.r - 296 / 896) < 0.15 and abs(got.c - 296 / 596) < 0.2 and abs(got.n - 596) < 180 and got.m >= 126
+    assert got.few.k == 64 and len(got.few.hashes) == 64 and abs(got.q - 296 / 896) < 0.2
+
+
+def test_sketches_of_parts_merge_into_that_of_the_whole(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefg", k=4)) for _ in range(500)]
+    parts = [("x", " ".join(words[i : i + 24])) for i in range(0, 480, 20)] + [("y", ""), ("y", "a b")] + [("z", None)]
+    made = fingerprint.merge_all(spark.createDataFrame(parts, "g string, t string").select("g", fingerprint.sketch(F.coalesce("t", F.lit("")), 50).alias("sketch")), "g")
+    whole = spark.createDataFrame([(" ".join(words[:484]),)], "t string").select(fingerprint.sketch(F.col("t"), 50).alias("s")).first().s
+    got = {x.g: x.sketch for x in made.collect()}
+    assert got["x"] == whole and len(got["y"].hashes) == 1 and got["z"].hashes == [] and got["z"].k == 50
+
+
+def test_next_document_after_null_ids_and_ranges(spark):
+    docs = [(None, "b c d"), (None, "a b c d e f"), (5, "first one here"), (700_000, "far"), (2_000_000, "lot"), (2_000_001, "end of all")]
+    rows = {(r.doc_id, r.n_chars): r for r in fingerprint.fingerprints(frame(spark, docs)).collect()}
+    order = [docs[1], docs[0], *docs[2:]]
+    for k, (i, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][1]
+        assert rows[i, len(t)].edited_sha256 == sha(t[: len(t) - len(t) // 2] + after[: len(t) // 2]), i
 
 
 def test_packing(spark):
     from tokenizers import Tokenizer
 
-    path = packing.tokenizer_path()
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    slow = Tokenizer.from_file(packing.tokenizer_path())
     docs = corpus(9)
     docs += [docs[20], (2000, "word " * 5000)]
     rows = packing.pack(frame(spark, docs)).collect()
@@ -315,9 +435,9 @@ def test_encoder_equals_the_tokenizers_library():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.tokenizer_path())
-    slow.encode_special_tokens = True
-    texts = [t or "" for _, t in corpus(10)] + ["\n\n x", "x \n y", "a\n\nb\n", "don't we'll 12 34\tx", " \n\nw", " a b ", "a\x01b c", "　x y z", "..\n..", "\n"]
-    ids, at, _ = packing.encoder(packing.tokenizer_path()).encode(texts)
+    assert slow.encode("a<|endoftext|>b", add_special_tokens=False).ids == [64, 50256, 65]
+    texts = [t or "" for _, t in corpus(10)] + ["\n\n x", "x \n y", "a\n\nb\n", "don't we'll 12 34\tx", " \n\nw", " a b ", "a\x01b c", "　x y z", "..\n..", "\n", "a<|endoftext|>b", "x <|endoftext|> y", "<|endoftext|>", " <|endoftext|>\n"]
+    ids, at, *_ = packing.encoder(packing.tokenizer_path()).encode(texts)
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == slow.encode(t, add_special_tokens=False).ids, t
 
@@ -367,24 +487,56 @@ def test_secrets(spark):
         assert r.base_sha256 == sha(told) and set(told.split(",")) - {""} <= set(r.spans.split(","))
     assert got[8].spans == f"known:2:{2 + len(live)}" and got[9].spans == ""  # the other is in the hands of two owners
     assert got[9].n_copied == 1 and got[8].n_live == 1
+    wide = spark.createDataFrame([(k, f"k {live}", "one", 3, "y") for k in range(20)], df.schema)  # copied widely within one owner
+    assert {(r.n_copied, r.spans) for r in secrets.scan(wide).collect()} == {(1, "")} and {(r.n_live, r.spans) for r in secrets.scan(wide.where("doc_id < 5")).collect()} == {(1, f"known:2:{2 + len(live)}")}
     clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
     assert clean[0] == "[SECRET] x" and clean[8] == "k [SECRET]" and clean[5] is None and clean[7] == "é𝒳 [SECRET] [SECRET]" + "[SECRET]"
     plan = rows._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_sentencepiece(spark):
+def unigram_model(path, **norm):
+    """A small unigram model: bytes, letters and some overlapping words with scores."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    m = pb.ModelProto()
+    kinds = m.SentencePiece
+    for piece, score, kind in [("<unk>", 0, kinds.UNKNOWN), ("<s>", 0, kinds.CONTROL), ("</s>", 0, kinds.CONTROL), *((f"<0x{b:02X}>", 0, kinds.BYTE) for b in range(256))]:
+        m.pieces.add(piece=piece, score=score, type=kind)
+    words = ["▁", "▁t", "▁th", "he", "▁the", "in", "ing", "▁ing", "est", "▁ok", "words", "▁Two", "ab", "bc", "abc", "cd", "▁▁"]
+    for k, w in enumerate([*words, *"abcdefghijklmnopqrstuvwxyzTé.!"]):
+        m.pieces.add(piece=w, score=-2 - 0.37 * k if k < len(words) else -9 - 0.01 * k, type=kinds.NORMAL)
+    m.trainer_spec.model_type, m.trainer_spec.byte_fallback, m.trainer_spec.unk_id, m.trainer_spec.vocab_size = m.trainer_spec.UNIGRAM, True, 0, len(m.pieces)
+    m.normalizer_spec.name, m.normalizer_spec.add_dummy_prefix, m.normalizer_spec.escape_whitespaces, m.normalizer_spec.remove_extra_whitespaces = "identity", norm.get("prefix", True), True, norm.get("trim", False)
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", ["bpe", "unigram", "unigram trims", "unigram without prefix"])
+def test_sentencepiece(spark, tmp_path, kind):
     import sentencepiece
 
-    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_tok.model_path())
-    docs = corpus(12) + [(3000, "a▁b  c"), (3001, "\x01 x")]
-    rows = {r.doc_id: r for r in sentencepiece_tok.digests(frame(spark, docs)).collect()}
+    path = sentencepiece_tok.model_path() if kind == "bpe" else unigram_model(tmp_path / "m.model", trim="trims" in kind, prefix="without" not in kind)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = corpus(12) + [(3001, "\x01 x"), (3002, "the thing  testing abcd the   ok "), (3003, "  in"), (3004, "a <0x41> <unk> <s>b</s>")]
+    if kind == "bpe":
+        docs.append((3000, "a▁b  c"))
+    rows = {r.doc_id: r for r in sentencepiece_tok.digests(frame(spark, docs), path).collect()}
     for i, t in docs:
         ids = np.array(sp.encode(t or ""), "<u4")
-        assert (rows[i].n_ids, rows[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())), t
+        assert (rows[i].n_ids, rows[i].ids_crc32, rows[i].n_differ) == (len(ids), zlib.crc32(ids.tobytes()), 0), t
         assert rows[i].decoded_sha256 == sha(sp.decode(ids.tolist())), t
 
 
+def test_a_wrong_backend_shows():
+    b = sentencepiece_tok.Backend(sentencepiece_tok.model_path())
+    assert b.remembered.encode(["plain words"])[2].tolist() == [0]
+    b.units.model = type(b.units.model)({p: i for i, p in enumerate(b.pieces)}, [], unk_token=b.pieces[0], fuse_unk=True, byte_fallback=True)  # no merges
+    b.remembered._forget()
+    ids, at, flags, back = b.remembered.encode(["plain words"])
+    assert flags.tolist() == [2] and b.unmarked(back[0]) == "plain words" and len(ids) == len("▁plain▁words")
+
+
 def test_chat(spark):
     r = random.Random(6)
     said = ["</s>[INST] ok [/INST]", "<|turn|>", "<\\|end|>\n", "", None, "a\nb", "<", "|end|>", "𝒳"]
