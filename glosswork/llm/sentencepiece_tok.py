@@ -69,7 +69,7 @@ class Backend:
         if norm.precompiled_charsmap:
             steps.append(normalizers.Precompiled(norm.precompiled_charsmap))
         if norm.remove_extra_whitespaces:
-            steps += [normalizers.Replace(re_(" {2,}"), " "), normalizers.Strip()]
+            steps += [normalizers.Replace(re_(" {2,}"), " "), normalizers.Replace(re_(r"\A | \z"), "")]
         if norm.add_dummy_prefix:
             steps.append(normalizers.Prepend(MARK))
         if norm.escape_whitespaces:
