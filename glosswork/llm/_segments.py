@@ -13,7 +13,7 @@ the bucket of their anchor:
    they cover. This goes on while a bucket is hot; in the end its windows have all units in common.
 4. `fetch` joins the asked segments with their texts and packs them as strings; the operator's own bucket step sorts and compares these.
 
-Equal segments are told by 128-bit BLAKE2 digests of their bytes, or of their words' digests. Anchors' hashes only deal out; two anchors
+Equal segments are told by 128-bit BLAKE2 digests of their bytes, or of their words with one space after each. Anchors' hashes only deal out; two anchors
 of one hash share a bucket, where their strings differ.
 """
 
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import U, chunks, cut, key_of, mix, parts, prefix_hashes, span_hash, text_buffer, text_bytes, trimmed, word_digests
+from glosswork.llm._base import U, chunks, cut, key_of, mix, packed_words, parts, prefix_hashes, span_hash, text_buffer, text_bytes, trimmed, word_hashes, word_spans
 
 ROWS = "key long, digest long, more long, doc long, start int, n int, anchor_at int, copies int, low int, high int"
 FETCHED = "key long, doc long, start int, anchor_at int, packed binary"
@@ -88,14 +88,19 @@ def batch_segments(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, plan
         a, z = offsets[i], offsets[j]
         own, rel = data[a:z], offsets[i : j + 1] - a
         if plan.words:
-            _, _, rel, words = word_digests(own, rel)
-            units, view, size = np.ascontiguousarray(words[:, 0]), memoryview(words.tobytes()), 16
+            starts, ends, rel = word_spans(own, rel)
+            units = word_hashes(own, starts, ends)
         else:
-            units, view, size = own.astype(U) + U(1), memoryview(np.ascontiguousarray(own)), 1
+            units = own.astype(U) + U(1)
         if (cutted := cut_windows(units, rel, plan.window, plan.gram)) is None or not len(cutted[0]):
             continue
         row, first, end, place, key = cutted
-        digest, n = _digests(view, first * size, end * size), len(row)
+        n = len(row)
+        if plan.words:
+            own, begin = packed_words(own, starts, ends)
+            digest = _digests(memoryview(own), begin[first], begin[end])
+        else:
+            digest = _digests(memoryview(np.ascontiguousarray(own)), first, end)
         yield {"key": key.view(np.int64), "digest": digest[:, 0], "more": digest[:, 1], "doc": docs[i:j][row], "start": (first - rel[row]).astype(np.int32), "n": (end - first).astype(np.int32), "anchor_at": (place - first).astype(np.int32), "low": np.zeros(n, np.int32), "high": np.full(n, plan.window - plan.gram, np.int32)}
 
 
