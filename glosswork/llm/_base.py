@@ -130,6 +130,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
+#: Bytes of a word beyond which it is digested whole.
+LONG = 256
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(9, 14)]] = True
 
@@ -149,20 +151,32 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, rel)
 
 
-def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and first words as word_spans() gives them, and the 128-bit BLAKE2 digest of each word as a row of two.
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, mixed in blocks of eight bytes; of long ones a BLAKE2 digest."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    masks = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], U)
+    size = ends - starts
+    out = mix(size.astype(U) * U(BASE))
+    at, k = np.flatnonzero(size <= LONG), 0
+    while len(at):
+        rest = size[at] - k
+        out[at] = mix(out[at] * U(BASE) + (blocks[starts[at] + k] & masks[np.minimum(rest, 8)]))
+        at, k = at[rest > 8], k + 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
-    Each different word is digested once.
-    """
-    starts, ends, first = word_spans(data, offsets)
-    if not len(starts):
-        return starts, ends, first, np.zeros((0, 2), U)
-    at = np.zeros(len(starts) + 1, np.int32)
-    np.cumsum(ends - starts, out=at[1:])
-    letters = np.ascontiguousarray(data[~SPACE[data]])  # the words, one after another
-    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
-    table = np.frombuffer(b"".join([blake2b(w, digest_size=16).digest() for w in words.dictionary.to_pylist()]), U).reshape(-1, 2)
-    return starts, ends, first, table[words.indices.to_numpy()]
+
+def packed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each begins; one more place is the end."""
+    size = ends - starts
+    begin = np.append(0, np.cumsum(size + 1))
+    out = np.full(int(begin[-1]), 0x20, np.uint8)
+    letters = data[~SPACE[data]]
+    out[np.arange(len(letters)) + np.repeat(np.arange(len(size)), size)] = letters
+    return out, begin
 
 
 def folded_hash(units: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
