@@ -49,17 +49,18 @@ LANGUAGES = {"rs": RUST, "go": GO} | dict.fromkeys(("ts", "tsx", "mts", "cts", "
 _WORDS = {"if", "for", "while", "switch", "return", "catch", "else", "do", "namespace", "class", "struct", "template", "typedef"}
 
 
-def _close(code: str, at: int, end: int) -> int:
-    """Where the brace at `at` is closed."""
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(code, at, end):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return m.start()
-    return end - 1
-
-
-def _statements(code: str, lo: int, hi: int, line_ends: bool):
+def _closings(code: str) -> dict[int, int]:
+    """Where each brace that is closed is closed."""
+    found, open_ = {}, []
+    for m in re.finditer(r"[{}]", code):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            found[open_.pop()] = m.start()
+    return found
+
+
+def _statements(code: str, closings: dict[int, int], lo: int, hi: int, line_ends: bool):
     """(begin, head's end, body's brace or None, end) of each statement."""
     at, stops = lo, re.compile(r"[;{}()\[\]\n]")
     while True:
@@ -76,7 +77,7 @@ def _statements(code: str, lo: int, hi: int, line_ends: bool):
                 depth -= 1
             elif depth <= 0 and c == "{":
                 k, body = m.start(), m.start()
-                end = _close(code, k, hi) + 1
+                end = min(closings.get(k, hi - 1), hi - 1) + 1
                 break
             elif depth <= 0 and (c in ";}" or c == "\n" and line_ends):
                 k, end = m.start(), m.start() + (c == ";")
@@ -89,11 +90,12 @@ def extract(text: str, suffix: str) -> tuple[list[Found], list[tuple[int, str]]]
     lang = LANGUAGES[suffix.lstrip(".").lower()]
     m = mask(text, lang.family)
     out: list[Found] = []
+    closings = _closings(m.code)
     patterns = [(k, re.compile(p, re.S), c) for k, p, c in lang.items]
 
     def leading(at: int) -> int:
         row = m.row(at)
-        while row and m.comment_row(row - 1) and not m.text[m.rows[row - 1] :].lstrip().startswith("//!"):
+        while row and m.comment_row(row - 1) and not m.lines[row - 1].lstrip().startswith("//!"):
             row -= 1
         return row
 
@@ -112,7 +114,7 @@ def extract(text: str, suffix: str) -> tuple[list[Found], list[tuple[int, str]]]
         return None
 
     def walk(lo: int, hi: int, prefix: str, parent: int | None, in_class: bool) -> None:
-        for begin, k, body, end in _statements(m.code, lo, hi, lang.line_ends):
+        for begin, k, body, end in _statements(m.code, closings, lo, hi, lang.line_ends):
             head = m.code[begin:k]
             if x := re.match(r"(?:#!?\[[^\]]*\]\s*|#[^\n]*\n\s*|(?:public|private|protected)\s*:\s*)+", head) if lang in (RUST, CPP) else None:
                 attributes, at = head[: x.end()], begin + x.end()
@@ -142,6 +144,5 @@ def extract(text: str, suffix: str) -> tuple[list[Found], list[tuple[int, str]]]
             break
         top.append(r)
     if lang is RUST:
-        lines = text.split("\n")
-        top = [r for r in range(len(lines)) if lines[r].lstrip().startswith("//!")]
+        top = [r for r, line in enumerate(m.lines) if line.lstrip().startswith("//!")]
     return out, m.whole_rows(top)

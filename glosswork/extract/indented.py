@@ -30,15 +30,17 @@ def _head_end(code: list[str], row: int) -> int:
     return len(code) - 1
 
 
-def _docstring(m: Masked, code: list[str], first: int, last: int) -> list[int]:
+def _docstring(m: Masked, first: int, last: int) -> list[int]:
     """Rows of a string that is the first statement."""
     for r in range(first, last + 1):
-        if m.comment_row(r) or not code[r].strip():
+        if m.comment_row(r) or not m.code_lines[r].strip():
             continue
-        begin = m.rows[r] + width(m.text[m.rows[r] :].split("\n", 1)[0])
-        for a, z in m.strings:
-            if a == begin and not m.code[z:].split("\n", 1)[0].strip():
-                return list(range(r, m.row(max(a, z - 1)) + 1))
+        begin = m.rows[r] + width(m.lines[r])
+        found = m.string_from(begin)
+        if found and found[0] == begin:
+            end = m.row(max(begin, found[1] - 1))
+            if not m.code_lines[end][found[1] - m.rows[end] :].strip():
+                return list(range(r, end + 1))
         return []
     return []
 
@@ -46,13 +48,12 @@ def _docstring(m: Masked, code: list[str], first: int, last: int) -> list[int]:
 def extract(text: str, cython: bool = False) -> tuple[list[Found], list[tuple[int, str]]]:
     """Symbols in order, and the rows of the file's docstring."""
     m = mask(text, "hash")
-    code, lines = m.code.split("\n"), text.split("\n")
-    starts_in_string = [any(a < m.rows[r] < z for a, z in m.strings) for r in range(len(lines))]
+    code, lines = m.code_lines, m.lines
     out: list[Found] = []
     open_: list[tuple[int, int, int]] = []  # width, last row, number
     r = 0
     while r < len(lines):
-        head = _HEAD.match(code[r]) if not starts_in_string[r] else None
+        head = _HEAD.match(code[r]) if r not in m.inside else None
         named = _kind(head[1], head[2]) if head and (cython or head[1] in ("def", "class")) else None
         if not named:
             r += 1
@@ -61,9 +62,9 @@ def extract(text: str, cython: bool = False) -> tuple[list[Found], list[tuple[in
         depth, last = width(lines[r]), _head_end(code, r)
         end, block = last, ":" in code[last] and not code[last].rsplit(":", 1)[1].strip()
         for k in range(last + 1, len(lines)) if block else ():
-            if code[k].strip() and not starts_in_string[k] and width(lines[k]) <= depth:
+            if code[k].strip() and k not in m.inside and width(lines[k]) <= depth:
                 break
-            if code[k].strip() or starts_in_string[k]:
+            if code[k].strip() or k in m.inside:
                 end = k
         item = r
         while item and lines[item - 1].lstrip().startswith("@") and width(lines[item - 1]) == depth:
@@ -74,12 +75,13 @@ def extract(text: str, cython: bool = False) -> tuple[list[Found], list[tuple[in
         while open_ and (depth <= open_[-1][0] or r > open_[-1][1]):
             open_.pop()
         parent = open_[-1][2] if open_ else None
-        doc = _docstring(m, code, last + 1, end)
+        doc = _docstring(m, last + 1, end)
+        said = set(doc)
         inside = out[parent].qualname + "." if parent is not None else ""
-        out.append(Found("method" if kind == "fn" and parent is not None else kind, inside + name, lead, item, end, m.whole_rows(range(item, last + 1)), m.whole_rows([*range(lead, item), *doc]), m.whole_rows(k for k in range(last + 1, end + 1) if k not in set(doc)), parent, kind == "class"))
+        out.append(Found("method" if kind == "fn" and parent is not None else kind, inside + name, lead, item, end, m.whole_rows(range(item, last + 1)), m.whole_rows([*range(lead, item), *doc]), m.whole_rows(k for k in range(last + 1, end + 1) if k not in said), parent, kind == "class"))
         if kind == "class" and block:
             open_.append((depth, end, len(out) - 1))
             r = last + 1
         else:
             r = end + 1
-    return out, [] if cython else m.whole_rows(_docstring(m, code, 0, len(lines) - 1))
+    return out, [] if cython else m.whole_rows(_docstring(m, 0, len(lines) - 1))

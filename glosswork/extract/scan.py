@@ -7,8 +7,11 @@ grammars: what a macro or a preprocessor hides from them isn't found, and no err
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import accumulate
 
 
 @dataclass
@@ -25,39 +28,42 @@ class Found:
     container: bool = False
 
 
-@dataclass
 class Masked:
-    text: str
-    code: str
-    #: Spans of comments and of strings.
-    comments: list[tuple[int, int]]
-    strings: list[tuple[int, int]]
-    #: Offset of each row.
-    rows: list[int]
+    """A text with its comments and strings told apart from code. All questions about a row are settled in one pass over the spans."""
+
+    def __init__(self, text: str, code: str, comments: list[tuple[int, int]], strings: list[tuple[int, int]]):
+        self.text, self.code, self.comments, self.strings = text, code, comments, strings
+        self.lines, self.code_lines = text.split("\n"), code.split("\n")
+        #: Offset of each row.
+        self.rows = [0, *accumulate(len(line) + 1 for line in self.lines[:-1])]
+        self._string_at = [a for a, _ in strings]
+        self._commented = {r for a, z in comments for r in range(self.row(a), self.row(max(a, z - 1)) + 1)}
+        #: Rows that begin inside a string.
+        self.inside = {r for a, z in strings for r in range(self.row(a) + 1, self.row(max(a, z - 1)) + 1)}
 
     def row(self, at: int) -> int:
-        from bisect import bisect_right
-
         return bisect_right(self.rows, at) - 1
 
     def parts(self, a: int, z: int) -> list[tuple[int, str]]:
         """The text from a to z as (row, text)."""
-        first = self.row(a)
-        return [(first + i, line) for i, line in enumerate(self.text[a:z].split("\n"))]
+        return list(enumerate(self.text[a:z].split("\n"), self.row(a)))
+
+    def whole_rows(self, rows: Iterable[int]) -> list[tuple[int, str]]:
+        return [(r, self.lines[r]) for r in rows]
 
-    def whole_rows(self, rows) -> list[tuple[int, str]]:
-        lines = self.text.split("\n")
-        return [(r, lines[r]) for r in rows]
+    def string_from(self, at: int) -> tuple[int, int] | None:
+        """The string that begins at or is nearest before an offset."""
+        k = bisect_right(self._string_at, at) - 1
+        return self.strings[k] if k >= 0 else None
 
     def in_string(self, row: int) -> bool:
-        line = self.text[self.rows[row] :].split("\n", 1)[0]
-        at = self.rows[row] + len(line) - len(line.lstrip(" \t"))
-        return any(a < at < z for a, z in self.strings)
+        at = self.rows[row] + width(self.lines[row])
+        found = self.string_from(at)
+        return found is not None and found[0] < at < found[1]
 
     def comment_row(self, row: int) -> bool:
         """A row that holds a comment and nothing else."""
-        end = self.rows[row + 1] - 1 if row + 1 < len(self.rows) else len(self.text)
-        return bool(self.text[self.rows[row] : end].strip()) and not self.code[self.rows[row] : end].strip() and any(a < end and z > self.rows[row] for a, z in self.comments)
+        return row in self._commented and not self.code_lines[row].strip() and bool(self.lines[row].strip())
 
 
 # How comments and strings begin and end, by family.
@@ -87,8 +93,7 @@ def mask(text: str, family: str) -> Masked:
         out.append(inner if is_comment or len(inner) < 2 else f'"{inner[1:-1]}"')
         at = z
     out.append(text[at:])
-    rows = [0, *(m.end() for m in re.finditer("\n", text))]
-    return Masked(text, "".join(out), comments, strings, rows)
+    return Masked(text, "".join(out), comments, strings)
 
 
 def width(line: str) -> int:
