@@ -105,67 +105,191 @@ def test_lifecycle(spark):
     assert [r.action for r in gone.collect()] == ["dropped"]
 
 
-RUST = f"""//! Module.
-//! {M} 说明
-
-/// A book.
-/// {M} 书
-#[derive(Debug)]
-pub struct Shelf {{
-    // {M} 左
-    left: Vec<u8>,
+RUST = f"""//! Kitchen timers.
+//! {M} 计时
+
+use std::time::Duration;
+
+/// How loud a timer rings.
+/// {M} 音量
+#[repr(u8)]
+pub enum Ring {{
+    Soft = 1,
+    // {M} 响
+    Loud,
 }}
 
-// {M} 块
-impl Shelf {{
-    /// New.
-    pub fn new() -> Self {{
-        // {M} 空
-        Self {{ left: vec![] }}
+// {M} 行为
+impl Ring {{
+    /// Seconds until it stops.
+    pub const fn lasts(&self) -> u64 {{
+        // {M} 秒
+        match self {{ Ring::Soft => 3, Ring::Loud => 30 }}
     }}
 
-    fn tiny(&self) {{}}
+    fn id(&self) {{}}
 }}
 
 #[cfg(test)]
-mod tests {{
-    fn t() {{}}
+mod checks {{
+    fn rings() {{}}
 }}
 """
 
 
 def found(path, text):
-    return {r["qualname"]: r for r in index.index(path, text)}
+    return {r["qualname"]: r for r in (dict(zip(index.NAMES, row, strict=True)) for row in index.rows_of(path, text))}
 
 
 def test_rust():
-    s = found("a.rs", RUST)
-    assert {k: len(v["zh_rows"]) for k, v in s.items()} == {"<module>": 1, "Shelf": 2, "impl Shelf": 1, "impl Shelf::new": 1, "impl Shelf::tiny": 0}
-    assert s["Shelf"]["translatable"] and not s["impl Shelf"]["translatable"] and not s["impl Shelf::tiny"]["translatable"]
-    plain = found("a.rs", "".join(l for l in RUST.splitlines(True) if M not in l))
-    assert all(s[k][h] == plain[k][h] for k in s for h in ("sig", "doc", "body"))
-    other = found("a.rs", RUST.replace("left: vec![] ", "left: Vec::new() "))
-    assert other["impl Shelf::new"]["body"] != s["impl Shelf::new"]["body"] and other["impl Shelf"]["body"] == s["impl Shelf"]["body"]
-    docs = found("a.rs", RUST.replace("/// New.", "/// Makes one."))
-    assert docs["impl Shelf::new"]["doc"] != s["impl Shelf::new"]["doc"] and docs["impl Shelf::new"]["body"] == s["impl Shelf::new"]["body"]
+    s = found("timer.rs", RUST)
+    assert {k: len(v["zh_rows"]) for k, v in s.items()} == {"<module>": 1, "Ring": 2, "impl Ring": 1, "impl Ring::lasts": 1, "impl Ring::id": 0}
+    assert [k for k, v in s.items() if v["translatable"]] == ["<module>", "Ring", "impl Ring::lasts"]
+    bare = found("timer.rs", "".join(line for line in RUST.splitlines(True) if M not in line))
+    assert {(k, h): s[k][h] for k in s for h in ("sig", "doc", "body")} == {(k, h): bare[k][h] for k in s for h in ("sig", "doc", "body")}
+    for before, after, want in (("=> 30", "=> 45", {("impl Ring::lasts", "body")}), ("Seconds until", "How long before", {("impl Ring::lasts", "doc")}), ("-> u64", "-> u32", {("impl Ring::lasts", "sig")}), ("Soft = 1", "Soft = 2", {("Ring", "body")})):
+        other = found("timer.rs", RUST.replace(before, after))
+        assert {(k, h) for k in s for h in ("sig", "doc", "body") if s[k][h] != other[k][h]} == want
+
+
+def test_a_containers_body_has_a_line_for_each_child():
+    text = "class Jar:\n    size = 3\n\n    # fills\n    def fill(self):\n        return 1\n\n    lid = True\n"
+    s = found("jar.py", text)
+    assert s["Jar"]["body"] == index.digest("    size = 3\n\n⟨method Jar.fill⟩\n\n    lid = True")
+    assert s["<module>"]["body"] == index.digest("class Jar")
+
+
+GO = f"""package depot
+
+// {M} 箱
+// Crate holds parts.
+type Crate[T any] struct {{
+\tparts []T
+}}
+
+// Weight is in grams; "}}" is no end.
+func (c Crate[T]) Weight(each int) (int, error) {{
+\tif each < 0 {{
+\t\treturn 0, errors.New(`{{`)
+\t}}
+\treturn each * len(c.parts), nil
+}}
+
+func open() {{}}
+"""
+TYPESCRIPT = """// Draws a map.
+export abstract class Atlas<K> implements Book {
+  private readonly scale = 4;
+  static async load(url: string): Promise<Atlas<string>> {
+    if (url) { return fetch(`${url}{`); }
+    return null;
+  }
+}
+interface Legend { icons: string[] }
+export const zoom = async (by: number): Promise<void> => { await by; };
+const zones = [1, 2];
+export enum Tone { Dark, Light }
+"""
+CPP = """#include <map>
+namespace ship {
+template <class K, class V>
+class Hold final : private std::map<K, V> {
+ public:
+  ~Hold() {}
+  bool full() const noexcept { return size() > 9; } // }
+};
+union Tag { int n; char c[4]; };
+}  // namespace ship
+static long ship_sum(const long *p, int n)
+{
+  long s = 0;
+  while (n--) s += *p++;
+  return s;
+}
+extern "C" {
+int dock(void) { return 0; }
+}
+struct Crew;
+"""
+PYTHON = '''"""Weather."""
+import math
+
+class Station:
+    """Measures."""
+
+    unit = "C"
+
+    @property
+    # rounded
+    def warm(self):
+        def half(x):
+            return x / 2
+        return half(3)
+
+async def report(*args, sep=", "): return sep.join(args)
+'''
+CYTHON = """cdef struct Point:
+    double x, y
+
+cdef class Track:
+    cdef list points
+
+    cpdef double length(self,
+                        bint closed=False) except -1:
+        # sums
+        return 0
+
+    def __len__(self):
+        return 1
+
+cdef inline double far(double a, double b) nogil:
+    return a - b
+"""
 
 
 @pytest.mark.parametrize(
     ("path", "text", "want"),
     [
-        ("b.go", f"package b\n\n// {M} 书\n// Book is.\ntype Book struct {{\n\tBids []int\n}}\n\nfunc (b *Book) Add(x int) int {{\n\ts := \"}}\"\n\treturn x\n}}\n\nfunc Free() {{}}\n", {"Book": "type", "Book.Add": "fn", "Free": "fn"}),
-        ("w.ts", "/** A. */\nexport class Widget extends Base {\n  render(x: number): string {\n    return \"a\";\n  }\n}\nexport interface Props { a: number }\nexport const make = (a: number) => {\n  return a;\n};\nconst limit = 3;\ntype Alias = string;\n", {"Widget": "class", "Widget.render": "method", "Props": "interface", "make": "fn", "Alias": "type"}),
-        ("t.cpp", "namespace ns {\n/// A.\nclass Thing : public Base {\n public:\n  int get() const { return 1; }\n};\ntemplate <typename T>\nT add(T a, T b) { return a + b; }\n}\nint Thing2::method(int x) { return x; }\nstruct S { int a; };\nstruct S *p;\nextern \"C\" {\nvoid c_api(void) {}\n}\n", {"ns": "mod", "ns::Thing": "class", "ns::Thing::get": "fn", "ns::add": "fn", "Thing2::method": "fn", "S": "struct", "c_api": "fn"}),
-        ("e.py", "\"\"\"Mod.\"\"\"\n\nclass E:\n    \"\"\"Doc.\"\"\"\n\n    @staticmethod\n    def check(o):\n        def inner():\n            pass\n        return o\n\nasync def go(): pass\n", {"E": "class", "E.check": "method", "go": "fn"}),
-        ("r.pyx", "cdef class Risk(Base):\n    \"\"\"Doc\n    more\n\"\"\"\n\n    def __init__(self, int x):\n        self.x = x\n\n    cpdef void check(\n        self,\n        Order order,\n    ):\n        return\n\ncdef inline double _price(double p):\n    return p\n", {"Risk": "class", "Risk.__init__": "method", "Risk.check": "method", "_price": "fn"}),
+        ("depot.go", GO, {"Crate": "type", "Crate.Weight": "fn", "open": "fn"}),
+        ("atlas.ts", TYPESCRIPT, {"Atlas": "class", "Atlas.load": "method", "Legend": "interface", "zoom": "fn", "Tone": "enum"}),
+        ("hold.cpp", CPP, {"ship": "mod", "ship::Hold": "class", "ship::Hold::~Hold": "fn", "ship::Hold::full": "fn", "ship::Tag": "union", "ship_sum": "fn", "dock": "fn"}),
+        ("weather.py", PYTHON, {"Station": "class", "Station.warm": "method", "report": "fn"}),
+        ("track.pyx", CYTHON, {"Point": "struct", "Track": "class", "Track.length": "method", "Track.__len__": "method", "far": "fn"}),
     ],
 )
 def test_other_languages(path, text, want):
-    assert {k: v["kind"] for k, v in found(path, text).items() if v["kind"] != "module"} == want
+    s = found(path, text)
+    assert {k: v["kind"] for k, v in s.items() if v["kind"] != "module"} == want
+    if M in text:
+        bare = found(path, "".join(line for line in text.splitlines(True) if M not in line))
+        assert all(s[k][h] == bare[k][h] for k in s for h in ("sig", "doc", "body"))
+
+
+def test_marker_and_policy_can_be_set(spark):
+    files = spark.createDataFrame([("a.py", "# @ar x\ndef f():\n    pass\n")], "path string, text string")
+    got = {r.qualname: (r.translatable, r.zh_rows) for r in index.symbols(files, "@ar", index.Policy(least_lines=1)).collect()}
+    assert got == {"<module>": (True, []), "f": (True, [0])}
+    index.register(spark)
+    files.createOrReplaceTempView("some_files")
+    rows = spark.sql("SELECT s.id FROM some_files f, LATERAL glosswork_symbols(f.path, f.text, '@ar') s WHERE s.zh IS NOT NULL").collect()
+    assert [r.id for r in rows] == ["a.py#f"]
+
+
+def test_long_files_take_linear_time():
+    import time
+
+    def seconds(n):
+        text = "".join(f'# about {i}\ndef f{i}(x):\n    """Doc {i}."""\n    s = "a"\n    return x\n\n' for i in range(n))
+        began = time.perf_counter()
+        assert len(list(index.rows_of("a.py", text))) == n + 1
+        return time.perf_counter() - began
+
+    seconds(500)
+    assert seconds(8000) < 40 * max(seconds(500), 0.005)
 
 
 def test_same_names_are_numbered():
-    assert [r["id"] for r in index.index("a.py", "def f(): pass\ndef f(): pass\n")][1:] == ["a.py#f", "a.py#f~2"]
+    assert [r[0] for r in index.rows_of("a.py", "def f(): pass\ndef f(): pass\n")][1:] == ["a.py#f", "a.py#f~2"]
 
 
 @pytest.mark.parametrize(
@@ -182,16 +306,24 @@ def test_lint(path, text, want):
 
 
 def test_reattach(spark):
-    ours = f"/// Adds.\n/// {M} 加法\npub fn add(a: i32, b: i32) -> i32 {{\n    // {M} 直接\n    a + b\n}}\n\n// {M} 删除\npub fn gone() {{}}\n"
-    theirs = "use std::ops::Add;\n\n/// Adds two values.\npub fn add(a: i32, b: i32) -> i32 {\n    let c = 0;\n    a + b + c\n}\n"
+    ours = f"fn brew(cups: u8) {{\n    // {M} 烧水\n    heat();\n    // {M} 倒\n    pour(cups);\n}}\n\n/// Cleans.\n/// {M} 清洗\nfn rinse() {{\n    water();\n}}\n\n/// {M} 不再\nfn grind() {{}}\n"
+    theirs = "mod beans;\n\n/// Cleans all.\nfn rinse() {\n    water();\n}\n\nfn brew(cups: u8) {\n    fill();\n    heat();\n    serve(cups);\n}\n"
     a, b = (spark.createDataFrame([("x.rs", t)], "path string, text string") for t in (ours, theirs))
     sa, sb = (index.symbols(t).where("kind != 'module'").select("path", "id", "start", "end", "item_row", F.col("start").alias("ord")) for t in (a, b))
     placed = tables.settled(reattach.place(a, b, tables.settled(sa), tables.settled(sb), T.SLASH))
-    assert {r.id: r.outcome for r in placed.collect() if r.outcome == "orphaned"} == {"x.rs#gone": "orphaned"}
-    want = f"use std::ops::Add;\n\n/// Adds two values.\n/// {M} 加法\npub fn add(a: i32, b: i32) -> i32 {{\n    // {M} 直接\n    let c = 0;\n    a + b + c\n}}\n"
+    assert {(r.id, r["first"]): (r.outcome, r["at"]) for r in placed.collect()} == {("x.rs#brew", 1): ("reattached", 9), ("x.rs#brew", 3): ("reattached", 10), ("x.rs#rinse", 8): ("reattached", 3), ("x.rs#grind", 13): ("orphaned", None)}
+    want = f"mod beans;\n\n/// Cleans all.\n/// {M} 清洗\nfn rinse() {{\n    water();\n}}\n\nfn brew(cups: u8) {{\n    fill();\n    // {M} 烧水\n    heat();\n    // {M} 倒\n    serve(cups);\n}}\n"
     assert reattach.rebuild(a, b, placed, T.SLASH).first().text == want
 
 
+def test_reattached_past_the_end_keeps_its_margin(spark):
+    ours, theirs = f"class A:\n    x = 1\n    # {M} 注\n    y = 2\n", "class A:\n    x = 1"
+    a, b = (spark.createDataFrame([("x.py", t)], "path string, text string") for t in (ours, theirs))
+    none = spark.createDataFrame([], "path string, id string, start long, end long, item_row long, ord int")
+    placed = tables.settled(reattach.place(a, b, none, none))
+    assert reattach.rebuild(a, b, placed).first().text == f"class A:\n    x = 1\n    # {M} 注"
+
+
 def test_verify(spark):
     up = [("a.py", "x\n"), ("gone.py", "x\n"), ("t.txt", "a"), ("g.py", "1\n"), ("b.py", "b")]
     mine = [("a.py", f"# {M} n\nx\n"), ("new.py", ""), ("t.txt", "b"), ("g.py", "2\n"), ("b.py", "b\0"), (".study/x", "")]
@@ -221,12 +353,41 @@ def test_documents(spark):
 
 
 def test_glossary(spark):
-    g = tables.glossary(spark, [("a", "terms:\n  fill: {en: Fill, zh: 成交, avoid: [填充]}\n"), ("b", "terms:\n  fill: {en: Fill, zh: 填充}\n  Bad-Key: {en: x, zh: y}\n")])
-    assert {(r.key, r.problem) for r in terms.validate(g).collect()} == {("fill", "conflict"), ("Bad-Key", "bad-key")}
-    assert {r.key: r.zh for r in terms.merge(g).collect()} == {"fill": "填充", "Bad-Key": "y"}
-    glossary = [{"key": "fill", "en": "Fill", "zh": "成交", "avoid": ["填充"], "aliases": []}]
-    rows = spark.createDataFrame([("a.rs", 1, "零数量填充", "// padding"), ("a.rs", 2, "处理填充", "fn on_fill(fill: X)"), ("a.rs", 3, "填充", "refilled")], "path string, row int, text string, context string")
-    assert [r.row for r in terms.lint(rows, glossary).collect()] == [2]
+    first, second = "terms:\n  parcel: {en: Parcel, zh: 包裹, avoid: [封包]}\n  lane: {en: Lane, zh: 航线}\n", "terms:\n  parcel: {en: Parcel, zh: 封包}\n  2nd-leg: {en: leg, zh: 段, avoid: [段]}\n"
+    g = tables.glossary(spark, [("freight", first), ("post", second)])
+    assert {(r.key, r.domain, r.problem) for r in terms.validate(g).collect()} == {("parcel", "post", "conflict"), ("2nd-leg", "post", "bad-key"), ("2nd-leg", "post", "avoids-itself")}
+    assert {r.key: r.zh for r in terms.merge(g).collect()} == {"parcel": "封包", "lane": "航线", "2nd-leg": "段"}
+    glossary = [{"key": "parcel", "en": "Parcel", "zh": "包裹", "avoid": ["封包"], "aliases": ["box"]}]
+    rows = [("m.rs", 3, "一个封包", "struct Sled;"), ("m.rs", 5, "称封包", "fn weigh(parcel: &P)"), ("m.rs", 7, "封包", "parcels sandbox"), ("m.rs", 9, "封包", "// a Box"), ("m.rs", 11, "包裹", "parcel")]
+    assert sorted(r.row for r in terms.lint(spark.createDataFrame(rows, "path string, row int, text string, context string"), glossary).collect()) == [5, 9]
+
+
+def test_front_matter(spark):
+    texts = {"flow": "---\ntitle: 'Ways # 1'\nanchors: [a.rs#x, \"b c.py\", 'd.go#T.M']\n---\nx", "block": "---\nanchors: # all\n- a.rs#x # here\n\n  # none\n- \"b.py\"\nother: 1\n---\n", "none": "---\nanchors: []\n---\n", "plain": "anchors: [a]\n"}
+    rows = {r.path: (r.title, r.anchors) for r in notes.parse(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
+    assert rows == {"flow": ("Ways # 1", ["a.rs#x", "b c.py", "d.go#T.M"]), "block": ("block", ["a.rs#x", "b.py"]), "none": ("none", []), "plain": ("plain", [])}
+
+
+def test_whole_file_anchors_hash_by_id(spark):
+    s = spark.createDataFrame([("A.b", "A", "1", "2", "3"), ("A", "A", "4", "5", "6")], "id string, path string, sig string, doc string, body string").withColumn("id", F.concat(F.lit("f#"), "id")).withColumn("path", F.lit("f"))
+    got = notes.anchor_hashes(spark.createDataFrame([("f",)], "anchor string"), s).first().hash
+    import hashlib
+
+    short = lambda x: hashlib.sha256(x.encode()).hexdigest()[:12]
+    assert got == short("\n".join(f"{i}:{short(h)}" for i, h in sorted([("f#A.b", "1|2|3"), ("f#A", "4|5|6")])))
+
+
+def test_addresses(spark):
+    for url, want in (("http://github.com/o/n.git", "o/n"), ("ssh://git@github.com:22/o/n", "o/n"), ("git@github.com:o/n.git", "o/n"), ("https://github.com/o/n/", "o/n"), ("https://example.com/o/n", None)):
+        assert one(spark, T.repository_of(F.col("u")), u=url) == want
+
+
+def test_ancestors_of_a_long_line(spark):
+    line = spark.range(1, 60).select("id", (F.col("id") - 1).alias("p")).selectExpr("id AS sha", "p AS parent")
+    got = registry.ancestors(line, spark.createDataFrame([(40,)], "sha long"), 8).collect()
+    assert sorted(r.ancestor for r in got) == list(range(41))
+    between = registry.commit_range(line, spark.createDataFrame([(30,)], "sha long"), spark.createDataFrame([(33,)], "sha long"))
+    assert sorted(r.sha for r in between.collect()) == [31, 32, 33]
 
 
 def test_versions(spark):
