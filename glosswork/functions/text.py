@@ -90,7 +90,7 @@ def version_key(tag: Column) -> Column:
 
 def repository_of(url: Column) -> Column:
     """owner/name of a repository's address; null for another address."""
-    return F.nullif(F.regexp_extract(url, r"^(?:https://github\.com/|git@github\.com:)([^/]+/[^/]+?)(?:\.git)?/?$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, r"^(?:(?:https?|ssh|git)://(?:[^@/]+@)?github\.com(?::\d+)?/|(?:[^@/]+@)?github\.com:)([^/]+/[^/]+?)(?:\.git)?/?$", 1), F.lit(""))
 
 
 def escape_html(text: Column) -> Column:

@@ -5,7 +5,7 @@ docs: path, body_sha, anchors array<string>. hashes: anchor, hash. records: path
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
@@ -18,17 +18,26 @@ def parse(files: DataFrame) -> DataFrame:
     """docs from (path, text): title and anchors of the front matter, and the hash of the rest, white space included."""
     front = F.regexp_extract("text", r"(?s)\A---\n(.*?)\n---\n", 1)
     body = F.regexp_replace("text", r"(?s)\A---\n.*?\n---\n", "")
-    listed = F.regexp_extract(front, r"(?m)^anchors:[ \t]*\n((?:[ \t]+-[ \t]+.*(?:\n|\z))*)", 1)
-    anchors = F.transform(F.regexp_extract_all(listed, F.lit(r"(?m)^[ \t]+-[ \t]+(.*?)(?:[ \t]+#[ \t].*)?$"), F.lit(1)), lambda a: F.trim(a))
+    listed = F.regexp_extract(front, r"(?m)^anchors:[ \t]*(?:#.*)?\n((?:[ \t]*(?:-[ \t]+.*|#.*)?(?:\n|\z))*)", 1)
+    items = F.regexp_extract_all(listed, F.lit(r"(?m)^[ \t]*-[ \t]+(.*?)[ \t]*$"), F.lit(1))
+    flow = F.regexp_extract(front, r"(?m)^anchors:[ \t]*\[([^\]]*)\]", 1)
+    items = F.when(flow != "", F.regexp_extract_all(flow, F.lit(r"[ \t\n]*(\"[^\"]*\"|'[^']*'|[^,]+)[ \t\n]*"), F.lit(1))).otherwise(items)
+
+    def scalar(value: Column) -> Column:
+        """A plain or quoted YAML scalar; a comment begins at a # after white space."""
+        quoted = F.regexp_extract(value, r"^(?:\"([^\"]*)\"|'([^']*)')", 0)
+        return F.when(quoted != "", F.substring(quoted, F.lit(2), F.length(quoted) - 2)).otherwise(F.trim(F.regexp_replace(value, r"(?:^|[ \t])#.*$", "")))
+
+    anchors = F.filter(F.transform(items, lambda a: scalar(F.trim(a))), lambda a: a != "")
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    title = F.coalesce(F.nullif(F.trim(F.regexp_extract(front, r"(?m)^title:[ \t]*(.*)$", 1)), F.lit("")), stem)
+    title = F.coalesce(F.nullif(scalar(F.trim(F.regexp_extract(front, r"(?m)^title:[ \t]*(.*)$", 1))), F.lit("")), stem)
     return files.select("path", title.alias("title"), anchors.alias("anchors"), T.short_sha(body).alias("body_sha"))
 
 
 def anchor_hashes(anchors: DataFrame, symbols: DataFrame) -> DataFrame:
     """anchor, hash (null if it is gone) of anchors (anchor) `path#symbol` or `path`; symbols: id, path, sig, doc, body."""
     own = symbols.select("id", "path", T.short_sha(F.concat_ws("|", "sig", "doc", "body")).alias("h"))
-    whole = own.groupBy("path").agg(T.short_sha(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", "id", "h"))), "\n")).alias("whole"))
+    whole = own.groupBy("path").agg(T.short_sha(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "h"))), lambda x: F.concat_ws(":", x["id"], x["h"])), "\n")).alias("whole"))
     rows = anchors.select("anchor").distinct()
     return rows.join(own.select(F.col("id").alias("anchor"), "h"), "anchor", "left").join(whole.select(F.col("path").alias("anchor"), "whole"), "anchor", "left").select("anchor", F.coalesce("h", "whole").alias("hash"))
 

@@ -51,12 +51,17 @@ def place(ours: DataFrame, theirs: DataFrame, our_symbols: DataFrame, their_symb
 
 
 def rebuild(ours: DataFrame, theirs: DataFrame, placed: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
-    """path, text: theirs with the placed blocks inserted, indented as the line they go before; equal places keep the blocks' order."""
+    """path, text: theirs with the placed blocks inserted, indented as the line they go before, or, where that is blank or there is none, as the line they stood before.
+
+    Equal places keep the blocks' order.
+    """
     own = explode_lines(ours).where(T.is_annotation(F.col("line"), tokens)).select("path", "row", "line")
-    goes = placed.where("at IS NOT NULL").select(F.col("path").alias("_path"), F.col("first").alias("_first"), "n", "at")
+    goes = placed.where("at IS NOT NULL").select(F.col("path").alias("_path"), F.col("first").alias("_first"), "n", "at", "outcome")
     moved = own.join(goes, (F.col("path") == F.col("_path")) & (F.col("row") >= F.col("_first")) & (F.col("row") < F.col("_first") + F.col("n")))
     other = explode_lines(theirs).select("path", "row", "line")
-    margin = other.select("path", F.col("row").alias("at"), T.indent(F.col("line")).alias("margin"))
-    moved = moved.join(margin, ["path", "at"], "left").select("path", F.struct(F.col("at").alias("a"), F.lit(0).alias("b"), F.col("row").alias("c")).alias("k"), F.concat(F.coalesce("margin", F.lit("")), F.regexp_replace("line", r"^[ \t]+", "")).alias("line"))
+    margin = other.where(T.strip(F.col("line")) != "").select("path", F.col("row").alias("at"), T.indent(F.col("line")).alias("margin"))
+    stood = neighbours(explode_lines(ours), tokens).select(F.col("path").alias("_p"), F.col("row").alias("_row"), T.indent(F.coalesce("nxt", F.lit(""))).alias("stood"))
+    moved = moved.join(stood, (F.col("path") == F.col("_p")) & (F.col("_row") == F.col("_first") + F.col("n") - 1)).drop("_p", "_row")
+    moved = moved.join(margin, ["path", "at"], "left").withColumn("margin", F.coalesce("margin", F.when(F.col("outcome") == "reattached", F.col("stood")))).select("path", F.struct(F.col("at").alias("a"), F.lit(0).alias("b"), F.col("row").alias("c")).alias("k"), F.concat(F.coalesce("margin", F.lit("")), F.regexp_replace("line", r"^[ \t]+", "")).alias("line"))
     rows = other.select("path", F.struct(F.col("row").alias("a"), F.lit(1).alias("b"), F.lit(0).cast("long").alias("c")).alias("k"), "line").unionByName(moved)
     return rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))

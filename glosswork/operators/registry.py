@@ -24,24 +24,25 @@ def version_rank(tags: DataFrame) -> DataFrame:
 def tree(projects: DataFrame, categories: DataFrame) -> DataFrame:
     """category, pos, project: projects (project, categories array) under their categories (id, name, pos); an unknown category keeps its key and comes last."""
     rows = projects.select("project", F.explode("categories").alias("id")).join(categories, "id", "left")
-    return rows.select(F.coalesce("name", "id").alias("category"), "pos", "project")
+    return rows.select(F.coalesce("name", "id").alias("category"), "pos", "project").orderBy(F.asc_nulls_last("pos"), "category", "project")
 
 
-def ancestors(parents: DataFrame, of: DataFrame, most: int = 64) -> DataFrame:
-    """sha, ancestor for each commit of `of` (sha), itself included; parents: sha, parent. Rounds double the paths they know, so a line of 2**most commits is the limit."""
+def ancestors(parents: DataFrame, of: DataFrame, hops: int = 16) -> DataFrame:
+    """sha, ancestor for each commit of `of` (sha), itself included; parents: sha, parent.
+
+    Only what is found anew goes on, so work follows the commits that are reached. A round takes `hops` steps before its result is written.
+    """
     from glosswork.sources.tables import settled
 
-    step = settled(parents.select("sha", "parent").distinct())
-    known = settled(of.select("sha", F.col("sha").alias("ancestor")).unionByName(of.join(step, "sha").select("sha", F.col("parent").alias("ancestor"))).distinct())
-    reach = step
-    n = known.count()
-    for _ in range(most):
-        known = settled(known.unionByName(known.join(reach.select(F.col("sha").alias("ancestor"), "parent"), "ancestor").select("sha", F.col("parent").alias("ancestor"))).distinct())
-        grown = known.count()
-        if grown == n:
-            break
-        n = grown
-        reach = settled(reach.unionByName(reach.alias("a").join(reach.alias("b"), F.col("a.parent") == F.col("b.sha")).select("a.sha", "b.parent")).distinct())
+    step = settled(parents.select(F.col("sha").alias("ancestor"), "parent").distinct())
+    known = new = settled(of.select("sha", F.col("sha").alias("ancestor")).distinct())
+    while new.limit(1).count():
+        walked, every = new, None
+        for _ in range(hops):
+            walked = walked.join(step, "ancestor").select("sha", F.col("parent").alias("ancestor")).distinct()
+            every = walked if every is None else every.unionByName(walked)
+        new = settled(every.distinct().join(known, ["sha", "ancestor"], "left_anti"))
+        known = known.unionByName(new)
     return known
 
 
@@ -57,3 +58,16 @@ def status_rows(projects: DataFrame, status: DataFrame) -> DataFrame:
     """Registry rows in order: priority (99 if none), then project; coverage as a percentage, a dash where there is none."""
     percent = F.when(F.col("coverage").isNull(), "—").otherwise(F.format_string("%.1f%%", F.col("coverage") * 100))
     return projects.join(status, "project", "left").select("project", F.coalesce("priority", F.lit(99)).alias("priority"), percent.alias("coverage"), "zh_lines").orderBy("priority", "project")
+
+
+def remote_status(landed: DataFrame) -> DataFrame:
+    """project, coverage, zh_lines, ok of status files that were fetched (project, attempt, body): the first attempt that is JSON with a coverage counts, else none."""
+    told = F.from_json("body", "coverage double, zh_lines long")
+    good = landed.select("project", "attempt", told.alias("t"))
+    best = F.min_by("t", F.when(F.col("t.coverage").isNotNull(), F.col("attempt")))
+    return good.groupBy("project").agg(best.alias("t")).select("project", "t.coverage", "t.zh_lines", F.col("t.coverage").isNotNull().alias("ok"))
+
+
+def onboard(projects: DataFrame, entry: DataFrame) -> DataFrame:
+    """projects with the entries whose id is new; those that are there stay as they are."""
+    return projects.unionByName(entry.join(projects.select("project"), "project", "left_anti"), allowMissingColumns=True)

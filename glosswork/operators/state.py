@@ -83,13 +83,14 @@ def merge(records: DataFrame, symbols: DataFrame, by: str) -> DataFrame:
     """The records after an update, and dropped ones, each with its action and old_id.
 
     created: a new annotation, at the current hashes. refreshed: an edited one, its review gone. migrated: the record of a vanished
-    symbol, by an equal annotation; each vanished record goes to one symbol, the first by id; of vanished records with equal annotations
+    symbol, by an equal annotation; each vanished record goes to one symbol, the first by path, then ord or start, as far as symbols have these, then id; of vanished records with equal annotations
     the one of the highest id is used. kept, dropped.
     """
     gone = orphans(records, symbols)
     unowned = symbols.where(F.col("zh").isNotNull()).join(records.select("id"), "id", "left_anti")
     heirs = gone.groupBy("zh").agg(F.max("id").alias("old_id"))
-    claims = unowned.withColumn("_n", F.row_number().over(Window.partitionBy("zh").orderBy("id"))).where("_n = 1").select("id", "zh")
+    order = [c for c in ("path", "ord", "start") if c in symbols.columns]
+    claims = unowned.withColumn("_n", F.row_number().over(Window.partitionBy("zh").orderBy(*order, "id"))).where("_n = 1").select("id", "zh")
     moved = claims.join(heirs, "zh").select(F.col("id").alias("new_id"), "old_id")
 
     null = F.lit(None).cast("string")
@@ -110,3 +111,16 @@ def approve(records: DataFrame, symbols: DataFrame, by: str) -> DataFrame:
     s = symbols.where(F.col("zh").isNotNull()).alias("s").join(records.alias("r"), F.col("s.id") == F.col("r.id"), "left")
     done = s.select("s.id", F.col("s.sig").alias("at_sig"), F.col("s.doc").alias("at_doc"), F.col("s.body").alias("at_body"), F.col("s.zh").alias("zh"), F.coalesce("r.by", F.lit(by)).alias("by"), F.col("s.sig").alias("review_sig"), F.col("s.doc").alias("review_doc"), F.col("s.body").alias("review_body"), F.col("s.zh").alias("review_zh"))
     return records.join(done.select("id"), "id", "left_anti").select(*RECORD).unionByName(done)
+
+
+def chosen(symbols: DataFrame, ids: DataFrame, folders: list[str]) -> DataFrame:
+    """The symbols of some ids (id) and of all files in some folders, each once: what to approve."""
+    inside = F.lit(False)
+    for folder in folders:
+        inside = inside | F.col("path").startswith(folder.rstrip("/") + "/")
+    return symbols.join(ids.select("id"), "id", "left_semi").unionByName(symbols.where(inside)).distinct()
+
+
+def first_of(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first n rows in an order, each with `total`, how many there are."""
+    return rows.orderBy(*order).limit(n).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row

@@ -17,32 +17,37 @@ def path_class(path: Column, overlay: str = OVERLAY, generated: str = r"(?!)", d
     return F.when(path.rlike(overlay), "overlay").when(path.rlike(generated), "generated").when(path.rlike(dependency), "dependency").otherwise("code")
 
 
-def issues(study: DataFrame, upstream: DataFrame, changed: DataFrame | None = None, overlay: str = OVERLAY, generated: str | None = None, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
+def issues(study: DataFrame, upstream: DataFrame, changed: DataFrame | None = None, overlay: str = OVERLAY, generated: str | None = None, tokens: tuple[str, ...] = T.HASH, added: str | None = None) -> DataFrame:
     """path, code, line of each file that breaks the invariant. Both: path, text. changed: paths to look at, all if None.
 
-    new-file, deleted, generated, unsupported, binary, code-modified. Equal texts are settled by their hashes before any line is looked at.
+    new-file, deleted, generated, unsupported, binary, code-modified. Only hashes are joined; texts are fetched for the paths on both sides whose hashes differ.
+    added: a pattern of paths that only the study may have.
     """
-    a = study.select(F.col("path"), F.col("text").alias("mine"))
-    b = upstream.select(F.col("path"), F.col("text").alias("theirs"))
+    a, b = (x.select("path", F.xxhash64("text").alias(h), F.sha2("text", 256).alias(f"{h}_")) for x, h in ((study, "a"), (upstream, "b")))
     both = a.join(b, "path", "full_outer").where(~F.col("path").rlike(overlay))
     if changed is not None:
         both = both.join(changed.select("path"), "path", "left_semi")
-    made = F.col("path").rlike(generated) if generated else F.lit(False)
-    broken = F.contains(F.col("mine"), F.lit("\0"))
+    code = F.when(F.col("b_").isNull() & (~F.col("path").rlike(added) if added else F.lit(True)), "new-file").when(F.col("a_").isNull(), "deleted")
+    alone = both.withColumn("code", code).where("code IS NOT NULL").select("path", "code")
+    differ = both.where((F.col("a") != F.col("b")) | (F.col("a_") != F.col("b_"))).select("path")
+    texts = differ.join(study.select("path", F.col("text").alias("mine")), "path").join(upstream.select("path", F.col("text").alias("theirs")), "path")
     code = (
-        F.when(F.col("theirs").isNull(), "new-file")
-        .when(F.col("mine").isNull(), "deleted")
-        .when(F.col("mine") == F.col("theirs"), None)
-        .when(made, "generated")
+        F.when(F.col("path").rlike(generated) if generated else F.lit(False), "generated")
         .when(T.comment_pattern(F.col("path")).isNull(), "unsupported")
-        .when(broken, "binary")
+        .when(F.contains("mine", F.lit("\0")), "binary")
         .when(T.strip_annotations(F.col("mine"), tokens) == F.col("theirs"), None)
         .otherwise("code-modified")
     )
-    found = both.withColumn("code", code).where(F.col("code").isNotNull())
+    found = texts.withColumn("code", code).where(F.col("code").isNotNull())
     bad = found.where("code = 'code-modified'")
     where = first_divergence(bad.select("path", F.col("mine").alias("text")), bad.select("path", F.col("theirs").alias("text")), tokens)
-    return found.select("path", "code").join(where.select("path", "line"), "path", "left")
+    return alone.unionByName(found.select("path", "code")).join(where.select("path", "line"), "path", "left")
+
+
+def rolled_up(issues: DataFrame) -> DataFrame:
+    """path, code, line of a file's first problem, by line, then code, and others, the number of its other ones. issues: path, code, line."""
+    first = F.min_by(F.struct("code", "line"), F.struct(F.col("line").isNull(), "line", "code"))
+    return issues.groupBy("path").agg(first.alias("f"), (F.count("*") - 1).alias("others")).select("path", "f.code", "f.line", "others")
 
 
 def placement_lint(lines: DataFrame, open_string: Column, tokens: tuple[str, ...] = T.HASH) -> DataFrame:

@@ -9,19 +9,21 @@ from glosswork.functions import text as T
 
 
 def identifiers(texts: DataFrame, key: str) -> DataFrame:
-    """key, name, n: how often each CamelCase identifier is in a text."""
-    return texts.select(key, F.explode(F.regexp_extract_all("text", F.lit(f"({T.IDENTIFIER})"), F.lit(1))).alias("name")).groupBy(key, "name").agg(F.count("*").alias("n"))
+    """key, name, n, first: how often each CamelCase identifier is in a text, and where among all it is first."""
+    found = texts.select(key, F.posexplode(F.regexp_extract_all("text", F.lit(f"({T.IDENTIFIER})"), F.lit(1))).alias("pos", "name"))
+    return found.groupBy(key, "name").agg(F.count("*").alias("n"), F.min("pos").cast("long").alias("first"))
 
 
 def type_refs(uses: DataFrame, types: DataFrame, most: int = 12) -> DataFrame:
     """path, name, defined_in, n: the most used foreign types of a file, `most` of them; a name that several files define, or the file itself, is left out.
+    Of names used as often the one that is used first comes first.
 
-    uses: path, name, n. types: name, path.
+    uses: path, name, n, first. types: name, path.
     """
     one = types.groupBy("name").agg(F.min("path").alias("lo"), F.max("path").alias("hi")).where("lo = hi").select("name", F.col("lo").alias("defined_in"))
     local = types.select("name", "path").distinct()
     rows = uses.join(one, "name").join(local, ["name", "path"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "name"))
+    rank = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("n"), "first"))
     return rows.withColumn("_n", rank).where(F.col("_n") <= most).select("path", "name", "defined_in", "n")
 
 
@@ -77,3 +79,26 @@ def apply_patch(files: DataFrame, edits: DataFrame, tokens: tuple[str, ...] = T.
     ok = ~F.col("bad") & (T.strip_annotations(F.col("made"), tokens) == T.strip_annotations(F.col("text"), tokens))
     more = [F.when(ok, F.col("lost")).otherwise(F.col("every")).alias("rejected")] if symbols is not None else []
     return out.select("path", F.when(ok, "applied").otherwise("rejected").alias("outcome"), F.when(ok, F.col("made")).otherwise(F.col("text")).alias("text"), *more)
+
+
+def heads(definitions: DataFrame, most: int = 30, mark: str = "…") -> DataFrame:
+    """definitions with text cut to its first lines, and a mark where there are more."""
+    ls = T.lines(F.col("text"))
+    cut = F.concat(F.array_join(F.slice(ls, 1, most), "\n"), F.lit(f"\n{mark}"))
+    return definitions.withColumn("text", F.when(F.size(ls) > most, cut).otherwise(F.col("text")))
+
+
+def merged_chunks(answers: DataFrame) -> DataFrame:
+    """path, annotations: of a file's answers (path, chunk, annotations array) all annotations, in order of the chunks."""
+    each = F.sort_array(F.collect_list(F.struct("chunk", "annotations")))
+    return answers.groupBy("path").agg(F.flatten(F.transform(each, lambda x: x["annotations"])).alias("annotations"))
+
+
+def hook_paths(payloads: DataFrame) -> DataFrame:
+    """tool, path (relative to the working folder) of hook payloads (body: JSON); null for a file elsewhere, no row for one without a file."""
+    told = F.from_json("body", "tool_name string, tool_input struct<file_path: string>, cwd string")
+    rows = payloads.select(told.alias("p")).where("p.tool_input.file_path IS NOT NULL")
+    folder = F.concat(F.regexp_replace(F.coalesce("p.cwd", F.lit("")), "/+$", ""), F.lit("/"))
+    file = F.col("p.tool_input.file_path")
+    path = F.when(~file.startswith("/"), file).when(F.startswith(file, folder), F.substring(file, F.length(folder) + 1, F.length(file)))
+    return rows.select(F.col("p.tool_name").alias("tool"), path.alias("path"))

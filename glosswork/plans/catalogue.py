@@ -416,14 +416,19 @@ def term_lint(spark, sf):
 # --- planning and taking in ---
 
 
-@query("SELECT doc_id, name, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS name FROM (SELECT page_id AS doc_id, html AS text FROM pages)) WHERE regexp_full_match(name, '[A-Z][A-Za-z0-9_]*[a-z][A-Za-z0-9_]*') GROUP BY ALL", fixtures=False)
+_USES_SQL = """WITH w AS (SELECT page_id, regexp_extract_all(html, '[\\p{L}\\p{N}_]+') AS ws FROM pages),
+x AS (SELECT page_id, unnest(list_filter(ws, lambda y: regexp_full_match(y, '[A-Z][A-Za-z0-9_]*[a-z][A-Za-z0-9_]*'))) AS name, generate_subscripts(list_filter(ws, lambda y: regexp_full_match(y, '[A-Z][A-Za-z0-9_]*[a-z][A-Za-z0-9_]*')), 1) - 1 AS pos FROM w),
+u AS (SELECT page_id AS path, name, count(*) AS n, min(pos) AS first FROM x GROUP BY ALL)
+"""
+
+
+@query(_USES_SQL + "SELECT path AS doc_id, name, n, first FROM u", fixtures=False)
 def ident_freq(spark, sf):
     return work.identifiers(X.read(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")), "doc_id")
 
 
-@query("""WITH u AS (SELECT page_id AS path, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '[\\p{L}\\p{N}_]+')) AS name FROM pages) WHERE regexp_full_match(name, '[A-Z][A-Za-z0-9_]*[a-z][A-Za-z0-9_]*') GROUP BY ALL),
-t AS (SELECT DISTINCT path, name FROM u WHERE n >= 2), o AS (SELECT name, min(path) AS defined_in FROM t GROUP BY name HAVING min(path) = max(path)),
-r AS (SELECT u.path, u.name, o.defined_in, u.n, row_number() OVER (PARTITION BY u.path ORDER BY u.n DESC, u.name) AS k FROM u JOIN o USING (name) WHERE u.path <> o.defined_in)
+@query(_USES_SQL + """, t AS (SELECT DISTINCT path, name FROM u WHERE n >= 2), o AS (SELECT name, min(path) AS defined_in FROM t GROUP BY name HAVING min(path) = max(path)),
+r AS (SELECT u.path, u.name, o.defined_in, u.n, row_number() OVER (PARTITION BY u.path ORDER BY u.n DESC, u.first) AS k FROM u JOIN o USING (name) WHERE u.path <> o.defined_in)
 SELECT path, name, defined_in, n FROM r WHERE k <= 12""", fixtures=False)
 def type_refs(spark, sf):
     uses = work.identifiers(X.read(spark, sf, "pages").select(F.col("page_id").alias("path"), F.col("html").alias("text")), "path")
@@ -456,6 +461,63 @@ def props_json(spark, sf):
     return e.groupBy("event_type", "k").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
+@query("SELECT item_id, CASE WHEN len(ls) > 9 THEN array_to_string(ls[1:9], chr(10))||chr(10)||'…' ELSE array_to_string(ls, chr(10)) END AS text FROM (SELECT item_id, string_split(replace(text, ' ', chr(10)), chr(10)) AS ls FROM benchmark)", fixtures=False)
+def definition_heads(spark, sf):
+    return work.heads(X.read(spark, sf, "benchmark").select("item_id", F.replace("text", F.lit(" "), F.lit("\n")).alias("text")), 9)
+
+
+@query("SELECT conv_id AS path, array_to_string(flatten(list(string_split(coalesce(text,''), chr(10)) ORDER BY turn)), '|') AS said FROM conversations GROUP BY conv_id", fixtures=False)
+def merge_chunks(spark, sf):
+    c = X.read(spark, sf, "conversations").select(F.col("conv_id").alias("path"), F.col("turn").alias("chunk"), T.lines(F.coalesce("text", F.lit(""))).alias("annotations"))
+    return work.merged_chunks(c).select("path", F.array_join("annotations", "|").alias("said"))
+
+
+@query("SELECT CASE WHEN page_id % 3 = 0 THEN 'Edit' ELSE 'Read' END AS tool, CASE WHEN page_id % 4 = 1 THEN NULL ELSE 'p/'||page_id||'.py' END AS path FROM pages WHERE page_id % 5 > 0", fixtures=False)
+def hook_paths(spark, sf):
+    d = F.col("page_id")
+    file = F.concat(F.when(d % 4 == 0, "").when(d % 4 == 1, "/elsewhere/").otherwise("/w/"), F.lit("p/"), d, F.lit(".py"))
+    body = F.to_json(F.struct(F.when(d % 3 == 0, "Edit").otherwise("Read").alias("tool_name"), F.struct(F.when(d % 5 > 0, file).alias("file_path")).alias("tool_input"), F.lit("/w/").alias("cwd"), "url"))
+    return work.hook_paths(X.read(spark, sf, "pages").select(body.alias("body")))
+
+
+@query("SELECT path, code, line, n - 1 AS others FROM (SELECT path, arg_min(code, k) AS code, min(line) AS line, count(*) AS n FROM (SELECT path, 'len'||(length(line) % 5) AS code, \"row\" AS line, \"row\" * 100 + length(line) % 5 AS k FROM ulines WHERE length(line) % 3 = 1) GROUP BY path)")
+def issue_rollup(spark, sf):
+    rows = lines.explode_lines(X.upstream(spark, sf)).where(F.length("line") % 3 == 1)
+    return verify.rolled_up(rows.select("path", F.concat(F.lit("len"), F.length("line") % 5).alias("code"), F.col("row").alias("line")))
+
+
+@query("SELECT id FROM news WHERE doc_id % 50 = 7 OR path LIKE 'src1/%' OR path LIKE 'moved/%'")
+def approval_targets(spark, sf):
+    symbols = X.new_symbols(spark, sf)
+    return state.chosen(symbols, symbols.where("doc_id % 50 = 7").select("id"), ["src1", "moved/"]).select("id")
+
+
+@query("SELECT id, priority, total FROM (SELECT id, priority, row_number() OVER (ORDER BY priority, id) AS k, count(*) OVER () AS total FROM stat WHERE status = 'stale') WHERE k <= 25")
+def queue_page(spark, sf):
+    return state.first_of(_derived(spark, sf).where("status = 'stale'").select("id", "priority"), 25, "priority", "id")
+
+
+@query("SELECT c_name AS project, CASE WHEN c_custkey % 6 = 1 THEN NULL ELSE round(c_custkey % 100 / 100.0, 2)::DOUBLE END AS coverage, CASE WHEN c_custkey % 6 = 1 THEN NULL ELSE c_nationkey END::BIGINT AS zh_lines, c_custkey % 6 <> 1 AS ok FROM customer", fixtures=False)
+def remote_status(spark, sf):
+    k = F.col("c_custkey")
+    told = F.to_json(F.struct(F.round(k % 100 / 100, 2).alias("coverage"), F.col("c_nationkey").alias("zh_lines"), "c_name"))
+    tries = F.array(F.struct(F.lit(1).alias("attempt"), F.when(k % 3 > 0, "404: not here").otherwise(told).alias("body")), F.struct(F.lit(2).alias("attempt"), F.when(k % 6 == 1, "{}").otherwise(told).alias("body")))
+    return registry.remote_status(X.read(spark, sf, "customer").select(F.col("c_name").alias("project"), F.explode(tries).alias("t")).select("project", "t.*"))
+
+
+@query("SELECT o_custkey AS source, max(o_orderdate) AS fetched, arg_max(o_orderkey, (epoch(o_orderdate), o_orderkey::VARCHAR))::VARCHAR AS body, epoch(TIMESTAMP '1998-01-01') - epoch(max(o_orderdate)) > 86400 * 30 AS stale FROM orders GROUP BY o_custkey", fixtures=False)
+def glossary_cache(spark, sf):
+    o = X.read(spark, sf, "orders").select(F.col("o_custkey").alias("source"), F.col("o_orderdate").alias("fetched"), F.col("o_orderkey").cast("string").alias("body"))
+    return tables.freshest(o, F.lit("1998-01-01 00:00:00").cast("timestamp"), 24 * 30)
+
+
+@query("SELECT n_name AS project, r_regionkey::BIGINT AS priority FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, 9 FROM region", fixtures=False)
+def registry_entry(spark, sf):
+    n = X.read(spark, sf, "nation").select(F.col("n_name").alias("project"), F.col("n_regionkey").cast("long").alias("priority"))
+    new = X.read(spark, sf, "region").select(F.col("r_name").alias("project"), F.lit(9).cast("long").alias("priority"))
+    return registry.onboard(n, new.unionByName(n.where("priority = 2").withColumn("priority", F.lit(7).cast("long"))))
+
+
 # --- symbols of source files, by table functions ---
 
 
@@ -487,6 +549,21 @@ def brace_symbols(spark, sf):
     return index.symbols(_sources(spark, sf, ".rs", '/// Note {@N.\npub fn f@N(x: i32) -> i32 {\n    let s = "}"; x + @L\n}\n')).select(*_FOUND)
 
 
+@query(_ROW_SQL.format(suffix=".go", rows=6, kind="type", name="Lot", item=1, end=1, body=0, more=" UNION ALL SELECT path, 'fn', 'Lot'||i||'.Weigh', i * 6 + 2, i * 6 + 3, i * 6 + 4, 2 FROM l"), fixtures=False)
+def go_symbols(spark, sf):
+    return index.symbols(_sources(spark, sf, ".go", "// Lot @N.\ntype Lot@N = map[string]int\n// Weighs {.\nfunc (l *Lot@N[T]) Weigh(by int) int {\nreturn by * @L }\n")).select(*_FOUND)
+
+
+@query(_ROW_SQL.format(suffix=".ts", rows=6, kind="class", name="Crate", item=0, end=3, body=4, more=" UNION ALL SELECT path, 'method', 'Crate'||i||'.lift', i * 6 + 1, i * 6 + 1, i * 6 + 2, 2 FROM l UNION ALL SELECT path, 'fn', 'drop'||i, i * 6 + 4, i * 6 + 4, i * 6 + 4, 1 FROM l"), fixtures=False)
+def typescript_symbols(spark, sf):
+    return index.symbols(_sources(spark, sf, ".ts", "export class Crate@N {\n  lift(kg: number): string {\n    return `}@L`; }\n}\nexport const drop@N = (x: number) => { return x + @L }\n")).select(*_FOUND)
+
+
+@query(_ROW_SQL.format(suffix=".hpp", rows=7, kind="mod", name="bay", item=0, end=5, body=6, more=" UNION ALL SELECT path, 'struct', 'bay'||i||'::Pallet', i * 7 + 1, i * 7 + 2, i * 7 + 4, 3 FROM l UNION ALL SELECT path, 'fn', 'bay'||i||'::Pallet::weight', i * 7 + 3, i * 7 + 3, i * 7 + 3, 1 FROM l"), fixtures=False)
+def cpp_symbols(spark, sf):
+    return index.symbols(_sources(spark, sf, ".hpp", "namespace bay@N {\n// A pallet; of wood.\nstruct Pallet {\n  int weight() const { return @L; }\n};\n} // bay\n")).select(*_FOUND)
+
+
 @query("""SELECT source||'/'||doc_id||'.py' AS path, i * 3 + 1 AS "row", 'zh-in-string' AS code FROM (SELECT source, doc_id, unnest(generate_series(0, len(string_split(coalesce(text,''), chr(10))) - 1)) AS i FROM documents)""", fixtures=False)
 def placement_lint(spark, sf):
     return _long(index.misplaced(_sources(spark, sf, ".py", f's@N = """\n# {T.MARKER} @L\n"""')), "row")

@@ -8,7 +8,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
@@ -51,11 +51,18 @@ def settled(df: DataFrame) -> DataFrame:
 def worktree(spark: SparkSession, folder: str, include: list[str], exclude: list[str] = (), bad_bytes: str = "skip") -> DataFrame:
     """path, text of the files under a folder that are in scope. bad_bytes: skip files that aren't UTF-8, or replace what isn't.
 
-    Paths are filtered before any content is read.
+    Files are listed first; only those in scope are opened.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z]+:/*", "/"), "^" + folder.rstrip("/").removeprefix("file://").replace(".", r"\.") + "/", "")
-    rows = files.withColumn("path", rel).where(T.in_scope(F.col("path"), list(include), list(exclude)))
+    top = re.sub("^[a-z]+:/*", "/", folder).rstrip("/") + "/"
+
+    def relative(path: Column) -> Column:
+        return F.replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), F.lit(top), F.lit(""))
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    chosen = [r["path"] for r in listed.where(T.in_scope(relative(F.col("path")), list(include), list(exclude))).collect()]  # Spark's reader has a list of its files anyway
+    if not chosen:
+        return spark.createDataFrame([], "path string, text string")
+    rows = spark.read.format("binaryFile").load(chosen).withColumn("path", relative(F.col("path")))
     if bad_bytes == "skip":
         rows = rows.where(F.is_valid_utf8("content"))
     return rows.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
@@ -137,3 +144,10 @@ def replaced_between(text: str, table: str, begin: str, end: str, volatile: str
     new = f"{text[:a]}\n{table}\n{text[b:]}"
     plain = (lambda s: re.sub(volatile, "", s)) if volatile else (lambda s: s)
     return None if plain(new) == plain(text) else new
+
+
+def freshest(landed: DataFrame, now, hours: int = 24) -> DataFrame:
+    """Of each source's copies (source, fetched, body) the newest, with stale: whether it is older than so many hours, and so stands in for one that couldn't be fetched."""
+    newest = landed.groupBy("source").agg(F.max_by(F.struct("fetched", "body"), F.struct("fetched", "body")).alias("n"))
+    age = F.unix_timestamp(now) - F.unix_timestamp("n.fetched")
+    return newest.select("source", "n.fetched", "n.body", (age > hours * 3600).alias("stale"))
