@@ -34,6 +34,8 @@ ROWS = "key long, digest long, more long, doc long, start int, n int, anchor_at
 FETCHED = "key long, doc long, start int, anchor_at int, packed binary"
 #: In copies: a segment of a hot anchor.
 HOT = -2
+#: Ids of documents, 8 bytes each, that are broadcast to pick their texts; more of them are joined by a shuffle.
+FEW = 1 << 20
 #: Segments a task gathers before it settles equal ones among them and sends the rest.
 BLOCK = 1 << 18
 
@@ -46,7 +48,7 @@ class Plan:
     #: The first of equal windows stays (by document, then place); else all of them are marked.
     keep_first: bool
     #: Different segments of one anchor that one task compares.
-    hot: int = 1000
+    hot: int = 4096
     #: Segments of whole anchors that are compared at a time.
     batch: int = 20_000
 
@@ -268,6 +270,13 @@ def fetch(docs: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
     return joined(docs.drop("_row"), _lists(asked)).mapInArrow(trimmed(run), FETCHED)
 
 
+def texts_of(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, text of the documents that have asked segments; all others stay where they are if these are few."""
+    ids = cut(asked.select(F.col("doc").alias("doc_id")).distinct())
+    rows = docs.select(key_of("doc_id").alias("doc_id"), "text")
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, "doc_id", "left_semi")
+
+
 def joined(docs: DataFrame, lists: DataFrame, how: str = "left") -> DataFrame:
     """Texts with a list a document; the texts' exchange is the same for each such join, so Spark deals them out once. A column _row stays."""
     own = [c for c in docs.columns if c == "_row"]
@@ -292,8 +301,10 @@ def marked(docs: DataFrame, plan: Plan, bucket: Callable[[pa.Table], tuple[np.nd
 
     level = cut(settle(segments(docs, plan), plan, parts(spark, text_bytes(docs))))
     levels = [level]
+    few = None
     while (hot := level.where(F.col("copies") == HOT)).limit(1).count():
-        level = cut(settle(narrower(docs, hot, plan), plan, parts(spark)))
+        few = few if few is not None else cut(texts_of(docs, hot))
+        level = cut(settle(narrower(few, hot, plan), plan, parts(spark)))
         levels.append(level)
     every = levels[0]
     for more in levels[1:]:

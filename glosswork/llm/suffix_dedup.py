@@ -28,7 +28,7 @@ from glosswork.llm._segments import Plan, marked
 WINDOW = 200
 GRAM = 40
 #: Different strings of one anchor beyond which more of what is around it decides the bucket.
-HOT = 1000
+HOT = 4096
 
 
 class Suffixes:

@@ -49,7 +49,7 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 3}", len(t or ""), 7, "x", 1, "c") for i, t in docs], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize("hot", [1000, 2, 0])
+@pytest.mark.parametrize("hot", [4096, 2])
 def test_suffix_dedup(spark, hot):
     docs = corpus()
     docs.append(docs[30])  # a repeated row
@@ -124,7 +124,7 @@ def test_without_repeats_keeps_columns_and_whole_characters(spark):
     assert rows[1].text == "ab" and rows[1].n_chars == 2 and rows[2].text == "xz" and rows[3].text == "short" and rows[4].text is None
 
 
-@pytest.mark.parametrize("hot", [1000, 2, 0])
+@pytest.mark.parametrize("hot", [4096, 2])
 def test_substring_dedup(spark, hot):
     docs = corpus(5)
     docs.append(docs[30])  # a repeated row, no earlier than itself
