@@ -12,6 +12,7 @@ ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -72,6 +73,7 @@ def encoder(path: str) -> Units:
             return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
         def learn(units: list[str]) -> tuple[list[list[int]], list[int]]:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core has a task already
             return [e.ids for e in library.encode_batch_fast(units, add_special_tokens=False)], [0] * len(units)
 
         _encoders[path] = Units(split, learn, REMEMBERED)
