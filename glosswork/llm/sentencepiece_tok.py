@@ -12,6 +12,7 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -108,6 +109,7 @@ class Backend:
 
     def learn(self, units: list[str]) -> tuple[list[list[int]], list[int]]:
         """Ids of normalised units; flags: 1 where SentencePiece has others."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "true"
         found = [e.ids for e in self.units.encode_batch(units, add_special_tokens=False)]
         if not self.simple:
             return found, [0] * len(units)
