@@ -32,7 +32,7 @@ SLACK = 4
 #: Tasks whose bins meet in one task of the next round.
 FAN_IN = 16
 #: Different units whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 #: Bins that one task takes at most on average.
 TASK_BINS = 200_000
 
@@ -64,11 +64,15 @@ def encoder(path: str) -> Units:
         with open(path, encoding="utf-8") as file:
             told = json.load(file)
         plain = not told.get("normalizer") and told["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
-        odd = re.compile("|".join([_ODD, *(re.escape(t["content"]) for t in told["added_tokens"])]))
+        odd, special = re.compile(_ODD), [t["content"] for t in told["added_tokens"]]
         library = Tokenizer.from_file(path)
 
         def split(text: str) -> list[str]:
-            if not plain or odd.search(text):
+            if not plain or any(t in text for t in special):
+                return [text]
+            flat = text.replace("\n", " ")
+            # what is printable has no white space but spaces; only what isn't is searched letter by letter
+            if "  " in flat or not flat.isprintable() and odd.search(text):
                 return [text]
             return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
 
