@@ -48,10 +48,26 @@ def trim() -> None:
         pass
 
 
-def trimmed(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run, and trim() after it."""
+#: What a worker process keeps from task to task, by the name that its tasks give to trimmed().
+kept: dict[str, dict] = {}
+
+
+def keeping(name: str) -> dict:
+    """What this worker keeps by a name, until a task that doesn't keep it runs here."""
+    return kept.setdefault(name, {})
+
+
+def release(keeps: str = "") -> None:
+    """Drop all that is kept by other names: workers outlive the stages that they served."""
+    for name in [n for n in kept if n != keeps]:
+        del kept[name]
+
+
+def trimmed(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """run, with only what it keeps by name, and trim() after it."""
 
     def wrapped(batches: Iterator) -> Iterator:
+        release(keeps)
         try:
             yield from run(batches)
         finally:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import NULL_ID, chunks, cut, key_of, text_buffer, trimmed
+from glosswork.llm._base import NULL_ID, chunks, cut, keeping, key_of, text_buffer, trimmed
 from glosswork.llm._units import Units
 
 CAPACITY = 2048
@@ -49,16 +49,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_encoders: dict[str, Units] = {}
+#: Tasks that tokenise keep their encoders in the worker by this name.
+KEPT = "packing"
 
 
 def encoder(path: str) -> Units:
-    """Ids by the tokenizers library, add_special_tokens=False; one a worker process.
+    """Ids by the tokenizers library, add_special_tokens=False; one for each worker process, as long as it tokenises.
 
     If the file's pre-tokeniser allows it, a text is cut before single spaces and around line feeds, where no token can cross, and a worker
     remembers the ids of these units. Texts with other white space or the strings of special tokens are units as they are.
     """
-    if path not in _encoders:
+    encoders = keeping(KEPT)
+    if path not in encoders:
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
@@ -80,8 +82,8 @@ def encoder(path: str) -> Units:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"  # every core has a task already
             return [e.ids for e in library.encode_batch_fast(units, add_special_tokens=False)], [0] * len(units)
 
-        _encoders[path] = Units(split, learn, REMEMBERED)
-    return _encoders[path]
+        encoders[path] = Units(split, learn, REMEMBERED)
+    return encoders[path]
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -159,13 +161,13 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sla
             table = pa.Table.from_batches(held)
             yield _packed(table.column("fill").to_numpy(), table.column("members").to_pylist(), capacity)
 
-    packed = cut(docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(local), BINS))
+    packed = cut(docs.select(key_of("doc_id").alias("doc"), F.col("text").cast("string").alias("text")).mapInArrow(trimmed(local, KEPT), BINS))
     final = [packed.where(F.col("fill") >= capacity - slack)]
     tasks, left = len(packed.inputFiles()), packed.where(F.col("fill") < capacity - slack)
     while True:
         n = left.count()
         before, tasks = tasks, max(1, ceil(tasks / FAN_IN), ceil(n / TASK_BINS))
-        packed = cut(left.repartition(tasks, F.xxhash64("members")).mapInArrow(again, BINS))
+        packed = cut(left.repartition(tasks, F.xxhash64("members")).mapInArrow(trimmed(again), BINS))
         if tasks == 1 or tasks >= before:
             final.append(packed)
             break
@@ -186,7 +188,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, sla
             offset = before - np.repeat(before[first], counts) if len(x) else before
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(x["doc"], mask=x["doc"] == NULL_ID), "piece": pa.array(x["piece"]), "start": pa.array(x["start"]), "length": pa.array(length), "ids_crc32": pa.array(x["crc"].astype(np.int64)), "sequence_id": pa.array(np.repeat(batch.column("sequence_id").to_numpy(), counts)), "offset": pa.array(offset)})
 
-    return every.select(F.monotonically_increasing_id().alias("sequence_id"), "members").mapInArrow(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return every.select(F.monotonically_increasing_id().alias("sequence_id"), "members").mapInArrow(trimmed(rows), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op5_best_fit_packing(spark, sf_dir: str) -> DataFrame:

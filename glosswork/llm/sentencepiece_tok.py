@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, decoders, models, normalizers
 
-from glosswork.llm._base import NULL_ID, chunks, key_of, text_buffer, trimmed
+from glosswork.llm._base import NULL_ID, chunks, keeping, key_of, text_buffer, trimmed
 from glosswork.llm._units import Units
 
 MARK = chr(0x2581)
@@ -137,14 +137,16 @@ def re_(pattern: str):
     return Regex(pattern)
 
 
-_backends: dict[str, Backend] = {}
+#: Tasks that tokenise keep their backends in the worker by this name.
+KEPT = "sentencepiece"
 
 
 def backend(path: str) -> Backend:
-    """One for each worker process."""
-    if path not in _backends:
-        _backends[path] = Backend(path)
-    return _backends[path]
+    """One for each worker process, as long as it tokenises."""
+    backends = keeping(KEPT)
+    if path not in backends:
+        backends[path] = Backend(path)
+    return backends[path]
 
 
 ENCODED = "doc_id long, ids array<int>, decoded string, n_differ long"
@@ -178,13 +180,13 @@ def _texts(docs: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, ids (array<int>), decoded (string), n_differ of docs (doc_id, text)."""
     path = path or model_path()
-    return _texts(docs).mapInArrow(trimmed(lambda batches: _encoded(path, batches)), ENCODED)
+    return _texts(docs).mapInArrow(trimmed(lambda batches: _encoded(path, batches), KEPT), ENCODED)
 
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32, decoded_sha256, n_differ: of what encode() gives, in the same workers, so that ids don't go through the JVM."""
     path = path or model_path()
-    return _texts(docs).mapInArrow(trimmed(lambda batches: _digested(_encoded(path, batches))), DIGESTS)
+    return _texts(docs).mapInArrow(trimmed(lambda batches: _digested(_encoded(path, batches)), KEPT), DIGESTS)
 
 
 def op8_sentencepiece(spark, sf_dir: str) -> DataFrame:
