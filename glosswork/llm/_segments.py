@@ -50,7 +50,7 @@ class Plan:
     #: Different segments of one anchor that one task compares.
     hot: int = 4096
     #: Segments of whole anchors that are compared at a time.
-    batch: int = 20_000
+    batch: int = 5_000
 
 
 def cut_windows(units: np.ndarray, rel: np.ndarray, window: int, gram: int):
