@@ -631,3 +631,32 @@ def test_stages_tell_rows_of_one_id_apart(spark):
     every = secrets.redact(suffix_dedup.without_repeats(near))
     pieces = packing.pack(every)
     assert Counter(x.doc_id for x in every.collect()) == Counter(i for i, _ in kept) and {x.doc_id for x in pieces.collect()} == {i for i, _ in kept}
+
+
+def test_units_stay_right_when_a_worker_clears_them():
+    from glosswork.llm._units import LONGEST, Units
+
+    asked = []
+
+    def learn(units):
+        asked.extend(units)
+        return [[ord(c) for c in u] for u in units], [int("x" in u) for u in units]
+
+    r = random.Random(8)
+    units = Units(lambda t: t.replace(" ", "\x01 ").split("\x01"), learn, 20, lambda ids: ["".join(map(chr, x)) for x in ids])
+    for _ in range(60):
+        texts = ["", "often and " * 3, *("".join(r.choices("abxyz ", k=r.randint(0, 30))) for _ in range(4)), "x" * (LONGEST + 1)]
+        ids, at, flags, back = units.encode(texts)
+        assert ["".join(map(chr, ids[a:z])) for a, z in zip(at[:-1], at[1:], strict=True)] == texts == back
+        assert flags.tolist() == [sum("x" in u for u in t.replace(" ", "\x01 ").split("\x01")) for t in texts]
+        assert len(units._number) == len(units._size) == len(units._uses) == len(units._text)
+    assert asked.count(" and") == 1 and asked.count("x" * (LONGEST + 1)) > 1
+
+
+def test_workers_drop_what_other_tasks_kept():
+    from glosswork.llm import _base
+
+    _base.keeping("one")["a"] = 1
+    assert list(_base.trimmed(iter, "one")([1, 2])) == [1, 2] and _base.keeping("one") == {"a": 1}
+    assert list(_base.trimmed(iter)([3])) == [3] and _base.keeping("one") == {}
+    _base.release()
