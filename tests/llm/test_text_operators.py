@@ -532,7 +532,7 @@ def test_a_wrong_backend_shows():
     b = sentencepiece_tok.Backend(sentencepiece_tok.model_path())
     assert b.remembered.encode(["plain words"])[2].tolist() == [0]
     b.units.model = type(b.units.model)({p: i for i, p in enumerate(b.pieces)}, [], unk_token=b.pieces[0], fuse_unk=True, byte_fallback=True)  # no merges
-    b.remembered._forget()
+    b.remembered._clear()
     ids, at, flags, back = b.remembered.encode(["plain words"])
     assert flags.tolist() == [2] and b.unmarked(back[0]) == "plain words" and len(ids) == len("▁plain▁words")
 
