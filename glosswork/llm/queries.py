@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glosswork.llm.ann import op6_nearest_neighbours
+from glosswork.llm.centroids import op12_centroid_clustering
 from glosswork.llm.chat import op10_chat_formatting
+from glosswork.llm.fill_middle import op11_fill_in_middle
 from glosswork.llm.fingerprint import op4_document_fingerprints
 from glosswork.llm.langid import op3_language_id
 from glosswork.llm.ngram_join import op2_ngram_jaccard_join
 from glosswork.llm.packing import op5_best_fit_packing
+from glosswork.llm.pii import op13_personal_data
 from glosswork.llm.secrets import op7_secret_scans
 from glosswork.llm.sentencepiece_tok import op8_sentencepiece
 from glosswork.llm.substring_dedup import op9_substring_dedup
@@ -28,8 +31,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_personal_data": op13_personal_data,
 }
 
+
+def _clustering_sql(rounds: int = 10, k: int = 8) -> str:
+    """Rounds of exact k-means, one common table expression after another."""
+    out = """WITH v AS (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, x) - 1 AS c, x FROM (SELECT sha256('3:'||coalesce(vec_id::VARCHAR, '')) AS h, x FROM v ORDER BY h, x LIMIT %d))""" % k
+    for i in range(rounds + 1):
+        distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        out += f""",
+a{i} AS MATERIALIZED (SELECT r, min(d) AS d, arg_min(c, d * 1000 + c) AS c FROM (SELECT v.r, c.c, {distance} AS d FROM v, c{i} c) GROUP BY r)"""
+        if i < rounds:
+            out += f""",
+s{i} AS (SELECT c, j, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(v.x) AS y, generate_subscripts(v.x, 1) AS j FROM v JOIN a{i} a USING (r)) GROUP BY c, j),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS x FROM s{i} GROUP BY c) m USING (c))"""
+    return out + f"""
+SELECT v.vec_id, a.c::INTEGER AS cluster, a.d AS distance, sum(a.d) OVER (PARTITION BY a.c)::BIGINT AS cluster_inertia, sum(a.d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256 FROM v JOIN a{rounds} a USING (r) JOIN c{rounds} c ON c.c = a.c"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_suffix_dedup": r"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
 b AS (SELECT doc_id, x, len(x) // 2 AS n FROM h),
@@ -57,4 +80,11 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, len(ws) - coalesce(n, 0) AS n_removed
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role||chr(10)||text||chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
  sum(length('<|turn|>') + length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g')) + 1 + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')) + length('<|end|>') + 1)::BIGINT AS formatted_chars FROM c GROUP BY conv_id""",
+    "op11_fill_in_middle": r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u, sha256('1:'||coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT *, len(u) AS n, [('0x'||h[1:8])::UBIGINT::BIGINT, ('0x'||h[9:16])::UBIGINT::BIGINT, ('0x'||h[17:24])::UBIGINT::BIGINT, ('0x'||h[25:32])::UBIGINT::BIGINT] AS k FROM d),
+f AS (SELECT *, CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR k[3] % 100 >= 90 THEN 'plain' WHEN k[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form, least(k[1] % (n + 1), k[2] % (n + 1)) AS a, greatest(k[1] % (n + 1), k[2] % (n + 1)) AS b FROM h),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a+1:b], '') AS mid, array_to_string(u[b+1:], '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+ sha256(CASE form WHEN 'psm' THEN '<P>'||pre||'<S>'||suf||'<M>'||mid WHEN 'spm' THEN '<S>'||suf||'<P>'||pre||'<M>'||mid ELSE text END) AS output_sha256, sha256(text) AS restored_sha256 FROM p""",
+    "op12_centroid_clustering": _clustering_sql(),
 }
