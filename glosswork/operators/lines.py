@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
@@ -24,15 +24,73 @@ def blocks(rows: DataFrame, *key: str) -> DataFrame:
     return rows.withColumn("_island", island).groupBy(*key, "_island").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n")).drop("_island")
 
 
+def dyadic(start: Column, end: Column) -> Column:
+    """array<struct<level, block>>: the fewest aligned blocks of 2**level rows that make up the rows start to end."""
+    levels = F.sequence(F.lit(0), F.ceil(F.log2((end - start + 2).cast("double"))).cast("int"))
+
+    def at(k: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), k)
+        low, high = F.call_function("shiftright", start + size - 1, k), F.call_function("shiftright", end + 1, k)
+        inside = low < high
+        left = F.when(inside & (low % 2 == 1), F.struct(k.alias("level"), low.alias("block")))
+        right = F.when(inside & (high % 2 == 1), F.struct(k.alias("level"), (high - 1).alias("block")))
+        return F.array_compact(F.array(left, right))
+
+    return F.flatten(F.transform(levels, at))
+
+
+def innermost(symbols: DataFrame) -> DataFrame:
+    """path, row, id: from each row on, up to the path's next one, the innermost symbol (path, id, start, end, ord), or null where none is.
+
+    Innermost is the shortest, of equals the one with the lowest ord. Symbols are cut into aligned blocks, at most two a size, of which each keeps its innermost symbol; a row looks
+    into the one block of each size that it lies in. So nothing grows with rows times symbols, and the parts of a long file lie under many keys. Symbols may cross.
+    """
+    own = symbols.select("path", "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "ord").where("start <= end")
+    rank = F.struct((F.col("end") - F.col("start")).alias("size"), "ord", "id")
+    blocks = own.select("path", rank.alias("rank"), F.explode(dyadic(F.col("start"), F.col("end"))).alias("b")).groupBy("path", "b.level", "b.block").agg(F.min("rank").alias("rank"))
+    deep = own.groupBy("path").agg(F.ceil(F.log2(F.max(F.col("end") - F.col("start") + 2).cast("double"))).cast("int").alias("deep"))
+    changes = own.select("path", F.explode(F.array(F.col("start"), F.col("end") + 1)).alias("row")).distinct().join(deep, "path")
+    looks = changes.select("path", "row", F.explode(F.sequence(F.lit(0), F.col("deep"))).alias("level")).withColumn("block", F.call_function("shiftright", F.col("row"), F.col("level")))
+    return looks.join(blocks, ["path", "level", "block"], "left").groupBy("path", "row").agg(F.min("rank")["id"].alias("id"))
+
+
+def nearest(asked: DataFrame, points: DataFrame, key: list[str], ident: list[str]) -> DataFrame:
+    """ident, found: of the points (key, row) with the key of an asked row (ident, key, low, high, want), the one nearest to `want` from low to high; of two as near the lower.
+
+    An as-of search in both directions: points and asked rows lie in one order, each takes the last point before it, and in the other order the next one. Time is that of a sort,
+    however many points share a key. Asked rows without such a point have no row.
+    """
+    asked = asked.select(*dict.fromkeys([*ident, *key]), *(F.col(c).cast("long").alias(c) for c in ("low", "high", "want")))
+    down = asked.withColumn("_at", F.least("want", "high")).withColumn("_way", F.lit(1))
+    up = asked.withColumn("_at", F.greatest("want", "low")).withColumn("_way", F.lit(2))
+    there = points.select(*key, F.col("row").cast("long").alias("_at"), F.lit(0).alias("_way"))
+    both = down.unionByName(up).unionByName(there, allowMissingColumns=True)
+    point = F.when(F.col("_way") == 0, F.col("_at"))
+    before = F.last(point, True).over(Window.partitionBy(*key).orderBy("_at", "_way").rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last(point, True).over(Window.partitionBy(*key).orderBy(F.desc("_at"), "_way").rowsBetween(Window.unboundedPreceding, 0))
+    met = both.withColumn("_before", before).withColumn("_after", after).withColumn("_met", F.when(F.col("_way") == 1, F.col("_before")).when(F.col("_way") == 2, F.col("_after")))
+    met = met.where(F.col("_met").between(F.col("low"), F.col("high")))
+    return met.groupBy(*ident).agg(F.min_by("_met", F.struct(F.abs(F.col("_met") - F.col("want")), "_met")).alias("found"))
+
+
+def block_rows(rows: DataFrame, *key: str) -> DataFrame:
+    """rows with first and last, those of the run of consecutive rows each lies in."""
+    others = rows.columns
+    island = F.col("row") - F.row_number().over(Window.partitionBy(*key).orderBy("row"))
+    run = Window.partitionBy(*key, "_island")
+    return rows.withColumn("_island", island).select(*others, F.min("row").over(run).alias("first"), F.max("row").over(run).alias("last"))
+
+
 def owner_join(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """path, row, id of the innermost symbol (path, id, start, end, ord) around each row (path, row); the file's own symbol if none.
 
-    Ties go to the lower ord. The path is the join key, the interval a condition on what it brings together.
+    Rows take the last change of owner before them, in one sorted pass over a file's rows and changes.
     """
-    inner = symbols.select(F.col("path").alias("_path"), "id", "start", "end", "ord")
-    found = rows.select("path", "row").join(inner, (F.col("path") == F.col("_path")) & F.col("row").between(F.col("start"), F.col("end")), "left")
-    best = F.min_by("id", F.struct(F.col("end") - F.col("start"), F.col("ord")))
-    return found.groupBy("path", "row").agg(best.alias("id")).withColumn("id", F.coalesce("id", F.concat("path", F.lit("#<module>"))))
+    changes = innermost(symbols).select("path", F.col("row").cast("long").alias("row"), F.struct("id").alias("owner"), F.lit(0).alias("asks"))
+    both = changes.unionByName(rows.select("path", F.col("row").cast("long").alias("row"), F.lit(None).cast("struct<id: string>").alias("owner"), F.lit(1).alias("asks")))
+    last = F.last("owner", True).over(Window.partitionBy("path").orderBy("row", "asks").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.withColumn("id", last["id"]).where("asks = 1")
+    return found.select("path", "row", F.coalesce("id", F.concat("path", F.lit("#<module>"))).alias("id"))
 
 
 def fingerprint(lines: DataFrame, *key: str) -> DataFrame:
@@ -43,12 +101,12 @@ def fingerprint(lines: DataFrame, *key: str) -> DataFrame:
 
 def neighbours(lines: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
     """lines (path, row, line) with zh (whether a line is an annotation), the nearest other lines `prv` and `nxt`, and code_row, the row without annotations."""
-    own = Window.partitionBy("path").orderBy("row")
+    own, back = Window.partitionBy("path").orderBy("row"), Window.partitionBy("path").orderBy(F.desc("row"))  # a frame that ends at the last row would be read again for each row
     code = F.when(~F.col("zh"), F.struct("line"))
     return lines.withColumn("zh", T.is_annotation(F.col("line"), tokens)).select(
         "*",
         F.last(code, True).over(own.rowsBetween(Window.unboundedPreceding, -1))["line"].alias("prv"),
-        F.first(code, True).over(own.rowsBetween(1, Window.unboundedFollowing))["line"].alias("nxt"),
+        F.last(code, True).over(back.rowsBetween(Window.unboundedPreceding, -1))["line"].alias("nxt"),
         F.coalesce(F.sum(F.when(~F.col("zh"), 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("code_row"),
     )
 

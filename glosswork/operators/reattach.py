@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
-from glosswork.operators.lines import blocks, explode_lines, neighbours, owner_join
+from glosswork.operators.lines import block_rows, blocks, explode_lines, nearest, neighbours, owner_join
 
 
 def place(ours: DataFrame, theirs: DataFrame, our_symbols: DataFrame, their_symbols: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
@@ -34,34 +34,50 @@ def place(ours: DataFrame, theirs: DataFrame, our_symbols: DataFrame, their_symb
     rows = rows.withColumn("lo", F.when(module & F.col("_last").isNotNull(), F.lit(0)).otherwise(F.col("lo"))).withColumn("hi", F.when(module, F.col("_last")).otherwise(F.col("hi"))).withColumn("head", F.when(module & F.col("_last").isNotNull(), F.lit(0)).otherwise(F.col("head")))
     rows = rows.select("path", "first", "n", "id", "offset", "lo", "hi", "head", T.strip(F.coalesce("nxt", F.lit(""))).alias("nxt"), T.strip(F.coalesce("prv", F.lit(""))).alias("prv"), F.col("prv").isNotNull().alias("has_prv"))
 
-    def nearest(line: Column, after: int) -> DataFrame:
-        key = rows.where((line != "") & F.col("lo").isNotNull()).select("path", "first", "offset", "lo", "hi", "prv", "has_prv", line.alias("said"))
-        met = key.join(other, ["path", "said"]).where(F.col("row").between(F.col("lo"), F.col("hi")))
-        at = F.col("row") + after
-        far = F.abs(at - F.col("lo") - F.col("offset"))
-        exact = F.lit(0) if after else F.when(F.col("has_prv") & (F.col("above") == F.col("prv")), 0).otherwise(1)
-        return met.groupBy("path", "first").agg(F.min_by(at, F.struct(exact, far, at)).alias("found"))
+    def searched(said: Column, after: int, *more: Column, name: str) -> DataFrame:
+        """The nearest row with a line, and what else must be equal, to where the block stood in its symbol."""
+        key = ["path", "said", "above"][: 2 + len(more)]
+        asked = rows.where((said != "") & F.col("lo").isNotNull()).select("path", "first", said.alias("said"), *(m.alias("above") for m in more), F.col("lo").alias("low"), F.col("hi").alias("high"), (F.col("lo") + F.col("offset") - after).alias("want"))
+        if more:
+            asked = asked.where(F.col("above").isNotNull())
+        found = nearest(asked, other.where(F.col("above").isNotNull()) if more else other, key, ["path", "first"])
+        return found.select("path", "first", (F.col("found") + after).alias(name))
 
-    by_next = nearest(F.col("nxt"), 0).withColumnRenamed("found", "by_next")
-    by_prv = nearest(F.col("prv"), 1).withColumnRenamed("found", "by_prv")
-    rows = rows.join(by_next, ["path", "first"], "left").join(by_prv, ["path", "first"], "left")
-    at = F.coalesce("by_next", "by_prv")
+    tries = [searched(F.col("nxt"), 0, F.when(F.col("has_prv"), F.col("prv")), name="exact"), searched(F.col("nxt"), 0, name="by_next"), searched(F.col("prv"), 1, name="by_prv")]
+    for found in tries:
+        rows = rows.join(found, ["path", "first"], "left")
+    at = F.coalesce("exact", "by_next", "by_prv")
     outcome = F.when(F.col("lo").isNull(), "orphaned").when(at.isNotNull(), "reattached").otherwise("relocated")
     return rows.select("path", "first", "n", "id", outcome.alias("outcome"), F.when(F.col("lo").isNotNull(), F.coalesce(at, F.col("head"))).cast("long").alias("at"))
 
 
 def rebuild(ours: DataFrame, theirs: DataFrame, placed: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
-    """path, text: theirs with the placed blocks inserted, indented as the line they go before, or, where that is blank or there is none, as the line they stood before.
-
-    Equal places keep the blocks' order.
+    """path, text: theirs with the placed blocks inserted. A block that stands by its line again is indented as the line it goes before, or, where that is blank or there is none, as
+    the line it stood before; one moved to its symbol's head as the line there. Equal places keep the blocks' order.
     """
-    own = explode_lines(ours).where(T.is_annotation(F.col("line"), tokens)).select("path", "row", "line")
-    goes = placed.where("at IS NOT NULL").select(F.col("path").alias("_path"), F.col("first").alias("_first"), "n", "at", "outcome")
-    moved = own.join(goes, (F.col("path") == F.col("_path")) & (F.col("row") >= F.col("_first")) & (F.col("row") < F.col("_first") + F.col("n")))
+    around = neighbours(explode_lines(ours), tokens)
+    own = block_rows(around.where("zh").select("path", "row", "line"), "path")
+    stood = around.select("path", F.col("row").alias("last"), T.indent(F.coalesce("nxt", F.lit(""))).alias("stood"))
+    moved = own.join(placed.where("at IS NOT NULL").select("path", "first", "at", "outcome"), ["path", "first"]).join(stood, ["path", "last"])
     other = explode_lines(theirs).select("path", "row", "line")
-    margin = other.where(T.strip(F.col("line")) != "").select("path", F.col("row").alias("at"), T.indent(F.col("line")).alias("margin"))
-    stood = neighbours(explode_lines(ours), tokens).select(F.col("path").alias("_p"), F.col("row").alias("_row"), T.indent(F.coalesce("nxt", F.lit(""))).alias("stood"))
-    moved = moved.join(stood, (F.col("path") == F.col("_p")) & (F.col("_row") == F.col("_first") + F.col("n") - 1)).drop("_p", "_row")
-    moved = moved.join(margin, ["path", "at"], "left").withColumn("margin", F.coalesce("margin", F.when(F.col("outcome") == "reattached", F.col("stood")))).select("path", F.struct(F.col("at").alias("a"), F.lit(0).alias("b"), F.col("row").alias("c")).alias("k"), F.concat(F.coalesce("margin", F.lit("")), F.regexp_replace("line", r"^[ \t]+", "")).alias("line"))
+    there = other.select("path", F.col("row").alias("at"), T.indent(F.col("line")).alias("margin"), (T.strip(F.col("line")) == "").alias("blank"))
+    moved = moved.join(there, ["path", "at"], "left")
+    margin = F.when((F.col("outcome") == "reattached") & F.coalesce("blank", F.lit(True)), F.col("stood")).otherwise(F.coalesce("margin", F.lit("")))
+    moved = moved.select("path", F.struct(F.col("at").alias("a"), F.lit(0).alias("b"), F.col("row").alias("c")).alias("k"), F.concat(margin, F.regexp_replace("line", r"^[ \t]+", "")).alias("line"))
     rows = other.select("path", F.struct(F.col("row").alias("a"), F.lit(1).alias("b"), F.lit(0).cast("long").alias("c")).alias("k"), "line").unionByName(moved)
     return rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+def resolve(stages: DataFrame, our_symbols: DataFrame, their_symbols: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
+    """path, outcome, text of each conflicted file (path, base, ours, theirs), whose code becomes theirs.
+
+    merged: our annotations are placed in their text; deleted: they have none, so all of ours are orphans; taken: a kind of file that has no annotations, unchanged by us; unsupported: the
+    same but changed by us, or ours is gone, so that somebody must look (text is null).
+    """
+    kind = F.when(F.col("ours").isNull(), "unsupported").when(F.col("theirs").isNull(), "deleted")
+    kind = kind.when(T.comment_pattern(F.col("path")).isNull(), F.when(F.col("base").isNotNull() & (F.col("base") != F.col("ours")), "unsupported").otherwise("taken")).otherwise("merged")
+    rows = stages.withColumn("outcome", kind)
+    ours, theirs = (rows.where("outcome = 'merged'").select("path", F.col(c).alias("text")) for c in ("ours", "theirs"))
+    made = rebuild(ours, theirs, place(ours, theirs, our_symbols, their_symbols, tokens), tokens).withColumnRenamed("text", "made")
+    text = F.when(F.col("outcome") == "merged", F.col("made")).when(F.col("outcome") == "taken", F.col("theirs"))
+    return rows.join(made, "path", "left").select("path", "outcome", text.alias("text"))

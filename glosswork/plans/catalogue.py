@@ -145,17 +145,11 @@ def annotation_blocks(spark, sf):
     return lines.blocks(rows.select("path", "row"), "path")
 
 
-def _nested(spark: SparkSession, sf: str) -> DataFrame:
-    """Three nested symbols in each document."""
-    spans = F.array(*(F.struct(F.lit(n).alias("ord"), F.lit(a).cast("long").alias("start"), F.lit(b).cast("long").alias("end")) for n, (a, b) in enumerate(((0, 9), (2, 5), (4, 5), (12, 30)))))
-    return X.upstream(spark, sf).select("path", F.explode(spans).alias("s")).select("path", F.concat("path", F.lit("#s"), "s.ord").alias("id"), "s.start", "s.end", "s.ord")
-
-
 @query(""", sy AS (SELECT path, path||'#s'||o AS id, a AS s, b AS e, o FROM upstream, (VALUES (0,0,9),(1,2,5),(2,4,5),(3,12,30)) v(o,a,b)),
 m AS (SELECT l.path, l."row", arg_min(sy.id, (sy.e - sy.s) * 10 + sy.o) AS id FROM ulines l LEFT JOIN sy ON l.path = sy.path AND l."row" BETWEEN sy.s AND sy.e GROUP BY l.path, l."row")
 SELECT path, "row", coalesce(id, path||'#<module>') AS id FROM m""")
 def owner_join(spark, sf):
-    return lines.owner_join(lines.explode_lines(X.upstream(spark, sf)), _nested(spark, sf))
+    return lines.owner_join(lines.explode_lines(X.upstream(spark, sf)), X.upstream_symbols(spark, sf))
 
 
 @query(f"SELECT doc_id, {X._dig('text')} AS digest FROM upstream")
@@ -228,15 +222,18 @@ def verify_issues(spark, sf):
     return verify.issues(study, X.upstream(spark, sf)).select("path", "code")
 
 
-@query(f""", ul AS (SELECT path, "row", line, {X._strip('line')} AS said FROM ulines), ll AS (SELECT path, "row", {X._strip('line')} AS said, lag({X._strip('line')}) OVER (PARTITION BY path ORDER BY "row") AS above FROM (SELECT path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT - 1 AS "row" FROM later)),
-b AS (SELECT u.path, u."row" AS off, u.said AS nxt, p.said AS prv, EXISTS (SELECT 1 FROM later l WHERE l.path = u.path) AS there FROM ul u LEFT JOIN ul p ON p.path = u.path AND p."row" = u."row" - 1 WHERE u."row" % 7 = 0),
-n AS (SELECT b.path, off, arg_min(ll."row", CASE WHEN ll.above = b.prv THEN 0 ELSE 1000000000000 END + abs(ll."row" - off) * 1000000 + ll."row") AS at FROM b JOIN ll ON ll.path = b.path AND ll.said = b.nxt WHERE b.nxt <> '' GROUP BY b.path, off),
-p AS (SELECT b.path, off, arg_min(ll."row" + 1, abs(ll."row" + 1 - off) * 1000000 + ll."row") AS at FROM b JOIN ll ON ll.path = b.path AND ll.said = b.prv WHERE b.prv <> '' GROUP BY b.path, off)
-SELECT b.path, b.off + b.off // 7 AS first, 1::BIGINT AS n, b.path||'#<module>' AS id, CASE WHEN NOT there THEN 'orphaned' WHEN coalesce(n.at, p.at) IS NOT NULL THEN 'reattached' ELSE 'relocated' END AS outcome, CASE WHEN there THEN coalesce(n.at, p.at, 0) END AS at FROM b LEFT JOIN n ON n.path = b.path AND n.off = b.off LEFT JOIN p ON p.path = b.path AND p.off = b.off""")
+@query(X.REATTACH_SQL + 'SELECT path, first, 1::BIGINT AS n, id, outcome, spot::BIGINT AS "at" FROM placed')
 def reattach_blocks(spark, sf):
-    none = spark.createDataFrame([], "path string, id string, start long, end long, item_row long, ord int")
-    placed = reattach.place(X.study(spark, sf), X.later(spark, sf), none, none)
-    return placed
+    return reattach.place(X.study(spark, sf), X.theirs(spark, sf), X.study_symbols(spark, sf), X.their_symbols(spark, sf))
+
+
+@query(X.REATTACH_SQL + """SELECT coalesce(u.path, t.path) AS path, CASE WHEN u.path IS NULL THEN 'unsupported' WHEN t.path IS NULL THEN 'deleted' ELSE 'merged' END AS outcome, CASE WHEN u.path IS NOT NULL THEN sha256(m.text) END AS sha
+FROM upstream u FULL JOIN theirs t ON u.path = t.path LEFT JOIN merged m ON m.path = t.path""")
+def resolve_conflicts(spark, sf):
+    sides = (X.upstream(spark, sf), X.study(spark, sf), X.theirs(spark, sf))
+    rows = [side.select("path", F.lit(n).alias("stage"), "text") for n, side in enumerate(sides, 1)]
+    stages = tables.merge_stages(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+    return reattach.resolve(stages, X.study_symbols(spark, sf), X.their_symbols(spark, sf)).select("path", "outcome", F.sha2("text", 256).alias("sha"))
 
 
 @query(f"""SELECT path, CASE WHEN doc_id % 6 = 0 THEN 'rejected' ELSE 'applied' END AS outcome, sha256(CASE WHEN doc_id % 6 = 0 THEN text ELSE regexp_extract(text, '^[ \\t]*')||'# {T.MARKER} new'||chr(10)||text END) AS sha FROM upstream WHERE {X._strip("string_split(text, chr(10))[1]")} <> ''""")

@@ -62,6 +62,39 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", F.col("sig").alias("at_sig"), F.col("doc").alias("at_doc"), F.col("body").alias("at_body"), "zh", F.lit("first").alias("by"), *(F.when(ok, F.col(k)).alias(f"review_{k}") for k in ("sig", "doc", "body", "zh")))
 
 
+#: Nested symbols of every document: number, first and last row.
+NESTED = ((0, 0, 9), (1, 2, 5), (2, 4, 5), (3, 12, 30))
+
+
+def _spans(files: DataFrame, first, last, where: Column | None = None) -> DataFrame:
+    """path, id, start, end, item_row, ord of NESTED, its rows moved by first and last."""
+    spans = F.array(*(F.struct(F.lit(n).alias("ord"), first(F.lit(a)).cast("long").alias("start"), last(F.lit(b)).cast("long").alias("end")) for n, a, b in NESTED))
+    rows = files.select("doc_id", "path", F.explode(spans).alias("s")).select("doc_id", "path", F.concat("path", F.lit("#s"), "s.ord").alias("id"), "s.start", "s.end", F.col("s.start").alias("item_row"), "s.ord")
+    return rows.where(where) if where is not None else rows
+
+
+def upstream_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    return _spans(upstream(spark, sf), lambda r: r, lambda r: r)
+
+
+def study_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Where NESTED is in study(), whose every seventh line has an annotation before it."""
+    moved = lambda r: r + F.floor(r / 7) + 1
+    return _spans(upstream(spark, sf), moved, moved)
+
+
+def theirs(spark: SparkSession, sf: str) -> DataFrame:
+    """later(), every third document with a line more at the top."""
+    d = F.col("doc_id")
+    return later(spark, sf).withColumn("text", F.concat(F.when(d % 3 == 0, "a first line\n").otherwise(""), "text"))
+
+
+def their_symbols(spark: SparkSession, sf: str) -> DataFrame:
+    """Where NESTED is in theirs(); every fifth document has lost one."""
+    down = F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0)
+    return _spans(later(spark, sf), lambda r: r + down, lambda r: r + down, (F.col("doc_id") % 5 != 0) | (F.col("ord") != 1))
+
+
 def _dig(x: str) -> str:
     return f"left(sha256(trim(regexp_replace({x}, '{WS_SQL}+', ' ', 'g'))), 12)"
 
@@ -90,3 +123,18 @@ derived AS (SELECT s.*, CASE WHEN s.zh IS NULL THEN 'pending' WHEN r.id IS NULL
  CASE WHEN r.at_sig<>s.sig THEN 'sig' END AS c1, CASE WHEN r.at_doc<>s.doc THEN 'doc' END AS c2, CASE WHEN r.at_body<>s.body THEN 'body' END AS c3 FROM news s LEFT JOIN recs r ON s.id = r.id),
 stat AS (SELECT * EXCLUDE (c1, c2, c3), CASE WHEN status='stale' THEN concat_ws(',', c1, c2, c3) ELSE '' END AS changed, CASE WHEN status<>'stale' THEN '' WHEN c1 IS NOT NULL THEN 'P0' WHEN c2 IS NOT NULL THEN 'P1' ELSE 'P2' END AS priority FROM derived)
 """
+
+#: What re-attaching gives, row by row, after SQL: blocks (u: the code row they stand before) with owner and bounds, candidates, places.
+REATTACH_SQL = f""", theirs AS (SELECT doc_id, path, CASE WHEN doc_id % 3 = 0 THEN 'a first line'||chr(10) ELSE '' END||text AS text FROM later),
+tl AS (SELECT doc_id, path, "row", line, {_strip("line")} AS said, lag({_strip("line")}) OVER (PARTITION BY path ORDER BY "row") AS above FROM (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT - 1 AS "row" FROM theirs)),
+spans(o, a, b) AS (VALUES {", ".join(map(str, NESTED))}),
+bl AS (SELECT l.doc_id, l.path, l."row" AS u, l."row" + l."row" // 7 AS first, {_strip("l.line")} AS nxt, l.line AS nxt_line, {_strip("p.line")} AS prv FROM ulines l LEFT JOIN ulines p ON p.path = l.path AND p."row" = l."row" - 1 WHERE l."row" % 7 = 0),
+ow AS (SELECT bl.*, arg_min(o, (b + b // 7 - a - a // 7) * 10 + o) AS o, arg_min(a, (b + b // 7 - a - a // 7) * 10 + o) AS a, arg_min(b, (b + b // 7 - a - a // 7) * 10 + o) AS b FROM bl LEFT JOIN spans ON first BETWEEN a + a // 7 + 1 AND b + b // 7 + 1 GROUP BY ALL),
+bd AS (SELECT ow.doc_id, ow.path, u, first, nxt, nxt_line, prv, ow.path||'#'||coalesce('s'||o, '<module>') AS id, u - coalesce(a, 0) AS off,
+ CASE WHEN t.path IS NULL OR (o = 1 AND t.doc_id % 5 = 0) THEN NULL WHEN o IS NULL THEN 0 ELSE a + CASE WHEN t.doc_id % 3 = 0 THEN 1 ELSE 0 END END AS lo, CASE WHEN o IS NULL THEN 1000000000 ELSE b + CASE WHEN t.doc_id % 3 = 0 THEN 1 ELSE 0 END END AS hi FROM ow LEFT JOIN theirs t ON t.path = ow.path),
+n AS (SELECT bd.path, u, arg_min("row", CASE WHEN above = prv THEN 0 ELSE 1000000000000 END + abs("row" - lo - off) * 1000000 + "row") AS spot FROM bd JOIN tl ON tl.path = bd.path AND said = nxt AND "row" BETWEEN lo AND hi WHERE nxt <> '' GROUP BY bd.path, u),
+q AS (SELECT bd.path, u, arg_min("row" + 1, abs("row" + 1 - lo - off) * 1000000 + "row") AS spot FROM bd JOIN tl ON tl.path = bd.path AND said = prv AND "row" BETWEEN lo AND hi WHERE prv <> '' GROUP BY bd.path, u),
+placed AS (SELECT bd.path, u, first, nxt_line, id, CASE WHEN lo IS NULL THEN 'orphaned' WHEN coalesce(n.spot, q.spot) IS NOT NULL THEN 'reattached' ELSE 'relocated' END AS outcome, CASE WHEN lo IS NOT NULL THEN coalesce(n.spot, q.spot, lo) END AS spot FROM bd LEFT JOIN n USING (path, u) LEFT JOIN q USING (path, u)),
+put AS (SELECT p.path, p.spot AS k, 0 AS b, first AS c, CASE WHEN outcome = 'reattached' AND coalesce(said, '') = '' THEN regexp_extract(nxt_line, '^[ \\t]*') ELSE regexp_extract(coalesce(line, ''), '^[ \\t]*') END||'# {T.MARKER} n'||u AS line FROM placed p LEFT JOIN tl ON tl.path = p.path AND tl."row" = p.spot WHERE spot IS NOT NULL),
+merged AS (SELECT path, string_agg(line, chr(10) ORDER BY k, b, c) AS text FROM (SELECT path, "row" AS k, 1 AS b, 0 AS c, line FROM tl UNION ALL SELECT * FROM put) GROUP BY path)
+"""
