@@ -117,9 +117,10 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", own
 
 
 def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", with_: str = "[SECRET]") -> DataFrame:
-    """docs with all found spans replaced in text; n_chars, if there, set anew."""
-    found = scan(docs, owner, repository).where(F.size("all") > 0).select(F.col("doc_id").alias("_doc"), F.col("same").alias("_same"), F.col("all").alias("_all")).dropDuplicates(["_doc", "_same"])
-    rows = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_same")), "left")
+    """docs with all found spans replaced in text; n_chars, if there, set anew. Columns of any names go through."""
+    found = scan(docs, owner, repository).where(F.size("all") > 0).select("doc_id", "same", "all").dropDuplicates(["doc_id", "same"])
+    keys = (F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("same"))
+    rows = docs.select(*keys, F.col("text").alias("text"), F.struct(*docs.columns).alias("own")).alias("d").join(found.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.same") == F.col("f.same")), "left").select("d.text", "d.own", "f.all")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     text = F.col("text")
 
@@ -128,10 +129,10 @@ def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", w
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
         return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.lit(with_))).alias("out"))
 
-    clean = F.aggregate("_all", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    rows = rows.withColumn("_clean", F.when(F.col("_all").isNotNull(), clean).otherwise(text))
-    changed = {"text": F.col("_clean")} | ({"n_chars": F.when(F.col("_all").isNotNull(), F.length("_clean").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return rows.select(*(changed.get(c, F.col(c)).alias(c) for c in docs.columns))
+    clean = F.aggregate("all", start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    rows = rows.select("own", F.col("all").isNotNull().alias("changed"), F.when(F.col("all").isNotNull(), clean).otherwise(text).alias("clean"))
+    new = {"text": F.col("clean")} | ({"n_chars": F.when(F.col("changed"), F.length("clean").cast("long")).otherwise(F.col("own.n_chars"))} if "n_chars" in docs.columns else {})
+    return rows.select(*(new.get(c, F.col("own").getField(c)).alias(c) for c in docs.columns))
 
 
 def op7_secret_scans(spark, sf_dir: str) -> DataFrame:

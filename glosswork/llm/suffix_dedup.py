@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import U, prefix_hashes, row_key, span_hash, text_buffer, trimmed
+from glosswork.llm._base import U, prefix_hashes, row_keys, span_hash, text_buffer, trimmed
 from glosswork.llm._segments import Plan, marked
 
 WINDOW = 200
@@ -151,7 +151,7 @@ def repeated_windows(packed: pa.Array, anchor_at: np.ndarray, key: np.ndarray, w
 def _bucket(window: int):
     def run(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         item, at = repeated_windows(table.column("packed").combine_chunks(), table.column("anchor_at").to_numpy().astype(np.int64), table.column("key").to_numpy(), window)
-        return table.column("doc").to_numpy()[item], table.column("start").to_numpy()[item] + at
+        return item, table.column("start").to_numpy()[item] + at
 
     return run
 
@@ -175,7 +175,7 @@ def spans_of(column: pa.Array, i: int, size: int) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """text, _row (a struct of all other columns), spans: byte ranges of each text that repeated strings cover; spans may touch or overlap."""
     others = F.struct(*(F.col(c) for c in docs.columns if c != "text"))
-    rows = docs.select(row_key().alias("doc_id"), "text", others.alias("_row"))
+    rows = docs.select(*row_keys(), "text", others.alias("_row"))
     return marked(rows, Plan(window, gram, words=False, keep_first=False, hot=hot), _bucket(window)).select("text", "_row", "spans")
 
 

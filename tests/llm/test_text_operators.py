@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from glosswork.llm import _segments, ann, chat, fingerprint, langid, ngram_join, packing, secrets, sentencepiece_tok, substring_dedup, suffix_dedup
 from glosswork.llm._base import text_buffer
@@ -84,14 +85,15 @@ def test_dedup_survives_equal_anchors(monkeypatch, spark, words):
     bucket = (substring_dedup if words else suffix_dedup)._bucket(plan.window)
     texts = pa.array([t for _, t in docs], pa.binary())
     asked, marks = defaultdict(list), []
-    for x in _segments.batch_segments(*text_buffer(texts), np.array([i for i, _ in docs]), plan):
+    for x in _segments.batch_segments(*text_buffer(texts), np.array([i for i, _ in docs]), np.zeros(len(docs), np.int64), plan):
         assert len(set(x["key"].tolist())) == 1
         for doc, start, n, anchor in zip(*(x[c].tolist() for c in ("doc", "start", "n", "anchor_at"))):
             asked[0].append((doc, start, n, anchor))
     own = {i: t.split() if words else t for i, t in docs}
     rows = asked[0]
-    table = pa.table({"key": pa.array([0] * len(rows)), "doc": pa.array([r[0] for r in rows]), "start": pa.array([r[1] for r in rows], pa.int32()), "anchor_at": pa.array([r[3] for r in rows], pa.int32()), "packed": pa.array([b" ".join(own[d][s : s + n]) if words else own[d][s : s + n] for d, s, n, _ in rows], pa.binary())})
-    found = set(zip(*(x.tolist() for x in bucket(table))))
+    table = pa.table({"key": pa.array([0] * len(rows)), "doc": pa.array([r[0] for r in rows]), "sub": pa.array([0] * len(rows)), "start": pa.array([r[1] for r in rows], pa.int32()), "anchor_at": pa.array([r[3] for r in rows], pa.int32()), "packed": pa.array([b" ".join(own[d][s : s + n]) if words else own[d][s : s + n] for d, s, n, _ in rows], pa.binary())})
+    item, start = bucket(table)
+    found = {(rows[i][0], p) for i, p in zip(item.tolist(), start.tolist())}
     windows = [(d, p, tuple(u[p : p + plan.window])) for d, u in own.items() for p in range(len(u) - plan.window + 1)]
     n, first = Counter(w for _, _, w in windows), {}
     for d, p, w in windows:
@@ -598,6 +600,41 @@ def test_empty_tables(spark):
     assert ann.nearest(vectors, vectors).count() == 0
 
 
+def test_rows_of_one_id_keep_their_own_words(spark):
+    """Null and shared ids: every row loses its own repeats, null ids come first, then ids, then rows of one id in some fixed order."""
+    r = random.Random(12)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=7)) for _ in range(n))
+    w, p, clean = words(40), words(30), words(60)
+    docs = [(1, w), (7, w), (7, clean), (None, f"a {p}"), (None, f"b b b {p} tail tail"), (5, p), (-(1 << 63), f"{p} x"), (7, clean)]
+    kept = sorted(((x.doc_id, x.kept) for x in substring_dedup.remove_later(frame(spark, docs)).collect()), key=str)
+    told = [(1, w), (7, ""), (7, clean), (7, clean), (5, ""), (-(1 << 63), "x")]
+    assert [x for x in kept if x[0] is not None] == sorted(told, key=str)
+    assert [x[1] for x in kept if x[0] is None] in ([f"a {p}", "b b b tail tail"], ["a", f"b b b {p} tail tail"])
+
+
+def test_columns_of_any_name_go_through_the_stages(spark):
+    names = ("_row", "_id", "_n", "row", "n", "own", "_doc", "_same", "_all", "_clean", "same", "all", "clean", "changed", "doc", "sub", "spans", "asked", "component_id", "d", "f")
+    text = "token=abcdefgh12 and " + " ".join(f"w{i}x" for i in range(80))
+    docs = spark.createDataFrame([(1, text, "s", len(text), *(f"mine {n}" for n in names)), (2, "short", None, 5, *(None for _ in names))], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    mine = {r.doc_id: r[4:] for r in docs.collect()}
+    for stage in (ngram_join.keep_one, suffix_dedup.without_repeats, secrets.redact, lambda d: langid.keep_known(d, langid.fit(d.select("text", F.lit("xx").alias("lang"))))):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        assert {r.doc_id: tuple(r[4:]) for r in out.collect()}.items() <= mine.items()
+    (clean,) = secrets.redact(docs).where("doc_id = 1").collect()
+    assert clean.text.startswith("[SECRET] and") and clean.n_chars == len(clean.text)
+    pieces = packing.pack(docs)
+    assert {r.doc_id for r in pieces.collect()} == {1, 2}
+
+
+def test_keys_that_two_rows_share_are_parted(spark, monkeypatch):
+    from glosswork.llm import _base
+
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (None, "a"), (None, None)], "doc_id long, text string")
+    monkeypatch.setattr(_base, "row_keys", lambda *_: ((F.col("doc_id") * 0).alias("doc"), F.xxhash64("doc_id", "text").alias("sub")))
+    assert rows.select(_base.one_key(rows).alias("k")).distinct().count() == 5
+
+
 def test_null_ids(spark):
     docs = frame(spark, [(None, "one two three four five six"), (None, None), (1, "one two three four five six")])
     for result in (suffix_dedup.remove_repeats(docs), substring_dedup.remove_later(docs), ngram_join.classes(docs), fingerprint.fingerprints(docs), packing.pack(docs), secrets.scan(docs), sentencepiece_tok.encode(docs)):
