@@ -7,6 +7,8 @@ import json
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,15 +38,31 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def settled(df: DataFrame) -> DataFrame:
+#: Tables of the scratch scopes that are open, the innermost last.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that `settled` writes inside go when the scope ends, but for those with keep, which belong to the scope around it, or stay."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _drop(spark, path)
+
+
+def settled(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation.
 
-    The table goes when the Python process ends.
+    The table goes at the end of the scratch scope it is written in, with keep of the one around that; outside of any, when the Python process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glosswork/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    scopes = _scopes[:-1] if keep else _scopes
+    scopes[-1].append((spark, path)) if scopes else atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
