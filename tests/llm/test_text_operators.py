@@ -201,6 +201,33 @@ def test_groups_lose_no_component(spark, monkeypatch):
     assert len(got) > 5 and {i: got.get(i, i) for i in own} == {i: top(i) for i in own}
 
 
+def test_groups_meet_by_size_and_component(spark):
+    r = random.Random(17)
+    groups = [(c, k, n := r.randrange(1, 400), n + r.choice([0, 3, 100]), r.choice([None, 1, 2, 3])) for c in (1, 2) for k in range(60)]
+    want = {(a[0], min(a[1], b[1]), max(a[1], b[1])) for a in groups for b in groups if a[0] == b[0] and a[1] != b[1] and (a[4] is None or a[4] != b[4]) and a[3] * 100 >= b[2] * 80 and b[3] * 100 >= a[2] * 80}
+    schema = "cluster long, chunk long, least long, most long, label long"
+    got = ngram_join._group_pairs(spark.createDataFrame(groups, schema), 80).collect()
+    assert len(got) == len(want) and {tuple(x) for x in got} == want
+    one = spark.range(20_000).select(F.lit(1).alias("cluster"), F.col("id").alias("chunk"), F.lit(90).alias("least"), F.lit(99).alias("most"), F.lit(5).alias("label"))
+    assert ngram_join._group_pairs(one, 80).count() == 0
+
+
+def test_tables_of_a_scope_go(spark):
+    from glosswork.llm._base import cut, scratch
+
+    with scratch():
+        a = cut(spark.range(3))
+        with scratch():
+            b, c = cut(spark.range(4), keep=True), cut(spark.range(5))
+        assert (a.count(), b.count()) == (3, 4)
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|not exist"):
+            c.count()
+        d = cut(spark.range(6), keep=True)
+    assert d.count() == 6
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|not exist"):
+        b.count()
+
+
 def test_ngram_join_at_its_default_sizes(spark):
     """More documents with one passage than BIG, in more groups than one, of which a few are alike."""
     r = random.Random(21)
@@ -631,7 +658,7 @@ def test_keys_that_two_rows_share_are_parted(spark, monkeypatch):
     from glosswork.llm import _base
 
     rows = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "a"), (None, "a"), (None, None)], "doc_id long, text string")
-    monkeypatch.setattr(_base, "row_keys", lambda *_: ((F.col("doc_id") * 0).alias("doc"), F.xxhash64("doc_id", "text").alias("sub")))
+    monkeypatch.setattr(_base, "row_keys", lambda *_: (F.coalesce(F.col("doc_id") * 0, F.lit(0)).alias("doc"), F.xxhash64("doc_id", "text").alias("sub")))
     assert rows.select(_base.one_key(rows).alias("k")).distinct().count() == 5
 
 
