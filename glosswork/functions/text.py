@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ IDENTIFIER = r"\b[A-Z][A-Za-z0-9_]*[a-z][A-Za-z0-9_]*\b"
 #: What counts as white space: the same characters as for Python's str.split(), unlike Java's \s.
 WS = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
+#: The same within a line.
+WS_LINE = WS.replace(r"\x{9}-\x{d}", r"\x{9}\x{b}-\x{d}")
+
 
 def strip(text: Column) -> Column:
     """Without white space at either end."""
@@ -67,6 +71,12 @@ def strip_annotations(text: Column, tokens: tuple[str, ...] = HASH, marker: str
     return F.regexp_replace(text, rf"(?dm)^{marker_pattern(tokens, marker)}[^\n]*(?:\n|\z)", "")
 
 
+def by_path(path: Column, f: Callable[[tuple[str, ...]], Column]) -> Column:
+    """f of the comment tokens a path allows; null if it allows none."""
+    pattern = comment_pattern(path)
+    return F.when(pattern == "#", f(HASH)).when(pattern == "--", f(DASH)).when(pattern.isNotNull(), f(SLASH))
+
+
 def annotation_body(line: Column, marker: str = MARKER) -> Column:
     """What an annotation line says."""
     return F.when(F.contains(line, F.lit(marker)), strip(F.regexp_replace(line, f"(?s)^.*?{marker}", ""))).otherwise(strip(line))

@@ -111,17 +111,20 @@ def neighbours(lines: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
     )
 
 
-def first_divergence(study: DataFrame, upstream: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
+def first_divergence(study: DataFrame, upstream: DataFrame, tokens: tuple[str, ...] | None = None) -> DataFrame:
     """path, line (from 1, of the study text), study_line, upstream_line of the first difference beside annotations; equal files have no row.
 
-    Both: path, text.
+    Both: path, text. tokens: comment tokens of all files; by their paths if None.
     """
 
+    def note(line: Column) -> Column:
+        return T.is_annotation(line, tokens) if tokens else F.coalesce(T.by_path(F.col("path"), lambda t: T.is_annotation(line, t)), F.lit(False))
+
     def kept(files: DataFrame) -> DataFrame:
         ends = F.transform(T.lines(F.col("text")), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), (i < F.size(T.lines(F.col("text"))) - 1).alias("ended")))
         return files.select("path", F.filter(ends, lambda x: x["ended"] | (x["line"] != "")).alias("ls"))
 
-    a = kept(study).select("path", F.size("ls").alias("size"), F.filter("ls", lambda x: ~T.is_annotation(x["line"], tokens)).alias("ls"))
+    a = kept(study).select("path", F.size("ls").alias("size"), F.filter("ls", lambda x: ~note(x["line"])).alias("ls"))
     b = kept(upstream).select("path", F.col("ls").alias("up"))
     pairs = a.join(b, "path").select("path", "size", F.explode(F.arrays_zip("ls", "up")).alias("p")).select("path", F.col("size"), F.col("p.ls").alias("s"), F.col("p.up").alias("u"))
     ordered = pairs.where(~F.struct("s.line", "s.ended").eqNullSafe(F.struct("u.line", "u.ended")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
 from glosswork.extract import index
-from glosswork.operators import diff, lines, notes, reattach, registry, state, terms, verify, work
+from glosswork.operators import diff, lines, notes, placement, reattach, registry, state, terms, verify, work
 from glosswork.plans import fixtures as X
 from glosswork.sources import tables
 from glosswork.sources.tables import settled
@@ -222,6 +222,16 @@ def verify_issues(spark, sf):
     return verify.issues(study, X.upstream(spark, sf)).select("path", "code")
 
 
+@query("""WITH t AS (SELECT doc_id, doc_id % 10 AS d, len(string_split(coalesce(text, ''), chr(10))) AS n, coalesce(text, '') = '' OR right(text, 1) = chr(10) AS ended FROM documents)
+SELECT CASE WHEN d = 2 THEN 'gen/' ELSE 'src/' END||doc_id||CASE d WHEN 3 THEN '/guide.md' WHEN 4 THEN '.txt' WHEN 8 THEN '.rs' ELSE '.py' END AS path,
+ CASE d WHEN 0 THEN 'new-file' WHEN 1 THEN 'deleted' WHEN 2 THEN 'generated' WHEN 3 THEN 'import-line' WHEN 4 THEN 'unsupported' WHEN 5 THEN 'binary' WHEN 6 THEN 'code-modified' WHEN 7 THEN 'zh-in-string' ELSE 'zh-in-code-block' END AS code,
+ CASE WHEN d = 6 THEN n + (n + 6) // 7 + CASE WHEN ended THEN 1 ELSE 0 END WHEN d > 6 THEN 9 END::BIGINT AS line, CASE WHEN d > 6 THEN (n + 1) // 7 - 1 ELSE 0 END AS others
+FROM t WHERE d < 9 AND (d <> 3 OR doc_id % 20 >= 10) AND (d < 7 OR n >= 6)""", fixtures=False)
+def verify_ladder(spark, sf):
+    mine, theirs = X.checked(spark, sf)
+    return verify.issues(mine, theirs, generated="^gen/", imports=(r"/guide\.md$", X.IMPORT))
+
+
 @query(X.REATTACH_SQL + 'SELECT path, first, 1::BIGINT AS n, id, outcome, spot::BIGINT AS "at" FROM placed')
 def reattach_blocks(spark, sf):
     return reattach.place(X.study(spark, sf), X.theirs(spark, sf), X.study_symbols(spark, sf), X.their_symbols(spark, sf))
@@ -563,7 +573,34 @@ def cpp_symbols(spark, sf):
 
 @query("""SELECT source||'/'||doc_id||'.py' AS path, i * 3 + 1 AS "row", 'zh-in-string' AS code FROM (SELECT source, doc_id, unnest(generate_series(0, len(string_split(coalesce(text,''), chr(10))) - 1)) AS i FROM documents)""", fixtures=False)
 def placement_lint(spark, sf):
-    return _long(index.misplaced(_sources(spark, sf, ".py", f's@N = """\n# {T.MARKER} @L\n"""')), "row")
+    return placement.misplaced(_sources(spark, sf, ".py", f's@N = """\n# {T.MARKER} @L\n"""'))
+
+
+_FENCE_SQL = f"""WITH l AS (SELECT source||'/'||doc_id||'.rs' AS path, unnest(string_split(coalesce(text,''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''), chr(10)), 1) - 1 AS i FROM documents),
+r AS (SELECT path, i * 2 AS "row", CASE WHEN length(line) % 3 = 0 THEN '/// ```' WHEN length(line) % 7 = 1 THEN 'fn' WHEN length(line) % 5 = 0 THEN '//! ```' ELSE '/// said' END AS line FROM l UNION ALL SELECT path, i * 2 + 1, '/// {T.MARKER} x' FROM l),
+k AS (SELECT *, CASE WHEN line = 'fn' THEN '' ELSE line[1:3] END AS token FROM r),
+n AS (SELECT *, CASE WHEN token <> '' AND token = lag(token) OVER (PARTITION BY path ORDER BY "row") THEN 0 ELSE 1 END AS new FROM k),
+g AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY "row") AS run FROM n),
+f AS (SELECT *, coalesce(sum(CASE WHEN line LIKE '%```' THEN 1 ELSE 0 END) OVER (PARTITION BY path, run ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS fenced FROM g)
+"""
+
+
+@query(_FENCE_SQL + f"SELECT path, \"row\", 'zh-in-code-block' AS code FROM f WHERE fenced = 1 AND line LIKE '%{T.MARKER}%'", fixtures=False)
+def fence_lint(spark, sf):
+    n = F.length("line")
+    kind = F.when(n % 3 == 0, "/// ```").when(n % 7 == 1, "fn").when(n % 5 == 0, "//! ```").otherwise("/// said")
+    rows = lines.explode_lines(X.read(spark, sf, "documents").select(F.concat("source", F.lit("/"), "doc_id", F.lit(".rs")).alias("path"), F.coalesce("text", F.lit("")).alias("text")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", kind.alias("line")))), lambda x: F.concat(x["line"], F.lit(f"\n/// {T.MARKER} x"))), "\n")
+    return placement.misplaced(rows.groupBy("path").agg(text.alias("text")))
+
+
+@query(""", h AS (SELECT path, "row", ltrim(line, ' '||chr(9)) LIKE '# %' AS note FROM slines),
+b AS (SELECT *, max(CASE WHEN NOT note THEN "row" END) OVER (PARTITION BY path ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS code FROM (SELECT path, "row", note OR "row" % 3 = 1 AS note FROM h))
+SELECT path, "row", coalesce(code + 1, 0) AS first FROM b WHERE "row" % 4 = 0""")
+def leading_comments(spark, sf):
+    rows = lines.explode_lines(X.study(spark, sf).select("path", "text"))
+    rows = rows.withColumn("line", F.when(F.col("row") % 3 == 1, F.concat(F.lit("  # also "), "line")).otherwise(F.regexp_replace("line", r"^([ \t]*)#(?! )", "$1;")))
+    return placement.leading_comments(rows, rows.where("row % 4 = 0"))
 
 
 # --- the same shapes under load ---

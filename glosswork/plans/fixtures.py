@@ -18,8 +18,8 @@ def upstream(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def annotated(text: Column) -> Column:
-    return F.array_join(F.transform(T.lines(text), lambda l, i: F.when(i % 7 == 0, F.concat(F.lit(f"# {T.MARKER} n"), i, F.lit("\n"), l)).otherwise(l)), "\n")
+def annotated(text: Column, token: str = "#") -> Column:
+    return F.array_join(F.transform(T.lines(text), lambda l, i: F.when(i % 7 == 0, F.concat(F.lit(f"{token} {T.MARKER} n"), i, F.lit("\n"), l)).otherwise(l)), "\n")
 
 
 def study(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,6 +62,25 @@ def records(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("id", F.col("sig").alias("at_sig"), F.col("doc").alias("at_doc"), F.col("body").alias("at_body"), "zh", F.lit("first").alias("by"), *(F.when(ok, F.col(k)).alias(f"review_{k}") for k in ("sig", "doc", "body", "zh")))
 
 
+#: The line that the guides of checked() may gain.
+IMPORT = "@study/guide.md"
+
+
+def checked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Study and upstream files of which every kind of problem befalls a tenth, by doc_id."""
+    d, plain = F.col("doc_id") % 10, F.translate("text", "'\"\\`", "    ")
+    rows = upstream(spark, sf).select("doc_id", d.alias("d"), plain.alias("text"))
+    suffix = F.when(d == 3, "guide.md").when(d == 4, "txt").when(d == 8, "rs").otherwise("py")
+    path = F.concat(F.when(d == 2, "gen/").when(d == 9, "study/").otherwise("src/"), "doc_id", F.when(d == 3, "/").otherwise("."), suffix)
+    fenced = F.concat(F.lit("/// ```\n/// "), F.replace("text", F.lit("\n"), F.lit("\n/// ")), F.lit("\n/// ```"))
+    theirs = F.when(d == 7, F.concat(F.lit('s = """\n'), "text", F.lit('\n"""'))).when(d == 8, fenced).otherwise(F.col("text"))
+    up = rows.select("doc_id", path.alias("path"), theirs.alias("text"))
+    added = F.when(F.col("doc_id") % 20 < 10, f"\n\n{IMPORT}\n").otherwise(f"\nmore\n{IMPORT}")
+    mine = F.when(d == 3, F.concat("text", added)).when(d == 4, F.concat("text", F.lit("!"))).when(d == 5, F.concat("text", F.lit("\0")))
+    mine = mine.when(d == 6, F.concat(annotated(F.col("text")), F.lit("\nlast"))).when(d == 8, annotated(F.col("text"), "///")).otherwise(annotated(F.col("text")))
+    return up.where(d != 1).select("path", mine.alias("text")), up.where(d != 0).select("path", "text")
+
+
 #: Nested symbols of every document: number, first and last row.
 NESTED = ((0, 0, 9), (1, 2, 5), (2, 4, 5), (3, 12, 30))
 

@@ -5,8 +5,9 @@ import time
 
 from pyspark.sql import functions as F
 
+from glosswork.extract import braced, index
 from glosswork.functions import text as T
-from glosswork.operators import lines, reattach
+from glosswork.operators import lines, placement, reattach, verify
 
 M = T.MARKER
 SYMBOLS = "path string, id string, start long, end long, ord int"
@@ -167,3 +168,55 @@ def test_resolved_files(spark):
     none = spark.createDataFrame([], "path string, id string, start long, end long, item_row long, ord int")
     got = reattach.resolve(spark.createDataFrame(rows, "path string, base string, ours string, theirs string"), none, none).collect()
     assert {x.path: (x.outcome, x.text) for x in got} == {"a.py": ("merged", f"y\n# {M} n\nx\n"), "b.bin": ("taken", "2"), "c.bin": ("unsupported", None), "d.py": ("deleted", None), "e.py": ("unsupported", None), "f.bin": ("taken", "2")}
+
+
+# --- where annotations may not stand ---
+
+
+def test_open_strings_are_the_scanners(spark):
+    r = random.Random(1)
+    bits = ["'", '"', "'''", '"""', "\\", "#", " ", "a", "\n", "\n", f"\n# {M} x\n", "r'", 'f"', "\\\n", "''", '""', "\r", "é"]
+    files = [(f"f{i}.py", "".join(r.choice(bits) for _ in range(r.randrange(40))) + "\n") for i in range(600)]
+    files.append(("long.py", ("x = '''\n" + f"# {M} y\n" * 3 + "'''\n") * 15_000))  # more rows than a block of blocks has
+    files.append(("wide.py", "'''" + "ab'" * 100_000 + f"\n# {M} q\n'''\n"))
+    want = sorted((p, row) for p, t in files for row, c in index.lint(p, t) if c == "zh-in-string")
+    got = sorted((x.path, x.row) for x in placement.misplaced(spark.createDataFrame(files, "path string, text string")).collect())
+    assert len(want) > 45_000 and got == want
+
+
+def test_fences_are_the_scanners(spark):
+    r = random.Random(2)
+    bits = ["/// ```", "//! ```", "/// a", "//! b", "fn f() {", "}", "    let x = 1;", "  /// ```rust", f"/// {M} n", f"//! {M} n", f"    /// {M} n", f"// {M} n", "", "///", "//// x"]
+    files = [(f"f{i}.rs", "\n".join(r.choice(bits) for _ in range(r.randrange(30)))) for i in range(400)]
+    bodies = [(p, s.item_row + 1, s.end - 1) for p, t in files for s in braced.extract(t, "rs")[0] if s.kind in ("fn", "method")]
+    want = sorted((p, row, c) for p, t in files for row, c in index.lint(p, t))
+    got = placement.misplaced(spark.createDataFrame(files, "path string, text string"), spark.createDataFrame(bodies, "path string, start int, end int"))
+    assert {c for _, _, c in want} == {"zh-in-code-block", "doc-in-body"} and sorted((x.path, x.row, x.code) for x in got.collect()) == want
+
+
+def test_files_without_annotations_are_not_read_by_rows(spark):
+    files = spark.createDataFrame([("a.py", "x"), ("b.rs", ""), ("c.py", None)], "path string, text string")
+    assert placement.misplaced(files).collect() == [] and placement.misplaced(files.limit(0)).collect() == []
+
+
+def test_what_may_be_imported(spark):
+    cases = [("a", "a\n@i\n", "a\n", True), ("b", "a\n\n \n  @i \n\n", "a", True), ("c", "a\n@i\nb", "a\nb", False), ("d", "@i", "", True), ("e", "a\nb @i", "a\nb ", False), ("f", "a\n", "a\n\n", True), ("g", "a\n@i\n@i", "a\n@i", True)]
+    df = spark.createDataFrame(cases, "k string, mine string, theirs string, ok boolean")
+    for x in df.select("*", (verify.without_import(F.col("mine"), "@i") == F.regexp_replace("theirs", r"\n*\z", "")).alias("got")).collect():
+        assert x.got == x.ok, x
+
+
+def test_the_ladder_tells_the_first_problem_and_how_many_more(spark):
+    up = [("a.py", 's = """\nx\n"""\n'), ("b.rs", "/// ```\n/// x\nfn f() {}\n"), ("c.go", "package c\n"), ("d.py", "x\n"), ("same.py", "x")]
+    mine = [("a.py", f's = """\n# {M} 1\nx\n# {M} 2\n"""\n# {M} 3\n'), ("b.rs", f"/// ```\n/// {M} 1\n/// x\nfn f() {{}}\n"), ("c.go", f"// {M} 1\npackage c\n"), ("d.py", f"# {M} 1\ny\n"), ("same.py", "x")]
+    a, b = (spark.createDataFrame(x, "path string, text string") for x in (mine, up))
+    got = [tuple(x) for x in verify.issues(a, b, elsewhere=spark.createDataFrame([("z.md", "ignored")], "path string, code string")).collect()]
+    assert got == [("a.py", "zh-in-string", 2, 1), ("b.rs", "zh-in-code-block", 2, 0), ("d.py", "code-modified", 2, 0), ("z.md", "ignored", None, 0)]
+    assert verify.issues(a.limit(0), b.limit(0)).collect() == []
+
+
+def test_comments_above_an_item(spark):
+    text = ["# a", "# b", "def f(): pass", "", "# c", "", "x = 1", "  # d", "  y = 2"]
+    rows = spark.createDataFrame([("p", k, t) for k, t in enumerate(text)], "path string, row int, line string")
+    got = {x.row: x["first"] for x in placement.leading_comments(rows, rows.where("row IN (2, 6, 8)")).collect()}
+    assert got == {2: 0, 6: 6, 8: 7}
