@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
 from glosswork.operators.lines import block_rows, blocks, explode_lines, nearest, neighbours, owner_join
+from glosswork.sources.tables import settled
 
 
 def place(ours: DataFrame, theirs: DataFrame, our_symbols: DataFrame, their_symbols: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
@@ -33,6 +34,7 @@ def place(ours: DataFrame, theirs: DataFrame, our_symbols: DataFrame, their_symb
     module = F.col("id").endswith("#<module>")
     rows = rows.withColumn("lo", F.when(module & F.col("_last").isNotNull(), F.lit(0)).otherwise(F.col("lo"))).withColumn("hi", F.when(module, F.col("_last")).otherwise(F.col("hi"))).withColumn("head", F.when(module & F.col("_last").isNotNull(), F.lit(0)).otherwise(F.col("head")))
     rows = rows.select("path", "first", "n", "id", "offset", "lo", "hi", "head", T.strip(F.coalesce("nxt", F.lit(""))).alias("nxt"), T.strip(F.coalesce("prv", F.lit(""))).alias("prv"), F.col("prv").isNotNull().alias("has_prv"))
+    rows = settled(rows)  # read by each search
 
     def searched(said: Column, after: int, *more: Column, name: str) -> DataFrame:
         """The nearest row with a line, and what else must be equal, to where the block stood in its symbol."""

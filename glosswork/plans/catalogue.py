@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
 from glosswork.extract import index
-from glosswork.operators import diff, lines, notes, placement, reattach, registry, state, terms, verify, work
+from glosswork.operators import diff, lines, notes, patch, placement, reattach, registry, state, terms, verify, work
 from glosswork.plans import fixtures as X
 from glosswork.sources import tables
 from glosswork.sources.tables import settled
@@ -255,6 +255,26 @@ def apply_patch(spark, sf):
     return work.apply_patch(files.select("path", "text"), edits).select("path", "outcome", F.sha2("text", 256).alias("sha"))
 
 
+@query(f""", n AS (SELECT doc_id, path, text, string_split(text, chr(10)) AS l FROM upstream),
+s AS (SELECT *, len(l) > 2 AND {X._strip("l[3]")} <> '' AS s1, len(l) > 4 AND doc_id % 6 <> 0 AND {X._strip("l[5]")} <> '' AS s2, len(l) > 12 AS s3, {X._strip("l[1]")} = '' AS top FROM n),
+j AS (SELECT *, list_filter(['<module>:no-slot', 'gone:no-such-symbol', 'other:not-a-target', 's0:no-such-symbol', 's1:'||CASE WHEN len(l) > 2 THEN 'not-a-code-line' ELSE 'no-such-symbol' END, 's2:'||CASE WHEN len(l) > 4 THEN 'not-a-code-line' ELSE 'no-such-symbol' END, 's3:no-such-symbol'],
+ lambda x, i: [doc_id % 4 = 0 AND NOT top, doc_id % 9 = 0, doc_id % 9 = 1, false, NOT s1, NOT s2, NOT s3][i]) AS lost,
+ list_filter(['<module>', 's1', 's2', 's3'], lambda x, i: [doc_id % 4 = 0 AND top, s1, s2, s3][i]) AS good FROM s),
+o AS (SELECT *, CASE WHEN doc_id % 7 = 0 THEN 'changed' WHEN len(good) = 0 THEN 'unchanged' WHEN doc_id % 11 = 0 THEN 'rolled-back' ELSE 'applied' END AS outcome FROM j),
+r AS (SELECT path, u, 2 AS k, 0 AS m, line FROM (SELECT path, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS u FROM o WHERE outcome = 'applied')
+ UNION ALL SELECT path, u, 0, 0, '# {T.MARKER} n'||u FROM (SELECT path, good, unnest(range(0, len(l), 7)) AS u FROM o WHERE outcome = 'applied') WHERE NOT (u IN (14, 21, 28) AND list_contains(good, 's3')) AND NOT ((u = 0 OR u > 28) AND list_contains(good, '<module>'))
+ UNION ALL SELECT path, u, 1, m, coalesce(regexp_extract(l[u + 1], '^[ \\t]*'), '')||'# {T.MARKER} '||w FROM o, (VALUES ('<module>', 0, 0, 'about'), ('s1', 2, 0, 'fresh'), ('s2', 4, 0, 'inner'), ('s3', 12, 0, 'two'), ('s3', 12, 1, 'lines')) v(symbol, u, m, w) WHERE outcome = 'applied' AND list_contains(good, symbol)),
+t AS (SELECT path, string_agg(line, chr(10) ORDER BY u, k, m) AS made FROM r GROUP BY path)
+SELECT o.path, outcome, CASE WHEN outcome = 'applied' THEN array_to_string(good, ' ') ELSE '' END AS applied, CASE WHEN outcome = 'changed' THEN '' ELSE array_to_string(list_sort(CASE WHEN outcome = 'rolled-back' THEN list_concat(lost, list_transform(good, lambda x: x||':rolled-back')) ELSE lost END), ' ') END AS rejected, sha256(coalesce(t.made, study.text)) AS sha
+FROM o JOIN study USING (path) LEFT JOIN t ON t.path = o.path""")
+def apply_answers(spark, sf):
+    told, asked = X.answers(spark, sf)
+    up = X.upstream(spark, sf).select("path", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")).alias("text"))
+    out = patch.apply(X.study(spark, sf).select("path", "text"), told, X.noted_symbols(spark, sf), up, asked)
+    name = lambda x: F.substring_index(x, "#", -1)
+    return out.select("path", "outcome", F.array_join(F.transform("applied", name), " ").alias("applied"), F.array_join(F.transform("rejected", lambda x: F.concat(name(x["symbol"]), F.lit(":"), x["reason"])), " ").alias("rejected"), F.sha2("text", 256).alias("sha"))
+
+
 @query(", c AS (SELECT coalesce(a.path, b.path) AS path, a.text AS x, b.text AS y FROM upstream a FULL JOIN later b ON a.path = b.path WHERE a.text IS DISTINCT FROM b.text), l AS (SELECT path, unnest(string_split(x, chr(10))) AS line, -1 AS d FROM c WHERE x IS NOT NULL UNION ALL SELECT path, unnest(string_split(y, chr(10))), 1 FROM c WHERE y IS NOT NULL), e AS (SELECT path, line, sum(d) AS d FROM l GROUP BY ALL) SELECT path, sum(greatest(d, 0))::BIGINT AS added, sum(greatest(-d, 0))::BIGINT AS deleted FROM e GROUP BY path")
 def numstat(spark, sf):
     return diff.numstat(X.upstream(spark, sf), X.later(spark, sf))
