@@ -156,8 +156,3 @@ def matches_globs(path: Column, globs: list[str]) -> Column:
 def in_scope(path: Column, include: list[str], exclude: list[str], generated: list[str] = ()) -> Column:
     inside = matches_globs(path, include) if include else F.lit(True)
     return inside & ~matches_globs(path, list(exclude)) & ~matches_globs(path, list(generated))
-
-
-def term_pattern(forms: list[str]) -> str:
-    """Any of the forms, not inside a longer run of ASCII letters; for lower-cased text."""
-    return "(?<![a-z])(?:" + "|".join(re.escape(f.lower()) for f in forms if f) + ")(?![a-z])"

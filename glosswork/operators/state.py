@@ -79,13 +79,21 @@ def queue(rows: DataFrame, which: str = "stale", prefix: str | None = None) -> D
     return picked.orderBy("priority", "id") if which == "stale" else picked.orderBy("id")
 
 
-def merge(records: DataFrame, symbols: DataFrame, by: str) -> DataFrame:
-    """The records after an update, and dropped ones, each with its action and old_id.
+def path_of(id_: Column) -> Column:
+    """The file of a symbol's id."""
+    return F.substring_index(id_, "#", 1)
+
+
+def merge(records: DataFrame, symbols: DataFrame, by: str, paths: DataFrame | None = None) -> DataFrame:
+    """The records after an update, and dropped ones, each with its action and old_id. With paths (path), only of these files: all other records and symbols count for nothing and have no row.
 
     created: a new annotation, at the current hashes. refreshed: an edited one, its review gone. migrated: the record of a vanished
     symbol, by an equal annotation; each vanished record goes to one symbol, the first by path, then ord or start, as far as symbols have these, then id; of vanished records with equal annotations
     the one of the highest id is used. kept, dropped.
     """
+    if paths is not None:
+        records = records.withColumn("path", path_of(F.col("id"))).join(paths.select("path"), "path", "left_semi").select(*records.columns)
+        symbols = symbols.join(paths.select("path"), "path", "left_semi")
     gone = orphans(records, symbols)
     unowned = symbols.where(F.col("zh").isNotNull()).join(records.select("id"), "id", "left_anti")
     heirs = gone.groupBy("zh").agg(F.max("id").alias("old_id"))

@@ -1,7 +1,6 @@
 """Glossaries: terms (domain, domain_pos, key, en, zh, avoid array<string>, aliases array<string>, ord).
 
-Texts are matched against a literal list of terms: a glossary is a small driver-side table, turned into one expression, so that no pairs of
-text and term are made.
+Texts meet terms by words, in joins, so that neither plans nor expressions grow with a glossary and no pairs of text and term are made.
 """
 
 from __future__ import annotations
@@ -9,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswork.functions import text as T
+#: A run of ASCII letters of lower-cased text, or one other character that isn't white space.
+TOKEN = r"[a-z]+|[^a-z\s]"
 
 
 def merge(terms: DataFrame) -> DataFrame:
@@ -26,26 +26,41 @@ def validate(terms: DataFrame) -> DataFrame:
     return rows
 
 
-def forms(key: str, en: str | None, aliases: list[str] | None) -> list[str]:
-    """The surface forms of a term."""
-    return [f for f in (en, key.replace("_", " "), key.replace("_", ""), *(aliases or [])) if f]
+def forms(terms: DataFrame) -> DataFrame:
+    """key, form, head of the surface forms of terms, lower-cased: the term, its key with spaces and without, its aliases. head: the form's first word, or first character that is none."""
+    every = F.concat(F.array("en", F.replace("key", F.lit("_"), F.lit(" ")), F.replace("key", F.lit("_"), F.lit(""))), F.coalesce("aliases", F.array().cast("array<string>")))
+    rows = terms.select("key", F.explode(F.filter(F.array_compact(every), lambda f: f != "")).alias("form")).select("key", F.lower("form").alias("form")).distinct()
+    return rows.withColumn("head", F.regexp_extract("form", TOKEN, 0))
 
 
-def mentions(text: Column, shapes: list[str]) -> Column:
-    return F.lower(text).rlike(T.term_pattern(shapes))
+def mentions(texts: DataFrame, terms: DataFrame, *key: str) -> DataFrame:
+    """key, term: the keys of terms that stand in each text (key columns, which tell rows apart and aren't null; text), not inside a longer run of ASCII letters.
 
+    A form can only stand where its first word stands as a whole word. So texts and forms meet by that word, an equal join however many terms there are: a text sends each different
+    word once, a form of one word is found by the join alone, and only for longer forms are the texts, of those rows that have the first word, looked at.
+    """
+    words = texts.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0)))).alias("head"))
+    met = words.join(forms(terms).withColumnRenamed("key", "term"), "head")
+    alone = F.col("form").rlike("^[a-z]+$")
+    asked = met.where(~alone).groupBy(*key).agg(F.collect_set(F.struct("term", "form")).alias("asked"))
+    there = texts.select(*key, F.lower("text").alias("text")).join(asked, list(key)).select(*key, "text", F.explode("asked").alias("a")).where(_whole(F.col("text"), F.col("a.form"))).select(*key, "a.term")
+    return met.where(alone).select(*key, "term").unionByName(there).distinct()
 
-def relevant(texts: DataFrame, glossary: list[dict]) -> DataFrame:
-    """texts (any columns, text) with a row for each term they mention: key."""
-    found = F.array_compact(F.array(*(F.when(mentions(F.col("text"), forms(t["key"], t["en"], t["aliases"])), F.lit(t["key"])) for t in glossary)))
-    return texts.select(*(c for c in texts.columns if c != "text"), F.explode(found).alias("key"))
 
+def _whole(text: Column, form: Column) -> Column:
+    """Whether a form stands in a text with no letter on either side."""
+    quoted = F.replace(form, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    return F.contains(text, form) & F.rlike(text, F.concat(F.lit(r"(?<![a-z])\Q"), quoted, F.lit(r"\E(?![a-z])")))
 
-def lint(rows: DataFrame, glossary: list[dict]) -> DataFrame:
-    """rows (path, row, text, context) with a row for each avoided word that counts: bad, key. A word counts only if the term is mentioned in the context or the text."""
-    seen = F.concat_ws("\n", "context", "text")
-    found = []
-    for t in glossary:
-        there = mentions(seen, forms(t["key"], t["en"], t["aliases"]))
-        found += [F.when(F.contains("text", F.lit(b)) & there, F.struct(F.lit(b).alias("bad"), F.lit(t["key"]).alias("key"))) for b in t["avoid"] or [] if b]
-    return rows.select("path", "row", F.explode(F.array_compact(F.array(*found))).alias("p")).select("path", "row", "p.bad", "p.key")
+
+def relevant(texts: DataFrame, terms: DataFrame, *key: str) -> DataFrame:
+    """key columns, key: a row for each term (merged ones) that a text mentions."""
+    return mentions(texts, terms, *key).withColumnRenamed("term", "key")
+
+
+def lint(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """path, row, bad, key: each avoided word that rows (path, row, text, context) contain. It counts only if its term is mentioned in the context or the text; only such rows' texts meet words."""
+    seen = mentions(rows.select("path", "row", F.concat_ws("\n", "context", "text").alias("text")), terms, "path", "row")
+    bad = terms.select(F.col("key").alias("term"), F.explode(F.array_distinct("avoid")).alias("bad")).where("bad != ''")
+    found = seen.join(bad, "term").join(rows.select("path", "row", "text"), ["path", "row"]).where(F.contains("text", F.col("bad")))
+    return found.select("path", "row", "bad", F.col("term").alias("key"))

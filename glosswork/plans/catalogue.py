@@ -17,16 +17,6 @@ from glosswork.sources.tables import settled
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-GLOSSARY = [
-    {"domain": "general", "domain_pos": 0, "key": "order", "en": "the", "zh": "订单", "avoid": ["en"], "aliases": []},
-    {"domain": "general", "domain_pos": 0, "key": "fill", "en": "that", "zh": "成交", "avoid": ["on", "成交"], "aliases": ["with"]},
-    {"domain": "trading", "domain_pos": 1, "key": "fill", "en": "this", "zh": "撮合", "avoid": ["tion"], "aliases": ["le", "der"]},
-    {"domain": "trading", "domain_pos": 1, "key": "Bad-Key", "en": "by", "zh": "坏", "avoid": [], "aliases": []},
-    {"domain": "trading", "domain_pos": 1, "key": "order_book", "en": "was", "zh": "订单簿", "avoid": ["and"], "aliases": ["une"]},
-]
-TERMS = "domain string, domain_pos int, key string, en string, zh string, avoid array<string>, aliases array<string>"
-
-
 def query(sql: str | None = None, fixtures: bool = True):
     """Register a query under its function's name; sql: the same for DuckDB, after the fixtures' table expressions."""
 
@@ -43,10 +33,6 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
 
-def _glossary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([tuple(t.values()) for t in GLOSSARY], TERMS)
-
-
 def _derived(spark: SparkSession, sf: str) -> DataFrame:
     return state.derive(X.new_symbols(spark, sf), X.records(spark, sf))
 
@@ -412,32 +398,39 @@ def doc_state_update(spark, sf):
 # --- glossaries ---
 
 
-@query("SELECT * FROM (VALUES ('order','general','订单'),('fill','trading','撮合'),('Bad-Key','trading','坏'),('order_book','trading','订单簿')) t(key, domain, zh)", fixtures=False)
-def term_merge(spark, sf):
-    return terms.merge(_glossary(spark)).select("key", "domain", "zh")
-
-
-@query("SELECT * FROM (VALUES ('fill','general','avoids-itself'),('fill','trading','conflict'),('Bad-Key','trading','bad-key')) t(key, domain, problem)", fixtures=False)
-def term_validate(spark, sf):
-    return terms.validate(_glossary(spark))
+_TERMS_SQL = """WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+|[^a-z]') AS t FROM benchmark),
+e AS (SELECT item_id, unnest(t) AS w, unnest(t[2:] || [NULL]) AS gap, unnest(t[3:] || [NULL, NULL]) AS nxt FROM w),
+d AS (SELECT item_id % 7 AS p, CASE WHEN length(w) % 6 = 5 THEN 'Bad-' ELSE '' END||w AS key, w AS en, '译'||min(item_id) AS zh, CASE WHEN length(w) % 5 = 4 THEN ['译'||min(item_id)] ELSE [] END||[w[1:3]] AS avoid, list_sort(list(DISTINCT w||' '||nxt) FILTER (gap = ' ' AND nxt ~ '[a-z]+')) AS aliases FROM e WHERE length(w) > 3 AND w ~ '[a-z]+' GROUP BY item_id % 7, w),
+m AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY p DESC) AS n FROM d) WHERE n = 1),
+fm AS (SELECT DISTINCT key, lower(f) AS form FROM (SELECT key, unnest([en, key] || coalesce(aliases, [])) AS f FROM m))
+"""
+_MENTIONS_SQL = """, x AS (SELECT {key}, t, unnest(t) AS a, unnest(t[2:] || [NULL]) AS gap, unnest(t[3:] || [NULL, NULL]) AS b FROM (SELECT {key}, regexp_extract_all(lower({text}), '[a-z]+|[^a-z]') AS t FROM {source})),
+y AS (SELECT DISTINCT {key}, unnest([a, a||' '||b, a||'-'||b]) AS form, unnest([true, gap = ' ', gap = '-']) AS ok FROM x),
+mt AS (SELECT DISTINCT {key}, key FROM y JOIN fm USING (form) WHERE ok)
+"""
 
 
-_MERGED = [GLOSSARY[0], *GLOSSARY[2:]]
+@query(_TERMS_SQL + "SELECT key, 'd'||p AS domain, zh FROM m", fixtures=False)
+def term_merge(spark, sf):
+    return terms.merge(X.glossary(spark, sf)).select("key", "domain", "zh")
 
 
-def _re2(t: dict) -> str:
-    return "(^|[^a-z])(?:" + "|".join(f.lower().replace("'", "''") for f in terms.forms(t["key"], t["en"], t["aliases"])) + ")([^a-z]|$)"
+@query(_TERMS_SQL + """, f AS (SELECT *, first_value(zh) OVER (PARTITION BY key ORDER BY p) AS first FROM d)
+SELECT key, 'd'||p AS domain, 'avoids-itself' AS problem FROM f WHERE list_contains(avoid, zh) UNION ALL SELECT key, 'd'||p, 'conflict' FROM f WHERE zh <> first UNION ALL SELECT key, 'd'||p, 'bad-key' FROM f WHERE key LIKE 'Bad-%'""", fixtures=False)
+def term_validate(spark, sf):
+    return terms.validate(X.glossary(spark, sf))
 
 
-@query(" UNION ALL ".join(f"SELECT doc_id, '{t['key']}' AS key FROM documents WHERE regexp_matches(lower(text), '{_re2(t)}')" for t in _MERGED), fixtures=False)
+@query(_TERMS_SQL + _MENTIONS_SQL.format(key="doc_id", text="coalesce(text, '')", source="documents") + "SELECT doc_id, key FROM mt", fixtures=False)
 def relevant_terms(spark, sf):
-    return terms.relevant(X.read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), _MERGED)
+    return terms.relevant(X.read(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), settled(terms.merge(X.glossary(spark, sf))), "doc_id")
 
 
-@query(", l AS (SELECT path, \"row\", line, lag(line) OVER (PARTITION BY path ORDER BY \"row\") AS context FROM ulines) " + " UNION ALL ".join(f"SELECT path, \"row\", '{b}' AS bad, '{t['key']}' AS key FROM l WHERE contains(line, '{b}') AND regexp_matches(lower(concat_ws(chr(10), context, line)), '{_re2(t)}')" for t in _MERGED for b in t["avoid"]))
+@query(_TERMS_SQL + """, ln AS (SELECT source||'/'||doc_id||'.py' AS path, unnest(string_split(coalesce(text,''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''), chr(10)), 1)::BIGINT - 1 AS "row" FROM documents),
+l AS (SELECT path, "row", line, concat_ws(chr(10), lag(line) OVER (PARTITION BY path ORDER BY "row"), line) AS seen FROM ln)""" + _MENTIONS_SQL.format(key='path, "row"', text="seen", source="l") + """SELECT path, "row", bad, key FROM mt JOIN (SELECT key, unnest(list_distinct(avoid)) AS bad FROM m) USING (key) JOIN l USING (path, "row") WHERE contains(line, bad)""", fixtures=False)
 def term_lint(spark, sf):
     rows = lines.explode_lines(X.upstream(spark, sf)).withColumn("context", F.lag("line").over(Window.partitionBy("path").orderBy("row")))
-    return terms.lint(rows.select("path", "row", F.col("line").alias("text"), "context"), _MERGED)
+    return terms.lint(rows.select("path", "row", F.col("line").alias("text"), "context"), settled(terms.merge(X.glossary(spark, sf))))
 
 
 # --- planning and taking in ---

@@ -15,6 +15,18 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def glossary(spark: SparkSession, sf: str) -> DataFrame:
+    """Terms of seven domains: the longer words of the benchmark's texts, each with the pairs of words that it begins as aliases."""
+    t = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+|[^a-z])"), F.lit(1))
+    rows = read(spark, sf, "benchmark").select("item_id", t.alias("t")).select("item_id", F.explode(F.transform("t", lambda w, i: F.struct(w.alias("w"), F.get("t", i + 1).alias("gap"), F.get("t", i + 2).alias("nxt")))).alias("x")).select("item_id", "x.*")
+    w, zh = F.col("w"), F.concat(F.lit("译"), F.min("item_id"))
+    pairs = F.array_sort(F.collect_set(F.when((F.col("gap") == " ") & F.col("nxt").rlike("^[a-z]+$"), F.concat("w", F.lit(" "), "nxt"))))
+    own = rows.where((F.length(w) > 3) & w.rlike("^[a-z]+$")).groupBy((F.col("item_id") % 7).cast("int").alias("domain_pos"), "w").agg(zh.alias("zh"), pairs.alias("aliases"))
+    key = F.concat(F.when(F.length(w) % 6 == 5, "Bad-").otherwise(""), w)
+    avoid = F.concat(F.when(F.length(w) % 5 == 4, F.array("zh")).otherwise(F.array().cast("array<string>")), F.array(F.substring(w, 1, 3)))
+    return own.select(F.concat(F.lit("d"), "domain_pos").alias("domain"), "domain_pos", key.alias("key"), w.alias("en"), "zh", avoid.alias("avoid"), "aliases")
+
+
 def upstream(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), "doc_id", F.lit(".py")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
 

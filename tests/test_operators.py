@@ -15,7 +15,7 @@ from glosswork.sources import tables
 from glosswork.streaming import follow
 
 M = T.MARKER
-CODE = f"/// Adds.\n// {M} 加法\npub fn add(a: i32, b: i32) -> i32 {{\n    a + b\n}}\n"
+CODE = f"/** Weighs a parcel. */\n// {M} 称重\nexport function weigh(boxes: Box[], tare = 0): number {{\n  const gross = boxes.reduce((sum, box) => sum + box.kg, 0);\n  return gross - tare;\n}}\n"
 
 
 def one(spark, column, **values):
@@ -68,7 +68,7 @@ def test_paragraphs(spark):
     assert [r.text for r in lines.paragraphs(rows, "path").orderBy("number").collect()] == ["one two", "- item more", "中文", "1. x"]
 
 
-def symbols(spark, text, path="x.rs"):
+def symbols(spark, text, path="depot.ts"):
     return index.symbols(spark.createDataFrame([(path, text)], "path string, text string"))
 
 
@@ -76,33 +76,44 @@ def flat(spark, rows):
     return spark.createDataFrame(rows, ", ".join(f"{c} string" for c in state.RECORD))
 
 
-def status(spark, records, text, name="add"):
-    r = state.derive(symbols(spark, text), records).where(F.col("id") == f"x.rs#{name}").first()
-    return r.status, list(r.changed), r.priority
-
-
-def test_lifecycle(spark):
-    none = flat(spark, [])
-    assert status(spark, none, CODE)[0] == "translated"
-    rec = tables.settled(state.merge(none, symbols(spark, CODE), "me").where("action != 'dropped'").select(*state.RECORD))
-    assert status(spark, rec, CODE)[0] == "translated"
-    body = CODE.replace("a + b", "a.wrapping_add(b)")
-    assert status(spark, rec, body) == ("stale", ["body"], "P2")
-    assert status(spark, rec, CODE.replace("b: i32)", "b: i64)"))[2] == "P0"
-    kept = state.merge(rec, symbols(spark, body), "me")
-    assert [(r.id, r.action) for r in kept.collect()] == [("x.rs#add", "kept")] and status(spark, kept.select(*state.RECORD), body)[0] == "stale"
-    edited = body.replace("加法", "回绕加法")
-    rec2 = tables.settled(state.merge(rec, symbols(spark, edited), "me").select(*state.RECORD))
-    assert status(spark, rec2, edited)[0] == "translated"
-    ok = tables.settled(state.approve(rec2, symbols(spark, edited), "you"))
-    assert status(spark, ok, edited)[0] == "reviewed" and ok.first().by == "me"
-    assert status(spark, ok, edited.replace("wrapping", "saturating"))[0] == "stale"
-    renamed = CODE.replace("fn add", "fn plus")
-    moved = state.merge(rec, symbols(spark, renamed), "me").collect()
-    assert [(r.id, r.action, r.old_id) for r in moved] == [("x.rs#plus", "migrated", "x.rs#add")]
-    assert status(spark, flat(spark, [r[: len(state.RECORD)] for r in moved]), renamed, "plus")[:2] == ("stale", ["sig"])
-    gone = state.merge(rec, symbols(spark, CODE.replace(f"// {M} 加法\n", "")), "me")
-    assert [r.action for r in gone.collect()] == ["dropped"]
+def status(spark, records, text, name="weigh"):
+    r = state.derive(symbols(spark, text), records).where(F.col("id") == f"depot.ts#{name}").first()
+    return r.status, ",".join(r.changed), r.priority
+
+
+def recorded(merged):
+    return tables.settled(merged.where("action != 'dropped'").select(*state.RECORD))
+
+
+def test_what_changes_in_the_code_shows(spark):
+    """Each part of a symbol by itself, after a record of the whole."""
+    rec = recorded(state.merge(flat(spark, []), symbols(spark, CODE), "ann"))
+    edits = {"gross - tare": "gross", "tare = 0": "tare = 1", "Weighs a": "Weighs one", "  return": "   return", "weigh(": "weigh (", "称重": "过秤"}
+    got = {old: status(spark, rec, CODE.replace(old, new)) for old, new in edits.items()}
+    assert got["gross - tare"] == ("stale", "body", "P2") and got["tare = 0"] == ("stale", "sig", "P0")
+    assert got["Weighs a"] == ("stale", "doc", "P1") and got["  return"] == ("translated", "", "")
+    assert got["weigh ("[:-2] + "("][0] == "stale" and got["称重"][0] == "translated"
+    assert status(spark, flat(spark, []), CODE)[0] == "translated" and status(spark, rec, CODE.replace(f"// {M} 称重\n", ""))[0] == "pending"
+
+
+def test_records_follow_the_notes(spark):
+    """A sync keeps what was said of older code, takes up what is said anew, follows a renamed symbol, and drops what is gone."""
+    rec = recorded(state.merge(flat(spark, []), symbols(spark, CODE), "ann"))
+    lighter = CODE.replace("gross - tare", "Math.max(0, gross - tare)")
+    kept = state.merge(rec, symbols(spark, lighter), "bob")
+    assert [(r.id, r.action, r.by) for r in kept.collect()] == [("depot.ts#weigh", "kept", "ann")]
+    assert status(spark, recorded(kept), lighter)[0] == "stale"
+    said = lighter.replace("称重", "净重，不为负")
+    fresh = recorded(state.merge(rec, symbols(spark, said), "bob"))
+    assert status(spark, fresh, said)[0] == "translated" and fresh.first().by == "bob"
+    seen = tables.settled(state.approve(fresh, symbols(spark, said), "cy"))
+    assert (status(spark, seen, said)[0], seen.first().by) == ("reviewed", "bob")
+    assert status(spark, seen, said.replace("kg", "grams"))[0] == "stale"
+    other = CODE.replace("weigh(", "grossWeight(")
+    (moved,) = state.merge(rec, symbols(spark, other), "bob").collect()
+    assert (moved.id, moved.action, moved.old_id) == ("depot.ts#grossWeight", "migrated", "depot.ts#weigh")
+    assert status(spark, flat(spark, [tuple(moved[c] for c in state.RECORD)]), other, "grossWeight")[1] == "sig"
+    assert [r.action for r in state.merge(rec, symbols(spark, "export const none = 1;\n"), "bob").collect()] == ["dropped"]
 
 
 RUST = f"""//! Kitchen timers.
@@ -295,10 +306,11 @@ def test_same_names_are_numbered():
 @pytest.mark.parametrize(
     ("path", "text", "want"),
     [
-        ("a.rs", f'/// ```\n/// {M} in\n/// ```\n/// {M} after\nfn f() {{\n    let s = "a\n// {M} s\n";\n    /// {M} d\n    let y = 1;\n}}\n', ["zh-in-code-block", "zh-in-string", "doc-in-body"]),
-        ("a.py", f'def f():\n    s = """\n# {M} in\n"""\n    # {M} fine\n    return s\n', ["zh-in-string"]),
-        ("a.go", f"package x\n\nvar s = `\n// {M} in\n`\n", ["zh-in-string"]),
-        ("a.ts", f"const s = `\n// {M} in\n`;\n", ["zh-in-string"]),
+        ("oven.rs", f"/// Bakes.\n///\n/// ```text\n/// tray\n/// {M} 盘\n/// ```\n/// {M} 好\npub fn bake() {{}}\n", ["zh-in-code-block"]),
+        ("oven.rs", f"fn label() -> &'static str {{\n    /// {M} 此处\n    let hot = 200;\n    \"heat\n    // {M} 热\n    on\"\n}}\n", ["doc-in-body", "zh-in-string"]),
+        ("menu.py", f"MENU = (\n    'soup'\n    # {M} 汤\n)\nNOTE = f\'\'\'daily\n# {M} 每日\n\'\'\'\n", ["zh-in-string"]),
+        ("till.go", f"const receipt = `total\n\t// {M} 合计\n`\n\n// {M} 税\nvar tax = 19\n", ["zh-in-string"]),
+        ("shop.ts", f"// {M} 店\nexport const sign = `open ${{hours}}\n// {M} 营业\n`;\n", ["zh-in-string"]),
     ],
 )
 def test_lint(path, text, want):
@@ -357,11 +369,31 @@ def test_glossary(spark):
     g = tables.glossary(spark, [("freight", first), ("post", second)])
     assert {(r.key, r.domain, r.problem) for r in terms.validate(g).collect()} == {("parcel", "post", "conflict"), ("2nd-leg", "post", "bad-key"), ("2nd-leg", "post", "avoids-itself")}
     assert {r.key: r.zh for r in terms.merge(g).collect()} == {"parcel": "封包", "lane": "航线", "2nd-leg": "段"}
-    glossary = [{"key": "parcel", "en": "Parcel", "zh": "包裹", "avoid": ["封包"], "aliases": ["box"]}]
+    glossary = spark.createDataFrame([("parcel", "Parcel", ["封包"], ["box"])], "key string, en string, avoid array<string>, aliases array<string>")
     rows = [("m.rs", 3, "一个封包", "struct Sled;"), ("m.rs", 5, "称封包", "fn weigh(parcel: &P)"), ("m.rs", 7, "封包", "parcels sandbox"), ("m.rs", 9, "封包", "// a Box"), ("m.rs", 11, "包裹", "parcel")]
     assert sorted(r.row for r in terms.lint(spark.createDataFrame(rows, "path string, row int, text string, context string"), glossary).collect()) == [5, 9]
 
 
+def test_many_terms(spark):
+    """5,000 terms from a table, among them forms of several words, of signs, and with what means something in patterns."""
+    import random
+    import re
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abc", k=r.randint(1, 4)))
+    rows = [(f"k{i}_{word()}", r.choice([word(), f"{word()} {word()}", f"{word()}-{word()}", f"{word()}+", f"4{word()}", f".{word()}", "\\E", "é", None, ""]), [], r.choice([None, [], [word().upper()], [f"{word()}  {word()}", ""]])) for i in range(5000)]
+    texts = [(i, " ".join(r.choice([word(), word().upper(), f"{word()}-{word()}", f"4{word()}.", "\\E", "é", f"x.{word()}", "\n"]) for _ in range(r.randrange(12)))) for i in range(40)]
+    want = set()
+    for key, en, _, aliases in rows:
+        forms = {f.lower() for f in (en, key.replace("_", " "), key.replace("_", ""), *(aliases or [])) if f}
+        pattern = re.compile("|".join(f"(?<![a-z]){re.escape(f)}(?![a-z])" for f in forms))
+        want |= {(i, key) for i, t in texts if pattern.search(t.lower())}
+    table = spark.createDataFrame(rows, "key string, en string, avoid array<string>, aliases array<string>")
+    got = terms.relevant(spark.createDataFrame(texts, "doc int, text string"), table, "doc").collect()
+    assert len(want) > 1000 and len(got) == len(want) and {tuple(x) for x in got} == want
+    assert terms.relevant(spark.createDataFrame(texts, "doc int, text string"), table.limit(0), "doc").collect() == []
+
+
 def test_front_matter(spark):
     texts = {"flow": "---\ntitle: 'Ways # 1'\nanchors: [a.rs#x, \"b c.py\", 'd.go#T.M']\n---\nx", "block": "---\nanchors: # all\n- a.rs#x # here\n\n  # none\n- \"b.py\"\nother: 1\n---\n", "none": "---\nanchors: []\n---\n", "plain": "anchors: [a]\n"}
     rows = {r.path: (r.title, r.anchors) for r in notes.parse(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
@@ -438,16 +470,46 @@ def test_reports_and_files(spark, tmp_path):
     assert "class='zh'" in reports.pages(spark.createDataFrame([("a.py", f"# {M} <b>")], "path string, text string")).first().html
 
 
+def snapshot(spark, tmp_path, n, *files):
+    """Land the symbols of some files; a file without text is gone."""
+    names = ("id", "path", "sig", "doc", "body", "zh", "translatable")
+    for path, text in files:
+        rows = symbols(spark, text, path).select(*names) if text is not None else spark.createDataFrame([(None, path, None, None, None, None, None)], follow.SYMBOLS.replace(", at timestamp", ""))
+        rows.withColumn("at", F.lit(f"2024-01-0{n} 00:00:00").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def run_stream(spark, tmp_path):
+    follow.follow(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
+    return {r.id: r for r in follow.records(spark, str(tmp_path / "table")).collect()}
+
+
 def test_stream(spark, tmp_path):
-    def put(n, text):
-        symbols(spark, text).select("id", "path", "sig", "doc", "body", "zh", "translatable", F.lit(f"2024-01-0{n} 00:00:00").cast("timestamp").alias("at")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        follow.follow(spark, str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "check")).awaitTermination()
-
-    put(1, CODE)
-    first = follow.records(spark, str(tmp_path / "table")).collect()
-    assert [r.id for r in first] == ["x.rs#add"]
-    put(2, CODE.replace("fn add", "fn plus"))
-    second = follow.records(spark, str(tmp_path / "table")).collect()
-    assert [r.id for r in second] == ["x.rs#plus"] and second[0].at_sig == first[0].at_sig
-    n = follow.changes_per_window(spark.read.parquet(str(tmp_path / "in")), "1 day").collect()
-    assert sorted((r.n, r.annotated) for r in n) == [(2, 1), (2, 1)]
+    snapshot(spark, tmp_path, 1, ("depot.ts", CODE), ("till.go", f"package till\n\n// {M} 税\nfunc tax() int {{\n\treturn 19\n}}\n"), ("quiet.ts", "export const q = 1;\n"))
+    first = run_stream(spark, tmp_path)
+    assert set(first) == {"depot.ts#weigh", "till.go#tax"}
+    snapshot(spark, tmp_path, 2, ("depot.ts", CODE.replace("weigh(", "lift(")))
+    second = run_stream(spark, tmp_path)
+    assert set(second) == {"depot.ts#lift", "till.go#tax"} and second["depot.ts#lift"].at_sig == first["depot.ts#weigh"].at_sig
+    snapshot(spark, tmp_path, 3, ("till.go", None))
+    assert set(run_stream(spark, tmp_path)) == {"depot.ts#lift"}
+    n = follow.changes_per_window(spark.read.parquet(str(tmp_path / "in")).where("id IS NOT NULL"), "1 day").collect()
+    assert sorted((r.n, r.annotated) for r in n) == [(2, 1), (5, 2)]
+
+
+def test_a_batch_of_the_stream_writes_what_it_changed(spark, tmp_path):
+    """Many records, then a batch that touches one; a batch that is tried again; a table put together anew."""
+    table = str(tmp_path / "table")
+    many = "package a\n\n" + "".join(f"// {M} n{i}\nfunc F{i}() {{\n\treturn\n}}\n\n" for i in range(300))
+    snapshot(spark, tmp_path, 1, ("a.go", many), ("b.go", f"package b\n\n// {M} b\nfunc B() {{}}\n"))
+    assert len(run_stream(spark, tmp_path)) == 301
+    snapshot(spark, tmp_path, 2, ("a.go", many.replace("n7\n", "seven\n")))
+    after = run_stream(spark, tmp_path)
+    assert len(after) == 301 and after["a.go#F7"].zh != after["a.go#F8"].zh
+    written = spark.read.parquet(table).where("batch = 1")
+    assert [r.id for r in written.collect()] == ["a.go#F7"]
+    assert written.select("bucket").distinct().count() == 1
+    again = spark.read.parquet(str(tmp_path / "in")).where("at = '2024-01-02 00:00:00'")
+    follow.merge_batch(again, 1, table)
+    assert {r.id: r for r in follow.records(spark, table).collect()} == after
+    follow.compact(spark, table, str(tmp_path / "anew"))
+    assert {r.id: r for r in follow.records(spark, str(tmp_path / "anew")).collect()} == after and spark.read.parquet(str(tmp_path / "anew")).count() == 301
