@@ -6,9 +6,10 @@ shows where in that span the text stands, which gives the loss mask. A template
 found by the comparison and reported for that turn.
 
 Rendering all prefixes of a conversation of n turns costs n**2. Only a template that is declared stateless, which writes every turn by
-itself, goes in segments of `SEGMENT` turns, each rendered alone: its turns stream through a task in order, which holds one segment at a
-time, however long a conversation is. Any other template renders whole prefixes; its task holds one conversation, and the result is
-one segment, the output for all turns.
+itself, goes in segments of `SEGMENT` turns, each rendered alone: its turns stream through a task in order. The declaration is held against every conversation:
+its segments one after another must be what the template renders for all of it at once, or an error is raised. For this a task holds a conversation's turns
+until they make `VERIFIED` characters; what comes after those, in a conversation longer than that, is only held against the turn before each segment, so that
+no conversation is too long for a task. Any other template renders whole prefixes; its task holds one conversation, and the result is one segment, the output for all turns.
 
 Defined cases: null text and null role count as empty; turns with the same number go in order of role, then text; a null conv_id is
 a conversation of its own; other columns are ignored; an empty table gives an empty result.
@@ -24,9 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswork.llm._base import parts
+from glosswork.llm._base import parts, text_bytes
 
 SEGMENT = 16
+#: Characters of a conversation's output that a declared template is held against.
+VERIFIED = 1 << 24
 PROBE = "\x1aprobe\x1a"
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
@@ -105,7 +108,7 @@ FORMATTED = "conv_id long, segment int, n_turns int, formatted string, loss arra
 def format_chats(chats: DataFrame, render: Callable[[list[Turn]], str] = marked_turns, learn: str = "assistant", segment: int = SEGMENT) -> DataFrame:
     """Segments of the formatted conversations of chats (conv_id, turn, role, text), those of one in order within one partition.
 
-    A render without a true attribute `stateless` gets whole conversations, each one segment; one that has it wrongly is an error where segments show it.
+    A render without a true attribute `stateless` gets whole conversations, each one segment; one that has it wrongly is an error.
     loss: spans of the texts of role `learn`, in code points of `formatted`; rewritten: turns at which the template changed what it had written before.
     """
 
@@ -114,28 +117,46 @@ def format_chats(chats: DataFrame, render: Callable[[list[Turn]], str] = marked_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         conv, last, turns, number, any_ = None, [], [], 0, False
         rows: list[tuple] = []
+        whole: list[Turn] = []
+        told: list[str] = []
+        size = 0
+
+        def verify() -> None:
+            """The conversation so far, at once."""
+            nonlocal whole, told
+            if len(told) > 1 and render(whole) != "".join(told):
+                raise ValueError("the template is declared stateless, but what it writes for a turn depends on others")
+            whole, told = [], []
 
         def flush() -> None:
-            nonlocal last, turns, number
+            nonlocal last, turns, number, size
             if turns:
                 text, found, rewritten = spans(turns, render)
                 if stateless and (rewritten or render([]) or (last and render([*last, *turns]) != render(last) + text)):
                     raise ValueError("the template is declared stateless, but what it writes for a turn depends on others")
                 loss = [{"start": a, "stop": b} for (role, _), (_, _, a, b) in zip(turns, found, strict=True) if role == learn and a >= 0]
                 rows.append((conv, number, len(turns), text, loss, rewritten))
+                if stateless and size <= VERIFIED:
+                    whole.extend(turns)
+                    told.append(text)
+                    size += len(text)
+                    if size > VERIFIED:
+                        verify()
                 last, turns, number = turns[-1:], [], number + 1
 
         for batch in batches:
             for c, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "role", "text")), strict=True):
                 if not any_ or c != conv:
                     flush()
-                    conv, last, turns, number, any_ = c, [], [], 0, True
+                    verify()
+                    conv, last, turns, number, any_, size = c, [], [], 0, True, 0
                 turns.append((role or "", text or ""))
                 if stateless and len(turns) == segment:
                     flush()
             yield _batch(rows)
             rows.clear()
         flush()
+        verify()
         yield _batch(rows)
 
     def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -144,7 +165,7 @@ def format_chats(chats: DataFrame, render: Callable[[list[Turn]], str] = marked_
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["conv_id", "segment", "n_turns", "formatted", "loss", "rewritten"])
 
     rows = chats.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.repartition(parts(chats.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
+    return rows.repartition(parts(chats.sparkSession, text_bytes(rows)), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -617,6 +617,25 @@ def test_long_conversations_equal_the_whole_rendering(spark):
         chat.format_chats(df, declared).collect()
 
 
+def test_a_late_change_of_a_declared_template_shows(spark, monkeypatch):
+    """From its 20th turn on a conversation gets a mark, which no segment shows by itself."""
+
+    def late(turns):
+        return "".join(f"[{t}]" + "!" * (i >= 20) for i, (_, t) in enumerate(turns))
+
+    def declared(turns):
+        return late(turns)
+
+    declared.stateless = True
+    turns = [(c, i, "assistant", f"said {i}") for c, n in ((1, 40), (2, 16), (3, 19)) for i in range(n)]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")
+    rows = {r.conv_id: r.formatted for r in chat.format_chats(df, late).collect()}
+    assert rows[1] == late([t[2:] for t in turns if t[0] == 1])
+    with pytest.raises(Exception, match="declared stateless"):
+        chat.format_chats(df, declared).collect()
+    assert {r.conv_id for r in chat.format_chats(df.where("conv_id > 1"), declared).collect()} == {2, 3}
+
+
 def test_empty_tables(spark):
     none = frame(spark, []).limit(0)
     for result in (suffix_dedup.remove_repeats(none), substring_dedup.remove_later(none), ngram_join.classes(none), fingerprint.fingerprints(none), packing.pack(none), secrets.scan(none), sentencepiece_tok.encode(none), langid.predict(none, langid.fit(none))):
