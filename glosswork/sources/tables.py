@@ -66,26 +66,6 @@ def settled(df: DataFrame, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worktree(spark: SparkSession, folder: str, include: list[str], exclude: list[str] = (), bad_bytes: str = "skip") -> DataFrame:
-    """path, text of the files under a folder that are in scope. bad_bytes: skip files that aren't UTF-8, or replace what isn't.
-
-    Files are listed first; only those in scope are opened.
-    """
-    top = re.sub("^[a-z]+:/*", "/", folder).rstrip("/") + "/"
-
-    def relative(path: Column) -> Column:
-        return F.replace(F.regexp_replace(path, "^[a-z]+:/*", "/"), F.lit(top), F.lit(""))
-
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    chosen = [r["path"] for r in listed.where(T.in_scope(relative(F.col("path")), list(include), list(exclude))).collect()]  # Spark's reader has a list of its files anyway
-    if not chosen:
-        return spark.createDataFrame([], "path string, text string")
-    rows = spark.read.format("binaryFile").load(chosen).withColumn("path", relative(F.col("path")))
-    if bad_bytes == "skip":
-        rows = rows.where(F.is_valid_utf8("content"))
-    return rows.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-
-
 def at_revision(blobs: DataFrame, rev: str) -> DataFrame:
     """path, text of blobs (rev, path, content) at a revision; a table partitioned by rev reads that partition alone."""
     return blobs.where(F.col("rev") == rev).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
@@ -149,11 +129,6 @@ def misses(files: DataFrame, cache: DataFrame) -> DataFrame:
     return files.join(cache.select("sha").distinct(), "sha", "left_anti")
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """One text file a page: pages (path, html), written by the executors."""
-    pages.select(F.col("path").alias("page"), "html").write.mode("overwrite").partitionBy("page").text(path)
-
-
 def replaced_between(text: str, table: str, begin: str, end: str, volatile: str | None = None) -> str | None:
     """text with a table between two marks; None if nothing but what `volatile` matches would change."""
     import re

@@ -11,7 +11,7 @@ from glosswork.extract import index
 from glosswork.functions import text as T
 from glosswork.operators import diff, lines, notes, reattach, registry, state, terms, verify, work
 from glosswork.plans import reports
-from glosswork.sources import tables
+from glosswork.sources import files, tables
 from glosswork.streaming import follow
 
 M = T.MARKER
@@ -465,7 +465,7 @@ def test_reports_and_files(spark, tmp_path):
     (tmp_path / "w" / "src" / "a.py").write_text("x = 1\n")
     (tmp_path / "w" / "src" / "bad.py").write_bytes(b"\xff\xfe")
     (tmp_path / "w" / "b.py").write_text("y")
-    assert [(r.path, r.text) for r in tables.worktree(spark, str(tmp_path / "w"), ["src/**"]).collect()] == [("src/a.py", "x = 1\n")]
+    assert [(r.path, r.text) for r in files.worktree(spark, str(tmp_path / "w"), ["src/**"]).collect()] == [("src/a.py", "x = 1\n")]
     assert tables.project("project: p\nscope: {include: [src/**]}\n")["marker"] == M
     assert "class='zh'" in reports.pages(spark.createDataFrame([("a.py", f"# {M} <b>")], "path string, text string")).first().html
 
