@@ -18,6 +18,12 @@ def annotation_rows(lines: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataF
     return lines.where(T.is_annotation(F.col("line"), tokens))
 
 
+def annotation_counts(files: DataFrame, marker: str = T.MARKER) -> DataFrame:
+    """path, n: how many rows of each file (path, text) are annotations, by the comment tokens its path allows; files without such have no row."""
+    found = T.by_path(F.col("path"), lambda t: F.regexp_count("text", F.lit(rf"(?dm)^{T.marker_pattern(t, marker)}")))
+    return files.select("path", found.cast("long").alias("n")).where("n IS NOT NULL")
+
+
 def blocks(rows: DataFrame, *key: str) -> DataFrame:
     """Runs of consecutive rows: key, first, last, n."""
     island = F.col("row") - F.row_number().over(Window.partitionBy(*key).orderBy("row"))

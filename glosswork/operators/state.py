@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.sources.tables import settled
 
 KINDS = ("sig", "doc", "body")
 RECORD = ("id", "at_sig", "at_doc", "at_body", "zh", "by", "review_sig", "review_doc", "review_body", "review_zh")
@@ -94,24 +95,29 @@ def merge(records: DataFrame, symbols: DataFrame, by: str, paths: DataFrame | No
     if paths is not None:
         records = records.withColumn("path", path_of(F.col("id"))).join(paths.select("path"), "path", "left_semi").select(*records.columns)
         symbols = symbols.join(paths.select("path"), "path", "left_semi")
-    gone = orphans(records, symbols)
-    unowned = symbols.where(F.col("zh").isNotNull()).join(records.select("id"), "id", "left_anti")
-    heirs = gone.groupBy("zh").agg(F.max("id").alias("old_id"))
     order = [c for c in ("path", "ord", "start") if c in symbols.columns]
-    claims = unowned.withColumn("_n", F.row_number().over(Window.partitionBy("zh").orderBy(*order, "id"))).where("_n = 1").select("id", "zh")
-    moved = claims.join(heirs, "zh").select(F.col("id").alias("new_id"), "old_id")
-
+    s, r = F.struct("id", *KINDS, "zh", *order).alias("s"), F.struct(*RECORD).alias("r")
+    both = settled(symbols.select(F.col("id").alias("_id"), s).join(records.select(F.col("id").alias("_id"), r), "_id", "full_outer").select("s", "r"))  # every step below reads it
+    gone, unowned = both.where("s IS NULL"), both.where("r IS NULL AND s.zh IS NOT NULL")
+    heirs = gone.groupBy("r.zh").agg(F.max_by("r", "r.id").alias("heir"))
+    first = F.min_by("s.id", F.struct(*(F.col(f"s.{c}") for c in order), "s.id"))
+    moved = unowned.groupBy("s.zh").agg(first.alias("new_id")).join(heirs, "zh").select("new_id", "heir")
+    rows = both.join(moved, F.col("s.id") == F.col("new_id"), "left").join(moved.select(F.col("heir.id").alias("taken")), F.col("r.id") == F.col("taken"), "left")
+
+    inherits, annotated = F.col("new_id").isNotNull(), F.col("s.zh").isNotNull()
+    action = (
+        F.when(F.col("s").isNull(), F.when(F.col("taken").isNull(), "dropped"))
+        .when(F.col("r").isNull(), F.when(inherits, "migrated").when(annotated, "created"))
+        .when(~annotated, "dropped")
+        .when(F.col("s.zh") == F.col("r.zh"), "kept")
+        .otherwise("refreshed")
+    )
     null = F.lit(None).cast("string")
-    now = [F.col("s.sig").alias("at_sig"), F.col("s.doc").alias("at_doc"), F.col("s.body").alias("at_body"), F.col("s.zh").alias("zh"), F.lit(by).alias("by"), *(null.alias(f"review_{k}") for k in (*KINDS, "zh"))]
-    created = unowned.join(moved, F.col("id") == F.col("new_id"), "left_anti").alias("s").select("s.id", *now, F.lit("created").alias("action"), null.alias("old_id"))
-    migrated = records.join(moved, F.col("id") == F.col("old_id")).select(F.col("new_id").alias("id"), *RECORD[1:], F.lit("migrated").alias("action"), "old_id")
-    both = symbols.alias("s").join(records.alias("r"), F.col("s.id") == F.col("r.id"))
-    edited = ~F.col("s.zh").eqNullSafe(F.col("r.zh"))
-    refreshed = both.where(F.col("s.zh").isNotNull() & edited).select("s.id", *now, F.lit("refreshed").alias("action"), null.alias("old_id"))
-    kept = both.where(F.col("s.zh").isNotNull() & ~edited).select(*(F.col(f"r.{c}") for c in RECORD), F.lit("kept").alias("action"), null.alias("old_id"))
-    lost = gone.join(moved.select("old_id"), F.col("id") == F.col("old_id"), "left_anti").unionByName(both.where(F.col("s.zh").isNull()).select(*(F.col(f"r.{c}") for c in RECORD)))
-    dropped = lost.select(*RECORD, F.lit("dropped").alias("action"), null.alias("old_id"))
-    return created.unionByName(migrated).unionByName(refreshed).unionByName(kept).unionByName(dropped)
+    now = {"id": F.col("s.id"), **{f"at_{k}": F.col(f"s.{k}") for k in KINDS}, "zh": F.col("s.zh"), "by": F.lit(by)}
+    inherited = {"id": F.col("s.id"), **{c: F.col(f"heir.{c}") for c in RECORD[1:]}}
+    rows = rows.withColumn("action", action).where("action IS NOT NULL")
+    fields = [F.when(F.col("action").isin("created", "refreshed"), now.get(c, null)).when(F.col("action") == "migrated", inherited[c]).otherwise(F.col(f"r.{c}")).alias(c) for c in RECORD]
+    return rows.select(*fields, "action", F.when(inherits & (F.col("action") == "migrated"), F.col("heir.id")).alias("old_id"))
 
 
 def approve(records: DataFrame, symbols: DataFrame, by: str) -> DataFrame:

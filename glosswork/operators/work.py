@@ -88,6 +88,11 @@ def heads(definitions: DataFrame, most: int = 30, mark: str = "…") -> DataFram
     return definitions.withColumn("text", F.when(F.size(ls) > most, cut).otherwise(F.col("text")))
 
 
+def clipped(rows: DataFrame, column: str, most: int) -> DataFrame:
+    """rows with a text cut to its first `most` characters: what of a long text or difference goes into a request."""
+    return rows.withColumn(column, F.left(column, F.lit(most)))
+
+
 def merged_chunks(answers: DataFrame) -> DataFrame:
     """path, annotations: of a file's answers (path, chunk, annotations array) all annotations, in order of the chunks."""
     each = F.sort_array(F.collect_list(F.struct("chunk", "annotations")))

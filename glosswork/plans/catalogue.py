@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from glosswork.functions import text as T
 from glosswork.extract import index
 from glosswork.operators import diff, lines, notes, patch, placement, reattach, registry, state, terms, verify, work
 from glosswork.plans import fixtures as X
-from glosswork.sources import tables
+from glosswork.plans import reports
+from glosswork.sources import cache, files, tables
 from glosswork.sources.tables import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,7 +82,7 @@ def orphans(spark, sf):
 _MERGE_SQL = """, gone AS (SELECT * FROM recs WHERE id NOT IN (SELECT id FROM news)),
 un AS (SELECT * FROM news WHERE zh IS NOT NULL AND id NOT IN (SELECT id FROM recs)),
 moved AS (SELECT u.id AS new_id, g.old_id FROM (SELECT zh, min(id) AS id FROM un GROUP BY zh) u JOIN (SELECT zh, max(id) AS old_id FROM gone GROUP BY zh) g USING (zh)),
-merged AS (
+mrec AS (
  SELECT id, sig AS at_sig, doc AS at_doc, body AS at_body, zh, 'me' AS by, NULL AS review_zh, 'created' AS action, NULL AS old_id FROM un WHERE id NOT IN (SELECT new_id FROM moved)
  UNION ALL SELECT m.new_id, r.at_sig, r.at_doc, r.at_body, r.zh, r.by, r.review_zh, 'migrated', m.old_id FROM recs r JOIN moved m ON r.id = m.old_id
  UNION ALL SELECT s.id, s.sig, s.doc, s.body, s.zh, 'me', NULL, 'refreshed', NULL FROM news s JOIN recs r USING (id) WHERE s.zh IS NOT NULL AND s.zh <> r.zh
@@ -89,7 +91,7 @@ merged AS (
 """
 
 
-@query(_MERGE_SQL + "SELECT * FROM merged")
+@query(_MERGE_SQL + "SELECT * FROM mrec")
 def state_update(spark, sf):
     return state.merge(X.records(spark, sf), X.new_symbols(spark, sf), "me").select("id", "at_sig", "at_doc", "at_body", "zh", "by", "review_zh", "action", "old_id")
 
@@ -296,6 +298,23 @@ def cache_misses(spark, sf):
     return tables.misses(files, X.upstream(spark, sf).select(F.sha1("text").alias("sha")))
 
 
+@query("SELECT l.path, length(l.text) - length(replace(l.text, ' ', '')) + 1 AS words, u.path IS NULL OR u.text <> l.text AS fresh FROM later l LEFT JOIN upstream u ON u.path = l.path")
+def made_anew(spark, sf):
+    made = S.StructType.fromDDL("path string, words long")
+    count = lambda some: some.select("path", F.size(F.split("text", " ")).cast("long").alias("words"))
+    table = tables.own_folder(spark)
+    cache.made(X.upstream(spark, sf), count, made, table)
+    rows, fresh = cache.made(X.later(spark, sf), count, made, table)
+    return rows.join(fresh.select("path", F.lit(True).alias("fresh")), "path", "left").withColumn("fresh", F.coalesce("fresh", F.lit(False)))
+
+
+@query("SELECT path, sha256(text) AS sha FROM study WHERE path LIKE '%7.py'")
+def written_files(spark, sf):
+    folder = tables.own_folder(spark)
+    files.write_files(X.study(spark, sf), folder)
+    return files.worktree(spark, folder, ["*7.py"]).select("path", F.sha2("text", 256).alias("sha"))
+
+
 # --- numbering, versions, registry ---
 
 
@@ -395,6 +414,68 @@ def doc_state_update(spark, sf):
     return notes.merge(notes.derive(d, h, r), r, ok).select("path", "action", "sha")
 
 
+# --- reports ---
+
+
+@query(f"""SELECT path, CASE d WHEN 0 THEN 0 ELSE (len(string_split(text, chr(10))) + 6) // 7 END AS n FROM (SELECT path||CASE WHEN doc_id % 3 = 1 THEN '.rs' WHEN doc_id % 3 = 2 THEN '.sql' ELSE '' END AS path, text, doc_id % 4 AS d FROM upstream)""")
+def annotation_counts(spark, sf):
+    d = F.col("doc_id") % 3
+    token = F.when(d == 1, "//!").when(d == 2, "--").otherwise("#")
+    text = F.when(F.col("doc_id") % 4 == 0, F.replace("text", F.lit("# 【"), F.lit("* 【"))).otherwise(F.replace("text", F.lit("# 【"), F.concat(token, F.lit(" 【"))))
+    some = X.study(spark, sf).select(F.concat("path", F.when(d == 1, ".rs").when(d == 2, ".sql").otherwise("")).alias("path"), text.alias("text"))
+    return lines.annotation_counts(some)
+
+
+def _commits(spark: SparkSession, sf: str) -> DataFrame:
+    """A commit for each order of the first customers, each with a file."""
+    k = F.col("o_orderkey")
+    file = F.when(k % 5 == 0, F.concat(F.lit("lib/"), k % 11, F.lit("/Cargo.toml"))).otherwise(F.concat(F.lit("lib/"), k % 13, F.lit(".rs")))
+    return X.read(spark, sf, "orders").select(k.alias("pos"), F.sha1(k.cast("string")).alias("sha"), F.col("o_orderpriority").alias("title"), file.alias("path"))
+
+
+_REPORT_SQL = _DIFF_SQL + _MERGE_SQL + _NOTES_SQL + X.REATTACH_SQL + """, rep AS (SELECT 'stale' AS section, priority||' '||id AS key, changed AS text FROM stat WHERE status = 'stale'
+ UNION ALL SELECT 'documents', path, status FROM ns WHERE status IN ('stale', 'broken')
+ UNION ALL SELECT change_type, id, CASE WHEN change_type = 'modified' THEN changed ELSE '' END FROM d WHERE change_type IS NOT NULL UNION ALL SELECT 'renamed', old_id, new_id FROM ren
+ UNION ALL SELECT DISTINCT 'dependencies', 'lib/'||(o_orderkey % 11)||'/Cargo.toml', '' FROM orders WHERE o_orderkey % 5 = 0
+ UNION ALL SELECT 'orphaned', id, '' FROM mrec WHERE action = 'dropped' UNION ALL SELECT 'migrated', old_id, id FROM mrec WHERE action = 'migrated'
+ UNION ALL SELECT 'orphaned', id||' @'||first, '1' FROM placed WHERE outcome = 'orphaned' UNION ALL SELECT 'relocated', id||' @'||first, spot::VARCHAR FROM placed WHERE outcome = 'relocated'
+ UNION ALL SELECT 'resolved', path, count(*) FILTER (outcome = 'reattached')||' '||count(*) FILTER (outcome = 'relocated')||' '||count(*) FILTER (outcome = 'orphaned') FROM placed GROUP BY path
+ UNION ALL SELECT 'unsupported', path, ((len(string_split(text, chr(10))) + 6) // 7)::VARCHAR FROM upstream WHERE doc_id % 10 = 3
+ UNION ALL SELECT 'commits', printf('%09d', o_orderkey)||' '||left(sha1(o_orderkey::VARCHAR), 9), o_orderpriority FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 500)
+ UNION ALL SELECT 'commits', '~', (count(*) - 500)::VARCHAR FROM orders HAVING count(*) > 500)
+"""
+
+
+def _sync_report(spark: SparkSession, sf: str) -> DataFrame:
+    old, new, recs = X.old_symbols(spark, sf), settled(X.new_symbols(spark, sf)), settled(X.records(spark, sf))
+    placed = reattach.place(X.study(spark, sf), X.theirs(spark, sf), X.study_symbols(spark, sf), X.their_symbols(spark, sf))
+    counts = lines.annotation_counts(X.study(spark, sf).where("doc_id % 10 = 3"))
+    return reports.sync_report(diff.symbol_diff(old, new), diff.rename_pairs(old, new), state.derive(new, recs), notes.derive(*_notes(spark, sf)), _commits(spark, sf), state.merge(recs, new, "me"), settled(placed), counts)
+
+
+@query(_REPORT_SQL + "SELECT * FROM rep")
+def sync_report(spark, sf):
+    return _sync_report(spark, sf)
+
+
+@query(_REPORT_SQL + f""", s AS (SELECT *, list_position({list(reports.SECTIONS)}, section) AS place, row_number() OVER (PARTITION BY section ORDER BY key, text) AS pos FROM rep)
+SELECT place AS section, pos, '- `'||key||'`'||CASE WHEN text <> '' THEN ' '||text ELSE '' END AS line FROM s UNION ALL SELECT place, 0, chr(10)||'## '||section||' ('||count(*)||')'||chr(10) FROM s GROUP BY place, section UNION ALL SELECT 0, 0, '# Sync'""")
+def sync_markdown(spark, sf):
+    return reports.markdown(_sync_report(spark, sf), "Sync")
+
+
+@query(""", e AS (SELECT path, count(*) AS n, count(*) FILTER (status <> 'pending') AS done, count(*) FILTER (status = 'reviewed') AS reviewed, count(*) FILTER (status = 'stale') AS stale FROM stat WHERE translatable OR status <> 'pending' GROUP BY path),
+g AS (SELECT *, CASE WHEN path LIKE 'moved/%' THEN 'moved/'||split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS grp FROM e WHERE done > 0)
+SELECT grp, count(*) AS files, '<h3>'||grp||'</h3><table>'||chr(10)||string_agg('<tr><td><a href=''src/'||path||'.html''>'||path[len(grp)+2:]||'</a></td><td><i style=''width:'||round(done * 100 / n)::INTEGER||'%''></i></td><td>'||done||' / '||n||'</td><td>'||CASE WHEN reviewed > 0 THEN reviewed::VARCHAR ELSE '' END||'</td><td>'||CASE WHEN stale > 0 THEN stale::VARCHAR ELSE '' END||'</td></tr>', chr(10) ORDER BY path)||chr(10)||'</table>' AS html FROM g GROUP BY grp""")
+def site_index(spark, sf):
+    return reports.site_index(_derived(spark, sf), 2)
+
+
+@query("SELECT page_id, left(html, 500) AS html FROM pages", fixtures=False)
+def text_heads(spark, sf):
+    return work.clipped(X.read(spark, sf, "pages").select("page_id", "html"), "html", 500)
+
+
 # --- glossaries ---
 
 

@@ -53,16 +53,22 @@ def scratch() -> Iterator[None]:
             _drop(spark, path)
 
 
+def own_folder(spark: SparkSession, keep: bool = False) -> str:
+    """A new folder in the shared one. It goes at the end of the scratch scope, with keep of the one around that; outside of any, when the Python process ends."""
+    path = f"{shared_dir(spark)}/glosswork/{uuid.uuid4().hex}"
+    scopes = _scopes[:-1] if keep else _scopes
+    scopes[-1].append((spark, path)) if scopes else atexit.register(_drop, spark, path)
+    return path
+
+
 def settled(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, and lost executors cost no recomputation.
 
-    The table goes at the end of the scratch scope it is written in, with keep of the one around that; outside of any, when the Python process ends.
+    The table goes as own_folder() says.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/glosswork/{uuid.uuid4().hex}"
+    path = own_folder(spark, keep)
     df.write.parquet(path)
-    scopes = _scopes[:-1] if keep else _scopes
-    scopes[-1].append((spark, path)) if scopes else atexit.register(_drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -94,6 +100,39 @@ def write_records(records: DataFrame, path: str, today: str | None = None) -> No
     records.select("id", F.struct(F.col("at_sig").alias("sig"), F.col("at_doc").alias("doc"), F.col("at_body").alias("body")).alias("at"), "zh", "by", review.alias("review")).orderBy("id").write.mode("overwrite").json(path)
 
 
+DOC_RECORDS = "path string, sha string, anchors map<string,string>"
+
+
+def read_doc_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records of analysis documents in JSON lines, as operators.notes takes them."""
+    return spark.read.schema(DOC_RECORDS).json(path)
+
+
+def write_doc_records(records: DataFrame, path: str) -> None:
+    """Sorted JSON lines."""
+    records.select("path", "sha", "anchors").orderBy("path").write.mode("overwrite").json(path)
+
+
+def sync_anchor(text: str) -> dict:
+    """The upstream commit that a project stands at, and its name."""
+    import yaml
+
+    anchor = (yaml.safe_load(text) or {}).get("anchor") or {}
+    return {"commit": anchor.get("upstream_commit"), "ref": anchor.get("upstream_ref")}
+
+
+def registry(spark: SparkSession, texts: list[str]) -> DataFrame:
+    """Projects of registry files in YAML: project, name, url, priority, categories. A list of driver-side texts, a project each."""
+    import yaml
+
+    rows = []
+    for text in texts:
+        t = yaml.safe_load(text) or {}
+        url = (t.get("upstream") or {}).get("url") if isinstance(t.get("upstream"), dict) else t.get("upstream")
+        rows.append((t.get("id") or t.get("project"), t.get("name"), url, t.get("priority"), list(t.get("categories") or [])))
+    return spark.createDataFrame(rows, "project string, name string, url string, priority long, categories array<string>")
+
+
 def write_status(report: DataFrame, path: str) -> None:
     """A one-row report as JSON."""
     report.coalesce(1).write.mode("overwrite").json(path)

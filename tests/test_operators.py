@@ -456,9 +456,18 @@ def test_reports_and_files(spark, tmp_path):
     rows = tables.settled(state.derive(symbols(spark, CODE), flat(spark, [])))
     told = json.loads(reports.status_report(rows, project="p").first().report)
     assert told["symbols"]["translated"] == 1 and told["files"]["in_scope"] == 1 and told["coverage"] == 0.5
+    more = spark.createDataFrame([("depot.ts", 1), ("notes.sql", 2), ("none.sql", 0)], "path string, n long")
+    told = json.loads(reports.status_report(rows, counts=more, orphaned=spark.createDataFrame([("x",)], "id string"), at=F.lit("2024-05-01T00:00:00")).first().report)
+    assert told["files"] == {"in_scope": 3, "translated": 2, "stale": 0, "pending": 1} and (told["zh_lines"], told["orphaned"], told["generated_at"]) == (3, 1, "2024-05-01T00:00:00")
     rec = state.merge(flat(spark, []), symbols(spark, CODE), "me").select(*state.RECORD)
     tables.write_records(rec, str(tmp_path / "state"))
     assert tables.read_records(spark, str(tmp_path / "state")).first().asDict() == rec.first().asDict()
+    docs = spark.createDataFrame([("n/b.md", "1", {"a.rs#x": "h"}), ("n/a.md", "2", {})], tables.DOC_RECORDS)
+    tables.write_doc_records(docs, str(tmp_path / "docs"))
+    assert sorted(map(tuple, tables.read_doc_records(spark, str(tmp_path / "docs")).collect())) == sorted(map(tuple, docs.collect()))
+    assert tables.sync_anchor("anchor: {upstream_commit: abc, upstream_ref: v1}\n") == {"commit": "abc", "ref": "v1"} and tables.sync_anchor("")["commit"] is None
+    listed = tables.registry(spark, ["id: p\nname: P\nupstream: {url: u}\npriority: 2\ncategories: [x]\n", "id: q\n"]).collect()
+    assert [tuple(r) for r in listed] == [("p", "P", "u", 2, ["x"]), ("q", None, None, None, [])]
     assert tables.replaced_between("a<b>x<e>c", "y", "<b>", "<e>") == "a<b>\ny\n<e>c"
     assert tables.replaced_between("a<b>\ny 1\n<e>c", "y 2", "<b>", "<e>", r"\d") is None
     (tmp_path / "w" / "src").mkdir(parents=True)
