@@ -5,6 +5,9 @@ one. A small classifier (one hidden layer) learns the parts from the vectors. Ev
 several most probable parts, and all rows there are reranked by the true inner product. How many parts a query tries is measured on the
 sample: enough for a recall of `aim` there. Small parts share a task, which sends on only the best of all of them.
 
+A part that turns out to hold more than `DEEP` entries gets parts of its own: a task for each such part makes a graph, parts and a classifier from the part's own sample in the same
+way. So with up to `MOST_PARTS` parts of up to `MOST_PARTS` parts each, work a query grows far slower than the table; both levels then aim at the root of `aim`.
+
 Equal vectors are one entry with its `k + 1` smallest ids, which are all that can be among a query's k nearest, so a vector that a third of
 all rows hold is neither sent nor searched more than once. A part with more than `BLOCK` entries is dealt out to several tasks.
 
@@ -16,6 +19,7 @@ columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 from math import ceil
@@ -31,8 +35,10 @@ from glosswork.llm._base import cut
 K = 20
 #: Different vectors that the graph and the classifier are made from.
 SAMPLE = 6000
-#: Rows for each part, parts at least and at most.
+#: Rows for each part, parts at least and at most on each level: a sample can tell no more apart.
 PART, LEAST_PARTS, MOST_PARTS = 2000, 8, 256
+#: Entries of a part beyond which it has parts of its own.
+DEEP = 4 * PART
 NEIGHBOURS = 10
 #: Recall on the sample that sets how many parts a query tries.
 AIM = 0.95
@@ -101,6 +107,11 @@ class Router:
     w2: np.ndarray
     b2: np.ndarray
     tries: int
+    #: The share of neighbours found on the sample by 1, 2, ... tries.
+    recall: tuple[float, ...] = (1.0,)
+
+    def tries_for(self, aim: float) -> int:
+        return next((t + 1 for t, r in enumerate(self.recall) if r >= aim), len(self.recall))
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         size = np.sqrt((x * x).sum(1, keepdims=True))
@@ -152,23 +163,76 @@ def fit(x: np.ndarray, rows: int, k: int = K, aim: float = AIM) -> Router:
     place = np.empty_like(ranked)
     place[np.arange(len(x))[:, None], ranked] = np.arange(parts)
     tried = place[np.arange(len(x))[:, None], home[near]]  # how far down a query's list the part of each neighbour is
-    recall = [(tried <= t).mean() for t in range(parts)]
-    router.tries = next((t + 1 for t, r in enumerate(recall) if r >= aim), parts)
+    router.recall = tuple((tried <= t).mean() for t in range(parts))
+    router.tries = router.tries_for(aim)
     return router
 
 
-def blocks_of(sizes: dict[int, int]) -> tuple[list[int], list[int]]:
+@dataclass
+class Tree:
+    """A router, and the routers of its parts that have parts. Leaves are numbered part * MOST_PARTS + part of it."""
+
+    top: Router
+    below: dict[int, Router]
+    tries: int
+
+    def home(self, x: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The leaves of rows that are in parts."""
+        leaf = part.astype(np.int64) * MOST_PARTS
+        for p in np.unique(part).tolist():
+            if p in self.below:
+                at = np.flatnonzero(part == p)
+                leaf[at] += self.below[p].scores(x[at]).argmax(axis=1)
+        return leaf
+
+    def ways(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and the leaves that each tries."""
+        best = np.argsort(-self.top.scores(x), axis=1, kind="stable")[:, : self.tries]
+        row, part = np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()
+        rows, leaves = [], []
+        for p in np.unique(part).tolist():
+            at = row[part == p]
+            if p in self.below:
+                own = self.below[p]
+                sub = np.argsort(-own.scores(x[at]), axis=1, kind="stable")[:, : own.tries]
+                rows.append(np.repeat(at, sub.shape[1]))
+                leaves.append(p * MOST_PARTS + sub.ravel())
+            else:
+                rows.append(at)
+                leaves.append(np.full(len(at), p * MOST_PARTS))
+        return (np.concatenate(rows), np.concatenate(leaves)) if rows else (row, part)
+
+
+def below(index: DataFrame, sizes: dict[int, int], k: int, aim: float, sample: int) -> dict[int, Router]:
+    """Routers of the parts with more than DEEP entries, each made in a task of its own from `sample` different vectors of the part; MOST_PARTS of them reach the driver at most."""
+    deep = {p: n for p, n in sizes.items() if n > DEEP}
+    if not deep:
+        return {}
+
+    def make(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        x = _matrix(rows.sort_by([("h1", "ascending"), ("h2", "ascending")]).column("embedding").combine_chunks())
+        return pa.table({"part": pa.array([part], pa.int32()), "router": pa.array([pickle.dumps(fit(x, deep[part], k, aim))], pa.binary())})
+
+    one = Window.partitionBy("part", "h1", "h2").orderBy("vec_id")
+    first = Window.partitionBy("part").orderBy("h1", "h2")
+    some = index.where(F.col("part").isin(list(deep))).select("part", "vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit("again"), F.reverse("embedding")).alias("h2"))
+    some = some.withColumn("_n", F.row_number().over(one)).where("_n = 1").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample)
+    return {r["part"]: pickle.loads(r["router"]) for r in some.select("part", "h1", "h2", "embedding").groupBy("part").applyInArrow(make, "part int, router binary").collect()}
+
+
+def blocks_of(sizes: dict[int, int]) -> tuple[dict[int, int], dict[int, int]]:
     """First block and number of blocks of each part: small neighbouring parts share one, a large part has several."""
-    first, many, block, room = [], [], -1, 0
-    for part in range(max(sizes) + 1):
-        n = sizes.get(part, 0)
+    first, many, block, room = {}, {}, -1, 0
+    for part in sorted(sizes):
+        n = sizes[part]
         if n > room:
             block += 1
             room = BLOCK
-        first.append(max(block, 0))
-        many.append(max(1, ceil(n / BLOCK)))
-        block += many[-1] - 1
-        room = 0 if many[-1] > 1 else room - n
+        first[part] = max(block, 0)
+        many[part] = max(1, ceil(n / BLOCK))
+        block += many[part] - 1
+        room = 0 if many[part] > 1 else room - n
     return first, many
 
 
@@ -208,31 +272,44 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, sample: int = SA
     x = np.array([r["embedding"] for r in distinct.orderBy("h1", "h2").limit(sample).collect()], np.float64)
     router = fit(x, n, k, aim)
 
-    def route(tries: int, names: list[str], types: list):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                score = router.scores(_matrix(batch.column("embedding")))
-                best = np.argsort(-score, axis=1, kind="stable")[:, :tries]
-                take = pa.array(np.repeat(np.arange(batch.num_rows), best.shape[1]))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in names), pa.array(best.ravel().astype(np.int32))], names=[*names, "part"])
-
-        return run
+    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                part = router.scores(_matrix(batch.column("embedding"))).argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(part.astype(np.int32))], names=["vec_id", "embedding", "part"])
 
-    index = cut(rows.select("vec_id", "embedding").mapInArrow(route(1, ["vec_id", "embedding"], []), "vec_id long, embedding array<double>, part int"))
+    index = cut(rows.select("vec_id", "embedding").mapInArrow(to_parts, "vec_id long, embedding array<double>, part int"))
     sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row a part: MOST_PARTS at most
+    subs = below(index, sizes, k, aim**0.5, sample)
+    tree = spark.sparkContext.broadcast(Tree(router, subs, router.tries_for(aim**0.5) if subs else router.tries))
+
+    def to_leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                leaf = tree.value.home(_matrix(batch.column("embedding")), batch.column("part").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(leaf.astype(np.int32))], names=["vec_id", "embedding", "part"])
+
+    def to_ways(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, leaf = tree.value.ways(_matrix(batch.column("embedding")))
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("h1", "h2", "embedding")), pa.array(leaf.astype(np.int32))], names=["h1", "h2", "embedding", "part"])
+
+    if subs:
+        index = cut(index.mapInArrow(to_leaves, "vec_id long, embedding array<double>, part int"))
+        sizes = {r["part"]: r["count"] for r in index.groupBy("part").count().collect()}  # a row a leaf: MOST_PARTS * MOST_PARTS at most
+    else:
+        index = index.withColumn("part", F.col("part") * MOST_PARTS)
+        sizes = {p * MOST_PARTS: n for p, n in sizes.items()}
     first, many = blocks_of(sizes)
-
-    def of(values: list[int]):
-        return F.get(F.array(*map(F.lit, values)), F.col("part"))
-
-    index = index.withColumn("block", (of(first) + F.pmod(F.xxhash64("vec_id"), of(many))).cast("int"))
+    blocks = F.broadcast(spark.createDataFrame([(p, first[p], many[p]) for p in sizes], "part int, first int, many int"))
+    index = index.join(blocks, "part").withColumn("block", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("many"))).cast("int")).select("vec_id", "embedding", "part", "block")
 
     asked = cut(valid(queries, size)[0].select("vec_id", "h1", "h2", "embedding"))
     different = asked.groupBy("h1", "h2").agg(F.min_by("embedding", "vec_id").alias("embedding"))
-    routed = different.mapInArrow(route(router.tries, ["h1", "h2", "embedding"], []), "h1 long, h2 long, embedding array<double>, part int")
-    routed = routed.withColumn("block", F.explode(F.sequence(of(first), of(first) + of(many) - 1)))
+    routed = different.mapInArrow(to_ways, "h1 long, h2 long, embedding array<double>, part int").join(blocks, "part")
+    routed = routed.withColumn("block", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("many") - 1))).select("h1", "h2", "embedding", "part", "block")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []

@@ -617,6 +617,31 @@ def test_long_conversations_equal_the_whole_rendering(spark):
         chat.format_chats(df, declared).collect()
 
 
+@pytest.mark.parametrize("kind", ["clusters", "noise"])
+def test_parts_of_parts(spark, monkeypatch, kind):
+    """All parts are deep: recall on vectors outside the fitting sample, and how much of the table a query searches."""
+    monkeypatch.setattr(ann, "DEEP", 100)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(4000, 16)) * (0.3 if kind == "clusters" else 1) + (r.normal(size=(40, 16))[r.integers(0, 40, 4000)] * 2 if kind == "clusters" else 0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(4000 + i, x[0].tolist()) for i in range(50)] + [(5000, None), (5001, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 20 = 0")
+    found = Counter()
+    got = {}
+    for a in ann.nearest(df, queries, k=10, sample=1500).collect():
+        got.setdefault(a.query_id, []).append((-a.score, a.vec_id, a["rank"]))
+    every = {i: np.array(v) for i, v in rows if v and any(v)}
+    ids, m = np.array(list(every)), np.array(list(every.values()))
+    for q, list_ in got.items():
+        assert [n for _, _, n in sorted(list_)] == list(range(1, 11)) and len({i for _, i, _ in list_}) == 10 and q not in {i for _, i, _ in list_}
+        score = (m * every[q]).sum(1)
+        best = sorted(zip(-score, ids, strict=True))
+        true = {int(i) for _, i in [b for b in best if b[1] != q][:10]}
+        found[len(true & {i for _, i, _ in list_})] += 1
+    assert set(got) == {i for i in every if i % 20 == 0}
+    assert sum(n * c for n, c in found.items()) / (10 * len(got)) >= 0.9
+
+
 def test_a_late_change_of_a_declared_template_shows(spark, monkeypatch):
     """From its 20th turn on a conversation gets a mark, which no segment shows by itself."""
 
