@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
+from glosswork.sources.tables import settled
 
 
 def behind(tags: DataFrame, anchors: DataFrame, pattern: str = r"^v\d+\.\d+\.\d+$") -> DataFrame:
@@ -27,30 +28,54 @@ def tree(projects: DataFrame, categories: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("name", "id").alias("category"), "pos", "project").orderBy(F.asc_nulls_last("pos"), "category", "project")
 
 
-def ancestors(parents: DataFrame, of: DataFrame, hops: int = 16) -> DataFrame:
-    """sha, ancestor for each commit of `of` (sha), itself included; parents: sha, parent.
+def lifted(parents: DataFrame) -> list[DataFrame]:
+    """Tables (sha, up): one parent of each commit that has any, then the parent's parent, then 4, 8, ... steps up. A line of n commits takes log n tables; they can be kept and used again."""
+    first = parents.groupBy("sha").agg(F.min("parent").alias("up"))
+    levels = [settled(first)]
+    while True:
+        last = levels[-1]
+        above = last.select(F.col("sha").alias("up"), F.col("up").alias("_up"))
+        more = settled(last.join(above, "up").select("sha", F.col("_up").alias("up")))
+        if not more.limit(1).count():
+            return levels
+        levels.append(more)
 
-    Only what is found anew goes on, so work follows the commits that are reached. A round takes `hops` steps before its result is written.
-    """
-    from glosswork.sources.tables import settled
 
-    step = settled(parents.select(F.col("sha").alias("ancestor"), "parent").distinct())
-    known = new = settled(of.select("sha", F.col("sha").alias("ancestor")).distinct())
+def ancestors(parents: DataFrame, of: DataFrame, levels: list[DataFrame] | None = None) -> DataFrame:
+    """sha, ancestor for each commit of `of` (sha), itself included; parents: sha, parent. levels: from lifted(parents).
+
+    From what is new, the line of single parents above it is taken whole, by steps of 1, 2, 4, ...; then the other parents of all on it are what is new. So rounds follow how deep side branches
+    nest, and joins in a round the logarithm of the longest line, not the number of commits.
+    """
+    levels = levels if levels is not None else lifted(parents)
+    first = levels[0].withColumnRenamed("up", "parent")
+    others = settled(parents.select("sha", "parent").distinct().join(first, ["sha", "parent"], "left_anti").select(F.col("sha").alias("ancestor"), "parent"))
+    known, new = None, settled(of.select("sha", F.col("sha").alias("ancestor")).distinct())
     while new.limit(1).count():
-        walked, every = new, None
-        for _ in range(hops):
-            walked = walked.join(step, "ancestor").select("sha", F.col("parent").alias("ancestor")).distinct()
-            every = walked if every is None else every.unionByName(walked)
-        new = settled(every.distinct().join(known, ["sha", "ancestor"], "left_anti"))
-        known = known.unionByName(new)
-    return known
+        line = new
+        for level in levels:
+            further = line.join(level.select(F.col("sha").alias("ancestor"), "up"), "ancestor").select("sha", F.col("up").alias("ancestor"))
+            if known is not None:
+                further = further.join(known, ["sha", "ancestor"], "left_anti")
+            line = settled(line.unionByName(further).distinct())
+        known = line if known is None else settled(known.unionByName(line).distinct())
+        beside = line.join(others, "ancestor").select("sha", F.col("parent").alias("ancestor")).distinct()
+        new = settled(beside.join(known, ["sha", "ancestor"], "left_anti"))
+    return known if known is not None else new
+
+
+def is_ancestor(parents: DataFrame, pairs: DataFrame, levels: list[DataFrame] | None = None) -> DataFrame:
+    """old, new, yes: whether the first of each pair of commits (old, new) can be reached from the second."""
+    reached = ancestors(parents, pairs.select(F.col("new").alias("sha")), levels).select(F.col("sha").alias("new"), F.col("ancestor").alias("old"), F.lit(True).alias("yes"))
+    return pairs.join(reached, ["old", "new"], "left").select("old", "new", F.coalesce("yes", F.lit(False)).alias("yes"))
 
 
 def commit_range(parents: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
     """sha of the commits that new (sha) has and old (sha) hasn't, merges left out."""
-    step = parents.select("sha", "parent").distinct()
+    step = settled(parents.select("sha", "parent").distinct())
+    levels = lifted(step)
     merges = step.groupBy("sha").agg(F.count("*").alias("n")).where("n > 1").select("sha")
-    mine, theirs = (ancestors(step, x).select(F.col("ancestor").alias("sha")).distinct() for x in (new, old))
+    mine, theirs = (ancestors(step, x, levels).select(F.col("ancestor").alias("sha")).distinct() for x in (new, old))
     return mine.join(theirs, "sha", "left_anti").join(merges, "sha", "left_anti")
 
 

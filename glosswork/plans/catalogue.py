@@ -375,6 +375,19 @@ def commit_range(spark, sf):
     return registry.commit_range(parents, n.where("sha = 12"), n.where("sha = 24"))
 
 
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS sha, unnest([o_orderkey - o_orderkey % 97 - 1, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey - 11 END]) AS parent FROM orders), q AS (SELECT 100 + r_regionkey * 13 AS old, m - r_regionkey AS new FROM region, (SELECT max(o_orderkey) AS m FROM orders)),
+a(new, sha) AS (SELECT new, new FROM q UNION SELECT a.new, e.parent FROM a JOIN e USING (sha) WHERE e.parent > 0)
+SELECT q.old::BIGINT AS old, q.new::BIGINT AS new, EXISTS (SELECT 1 FROM a WHERE a.new = q.new AND a.sha = q.old) AS yes FROM q""", fixtures=False)
+def is_ancestor(spark, sf):
+    k = F.col("o_orderkey")
+    up = F.array(k - k % 97 - 1, F.when(k % 5 == 0, k - 11))
+    orders = X.read(spark, sf, "orders")
+    parents = orders.select(k.alias("sha"), F.explode(up).alias("parent")).where("parent > 0")
+    r = F.col("r_regionkey")
+    pairs = X.read(spark, sf, "region").crossJoin(F.broadcast(orders.agg(F.max("o_orderkey").alias("m")))).select((100 + r * 13).cast("long").alias("old"), (F.col("m") - r).alias("new"))  # one row
+    return registry.is_ancestor(parents, pairs)
+
+
 # --- documents about code ---
 
 
