@@ -415,16 +415,16 @@ def test_addresses(spark):
 
 
 def test_ancestors_of_a_long_history(spark):
-    """10,000 commits, most of them merges of short branches, some of which hang together; all that two commits reach, and what lies between them."""
+    """2,000 commits, every other a merge, and a branch of a branch of a branch; all that some commits reach, and what lies between two."""
     import random
 
     r = random.Random(6)
     parents = {}
-    for n in range(1, 10_000):
+    for n in range(1, 2_000):
         parents[n] = {n - 1} | ({max(0, n - r.randrange(2, 9))} if n % 2 else set())
-    for n in range(10_000, 10_030):  # a branch of a branch of a branch
-        parents[n] = {n - 1 if n % 10 else r.randrange(9_000)}
-    parents[9_999] |= {10_029}
+    for n in range(2_000, 2_030):  # a branch of a branch of a branch
+        parents[n] = {n - 1 if n % 10 else r.randrange(1_500)}
+    parents[1_999] |= {2_029}
 
     def reach(n):
         seen, todo = set(), [n]
@@ -436,15 +436,15 @@ def test_ancestors_of_a_long_history(spark):
 
     step = spark.createDataFrame([(n, p) for n, ps in parents.items() for p in ps], "sha long, parent long")
     levels = registry.lifted(step)
-    assert len(levels) <= 14
+    assert len(levels) <= 12
     one = lambda *n: spark.createDataFrame([(k,) for k in n], "sha long")
-    got = registry.ancestors(step, one(9_999, 10_015, 0), levels).collect()
-    want = {(n, k) for n in (9_999, 10_015, 0) for k in reach(n)}
+    got = registry.ancestors(step, one(1_999, 2_015, 0), levels).collect()
+    want = {(n, k) for n in (1_999, 2_015, 0) for k in reach(n)}
     assert len(got) == len(want) and {tuple(x) for x in got} == want
     merges = {n for n, ps in parents.items() if len(ps) > 1}
-    assert {x.sha for x in registry.commit_range(step, one(9_900), one(9_999)).collect()} == reach(9_999) - reach(9_900) - merges
-    pairs = spark.createDataFrame([(3, 9_000), (9_000, 3), (10_029, 9_998), (10_029, 9_999), (5, 5)], "old long, new long")
-    assert {(x.old, x.new): x.yes for x in registry.is_ancestor(step, pairs, levels).collect()} == {(3, 9_000): 3 in reach(9_000), (9_000, 3): False, (10_029, 9_998): False, (10_029, 9_999): True, (5, 5): True}
+    assert {x.sha for x in registry.commit_range(step, one(1_950), one(1_999)).collect()} == reach(1_999) - reach(1_950) - merges
+    pairs = spark.createDataFrame([(3, 1_900), (1_900, 3), (2_029, 1_998), (2_029, 1_999), (5, 5)], "old long, new long")
+    assert {(x.old, x.new): x.yes for x in registry.is_ancestor(step, pairs, levels).collect()} == {(3, 1_900): 3 in reach(1_900), (1_900, 3): False, (2_029, 1_998): False, (2_029, 1_999): True, (5, 5): True}
     assert registry.ancestors(step, one(1).limit(0)).collect() == []
 
 
