@@ -3,8 +3,10 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from glosswork.llm import _segments, ann, chat, fingerprint, langid, ngram_join, packing, secrets, sentencepiece_tok, substring_dedup, suffix_dedup
 from glosswork.llm._base import text_buffer
+from glosswork.sources import tables
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, spans string, start int, component string"
@@ -228,6 +231,21 @@ def test_tables_of_a_scope_go(spark):
         b.count()
 
 
+def test_tables_leave_no_shuffle_files(spark):
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    before, asked = files(), spark.conf.get(tables.CLEANUP, None)
+    held = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()  # its plan stays in use, so no garbage collection takes its files
+    table = tables.settled(held)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(tables.CLEANUP, None) == asked
+    assert table.count() == held.count() == 7
+
+
 def test_ngram_join_at_its_default_sizes(spark):
     """More documents with one passage than BIG, in more groups than one, of which a few are alike."""
     r = random.Random(21)
