@@ -246,6 +246,34 @@ def test_tables_leave_no_shuffle_files(spark):
     assert table.count() == held.count() == 7
 
 
+def test_common_words_make_no_neighbourhoods(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = [(i, " ".join(w for k in range(6) for w in (*rng.choices("abcdef", k=8), f"x{i}y{k}"))) for i in range(300)]
+    docs += [(300, docs[0][1] + " z"), (301, docs[1][1] + " z")]  # their shingles of common words are those of others, too
+    shared, links = [], ngram_join._links
+
+    def seen(texts, near, *rest):
+        shared.extend(r.g for r in near.groupBy("g").count().where("count > 1").collect())
+        return links(texts, near, *rest)
+
+    monkeypatch.setattr(ngram_join, "_links", seen)
+    found = {r.doc_id: r.component_id for r in ngram_join.classes(frame(spark, docs)).collect()}
+    assert found == {i: i for i in range(300)} | {300: 0, 301: 1}
+    assert len(shared) <= 4
+
+
+def test_ranks_follow_words(spark):
+    texts = pa.array(["a b c d e f g", "a b c d e a b c d e", "x", "", "B a  c"])
+    levels = np.zeros(ngram_join.SLOTS, np.uint8)
+    counts = np.zeros(ngram_join.SLOTS, np.int64)
+    sets = list(ngram_join.shingle_sets(*text_buffer(texts), 5, counts))
+    assert counts.sum() == 7 + 10 + 1 + 3 and (counts >= 4).sum() == 3
+    levels[counts >= 3] = 9
+    ranked = list(ngram_join.ranked_sets(*text_buffer(texts), 5, levels))
+    assert [(i, s.tolist()) for i, s, _ in ranked] == [(i, s.tolist()) for i, s in sets]
+    assert [sorted(r.tolist()) for _, _, r in ranked[:2]] == [[27, 36, 45], [45] * 5]
+
+
 def test_ngram_join_at_its_default_sizes(spark):
     """More documents with one passage than BIG, in more groups than one, of which a few are alike."""
     r = random.Random(21)
