@@ -79,14 +79,6 @@ def nearest(asked: DataFrame, points: DataFrame, key: list[str], ident: list[str
     return met.groupBy(*ident).agg(F.min_by("_met", F.struct(F.abs(F.col("_met") - F.col("want")), "_met")).alias("found"))
 
 
-def block_rows(rows: DataFrame, *key: str) -> DataFrame:
-    """rows with first and last, those of the run of consecutive rows each lies in."""
-    others = rows.columns
-    island = F.col("row") - F.row_number().over(Window.partitionBy(*key).orderBy("row"))
-    run = Window.partitionBy(*key, "_island")
-    return rows.withColumn("_island", island).select(*others, F.min("row").over(run).alias("first"), F.max("row").over(run).alias("last"))
-
-
 def owner_join(rows: DataFrame, symbols: DataFrame) -> DataFrame:
     """path, row, id of the innermost symbol (path, id, start, end, ord) around each row (path, row); the file's own symbol if none.
 
@@ -105,18 +97,6 @@ def fingerprint(lines: DataFrame, *key: str) -> DataFrame:
     return lines.groupBy(*key).agg(F.count("*").alias("n_lines"), T.short_sha(whole).alias("sha"))
 
 
-def neighbours(lines: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
-    """lines (path, row, line) with zh (whether a line is an annotation), the nearest other lines `prv` and `nxt`, and code_row, the row without annotations."""
-    own, back = Window.partitionBy("path").orderBy("row"), Window.partitionBy("path").orderBy(F.desc("row"))  # a frame that ends at the last row would be read again for each row
-    code = F.when(~F.col("zh"), F.struct("line"))
-    return lines.withColumn("zh", T.is_annotation(F.col("line"), tokens)).select(
-        "*",
-        F.last(code, True).over(own.rowsBetween(Window.unboundedPreceding, -1))["line"].alias("prv"),
-        F.last(code, True).over(back.rowsBetween(Window.unboundedPreceding, -1))["line"].alias("nxt"),
-        F.coalesce(F.sum(F.when(~F.col("zh"), 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("code_row"),
-    )
-
-
 def first_divergence(study: DataFrame, upstream: DataFrame, tokens: tuple[str, ...] | None = None) -> DataFrame:
     """path, line (from 1, of the study text), study_line, upstream_line of the first difference beside annotations; equal files have no row.
 

@@ -1,13 +1,159 @@
-"""Annotation blocks of one text put into another: next to the code line they stood by, inside the symbol they belonged to."""
+"""Annotation blocks of one text put into another: next to the code line they stood by, inside the symbol they belonged to.
+
+Both texts of a file meet once, with its symbols; what follows looks at one file at a time and takes the time of a sort of its rows, however many of them are equal. Rows don't travel.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from heapq import heappop, heappush
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glosswork.functions import text as T
-from glosswork.operators.lines import block_rows, blocks, explode_lines, nearest, neighbours, owner_join
-from glosswork.sources.tables import settled
+
+#: What `place` tells of each block.
+PLACED = "path string, first long, n long, id string, outcome string, at long"
+#: Characters or rows that a task gives out at once, about.
+SENT = 1 << 22
+
+
+def _each(files: DataFrame, rows: Callable[[dict], list[tuple]], told: str) -> DataFrame:
+    """What rows() gives for each row of files."""
+    names = [x.split()[0] for x in told.split(", ")]
+    types = [pa.int64() if x.endswith("long") else pa.string() for x in told.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
+
+        out: list[tuple] = []
+        size = 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                made = rows({c: batch.column(c)[k].as_py() for c in batch.schema.names})
+                out += made
+                size += sum(64 + len(x) for row in made for x in row if isinstance(x, str))
+                if size > SENT:
+                    yield sent()
+                    out, size = [], 0
+        yield sent()
+
+    return files.mapInArrow(run, told)
+
+
+def _indent(line: str) -> str:
+    return line[: len(line) - len(line.lstrip(" \t"))]
+
+
+def _blocks(lines: list[str], note: Callable) -> list[tuple[int, int, str | None, str | None, int]]:
+    """first, n, the other lines before and after, and the row without annotations of each run of annotations."""
+    out, code, prv, first = [], 0, None, None
+    for row, line in enumerate(lines):
+        if note(line):
+            first = row if first is None else first
+            continue
+        if first is not None:
+            out.append((first, row - first, prv, line, code))
+        first, prv, code = None, line, code + 1
+    return out if first is None else [*out, (first, len(lines) - first, prv, None, code)]
+
+
+def _owners(rows: list[int], symbols: list[dict]) -> list[dict | None]:
+    """The innermost symbol around each of ascending rows: the shortest, of equals the one with the lowest ord."""
+    todo, open_, out = sorted((s for s in symbols if s["start"] <= s["end"]), key=lambda s: -s["start"]), [], []
+    for row in rows:
+        while todo and todo[-1]["start"] <= row:
+            s = todo.pop()
+            heappush(open_, (s["end"] - s["start"], s["ord"] is not None, s["ord"] or 0, s["id"], s["end"], s["start"]))
+        while open_ and open_[0][4] < row:
+            heappop(open_)
+        out.append({"id": open_[0][3], "start": open_[0][5]} if open_ else None)
+    return out
+
+
+def _near(points: list[int], low: int, high: int | None, want: int) -> int | None:
+    """The point from low to high nearest to want, of two as near the lower."""
+    a, z = bisect_left(points, low), bisect_right(points, high) if high is not None else 0
+    k = bisect_left(points, want, a, max(a, z))
+    return min(points[max(a, k - 1) : min(z, k + 1)], key=lambda p: (abs(p - want), p), default=None)
+
+
+def _placed(path: str, ours: list[str], theirs: list[str] | None, mine: list[dict] | None, other: list[dict] | None, note: Callable) -> list[tuple]:
+    """PLACED of a file's blocks, without its path."""
+    found = _blocks(ours, note)
+    if not found:
+        return []
+    own = {"id": f"{path}#<module>", "start": 0}
+    owners = [o or own for o in _owners([b[0] for b in found], mine or [])]
+    code = [0]  # rows without annotations before each row
+    for line in ours:
+        code.append(code[-1] + (not note(line)))
+    extents = {s["id"]: (s["start"], s["end"], s["item_row"]) for s in other or []}
+
+    asked = {x.strip() for _, _, prv, nxt, _ in found for x in (prv, nxt) if x is not None} - {""}
+    at_line, at_both = defaultdict(list), defaultdict(list)
+    above = None
+    for row, line in enumerate(theirs or []):
+        said = line.strip()
+        if said in asked:
+            at_line[said].append(row)
+            at_both[above, said].append(row)
+        above = said
+
+    out = []
+    for (first, n, prv, nxt, at_code), owner in zip(found, owners, strict=True):
+        low, high, head = extents.get(owner["id"], (None, None, None))
+        if owner["id"].endswith("#<module>"):
+            low, high, head = (low, None, head) if theirs is None else (0, len(theirs) - 1, 0)
+        if low is None:
+            out.append((first, n, owner["id"], "orphaned", None))
+            continue
+        want, at = low + at_code - code[owner["start"]], None
+        before, after = (None if x is None else x.strip() for x in (prv, nxt))
+        if after and before is not None:
+            at = _near(at_both.get((before, after), []), low, high, want)
+        if after and at is None:
+            at = _near(at_line.get(after, []), low, high, want)
+        if before and at is None:
+            at = _near(at_line.get(before, []), low, high, want - 1)
+            at = None if at is None else at + 1
+        out.append((first, n, owner["id"], "relocated" if at is None else "reattached", head if at is None else at))
+    return out
+
+
+def _rebuilt(ours: list[str], theirs: list[str], placed: dict[int, tuple[str, int | None]], note: Callable) -> str:
+    """theirs with the blocks of ours at their places: outcome and at by first row."""
+    moved = []
+    for first, n, _, nxt, _ in _blocks(ours, note):
+        outcome, at = placed.get(first, ("", None))
+        if at is not None:
+            there = theirs[at] if at < len(theirs) else ""
+            margin = _indent((nxt or "") if outcome == "reattached" and not there.strip() else there)
+            moved.append((at, first, [margin + x.lstrip(" \t") for x in ours[first : first + n]]))
+    out, done = [], 0
+    for at, _, lines in sorted(moved):
+        out += theirs[done:at] + lines
+        done = max(done, at)
+    return "\n".join(out + theirs[done:])
+
+
+def _note(tokens: tuple[str, ...]) -> Callable:
+    return re.compile(T.marker_pattern(tokens)).match
+
+
+def _with_symbols(files: DataFrame, our_symbols: DataFrame, their_symbols: DataFrame) -> DataFrame:
+    """files (path) with the symbols of each on both sides as lists."""
+    long = lambda *names: [F.col(c).cast("long").alias(c) for c in names]
+    mine = our_symbols.groupBy("path").agg(F.collect_list(F.struct("id", *long("start", "end", "ord"))).alias("mine"))
+    other = their_symbols.groupBy("path").agg(F.collect_list(F.struct("id", *long("start", "end", "item_row"))).alias("other"))
+    return files.join(mine, "path", "left").join(other, "path", "left")
 
 
 def place(ours: DataFrame, theirs: DataFrame, our_symbols: DataFrame, their_symbols: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
@@ -15,71 +161,46 @@ def place(ours: DataFrame, theirs: DataFrame, our_symbols: DataFrame, their_symb
 
     ours, theirs: path, text. Symbols: path, id, start, end, item_row, ord; what lies in none belongs to the file's own, `path#<module>`.
     """
-    lines = neighbours(explode_lines(ours), tokens)
-    runs = blocks(lines.where("zh"), "path")
-    owners = owner_join(runs.select("path", F.col("first").alias("row")), our_symbols).withColumnRenamed("row", "first")
-    owned = runs.join(owners, ["path", "first"])
-    ends = lines.select("path", F.col("row").alias("first"), "prv", "code_row")
-    tails = lines.select("path", F.col("row").alias("last"), "nxt")
-    starts = our_symbols.select("id", F.col("start").alias("_start"))
-    rows = owned.join(ends, ["path", "first"]).join(tails, ["path", "last"]).join(starts, "id", "left").withColumn("_start", F.coalesce("_start", F.lit(0)))
-    before = lines.select("path", F.col("row").alias("_start"), F.col("code_row").alias("_code"))
-    rows = rows.join(before, ["path", "_start"]).withColumn("offset", F.col("code_row") - F.col("_code"))
-
-    other = explode_lines(theirs).select("path", "row", T.strip(F.col("line")).alias("said"))
-    other = other.withColumn("above", F.lag("said").over(Window.partitionBy("path").orderBy("row")))
-    extent = their_symbols.select("id", F.col("start").alias("lo"), F.col("end").alias("hi"), F.col("item_row").alias("head"))
-    files = theirs.select(F.col("path").alias("_path"), (F.size(T.lines(F.col("text"))) - 1).cast("long").alias("_last"))
-    rows = rows.join(extent, "id", "left").join(files, F.col("path") == F.col("_path"), "left")
-    module = F.col("id").endswith("#<module>")
-    rows = rows.withColumn("lo", F.when(module & F.col("_last").isNotNull(), F.lit(0)).otherwise(F.col("lo"))).withColumn("hi", F.when(module, F.col("_last")).otherwise(F.col("hi"))).withColumn("head", F.when(module & F.col("_last").isNotNull(), F.lit(0)).otherwise(F.col("head")))
-    rows = rows.select("path", "first", "n", "id", "offset", "lo", "hi", "head", T.strip(F.coalesce("nxt", F.lit(""))).alias("nxt"), T.strip(F.coalesce("prv", F.lit(""))).alias("prv"), F.col("prv").isNotNull().alias("has_prv"))
-    rows = settled(rows)  # read by each search
-
-    def searched(said: Column, after: int, *more: Column, name: str) -> DataFrame:
-        """The nearest row with a line, and what else must be equal, to where the block stood in its symbol."""
-        key = ["path", "said", "above"][: 2 + len(more)]
-        asked = rows.where((said != "") & F.col("lo").isNotNull()).select("path", "first", said.alias("said"), *(m.alias("above") for m in more), F.col("lo").alias("low"), F.col("hi").alias("high"), (F.col("lo") + F.col("offset") - after).alias("want"))
-        if more:
-            asked = asked.where(F.col("above").isNotNull())
-        found = nearest(asked, other.where(F.col("above").isNotNull()) if more else other, key, ["path", "first"])
-        return found.select("path", "first", (F.col("found") + after).alias(name))
-
-    tries = [searched(F.col("nxt"), 0, F.when(F.col("has_prv"), F.col("prv")), name="exact"), searched(F.col("nxt"), 0, name="by_next"), searched(F.col("prv"), 1, name="by_prv")]
-    for found in tries:
-        rows = rows.join(found, ["path", "first"], "left")
-    at = F.coalesce("exact", "by_next", "by_prv")
-    outcome = F.when(F.col("lo").isNull(), "orphaned").when(at.isNotNull(), "reattached").otherwise("relocated")
-    return rows.select("path", "first", "n", "id", outcome.alias("outcome"), F.when(F.col("lo").isNotNull(), F.coalesce(at, F.col("head"))).cast("long").alias("at"))
+    files = ours.where("path IS NOT NULL AND text IS NOT NULL").select("path", F.col("text").alias("ours")).join(theirs.select("path", F.col("text").alias("theirs")), "path", "left")
+
+    def rows(f: dict) -> list[tuple]:
+        note = _note(tokens)
+        return [(f["path"], *x) for x in _placed(f["path"], f["ours"].split("\n"), None if f["theirs"] is None else f["theirs"].split("\n"), f["mine"], f["other"], note)]
+
+    return _each(_with_symbols(files, our_symbols, their_symbols), rows, PLACED)
 
 
 def rebuild(ours: DataFrame, theirs: DataFrame, placed: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
     """path, text: theirs with the placed blocks inserted. A block that stands by its line again is indented as the line it goes before, or, where that is blank or there is none, as
     the line it stood before; one moved to its symbol's head as the line there. Equal places keep the blocks' order.
     """
-    around = neighbours(explode_lines(ours), tokens)
-    own = block_rows(around.where("zh").select("path", "row", "line"), "path")
-    stood = around.select("path", F.col("row").alias("last"), T.indent(F.coalesce("nxt", F.lit(""))).alias("stood"))
-    moved = own.join(placed.where("at IS NOT NULL").select("path", "first", "at", "outcome"), ["path", "first"]).join(stood, ["path", "last"])
-    other = explode_lines(theirs).select("path", "row", "line")
-    there = other.select("path", F.col("row").alias("at"), T.indent(F.col("line")).alias("margin"), (T.strip(F.col("line")) == "").alias("blank"))
-    moved = moved.join(there, ["path", "at"], "left")
-    margin = F.when((F.col("outcome") == "reattached") & F.coalesce("blank", F.lit(True)), F.col("stood")).otherwise(F.coalesce("margin", F.lit("")))
-    moved = moved.select("path", F.struct(F.col("at").alias("a"), F.lit(0).alias("b"), F.col("row").alias("c")).alias("k"), F.concat(margin, F.regexp_replace("line", r"^[ \t]+", "")).alias("line"))
-    rows = other.select("path", F.struct(F.col("row").alias("a"), F.lit(1).alias("b"), F.lit(0).cast("long").alias("c")).alias("k"), "line").unionByName(moved)
-    return rows.groupBy("path").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    spots = placed.where("at IS NOT NULL").groupBy("path").agg(F.collect_list(F.struct("first", "at", "outcome")).alias("spots"))
+    files = theirs.where("text IS NOT NULL").select("path", F.col("text").alias("theirs")).join(ours.select("path", F.col("text").alias("ours")), "path", "left").join(spots, "path", "left")
+
+    def rows(f: dict) -> list[tuple]:
+        spots = {s["first"]: (s["outcome"], s["at"]) for s in f["spots"] or []}
+        return [(f["path"], _rebuilt((f["ours"] or "").split("\n"), f["theirs"].split("\n"), spots, _note(tokens)) if spots else f["theirs"])]
+
+    return _each(files, rows, "path string, text string")
 
 
 def resolve(stages: DataFrame, our_symbols: DataFrame, their_symbols: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
-    """path, outcome, text of each conflicted file (path, base, ours, theirs), whose code becomes theirs.
+    """path, outcome, text of each conflicted file (path, base, ours, theirs; or path, changed, ours, theirs), whose code becomes theirs.
 
     merged: our annotations are placed in their text; deleted: they have none, so all of ours are orphans; taken: a kind of file that has no annotations, unchanged by us; unsupported: the
     same but changed by us, or ours is gone, so that somebody must look (text is null).
     """
+    changed = F.col("changed") if "changed" in stages.columns else F.col("base") != F.col("ours")
     kind = F.when(F.col("ours").isNull(), "unsupported").when(F.col("theirs").isNull(), "deleted")
-    kind = kind.when(T.comment_pattern(F.col("path")).isNull(), F.when(F.col("base").isNotNull() & (F.col("base") != F.col("ours")), "unsupported").otherwise("taken")).otherwise("merged")
-    rows = stages.withColumn("outcome", kind)
-    ours, theirs = (rows.where("outcome = 'merged'").select("path", F.col(c).alias("text")) for c in ("ours", "theirs"))
-    made = rebuild(ours, theirs, place(ours, theirs, our_symbols, their_symbols, tokens), tokens).withColumnRenamed("text", "made")
-    text = F.when(F.col("outcome") == "merged", F.col("made")).when(F.col("outcome") == "taken", F.col("theirs"))
-    return rows.join(made, "path", "left").select("path", "outcome", text.alias("text"))
+    kind = kind.when(T.comment_pattern(F.col("path")).isNull(), F.when(changed, "unsupported").otherwise("taken")).otherwise("merged")
+    read = {"ours": F.col("outcome") == "merged", "theirs": F.col("outcome").isin("merged", "taken")}
+    files = stages.select("path", kind.alias("outcome"), "ours", "theirs").withColumns({c: F.when(use, F.col(c)) for c, use in read.items()})
+
+    def rows(f: dict) -> list[tuple]:
+        if f["outcome"] != "merged":
+            return [(f["path"], f["outcome"], f["theirs"])]
+        note, ours, theirs = _note(tokens), f["ours"].split("\n"), f["theirs"].split("\n")
+        placed = {first: (outcome, at) for first, _, _, outcome, at in _placed(f["path"], ours, theirs, f["mine"], f["other"], note)}
+        return [(f["path"], "merged", _rebuilt(ours, theirs, placed, note))]
+
+    return _each(_with_symbols(files, our_symbols, their_symbols), rows, "path string, outcome string, text string")

@@ -230,7 +230,7 @@ FROM upstream u FULL JOIN theirs t ON u.path = t.path LEFT JOIN merged m ON m.pa
 def resolve_conflicts(spark, sf):
     sides = (X.upstream(spark, sf), X.study(spark, sf), X.theirs(spark, sf))
     rows = [side.select("path", F.lit(n).alias("stage"), "text") for n, side in enumerate(sides, 1)]
-    stages = tables.merge_stages(rows[0].unionByName(rows[1]).unionByName(rows[2]))
+    stages = tables.changed_stages(rows[0].unionByName(rows[1]).unionByName(rows[2]))
     return reattach.resolve(stages, X.study_symbols(spark, sf), X.their_symbols(spark, sf)).select("path", "outcome", F.sha2("text", 256).alias("sha"))
 
 

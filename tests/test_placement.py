@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glosswork.extract import braced, index
 from glosswork.functions import text as T
 from glosswork.operators import lines, placement, reattach, verify
+from glosswork.sources import tables
 
 M = T.MARKER
 SYMBOLS = "path string, id string, start long, end long, ord int"
@@ -170,6 +171,18 @@ def test_resolved_files(spark):
     assert {x.path: (x.outcome, x.text) for x in got} == {"a.py": ("merged", f"y\n# {M} n\nx\n"), "b.bin": ("taken", "2"), "c.bin": ("unsupported", None), "d.py": ("deleted", None), "e.py": ("unsupported", None), "f.bin": ("taken", "2")}
 
 
+def test_texts_of_conflicts_travel_once(spark):
+    """Rows of files don't travel, nor does the base: one exchange of both sides, one of each side's symbols."""
+    rows = [("a.py", 1, "x\n"), ("a.py", 2, f"# {M} n\nx\n"), ("a.py", 3, "y\nx\n"), ("b.bin", 1, "1"), ("b.bin", 2, "1"), ("b.bin", 3, "2"), ("c.bin", 1, "1"), ("c.bin", 2, "3"), ("c.bin", 3, "2"), ("e.py", 1, "x"), ("e.py", 3, "y"), ("f.bin", 2, "3"), ("f.bin", 3, "2")]
+    schema = "path string, id string, start long, end long, item_row long, ord int"
+    a, b = spark.createDataFrame([("a.py", "a.py#s", 1, 1, 1, 0)], schema), spark.createDataFrame([("a.py", "a.py#s", 0, 1, 0, 0)], schema)
+    stages = tables.changed_stages(spark.createDataFrame(rows, "path string, stage int, text string"))
+    made = reattach.resolve(stages, a, b)
+    assert {x.path: (x.outcome, x.text) for x in made.collect()} == {"a.py": ("merged", f"y\n# {M} n\nx\n"), "b.bin": ("taken", "2"), "c.bin": ("unsupported", None), "e.py": ("unsupported", None), "f.bin": ("taken", "2")}
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 3 and "Generate" not in plan and "Window" not in plan
+
+
 # --- where annotations may not stand ---
 
 
