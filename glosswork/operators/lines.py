@@ -14,6 +14,14 @@ def explode_lines(files: DataFrame, text: str = "text") -> DataFrame:
     return files.select(*others, F.posexplode(T.lines(F.col(text))).alias("pos", "line")).select(*others, F.col("pos").cast("long").alias("row"), "line")
 
 
+def lines_with_above(files: DataFrame, text: str = "text") -> DataFrame:
+    """explode_lines() with above, the line before (null in the first row), from the text itself, so that no rows travel."""
+    others = [c for c in files.columns if c != text]
+    both = F.transform("_lines", lambda line, i: F.struct(line.alias("line"), F.get("_lines", i - 1).alias("above")))
+    rows = files.select(*others, T.lines(F.col(text)).alias("_lines")).select(*others, F.posexplode(both).alias("pos", "_l"))
+    return rows.select(*others, F.col("pos").cast("long").alias("row"), "_l.line", "_l.above")
+
+
 def annotation_rows(lines: DataFrame, tokens: tuple[str, ...] = T.HASH) -> DataFrame:
     return lines.where(T.is_annotation(F.col("line"), tokens))
 

@@ -523,8 +523,8 @@ def relevant_terms(spark, sf):
 @query(_TERMS_SQL + """, ln AS (SELECT source||'/'||doc_id||'.py' AS path, unnest(string_split(coalesce(text,''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text,''), chr(10)), 1)::BIGINT - 1 AS "row" FROM documents),
 l AS (SELECT path, "row", line, concat_ws(chr(10), lag(line) OVER (PARTITION BY path ORDER BY "row"), line) AS seen FROM ln)""" + _MENTIONS_SQL.format(key='path, "row"', text="seen", source="l") + """SELECT path, "row", bad, key FROM mt JOIN (SELECT key, unnest(list_distinct(avoid)) AS bad FROM m) USING (key) JOIN l USING (path, "row") WHERE contains(line, bad)""", fixtures=False)
 def term_lint(spark, sf):
-    rows = lines.explode_lines(X.upstream(spark, sf)).withColumn("context", F.lag("line").over(Window.partitionBy("path").orderBy("row")))
-    return terms.lint(rows.select("path", "row", F.col("line").alias("text"), "context"), settled(terms.merge(X.glossary(spark, sf))))
+    rows = lines.lines_with_above(X.upstream(spark, sf))
+    return terms.lint(rows.select("path", "row", F.col("line").alias("text"), F.col("above").alias("context")), settled(terms.merge(X.glossary(spark, sf))))
 
 
 # --- planning and taking in ---

@@ -394,6 +394,33 @@ def test_many_terms(spark):
     assert terms.relevant(spark.createDataFrame(texts, "doc int, text string"), table.limit(0), "doc").collect() == []
 
 
+@pytest.mark.parametrize("few", [terms.FEW, 0])
+def test_linted_rows(spark, few, monkeypatch):
+    """Each word once, however many forms of its term stand there and forms hold forms; the rows themselves don't travel while forms are few."""
+    import random
+    import re
+
+    monkeypatch.setattr(terms, "FEW", few)
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("ab", k=r.randint(1, 3)))
+    form = lambda: r.choice([word(), f"{word()} {word()}", f"4 {word()}", f"{word()}+{word()}", " ", "4 5"])
+    glossary = [(f"k{i}_{word()}", form(), r.sample(["a", "bb", "4", " ", "", "b"], 3) + ["a"], [form().upper() for _ in range(r.randrange(6))]) for i in range(120)]
+    lines_ = [" ".join(r.choice([form(), word().upper(), "5", "\t"]) for _ in range(r.randrange(9))) for _ in range(60)]
+    files = spark.createDataFrame([("p.py", "\n".join(lines_)), ("q.py", ""), ("r.py", None)], "path string, text string")
+    want = set()
+    for key, en, avoid, aliases in glossary:
+        own = {f.lower() for f in (en, key.replace("_", " "), key.replace("_", ""), *aliases) if f.strip()}
+        pattern = re.compile("|".join(f"(?<![a-z]){re.escape(f)}(?![a-z])" for f in own))
+        want |= {("p.py", i, b, key) for i, line in enumerate(lines_) for b in set(avoid) if b and b in line and pattern.search("\n".join(lines_[max(0, i - 1) : i + 1]).lower())}
+    rows = lines.lines_with_above(files).select("path", "row", F.col("line").alias("text"), F.col("above").alias("context"))
+    made = terms.lint(rows, tables.settled(spark.createDataFrame(glossary, "key string, en string, avoid array<string>, aliases array<string>")))
+    got = [tuple(x) for x in made.collect()]
+    assert len(want) > 1000 and len(got) == len(set(got)) and set(got) == want
+    if few:
+        plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert not any("Exchange hashpartitioning(path" in line for line in plan.splitlines())
+
+
 def test_front_matter(spark):
     texts = {"flow": "---\ntitle: 'Ways # 1'\nanchors: [a.rs#x, \"b c.py\", 'd.go#T.M']\n---\nx", "block": "---\nanchors: # all\n- a.rs#x # here\n\n  # none\n- \"b.py\"\nother: 1\n---\n", "none": "---\nanchors: []\n---\n", "plain": "anchors: [a]\n"}
     rows = {r.path: (r.title, r.anchors) for r in notes.parse(spark.createDataFrame(list(texts.items()), "path string, text string")).collect()}
