@@ -246,6 +246,21 @@ def test_tables_leave_no_shuffle_files(spark):
     assert table.count() == held.count() == 7
 
 
+def test_counts_leave_no_shuffle_files(spark):
+    dirs = [d.getPath() for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f for top in dirs for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+    docs = frame(spark, [(i, " ".join(f"w{(i * k) % 7}" for k in range(20))) for i in range(50)])
+    survey = tables.settled(ngram_join._survey(ngram_join._texts(docs), 5))
+    time.sleep(1)
+    before = files()
+    assert ngram_join._last(survey).any() and ngram_join._levels(survey).any()
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+
+
 def test_common_words_make_no_neighbourhoods(spark, monkeypatch):
     rng = random.Random(5)
     docs = [(i, " ".join(w for k in range(6) for w in (*rng.choices("abcdef", k=8), f"x{i}y{k}"))) for i in range(300)]
